@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from panelforge.llm import packing
+from panelforge.llm import decontamination, licenses, packing
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_benchmark_decontamination": decontamination.ORACLE,
+    "op10_license_scan": licenses.ORACLE,
+}
