@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from panelforge.llm import decontamination, language_id, licenses, packing
+from panelforge.llm import decontamination, language_id, licenses, packing, quality
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op9_language_id": language_id.op9_language_id,
     "op10_license_scan": licenses.op10_license_scan,
 }
