@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from panelforge.llm import decontamination, language_id, licenses, packing, quality
+from panelforge.llm import chat, decontamination, language_id, licenses, packing, quality, vector_search
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
     "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_chat_formatting": chat.op4_chat_formatting,
+    "op6_exact_top_k": vector_search.op6_exact_top_k,
     "op9_language_id": language_id.op9_language_id,
     "op10_license_scan": licenses.op10_license_scan,
 }
 
 ORACLE = {
+    "op4_chat_formatting": chat.ORACLE,
+    "op6_exact_top_k": vector_search.ORACLE,
     "op2_benchmark_decontamination": decontamination.ORACLE,
     "op10_license_scan": licenses.ORACLE,
 }
