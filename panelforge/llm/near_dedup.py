@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,29 +29,16 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import BROADCAST_BYTES, materialize, table
 from panelforge.llm.components import connected
+from panelforge.llm.hashing import word_hashes
 
 SHINGLE = 5
 TREES, DEPTH, HASHES = 20, 3, 120
 REGION = 1024
-CACHE_WORDS = 300_000
 #: Agreeing signature places (of HASHES, one byte each) under which a pair cannot reach 0.75: five deviations below.
 AGREE = 66
 PERCENT = 75
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-@cache
-def _words() -> _Words:
-    return _Words()
-
-
 _rng = np.random.default_rng(20)
 PLACES = (_rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 MULTIPLY = _rng.integers(0, 1 << 31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -68,10 +54,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    known = _words()
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    w = word_hashes(words)
     if not len(w):
         return w
     if len(w) < SHINGLE:

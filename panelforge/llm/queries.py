@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelforge.llm import chat, decontamination, language_id, licenses, near_dedup, packing, quality, vector_search
+from panelforge.llm import chat, decontamination, language_id, licenses, near_dedup, packing, quality, suffix_tree, vector_search
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op6_exact_top_k": vector_search.op6_exact_top_k,
+    "op7_lm_scoring": suffix_tree.op7_lm_scoring,
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_license_scan": licenses.op10_license_scan,
