@@ -1,17 +1,67 @@
-"""Corpus preparation: STAGES over documents, each working on what its predecessor kept."""
+"""Corpus preparation: STAGES over documents, each working on all that its predecessor kept.
+
+Documents the quality classifier rejects go; of each group of near duplicates the smallest doc_id stays;
+documents that hold a benchmark window go; secrets in the texts of the rest are replaced; what is left is
+packed into sequences. All stages but the last return the columns of documents. Rows are dropped by an anti
+join on the ids to drop, which are sent to every task only while they are few; texts then stay where they
+lie. Rows with a null doc_id, which no id can name, are only judged by their text. Rows that repeat a doc_id
+share its fate.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelforge.llm.common import BROADCAST_BYTES, fold, materialize, table
+from panelforge.llm.decontamination import decontaminate
+from panelforge.llm.near_dedup import near_duplicates
+from panelforge.llm.packing import pack_documents
+from panelforge.llm.quality import fit, keep_quality
+from panelforge.llm.secrets import example_findings, redact, train
+
+
+def _without(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
+    ids = materialize(ids.select("doc_id").distinct(), tag)
+    return docs.join(F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids, "doc_id", "left_anti")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    net = fit(docs.filter(fold("doc_id", 3) != 1), table(spark, sf_dir, "labels"))
+    return keep_quality(docs, net)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, near_duplicates(docs).filter("NOT kept"), "copies").select(docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.filter("contaminated"), "contaminated").select(docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact(docs, train(example_findings()))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
 
-from panelforge.llm.common import materialize, table
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: The classifier, the forest and the tokenizer have no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each result is written and read again before the next stage."""
+    """All stages in order; each result but the last is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

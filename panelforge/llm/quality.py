@@ -150,26 +150,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> Network:
     return train([t.encode("utf-8", "surrogatepass") for t in rows["text"]], rows["quality"].to_numpy(int))
 
 
+def text_scores(net: Network, texts: list[str | None]) -> np.ndarray:
+    """Scores of whole texts, some at a time."""
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    out = np.full(len(data), 0.5 if net.constant is None else net.constant)
+    lo = len(data) if net.constant is not None else 0
+    while lo < len(data):
+        hi, size = lo, 0
+        while hi < len(data) and (hi == lo or size + len(data[hi]) < 4 * BYTES_AT_ONCE):
+            size += len(data[hi])
+            hi += 1
+        out[lo:hi] = forward(net, data[lo:hi])
+        lo = hi
+    return out
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """docs with a column score."""
+    """doc_id and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for b in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-            out = np.full(len(texts), 0.5)
-            if model.constant is not None:
-                out[:] = model.constant
-            else:
-                lo = 0
-                while lo < len(texts):
-                    hi, size = lo, 0
-                    while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 4 * BYTES_AT_ONCE):
-                        size += len(texts[hi])
-                        hi += 1
-                    out[lo:hi] = forward(model, texts[lo:hi])
-                    lo = hi
+            out = text_scores(shared.value, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
@@ -183,3 +185,15 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> DataF
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def keep_quality(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that score at least the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(text_scores(shared.value, b.column(at).to_pylist()) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from panelforge.llm import chat, decontamination, language_id, licenses, near_dedup, packing, quality, suffix_tree, vector_search
+from panelforge.llm import chat, decontamination, language_id, licenses, near_dedup, packing, quality, secrets, suffix_tree, vector_search
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op6_exact_top_k": vector_search.op6_exact_top_k,
     "op7_lm_scoring": suffix_tree.op7_lm_scoring,
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
