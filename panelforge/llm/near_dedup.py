@@ -7,7 +7,7 @@
    order form a region. Within a region depth adapts: neighbours in the order, which have the longest common
    prefixes, are compared first; only documents that are not connected by then are compared with the rest
    of their region. What passes is linked if the signatures agree often enough, five deviations below the
-   threshold. Only a spanning set of links leaves a region; regions over ``REGION`` rows are cut into blocks
+   threshold. Only its connected parts leave a region, as stars; regions over ``REGION`` rows are cut into blocks
    whose pairs are spread over tasks, so that nothing is lost and no task takes a whole region.
 3. Connected candidates are fetched once with their full sets and compared exactly, by an inverted index in
    blocks of bounded size. Links that pass give the components.
@@ -127,6 +127,15 @@ class Union:
             self.parts -= 1
         return i != j
 
+    def stars(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """Each member of a part with the part's smallest id: what a part says, in the fewest hops."""
+        root = np.array([self.find(i) for i in range(len(ids))])
+        order = np.lexsort((ids, root))
+        first = order[_bounds([root[order]])[:-1]]
+        centre = np.empty(len(ids), np.int64)
+        centre[root[first]] = first
+        return [(i, int(c)) for i, c in enumerate(centre[root].tolist()) if i != c]
+
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Tables of whole groups of a partition that is sorted by its first ``keys`` columns."""
@@ -167,25 +176,22 @@ def _links(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def region_links(ids: np.ndarray, sigs: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning set of the pairs of a region whose signatures agree, neighbours in the order first."""
+    """The parts that pairs with agreeing signatures form in a region, as stars; neighbours in the order first."""
     order = np.lexsort(sigs.T[::-1])
-    found, parts = [], Union(len(ids))
+    parts = Union(len(ids))
     near = np.flatnonzero((sigs[order[1:]] == sigs[order[:-1]]).sum(1) >= AGREE)
     for k in near.tolist():
-        i, j = int(order[k]), int(order[k + 1])
-        if parts.join(i, j):
-            found.append((i, j))
+        parts.join(int(order[k]), int(order[k + 1]))
     if parts.parts == 1:
-        return found
+        return parts.stars(ids)
     root = np.array([parts.find(i) for i in range(len(ids))])
     largest = np.bincount(root).argmax()
     for i in np.flatnonzero(root != largest).tolist():
         for j in np.flatnonzero((sigs == sigs[i]).sum(1) >= AGREE).tolist():
-            if parts.join(i, j):
-                found.append((i, j))
+            parts.join(i, j)
         if parts.parts == 1:
             break
-    return found
+    return parts.stars(ids)
 
 
 SMALL = 8
@@ -221,7 +227,7 @@ def candidate_links(members: DataFrame) -> DataFrame:
 
 
 def exact_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning set of the pairs with 100 * intersection >= PERCENT * union."""
+    """The parts that pairs with 100 * intersection >= PERCENT * union form, as stars."""
     n = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), n)
@@ -232,7 +238,7 @@ def exact_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
     of = np.empty(len(flat), np.int64)
     of[order] = np.repeat(np.arange(len(count)), count)
     at = np.r_[0, np.cumsum(n)]
-    found, parts = [], Union(len(sets))
+    parts = Union(len(sets))
     for i in range(len(sets)):
         g = of[at[i] : at[i + 1]]
         g = g[count[g] > 1]
@@ -240,11 +246,10 @@ def exact_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
         places = np.repeat(bounds[g] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
         shared = np.bincount(own[places], minlength=len(sets))
         for j in np.flatnonzero(100 * shared >= PERCENT * (n[i] + n - shared)).tolist():
-            if j != i and parts.join(i, j):
-                found.append((i, j))
+            parts.join(i, j)
         if parts.parts == 1:
             break
-    return found
+    return parts.stars(ids)
 
 
 def confirmed_links(members: DataFrame) -> DataFrame:
