@@ -61,3 +61,19 @@ CROSS = """spend AS (SELECT o_custkey AS sid, sum(o_totalprice) AS cap, count(*)
   sum(CASE WHEN year(o_orderdate) >= 1998 THEN o_totalprice ELSE 0.0 END) AS late, sum(CASE WHEN year(o_orderdate) < 1998 THEN o_totalprice ELSE 0.0 END) AS early FROM orders GROUP BY 1),
 x AS (SELECT c_custkey AS sid, c_mktsegment AS industry, c_acctbal AS acct, cap, n_orders, mean_order, CASE WHEN early > 0 THEN late / early - 1 END AS y, n_orders >= 4 AS in_estu, sqrt(cap) AS v
   FROM customer JOIN spend ON c_custkey = sid)"""
+
+
+def cross_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cross-section of customers for each order year: year, sid, industry, acct, cap, n_orders, mean_order, v, in_estu, y."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sid"), F.year("o_orderdate").alias("year"), "o_totalprice")
+    spend = orders.groupBy("sid", "year").agg(F.sum("o_totalprice").alias("cap"), F.count("*").alias("n_orders"), F.avg("o_totalprice").alias("mean_order"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sid"), F.col("c_mktsegment").alias("industry"), F.col("c_acctbal").alias("acct"))
+    w = Window.partitionBy("sid").orderBy("year")
+    ret = F.when(F.lag("year").over(w) == F.col("year") - 1, F.col("cap") / F.lag("cap").over(w) - 1)
+    found = spend.join(customers, "sid").withColumn("y", ret)
+    return found.select("year", "sid", "industry", "acct", "cap", "n_orders", "mean_order", F.sqrt("cap").alias("v"), (F.col("cap") > 100000).alias("in_estu"), "y")
+
+
+YEARS = """py AS (SELECT o_custkey AS sid, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) AS cap, count(*) AS n_orders, avg(o_totalprice) AS mean_order FROM orders GROUP BY ALL),
+p AS (SELECT year, sid, c_mktsegment AS industry, c_acctbal AS acct, cap, n_orders, mean_order, sqrt(cap) AS v, cap > 100000 AS in_estu,
+  CASE WHEN lag(year) OVER (PARTITION BY sid ORDER BY year) = year - 1 THEN cap / lag(cap) OVER (PARTITION BY sid ORDER BY year) - 1 END AS y FROM py JOIN customer ON c_custkey = sid)"""
