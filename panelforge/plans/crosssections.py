@@ -65,11 +65,11 @@ def nonlinear_orth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {YEARS}, q AS (SELECT *, CASE WHEN n_orders > 1 THEN mean_order / 1000 END AS x, ln(cap) AS size FROM p),
 g AS (SELECT year, industry, sum(v * x) / sum(v) AS mx, sum(v * size) / sum(v) AS mc FROM q WHERE in_estu AND x IS NOT NULL GROUP BY ALL),
 b AS (SELECT year, sum(v * (size - mc) * (x - mx)) / sum(v * (size - mc) * (size - mc)) AS b FROM q JOIN g USING (year, industry) WHERE in_estu AND x IS NOT NULL GROUP BY year)
-SELECT year, sid, round(coalesce(x, mx + coalesce(b, 0) * (size - mc), 0), 9) AS filled FROM q LEFT JOIN g USING (year, industry) LEFT JOIN b USING (year)""")
+SELECT year, sid, round(coalesce(x, mx + coalesce(b, 0) * (size - mc), 0), 8) AS filled FROM q LEFT JOIN g USING (year, industry) LEFT JOIN b USING (year)""")
 def impute_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing values from industry levels and size."""
     x = cross_years(spark, sf_dir).withColumns({"x": F.when(F.col("n_orders") > 1, F.col("mean_order") / 1000), "size": F.ln("cap")})
-    return cs.impute(x, ["year"], "x", "industry", "size", "v", estu()).select("year", "sid", r("filled", 9).alias("filled"))
+    return cs.impute(x, ["year"], "x", "industry", "size", "v", estu()).select("year", "sid", r("filled", 8).alias("filled"))
 
 
 @query(f"""WITH {YEARS}, j AS (SELECT a.year, a.mean_order AS x, b.mean_order AS y, a.v AS w FROM p a JOIN p b ON a.sid = b.sid AND b.year = a.year - 1 WHERE a.in_estu),
