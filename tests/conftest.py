@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests"), str(ROOT / "tests/llm")]
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
