@@ -122,7 +122,10 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
             texts = b.column(1).to_pylist()
             for part in slices(texts, CHARS_AT_ONCE):
                 ids, starts, has_letter = ngrams(texts[part])
-                scores = np.array([np.add.reduceat(row[ids], starts) + row[BUCKETS] for row in model]).reshape(len(langs), len(starts))
+                scores = np.repeat(model[:, BUCKETS:], len(starts), axis=1)
+                some = np.diff(np.r_[starts, len(ids)]) > 0  # a text without a letter may have no n-gram
+                if langs and some.any():
+                    scores[:, some] += np.array([np.add.reduceat(row[ids], starts[some]) for row in model]).reshape(len(langs), -1)
                 if langs:
                     best = scores.argmax(0)
                     top = 1 / np.exp(scores - scores.max(0)).sum(0)

@@ -189,7 +189,7 @@ class Scanner:
 def train(findings: list[tuple]) -> Scanner:
     """From a bounded list of (before, candidate, after, path, is_secret)."""
     vocabulary = Vocabulary.learn(findings)
-    x = np.array([vocabulary.features(*f[:4]) for f in findings], float).reshape(len(findings), -1)
+    x = np.array([vocabulary.features(*f[:4]) for f in findings], float)
     return Scanner(vocabulary, Forest().fit(x, np.array([int(f[4]) for f in findings], float)))
 
 

@@ -1,0 +1,344 @@
+"""Operators against plain definitions, held-out rows and awkward tables."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from panelforge.llm import chat, decontamination, language_id, licenses, near_dedup, packing, quality, secrets, suffix_tree, vector_search
+from panelforge.llm.queries import ORACLE, QUERIES
+
+LONG = "lorem ipsum dolor sit amet consectetur " * 30_000
+CLASH = ["id", "w", "p", "prefix", "size", "key", "n", "score", "rows", "sig", "h", "row", "label", "start", "length"]
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf):
+    return {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+def table(spark, rows):
+    """Rows of (doc_id, text, lang, source) with many more columns."""
+    df = spark.createDataFrame([(*r, len(r[1]) if r[1] is not None else None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({c: F.lit("x") for c in CLASH})
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return table(spark, [(1, "the same words stand in this text twice", "en", "a"), (1, "the same words stand in this text twice", "en", "a"), (2, "the same words stand in this text twice", None, None), (3, None, "en", None), (None, "no id here at all friend", "en", "b"), (4, "", "de", "a"), (5, "12 34 -- !!", "de", "a"), (6, LONG, "la", "a"), (7, "ein kurzer text", "de", "a")])
+
+
+@pytest.fixture(scope="module")
+def empty(awkward):
+    return awkward.limit(0)
+
+
+def rows(df, *key):
+    return sorted(map(tuple, df.select(*key).collect()), key=repr)
+
+
+# 1: packing
+
+
+@pytest.fixture(scope="module")
+def tokens():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    return lambda t: [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+
+
+def check_packing(found, texts, tokens, capacity=2048):
+    pieces, bins = {}, {}
+    for r in found:
+        pieces.setdefault(r.doc_id, []).append(r)
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces.keys() == texts.keys()
+    total = 0
+    for d, text in texts.items():
+        ids, own = tokens(text), sorted(pieces[d], key=lambda r: r.piece)
+        total += len(ids)
+        assert len(own) == (1 if len(ids) <= capacity else -(-len(ids) // capacity))
+        assert [r.piece for r in own] == list(range(len(own))) and [r.length for r in own[1:]] == [capacity] * (len(own) - 1)
+        at = 0
+        for r in own:
+            assert r.start == at and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    for placed in bins.values():
+        at = 0
+        for offset, length in sorted(placed):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(bins), total
+
+
+def test_packing(spark, sf, documents, tokens):
+    found = QUERIES["op1_best_fit_packing"](spark, sf).collect()
+    n, total = check_packing(found, {d: r.text for d, r in documents.items()}, tokens)
+    assert n <= 1.1 * math.ceil(total / 2048)
+
+
+def test_packing_awkward(awkward, empty, tokens):
+    found = packing.pack_documents(awkward).collect()
+    assert Counter(r.doc_id for r in found if r.piece == 0) == {1: 2, 2: 1, 3: 1, None: 1, 4: 1, 5: 1, 6: 1, 7: 1}
+    assert {r.doc_id: r.length for r in found if r.doc_id in (3, 4)} == {3: 1, 4: 1}
+    assert sum(r.length for r in found if r.doc_id == 6) == len(tokens(LONG))
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_encoder_is_the_tokenizer(tokens):
+    words, rng = packing.WordEncoder(packing.default_tokenizer()), random.Random(3)
+    alphabet = [" ", "  ", "\n", "\t", "'s", "'ll", "a", "B", "é", "ß", "1", "23", ".", ",", "日本", "🙂", "Ж", " ", " ", "<s>", "x" * 40]
+    for _ in range(1500):
+        text = "".join(rng.choices(alphabet, k=rng.randint(0, 14)))
+        assert np.frombuffer(words.text_ids(text), "<u4").tolist() == tokens(text)[:-1], repr(text)
+
+
+def test_best_fit_closes_the_fullest():
+    fit = packing.BestFit(10, 2)
+    assert [fit.place(n) for n in (6, 7, 4, 8, 3, 2)] == [(0, 0), (1, 0), (0, 6), (2, 0), (1, 7), (2, 8)]
+    fit = packing.BestFit(10, 2)
+    assert [fit.place(n)[0] for n in (6, 7, 9, 3)] == [0, 1, 2, 0]
+
+
+# 2 and 10: windows and licences
+
+
+def test_decontamination_awkward(spark, awkward, empty):
+    items = spark.createDataFrame([(1, "SAME words stand"), (1, "SAME words stand"), (2, None), (3, "--"), (4, "lorem " + "ipsum dolor sit amet consectetur lorem " * 2), (None, "kurzer")], "item_id long, text string").withColumn("w", F.lit(1))
+    for limit in (1 << 26, 0):  # with the tables sent to every task, and with none
+        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontamination.decontaminate(awkward, items, broadcast_bytes=limit).collect()}
+        assert got[1] == got[2] == (8, 3, 1, True) and got[3] == got[4] == (0, 0, 0, False) and got[7] == (3, 0, 0, False)
+        assert got[6] == (180_000, 180_000, 1, True) and got[None][3] is False and len(got) == 8
+    assert decontamination.decontaminate(empty, items).count() == 0
+    assert not decontamination.decontaminate(awkward, items.limit(0)).filter("contaminated OR n_hit > 0").count()
+
+
+def test_licenses_awkward(spark, empty):
+    docs = table(spark, [(1, "The MIT License, an mit license", "en", ""), (1, "gpl", "en", ""), (2, None, None, None), (3, "", None, None), (None, "apache license", None, None), (4, "mit " * 50_000 + "license", None, None), (5, "general public license general public", None, None)])
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan_licenses(docs).collect()}
+    assert got == {1: (6, 2, 1, 4, "mit"), 2: (0, 0, None, None, ""), 3: (0, 0, None, None, ""), None: (2, 1, 0, 0, "apache"), 4: (50_001, 1, 49_999, 49_999, "mit"), 5: (5, 1, 0, 0, "gpl")}
+    assert licenses.scan_licenses(empty).count() == 0
+
+
+def test_license_notices(spark):
+    notice = licenses.NOTICES[2][0].split()
+    broken = " ".join([*notice[:9], "indeed", *notice[9:]])
+    docs = table(spark, [(1, broken, "", ""), (2, " ".join(notice[:7]), "", "")])
+    assert {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()} == {1: "mit", 2: ""}
+
+
+# 3 and 9: classifiers
+
+
+def test_quality(spark, documents):
+    sf = "/root/testdata/sf0.01"
+    scored = {r.doc_id: r for r in QUERIES["op3_quality_classifier"](spark, sf).collect()}
+    marks = spark.read.parquet(f"{sf}/labels.parquet").filter("quality IS NOT NULL").collect()
+    held = [(scored[r.doc_id].predicted == r.quality) for r in marks if brute.fold(r.doc_id, 3) == 1]
+    assert len(held) > 50 and np.mean(held) > 0.9
+    assert all(r.held_out == (brute.fold(d, 3) == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for d, r in scored.items())
+
+
+def test_quality_awkward(spark, awkward, empty):
+    marks = spark.createDataFrame([(1, 1), (1, 1), (4, 0), (7, 0), (None, 1), (9, None)], "doc_id long, quality int").withColumn("h", F.lit(1))
+    got = quality.classify(awkward, marks)
+    assert got.count() == 9 and got.filter("score BETWEEN 0 AND 1").count() == 9
+    assert quality.classify(empty, marks).count() == 0
+    assert {r.score for r in quality.classify(awkward, marks.limit(0)).collect()} == {0.5}
+    net = quality.fit(awkward, marks)
+    alone = quality.text_scores(net, [LONG])[0]
+    assert abs(quality.text_scores(net, ["a", LONG, None])[1] - alone) < 1e-9
+
+
+def test_language(spark):
+    sf = "/root/testdata/sf0.01"
+    known = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op9_language_id"](spark, sf).collect()}
+    held = [got[d].lang_pred == lang for d, lang in known.items() if brute.fold(d, 4) == 2 and lang]
+    assert np.mean(held) > 0.95 and all(r.held_out == (brute.fold(d, 4) == 2) for d, r in got.items())
+
+
+def test_language_awkward(awkward, empty):
+    got = rows(language_id.identify(awkward), "doc_id", "lang_pred")
+    assert len(got) == 9 and {(3, "und"), (4, "und"), (5, "und")} <= set(got) and (6, "la") in got
+    assert language_id.identify(empty).count() == 0
+    assert {r.lang_pred for r in language_id.identify(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+# 4: chat
+
+
+def test_chat_folds_events(spark):
+    log = [(1, 0, 0, "message", "user", "hi"), (1, 1, 2, "delta", "assistant", "lo [x]"), (1, 1, 1, "delta", "assistant", "hel"), (1, 2, 1, "delta", "assistant", "bad"), (1, 2, 2, "regenerate", "assistant", None), (1, 2, 3, "delta", "assistant", "good\\"), (1, 3, 1, "message", "user", "a"), (1, 3, 2, "edit", "user", "b</s>"), (2, 0, 0, None, None, None)]
+    segments = chat.format_chat(spark.createDataFrame(log, "conv_id long, turn long, sequence long, kind string, role string, text string").withColumn("position", F.lit(1)))
+    got = {c: "".join(s for _, s in sorted((r.position, r.segment) for r in segments.collect() if r.conv_id == c)) for c in (1, 2)}
+    assert got == {1: r"<s>[user]hi</s><s>[assistant]hello \[x\]</s><s>[assistant]good\\</s><s>[user]b\</s></s>".replace(r"b\</s></s>", r"b\</s></s>"), 2: "<s>[]</s>"}
+    back = {r.conv_id: r for r in chat.read_back(segments).collect()}
+    assert back[1].turns_sha256 == hashlib.sha256("user\nhi\nassistant\nhello [x]\nassistant\ngood\\\nuser\nb</s>\n".encode()).hexdigest()
+    assert (back[1].loss_chars, back[1].loss_sha256) == (14, hashlib.sha256(b"hello [x]good\\").hexdigest()) and back[1].formatted_chars == len(got[1])
+
+
+def test_chat_awkward(spark):
+    rng = random.Random(5)
+    said = ["".join(rng.choices("<>/s[]\\INSTa é\n🙂", k=rng.randint(0, 30))) for _ in range(40)] + [LONG]
+    talk = [(c, t, ("user", "assistant")[t % 2], x) for c in (1, 2) for t, x in enumerate(said)] + [(3, 0, "user", None), (None, 0, "user", "x"), (4, 0, "user", "b"), (4, 0, "user", "a"), (4, None, None, "c")]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").withColumn("kind", F.lit("edit"))
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chat(chat.as_events(df))).collect()}
+    turns = "".join(f"{('user', 'assistant')[t % 2]}\n{x}\n" for t, x in enumerate(said))
+    loss = "".join(x for t, x in enumerate(said) if t % 2)
+    for c in (1, 2):
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (41, hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert got[4].turns_sha256 == hashlib.sha256(b"\nc\nuser\na\nuser\nb\n").hexdigest() and got[3].n_turns == 1 and None in got
+    assert chat.read_back(chat.format_chat(chat.as_events(df.limit(0)))).count() == 0
+
+
+# 5: secrets
+
+
+def test_forest_on_other_findings():
+    scanner = secrets.train(secrets.example_findings())
+    others = secrets.example_findings(800, seed=99)
+    scores = scanner.judge([f[:4] for f in others])
+    assert np.mean((scores >= 0.5) == np.array([f[4] for f in others], bool)) > 0.97
+
+
+def test_secret_scan(spark, sf, documents):
+    scanner = secrets.train(secrets.example_findings())
+    want = []
+    for d, r in documents.items():
+        found = list(secrets.find(r.text or ""))
+        want += [(d, f[0], f[1], bool(s >= 0.5)) for f, s in zip(found, scanner.judge([(*f[2:], r.source or "") for f in found]))]
+    assert rows(QUERIES["op5_secret_scan"](spark, sf), "doc_id", "start", "length", "is_secret") == sorted(want, key=repr)
+
+
+def test_secret_awkward(spark, empty):
+    key = "AKIA" + "Q7RZ2MLW9XK4TB6N"
+    docs = table(spark, [(1, f"aws_access_key_id = {key} and more", None, None), (1, f"aws_access_key_id = {key} and more", None, None), (2, None, "en", "a"), (3, "", "en", "a"), (None, f"key={key}", "en", "a"), (4, "word " * 100_000 + f"token={key}", "en", "a")])
+    scanner = secrets.train(secrets.example_findings())
+    found = secrets.scan(docs, scanner).filter("is_secret")
+    assert Counter(r.doc_id for r in found.collect()) == {1: 2, None: 1, 4: 1}
+    clean = secrets.redact(docs, scanner)
+    assert clean.columns == docs.columns and not clean.filter(F.col("text").contains(key)).count()
+    assert {r.doc_id: (r.text, r.n_chars) for r in clean.collect()}[2] == (None, None)
+    assert clean.filter("text IS NOT NULL AND n_chars <> length(text)").count() == 0 and secrets.scan(empty, scanner).count() == 0
+    assert set(secrets.train([]).judge([("a", "b" * 20, "c", "")])) == {0.0}
+
+
+# 6: vectors
+
+
+def test_vectors_awkward(spark):
+    rng, nan = np.random.default_rng(4), float("nan")
+    data = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)] + [(300 + i, [1e5] * 6) for i in range(3)] + [(400, None), (401, [1.0, None, 0.0]), (402, [nan] * 6), (403, [float("inf")] * 6), (None, [1.0] * 6), (5, [-9.0] * 6), (404, [1.0, 2.0]), (405, [])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumns({"v": F.lit(1), "b": F.lit(2), "p": F.lit(3), "dim": F.lit(4)})
+    got = vector_search.top_k(df, F.col("vec_id") % 5 == 0, block=16, piece=64)
+    table = {}
+    for i, v in data:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            y = [math.floor(256 * x) for x in v]
+            table[i] = min(table.get(i, y), y)
+    want = []
+    for q, v in table.items():
+        if q % 5 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, c)), k) for k, c in table.items() if k != q and len(c) == len(v))[:5]
+            want += [(q, n + 1, k, -s) for n, (s, k) in enumerate(best)]
+    assert rows(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+    assert vector_search.top_k(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
+
+
+# 7: language model
+
+
+def test_lm_base(spark, sf, documents):
+    got = {r.doc_id: r for r in QUERIES["op7_lm_scoring"](spark, sf).collect()}
+    split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", brute.lower(t)), None]
+    c = Counter(w for d, r in documents.items() if brute.fold(d, 5) != 1 for w in split(r.text))
+    n, v = sum(c.values()), len(c)
+    assert got.keys() == documents.keys()
+    for d, r in documents.items():
+        w = split(r.text)
+        base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens, got[d].held_out) == (len(w), sum(c[x] > 0 for x in w), n, brute.fold(d, 5) == 1)
+        assert abs(got[d].base_score - base) < 1e-6 * abs(base) and got[d].score < 0
+
+
+def test_lm_beats_words(spark):
+    """With enough text the model is better than the words' own frequencies, on held-out texts."""
+    held = QUERIES["op7_lm_scoring"](spark, "/root/testdata/sf0.1").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1]
+
+
+def test_lm_is_a_distribution(spark, documents):
+    docs = spark.createDataFrame([(r.text,) for r in list(documents.values())[:60]], "text string")
+    counts = suffix_tree.gather(docs)
+    tree = suffix_tree.fit_tree(counts.filter(F.col("kind") == suffix_tree.GRAM))
+    for context in (b"\n\n\n\n\n", b"e the", b"zzzzz", b" qxj~", docs.first().text.encode()[:5].lower()):
+        key = int.from_bytes(context, "big") << 8
+        p = 10 ** suffix_tree.symbol_scores(tree, np.arange(256) + key)
+        assert abs(p.sum() - 1) < 1e-9
+    small = suffix_tree.fit_tree(counts.filter(F.col("kind") == suffix_tree.GRAM), max_rows=2000, memo=0)
+    assert (small.keys >= 0).sum() <= 2000
+
+
+def test_lm_awkward(awkward, empty):
+    got = suffix_tree.lm_scores(awkward, awkward).collect()
+    assert Counter(r.doc_id for r in got) == {1: 2, 2: 1, 3: 1, None: 1, 4: 1, 5: 1, 6: 1, 7: 1}
+    assert {(r.n_tokens, r.n_known) for r in got if r.doc_id in (3, 4)} == {(1, 1)} and all(r.score < 0 and math.isfinite(r.score) for r in got)
+    unlearned = suffix_tree.lm_scores(awkward, empty).collect()
+    assert {r.train_tokens for r in unlearned} == {0} and all(r.n_known == 0 and math.isfinite(r.score) for r in unlearned)
+    assert suffix_tree.lm_scores(empty, awkward).count() == 0
+
+
+# 8: near duplicates
+
+
+def test_near_duplicates(spark, sf, documents):
+    want, sizes = brute.components({d: r.text for d, r in documents.items()})
+    got = {r.doc_id: r for r in QUERIES["op8_minhash_near_dedup"](spark, sf).collect()}
+    assert {d: (r.n_shingles, r.component_id, r.kept) for d, r in got.items()} == {d: (sizes[d], want[d], want[d] == d) for d in want}
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """Groups over the block sizes: 300 copies, 400 near copies, a chain, and pairs just above and below the threshold."""
+    monkeypatch.setattr(near_dedup, "REGION", 64)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(120)]
+    texts = [" ".join(base)] * 300
+    for _ in range(400):
+        w = list(base)
+        w[rng.randrange(120)] = word()
+        texts.append(" ".join(w))
+    chain = [word() for _ in range(100)]
+    for k in range(8):
+        texts.append(" ".join(chain))
+        chain = chain[8:] + [word() for _ in range(8)]
+    for shared in (30, 29):  # shingles in common of 35 each: 30 / 40 reaches 0.75, 29 / 41 does not
+        a = [word() for _ in range(39)]
+        texts += [" ".join(a), " ".join(a[: shared + 4] + [word() for _ in range(35 - shared)])]
+    data = dict(enumerate(texts))
+    small = {d: t for d, t in data.items() if d >= 690}
+    want, _ = brute.components(small)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, [(d, t, "", "") for d, t in data.items()])).collect()}
+    assert all(got[d] == 0 for d in range(700))
+    assert {d: got[d] for d in range(700, len(texts))} == {d: want[d] for d in range(700, len(texts))}
+
+
+def test_near_duplicates_awkward(awkward, empty):
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(awkward).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (3, 0, 3, True), (None, 2, None, True), (4, 0, 4, True), (5, 1, 5, True), (6, 6, 6, True), (7, 1, 7, True)], key=repr)
+    assert near_dedup.near_duplicates(empty).count() == 0
+
+
+def test_ten_queries():
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)] and set(ORACLE) <= set(QUERIES)
