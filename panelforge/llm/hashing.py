@@ -6,7 +6,7 @@ from functools import cache
 
 import numpy as np
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 class _Words(dict):

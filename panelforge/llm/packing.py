@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 def default_tokenizer() -> str:
