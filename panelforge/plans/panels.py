@@ -22,12 +22,12 @@ def day_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = day.withColumn("s", F.datediff("date", F.lit("2024-01-01").cast("date")))
     w = Window.partitionBy("sid").orderBy("s")
     gap_free = F.lag("s").over(w) == F.col("s") - 1
-    return day.withColumn("ret", F.when(gap_free, F.col("close") / F.lag("close").over(w) - 1))
+    return day.withColumn("ret", F.when(gap_free, F.try_divide("close", F.lag("close").over(w)) - 1))
 
 
 DAY = """day0 AS (SELECT user_id AS sid, CAST(ts AS DATE) AS date, arg_max(value, struct_pack(a := ts, b := event_id)) AS close, count(*) AS volume, sum(value) AS amount FROM events GROUP BY ALL),
 day1 AS (SELECT *, CAST(date_diff('day', DATE '2024-01-01', date) AS INTEGER) AS s FROM day0),
-day AS (SELECT *, CASE WHEN lag(s) OVER w = s - 1 THEN close / lag(close) OVER w - 1 END AS ret FROM day1 WINDOW w AS (PARTITION BY sid ORDER BY s))"""
+day AS (SELECT *, CASE WHEN lag(s) OVER w = s - 1 THEN close / nullif(lag(close) OVER w, 0) - 1 END AS ret FROM day1 WINDOW w AS (PARTITION BY sid ORDER BY s))"""
 
 
 def brand_month(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +37,12 @@ def brand_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1
     cell = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("factor"), month.alias("m")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("vwap"), F.sum("l_quantity").alias("qty"))
     w = Window.partitionBy("factor").orderBy("m")
-    return cell.withColumn("ret", F.when(F.lag("m").over(w) == F.col("m") - 1, F.col("vwap") / F.lag("vwap").over(w) - 1))
+    return cell.withColumn("ret", F.when(F.lag("m").over(w) == F.col("m") - 1, F.try_divide("vwap", F.lag("vwap").over(w)) - 1))
 
 
 BRAND = """bm0 AS (SELECT p_brand AS factor, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS m, sum(l_extendedprice) / sum(l_quantity) AS vwap, sum(l_quantity) AS qty
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
-bm AS (SELECT *, CASE WHEN lag(m) OVER w = m - 1 THEN vwap / lag(vwap) OVER w - 1 END AS ret FROM bm0 WINDOW w AS (PARTITION BY factor ORDER BY m))"""
+bm AS (SELECT *, CASE WHEN lag(m) OVER w = m - 1 THEN vwap / nullif(lag(vwap) OVER w, 0) - 1 END AS ret FROM bm0 WINDOW w AS (PARTITION BY factor ORDER BY m))"""
 
 
 def cross(spark: SparkSession, sf_dir: str) -> DataFrame:
