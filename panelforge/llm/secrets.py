@@ -1,7 +1,9 @@
 r"""Secret scan: candidate strings judged by a random forest.
 
-Candidates are runs of at least 12 letters, digits, ``_ + / -`` (and ``=`` at the end) that hold a digit.
-Each is described by its length, its characters and their transitions, how much of it dictionary words
+Candidates are runs of at least 12 letters, digits, ``_ + / -`` (and ``=`` at the end), what follows a known
+prefix of keys, and the values of at least 6 characters that stand after a word which names a secret and
+``=`` or ``:``. Such a value goes to its closing quote, the next blank or the next such word; if it holds runs,
+they are candidates too. It has no blanks: of a passphrase the first word is judged. Each is described by its length, its characters and their transitions, how much of it dictionary words
 cover, its path and its neighbouring words; the forest, trained from labelled findings, tells secrets from
 false positives. The transition and neighbour statistics and the dictionary are learned from the same
 findings. Findings are judged where their documents lie; nothing is shuffled.
@@ -11,7 +13,7 @@ of secrets and look-alikes in the forms that public scanners list. Any table of
 (before, candidate, after, path, is_secret) can take its place.
 
 Edge cases: null and empty texts have no findings; every occurrence is a finding, so repeated rows repeat
-theirs; null paths are empty; without both labels among the findings every score is the share of secrets;
+theirs; findings may lie in one another, and redacting takes them as one; null paths are empty; without both labels among the findings every score is the share of secrets;
 extra columns are ignored.
 """
 
@@ -33,27 +35,63 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import table
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}={0,2}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}={0,2}")
+PREFIX = r"(?:A[KS]IA|gh[opsur]_|github_pat_|glpat-|sk-|[sp]k_live_|[sp]k_test_|xox[abeoprs]-|AIza|SG\.|eyJ)"
+PREFIXED = re.compile(rf"(?<![A-Za-z0-9_+/-]){PREFIX}[A-Za-z0-9_+/.-]{{6,}}")
+KNOWN = re.compile(PREFIX)
+GLUE = re.compile(r"[=:]")
+#: A word that names a secret, at the end of what stands before ``=`` or ``:``.
+NAME = re.compile(
+    r"(?:pass(?:word|wort|wd|phrase|code)|kennwort|contrase\u00f1a|contrasena|mot de passe|pwd|secret|token|credential|api[_-]?key"
+    r"|(?<![a-z])(?:key|pass|auth|authorization))[a-z0-9_-]{0,20}[\"'\]]{0,2}[ \t]{0,4}$|(?:access|private|secret|signing|encryption|client|account)[_-]?key[a-z0-9_-]{0,20}[\"'\]]{0,2}[ \t]{0,4}$",
+    re.I,
+)
+NAME_ROOM = 64
+VALUE = re.compile(r"[=:>]{0,2}[ \t]*(?:(?i:bearer|basic)[ \t]+)?(?:(?P<q>[\"'`])(?P<quoted>(?:(?!(?P=q))\S)+)|(?P<bare>\S+))")
+LEAST = 6
 NEAR = 48
 WORD = re.compile(r"[A-Za-z]{2,}")
 EXAMPLE_PATH = re.compile(r"test|example|sample|mock|fixture|demo", re.I)
 
 
+def _named(text: str) -> Iterator[tuple[int, int]]:
+    """start and end of the values after words that name a secret; each ends before the next such word at the latest."""
+    names = []
+    for m in GLUE.finditer(text):
+        low = max(0, m.start() - NAME_ROOM)
+        if name := NAME.search(text[low : m.start()]):
+            names.append((low + name.start(), m.end()))
+    for k, (_, at) in enumerate(names):
+        stop = max(at, names[k + 1][0]) if k + 1 < len(names) else len(text)
+        if m := VALUE.match(text, at, stop):
+            group = "bare" if m["quoted"] is None else "quoted"
+            s, e = m.span(group)
+            if group == "bare":
+                e = s + len(m[group].rstrip(",;)]}>\"'`"))
+            if e - s >= LEAST:
+                yield s, e
+
+
 def find(text: str) -> Iterator[tuple[int, int, str, str, str]]:
-    """start, length, before, candidate, after of each candidate of a whole text."""
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        yield s, e - s, text[max(0, s - NEAR) : s], m[0], text[e : e + NEAR]
+    """start, length, before, candidate, after of each candidate of a whole text, in their order."""
+    spans = {m.span() for m in CANDIDATE.finditer(text)}
+    spans.update(m.span() for m in PREFIXED.finditer(text))
+    spans.update(_named(text))
+    for s, e in sorted(spans):
+        yield s, e - s, text[max(0, s - NEAR) : s], text[s:e], text[e : e + NEAR]
 
 
 def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
+KINDS = 41
+
+
 def _bigrams(s: str) -> list[int]:
-    """Transitions between 40 kinds of character: letters without case, digits and symbols."""
-    at = [ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) - 48 if "0" <= c <= "9" else 36 + "_+/-".find(c) if c in "_+/-" else 0 for c in s.lower()]
-    return [a * 40 + b for a, b in zip(at, at[1:])]
+    """Transitions between 41 kinds of character: letters without case, digits, symbols and all others."""
+    at = [ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) - 48 if "0" <= c <= "9" else 36 + "_+/-".find(c) if c in "_+/-" else 40 for c in s.lower()]
+    return [a * KINDS + b for a, b in zip(at, at[1:])]
 
 
 def _neighbours(before: str, after: str) -> list[str]:
@@ -66,13 +104,13 @@ def _neighbours(before: str, after: str) -> list[str]:
 class Vocabulary:
     """What the features need from labelled findings: transition and neighbour log odds, and the dictionary."""
 
-    transitions: np.ndarray = field(default_factory=lambda: np.zeros(1600))
+    transitions: np.ndarray = field(default_factory=lambda: np.zeros(KINDS * KINDS))
     neighbours: dict[str, float] = field(default_factory=dict)
     dictionary: frozenset = frozenset()
 
     @classmethod
     def learn(cls, findings: list[tuple]) -> Vocabulary:
-        n = np.ones((2, 1600)) * 0.5
+        n = np.ones((2, KINDS * KINDS)) * 0.5
         words: list[Counter] = [Counter(), Counter()]
         seen: Counter = Counter()
         for before, candidate, after, _, label in findings:
@@ -113,6 +151,8 @@ class Vocabulary:
             self.covered(candidate), longest / n, candidate.count("-"), candidate.count("_") + candidate.count("/"),
             sum(odds), max(odds, default=0.0), min(odds, default=0.0),
             float(before.endswith(("=", "= ", ': "', '= "', "='", '="', ": "))), float(bool(EXAMPLE_PATH.search(path))),
+            float(bool(KNOWN.match(candidate))), float(bool(NAME.search(before.rstrip("\"'`= :>\t")))), float(candidate[1:] != candidate[1:].lower()),
+            sum(c in "{}()<>[]$%" for c in candidate) / n, float(any(c.isdigit() for c in candidate)),
         ]
 
 
@@ -193,18 +233,44 @@ def train(findings: list[tuple]) -> Scanner:
     return Scanner(vocabulary, Forest().fit(x, np.array([int(f[4]) for f in findings], float)))
 
 
-def example_findings(n: int = 3000, seed: int = 11) -> list[tuple]:
-    """Seeded labelled findings: half secrets, half look-alikes, among words of many shapes."""
+def example_texts(n: int = 4000, seed: int = 11) -> Iterator[tuple[str, int, str, str, int]]:
+    """Seeded text, start, candidate, path and label: half secrets, half look-alikes, whether or not ``find`` gives them."""
     rng = random.Random(seed)
     hexa, alnum, base64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     some = lambda chars, k: "".join(rng.choices(chars, k=k))
     syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve"]
     word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    # Syllables of German, French, Spanish and Italian words, for long words of other languages.
+    foreign = [
+        ["ge", "ver", "be", "ung", "heit", "keit", "lich", "isch", "schaft", "ein", "auf", "zu", "stell", "arbeit", "zeit", "land", "wirt", "kraft", "rück", "tz", "sch", "ier", "ig"],
+        ["eau", "tion", "ment", "aux", "que", "ou", "ch", "ette", "eur", "re", "dé", "com", "par", "aire", "ence", "ais", "on", "vous", "tre", "pré"],
+        ["ción", "mente", "os", "as", "que", "es", "dad", "ar", "con", "tra", "des", "ado", "lla", "rr", "ente", "miento", "ita", "pro", "zione", "ggi"],
+    ]
+    long_word = lambda: "".join(rng.choices(rng.choice([syllables, *foreign]), k=rng.randint(5, 9)))
     prose = lambda: " ".join(word() for _ in range(6)) + " "
     name = lambda *w: rng.choice(w) + rng.choice(["=", " = \"", ": ", "='", ": \"", "=\"", " = "])
 
+    def password() -> str:
+        k = rng.randrange(4)
+        if k == 0:
+            return some(alnum + "!@#$%&*.-_?", rng.randint(8, 20))
+        if k == 1:
+            return (word().title() + some(string.digits, rng.randint(1, 4)) + some("!@#$%&*.?", rng.randint(1, 2)) + word())[:20] + some(string.digits, 2)
+        if k == 2:
+            return word() + some(string.digits, rng.randint(1, 2)) + word() + some("!@$%&*.-_", 1) + some(alnum, rng.randint(1, 4))
+        return some(alnum, rng.randint(8, 14))
+
     def secret() -> tuple[str, str]:
-        k = rng.randrange(9)
+        k = rng.randrange(13)
+        if k in (9, 10, 11):
+            return name("password", "passwd", "pwd", "db_password", "DB_PASSWORD", "secret", "pass"), password()
+        if k == 12:  # without a digit
+            j = rng.randrange(4)
+            if j == 0:
+                return rng.choice(["", name("aws_access_key_id", "key")]), "AKIA" + some(string.ascii_uppercase, 16)
+            if j == 1:
+                return rng.choice(["", name("token")]), rng.choice(["ghp_", "sk-", "sk_live_"]) + some(string.ascii_letters, rng.choice([24, 36]))
+            return name("secret", "client_secret", "api_key", "apikey", "token"), some(string.ascii_letters, rng.randint(16, 40))
         if k < 2:
             return rng.choice(["", name("aws_access_key_id", "key")]), "AKIA" + some(string.ascii_uppercase + string.digits, 16)
         if k == 2:
@@ -222,7 +288,21 @@ def example_findings(n: int = 3000, seed: int = 11) -> list[tuple]:
         return rng.choice(["", "Bearer ", name("slack_token")]), "xoxb-" + some(string.digits, 12) + "-" + some(alnum, 24)
 
     def other() -> tuple[str, str]:
-        k = rng.randrange(12)
+        k = rng.randrange(22)
+        if k in (12, 13, 18, 19, 20, 21):  # words of prose, as they are or in capitals; their accents end a run
+            shape = rng.choice([str, str, str.title, str.upper])
+            found = max(re.split(r"[^A-Za-z]", shape(long_word())), key=len)
+            found += shape("".join(rng.choices("aeioulnrst", k=max(0, 12 - len(found)))))
+            lead = rng.choice(["", "", "the ", "id: ", f"{word()}!! ", f"{word()}... "])
+            return shape(lead), found.title() if shape is str.title else found
+        if k == 14:
+            return rng.choice(["", "call ", "see "]), rng.choice(["_", "-", "/"]).join(long_word()[: rng.randint(4, 16)] for _ in range(rng.randint(2, 4))) + "_" + long_word()
+        if k == 15:
+            return "", word() + "".join(long_word()[: rng.randint(4, 12)].title() for _ in range(rng.randint(2, 4))) + "Value"
+        if k == 16:  # what follows the name of a secret and is none
+            return name("password", "token", "secret", "api_key", "key", "pass", "auth"), rng.choice([long_word(), long_word().title(), "required", "undefined", "<password>", "${DB_PASSWORD}", "getToken()", "os.environ[KEY]", "********", "{{secret}}", "%(token)s", "changeme", "[hidden]", "string"])
+        if k == 17:
+            return rng.choice(["keyboard: ", "tokens: ", "secretary: ", "key: ", "token: "]), rng.choice([long_word(), some(string.digits, rng.randint(6, 9)), long_word() + "," + word(), long_word() + "."])
         if k == 0:
             return rng.choice(["commit ", "revision ", "at "]), some(hexa, 40)
         if k == 1:
@@ -243,15 +323,18 @@ def example_findings(n: int = 3000, seed: int = 11) -> list[tuple]:
             return rng.choice(["", "+", "tel "]), "-".join(some(string.digits, j) for j in (3, 3, 4))
         return "", "".join(word() for _ in range(4)) + some(string.digits, rng.randint(1, 4)) + word()
 
-    out = []
-    while len(out) < n:
-        label = len(out) % 2
+    for k in range(n):
+        label = k % 2
         before, candidate = secret() if label else other()
         quote = before[-1:] if before[-1:] in "\"'" else ""
         path = rng.choice(["src/app.py", "config/settings.yml", "notes.txt", "src0", "web/page.html", "src7"])
-        text = prose() + before + candidate + quote + " " + prose()
-        out += [(b, c, a, path, label) for s, _, b, c, a in find(text) if c.startswith(candidate[:12])][:1]
-    return out
+        lead = prose() + before
+        yield lead + candidate + quote + " " + prose(), len(lead), candidate, path, label
+
+
+def example_findings(n: int = 4000, seed: int = 11) -> list[tuple]:
+    """before, candidate, after, path, is_secret of the example texts; none is left out."""
+    return [(t[max(0, s - NEAR) : s], c, t[s + len(c) : s + len(c) + NEAR], path, label) for t, s, c, path, label in example_texts(n, seed)]
 
 
 FINDINGS = "doc_id long, start long, length long, candidate_sha256 string, score double, is_secret boolean"
@@ -289,9 +372,14 @@ def redact(docs: DataFrame, scanner: Scanner, path: str = "source", threshold: f
         scores = iter(shared.value.judge([(*f[2:], p or "") for some, p in zip(found, paths) for f in some]).tolist())
         out = list(texts)
         for k, some in enumerate(found):
-            secrets = [f for f in some if next(scores) >= threshold]
-            for start, length, *_ in reversed(secrets):
-                out[k] = out[k][:start] + mark + out[k][start + length :]
+            secrets: list[list[int]] = []
+            for start, length, *_ in (f for f in some if next(scores) >= threshold):
+                if secrets and start < secrets[-1][1]:
+                    secrets[-1][1] = max(secrets[-1][1], start + length)
+                else:
+                    secrets.append([start, start + length])
+            for start, end in reversed(secrets):
+                out[k] = out[k][:start] + mark + out[k][end:]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

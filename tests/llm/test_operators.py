@@ -234,6 +234,45 @@ def test_secret_awkward(spark, empty):
     assert set(secrets.train([]).judge([("a", "b" * 20, "c", "")])) == {0.0}
 
 
+def test_secret_recall():
+    """On secrets that this test makes, by no rule of find()."""
+    rng = np.random.default_rng(8)
+    some = lambda chars, n: "".join(rng.choice(list(chars), n))
+    upper, letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = {
+        "key": lambda: ("aws_access_key_id = ", "AKIA" + some(upper, 16)),
+        "bare key": lambda: ("", "AKIA" + some(upper + "234567", 16)),
+        "letters": lambda: ("api_key=", some(letters, 20)),
+        "short": lambda: ('password: "', some(letters + "0123456789", 9)),
+        "broken": lambda: ("DB_PASSWORD=", some(letters, 4) + some("0123456789", 2) + some(".!@$%&", 1) + some(letters, 3) + some("0123456789", 1)),
+        "query": lambda: ("user=me&passwd=", some(letters, 3) + some("0123456789", 3) + "&" + some(letters, 4) + "!"),
+    }
+    scanner = secrets.train(secrets.example_findings())
+    for kind, make in kinds.items():
+        caught = 0
+        for _ in range(100):
+            before, value = make()
+            text = f"some words stand here {before}{value}" + ('"' if before.endswith('"') else "") + " and more of them"
+            found = list(secrets.find(text))
+            at = text.index(value)
+            caught += any(s >= 0.5 and f[0] <= at and f[0] + f[1] >= at + len(value) for f, s in zip(found, scanner.judge([(*f[2:], "src") for f in found])))
+        assert caught >= 95, (kind, caught)
+    for text in ("password=Tr0ub4dor&3", 'say {"token": {"secret": "x9!Kq2#v"}} here', "password=x9!Kq2#v&token=Zt7.pW4$"):
+        found = list(secrets.find(text))
+        spans = [text[f[0] : f[0] + f[1]] for f, s in zip(found, scanner.judge([(*f[2:], "src") for f in found])) if s >= 0.5]
+        assert spans == {0: ["Tr0ub4dor&3"], 1: ["x9!Kq2#v"], 2: ["x9!Kq2#v&", "Zt7.pW4$"]}[0 if "Tr0" in text else 1 if "say" in text else 2], text
+    assert len(secrets.example_findings(600, 3)) == 600  # none is left out
+    assert len(list(secrets.find("key=" * 50_000))) <= 50_000
+
+
+def test_redact_nested(spark):
+    """A value and the key inside it are taken out as one."""
+    key = "AKIA" + "Q7RZ2MLW9XK4TB6N"
+    docs = table(spark, [(1, f"the password=x!{key}.9$ is old", "en", "a")])
+    text = secrets.redact(docs, secrets.train(secrets.example_findings())).first().text
+    assert key not in text and text.startswith("the password=") and text.endswith(" is old")
+
+
 # 6: vectors
 
 
