@@ -8,9 +8,11 @@ its next-symbol counts diverge enough from what its longest retained suffix pred
 A text is scored from the longest retained suffix at each byte.
 
 Counts of tokens and of (DEPTH + 1)-grams come from one pass over all training documents; shorter contexts
-are sums of longer ones. The tree is sent to every task, so its size is checked: above ``max_rows`` the
-penalty doubles until it fits. Token counts are never sent whole: the ``head`` most frequent tokens go to
-every task, and the other occurrences join the count table by the token's 64-bit hash.
+are sums of longer ones. The penalty is the same at every size: the tree stays a table for each depth, which
+gives the score of every gram of the training documents. Neither these scores nor token counts are sent
+whole: the ``head`` most frequent tokens and the ``memo`` most frequent grams go to every task, and the other
+occurrences join the tables, tokens by their 64-bit hash. Grams that training doesn't have are first scored
+by joining them, once each, with the tree depth by depth.
 
 Edge cases: null and empty texts are the end alone; without training documents all counts are zero and the
 tree is uniform over bytes; repeated rows, null doc_ids and texts of any length are scored row by row; extra
@@ -34,7 +36,7 @@ from panelforge.llm.language_id import slices
 DEPTH = 5  # at most 6: a key holds DEPTH + 1 bytes under a tag
 END = b"\n"
 CHARS_AT_ONCE = 1_000_000
-WORD, GRAM = 0, 1
+WORD, GRAM, TEXT = 0, 1, 2
 MEMO = 7  # the depth under which whole scores are stored
 
 
@@ -118,34 +120,60 @@ def suffix_counts(grams: DataFrame) -> list[DataFrame]:
     return levels[::-1]
 
 
-def build_tree(levels: list[DataFrame], penalty: float) -> tuple[DataFrame, DataFrame]:
-    """Rows of the tree: depth, state (or else a symbol after a state), key, and log10 of its weight or probability.
-
-    Also every observed gram with its count and the probability that the tree gives its last byte.
-    """
+def grow(levels: list[DataFrame], penalty: float) -> list[DataFrame]:
+    """The tree as a table for each depth: key and p, the probability of its last byte; below the root also n, total, kinds and kept (its context is a state)."""
     every = levels[0].sparkSession.range(256).select(F.col("id").alias("key"))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # 256 rows
     root = every.join(levels[0], "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
-    level = root.select("key", ((F.col("n") + 0.5) / (total + 128)).alias("p"))
-    rows = level.select(F.lit(0).alias("depth"), F.lit(False).alias("state"), "key", F.log10("p").alias("value"))
+    tree = [root.select("key", ((F.col("n") + 0.5) / (total + 128)).alias("p"))]
     for d in range(1, DEPTH + 1):
-        up = level.select(F.col("key").alias("suffix"), F.col("p").alias("p_up"))
+        up = tree[-1].select(F.col("key").alias("suffix"), F.col("p").alias("p_up"))
         pairs = levels[d].withColumn("suffix", F.col("key").bitwiseAND((1 << 8 * d) - 1)).join(up, "suffix")
         of = Window.partitionBy(F.shiftright("key", 8))  # at most 256 symbols
         pairs = pairs.withColumns({"total": F.sum("n").over(of), "kinds": F.count("*").over(of)})
         gain = F.sum(F.col("n") * F.log2(F.col("n") / F.col("total") / F.col("p_up"))).over(of)
         pairs = pairs.withColumn("kept", gain >= penalty * F.col("kinds"))
         own = (F.col("n") + F.col("kinds") * F.col("p_up")) / (F.col("total") + F.col("kinds"))
-        pairs = materialize(pairs.select("key", "n", "total", "kinds", "kept", F.when(F.col("kept"), own).otherwise(F.col("p_up")).alias("p")), "tree-level")
-        level, kept = pairs.select("key", "p"), pairs.filter("kept")
-        states = kept.select(F.shiftright("key", 8).alias("key"), F.log10(F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("value")).distinct()
-        rows = rows.unionByName(kept.select(F.lit(d).alias("depth"), F.lit(False).alias("state"), "key", F.log10("p").alias("value")))
-        rows = rows.unionByName(states.select(F.lit(d).alias("depth"), F.lit(True).alias("state"), "key", "value"))
-    return rows, pairs.select("key", "n", F.log10("p").alias("value"))
+        tree.append(materialize(pairs.select("key", "n", "total", "kinds", "kept", F.when(F.col("kept"), own).otherwise(F.col("p_up")).alias("p")), "tree-level"))
+    return tree
+
+
+def _states(level: DataFrame) -> DataFrame:
+    """Retained contexts of one depth and the weight of their suffix for symbols they never had."""
+    return level.filter("kept").select(F.shiftright("key", 8).alias("context"), (F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("weight")).distinct()
+
+
+def build_tree(levels: list[DataFrame], penalty: float) -> tuple[DataFrame, DataFrame]:
+    """Rows of the tree: depth, state (or else a symbol after a state), key, and log10 of its weight or probability.
+
+    Also every observed gram with its count and the probability that the tree gives its last byte.
+    """
+    tree = grow(levels, penalty)
+    rows = tree[0].select(F.lit(0).alias("depth"), F.lit(False).alias("state"), "key", F.log10("p").alias("value"))
+    for d in range(1, DEPTH + 1):
+        rows = rows.unionByName(tree[d].filter("kept").select(F.lit(d).alias("depth"), F.lit(False).alias("state"), "key", F.log10("p").alias("value")))
+        rows = rows.unionByName(_states(tree[d]).select(F.lit(d).alias("depth"), F.lit(True).alias("state"), F.col("context").alias("key"), F.log10("weight").alias("value")))
+    return rows, observed(tree)
+
+
+def observed(tree: list[DataFrame]) -> DataFrame:
+    """key, n and value (log10 probability of the last byte) of the grams of the training documents."""
+    return tree[DEPTH].select("key", "n", F.log10("p").alias("value"))
+
+
+def unobserved(tree: list[DataFrame], keys: DataFrame) -> DataFrame:
+    """key and value of any grams, joined with the tree depth by depth from the root."""
+    found = keys.join(F.broadcast(tree[0].withColumnRenamed("key", "last")), F.col("key").bitwiseAND(255) == F.col("last")).select("key", "p")
+    for d in range(1, DEPTH + 1):
+        own = tree[d].select(F.col("key").alias("suffix"), F.col("p").alias("own"))
+        found = found.withColumns({"suffix": F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1), "context": F.shiftright("key", 8).bitwiseAND((1 << 8 * d) - 1)})
+        found = found.join(own, "suffix", "left").join(_states(tree[d]), "context", "left")
+        found = found.select("key", F.coalesce("own", F.col("weight") * F.col("p"), "p").alias("p"))
+    return found.select("key", F.log10("p").alias("value"))
 
 
 def fit_tree(grams: DataFrame, penalty: float = 3.0, max_rows: int = 1_400_000, memo: int = 600_000) -> HashTable:
-    """The tree as one table; its size is checked before it is taken to the driver.
+    """A tree as one table on the driver, for small models; its penalty doubles until it fits. ``lm_scores`` doesn't use it.
 
     Scores of the ``memo`` most frequent grams are stored beside it, to save walking down the suffixes.
     """
@@ -204,15 +232,15 @@ def symbol_scores(tree: HashTable, grams: np.ndarray) -> np.ndarray:
     return out
 
 
-SCORED = "row long, doc_id long, is_word boolean, key long, n_tokens long, n_known long, base_score double, score double"
+SCORED = "row long, doc_id long, kind int, key long, n_tokens long, n_known long, base_score double, score double"
 
 
-def score_texts(docs: DataFrame, tree: HashTable, head: HashTable) -> DataFrame:
-    """A row per text with what tree and head give, and a row (is_word) per token that is not in the head."""
-    shared = docs.sparkSession.sparkContext.broadcast((tree, head))
+def score_texts(docs: DataFrame, grams: HashTable, head: HashTable) -> DataFrame:
+    """A row per text with what the frequent grams and tokens give, and a row per token and per gram that is not among them."""
+    shared = docs.sparkSession.sparkContext.broadcast((grams, head))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, head = shared.value
+        frequent, head = shared.value
         row = TaskContext.get().partitionId() << 36
         for b in batches:
             texts, ids = b.column(1).to_pylist(), b.column(0)
@@ -220,46 +248,59 @@ def score_texts(docs: DataFrame, tree: HashTable, head: HashTable) -> DataFrame:
                 words = [tokens(t) for t in texts[part]]
                 rows = np.arange(row, row + len(words))
                 row += len(words)
-                keys, sizes = word_keys(words)
-                term = head.get(keys)
-                tail = np.flatnonzero(np.isnan(term))
-                of = np.repeat(np.arange(len(words)), sizes)
-                starts = np.cumsum(sizes) - sizes
-                base = np.add.reduceat(np.nan_to_num(term), starts)
-                known = np.add.reduceat((~np.isnan(term)).astype(np.int64), starts)
-                grams, lengths = gram_keys(words)
-                score = np.add.reduceat(symbol_scores(tree, grams), np.cumsum(lengths) - lengths)
                 doc_ids = ids.slice(part.start, part.stop - part.start)
-                n, m = len(words), len(tail)
+
+                def looked_up(table: HashTable, keys: np.ndarray, sizes: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, list[pa.RecordBatch]]:
+                    """Sum and number of the values that the table has, by text, and the rows of the other keys."""
+                    value = table.get(keys)
+                    none = np.isnan(value)
+                    starts = np.cumsum(sizes) - sizes
+                    rest = np.flatnonzero(none)
+                    of = np.searchsorted(starts, rest, side="right") - 1
+                    m = len(rest)
+                    zero, empty = pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m))
+                    some = [pa.RecordBatch.from_arrays([pa.array(rows[of]), doc_ids.take(pa.array(of)), pa.array(np.full(m, kind, np.int32)), pa.array(keys[rest]), zero, zero, empty, empty], names=names)] if m else []
+                    return np.add.reduceat(np.where(none, 0, value), starts), np.add.reduceat((~none).astype(np.int64), starts), some
+
+                keys, sizes = word_keys(words)
+                base, known, other_words = looked_up(head, keys, sizes, WORD)
+                keys, lengths = gram_keys(words)
+                score, _, other_grams = looked_up(frequent, keys, lengths, GRAM)
                 # Rows of texts get keys of their own, so that they spread over the join's partitions.
-                yield pa.RecordBatch.from_arrays([pa.array(rows), doc_ids, pa.array(np.zeros(n, bool)), pa.array(rows), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)], names=names)
-                if m:
-                    zero = pa.array(np.zeros(m, np.int64))
-                    none = pa.array(np.zeros(m))
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[of[tail]]), doc_ids.take(pa.array(of[tail])), pa.array(np.ones(m, bool)), pa.array(keys[tail]), zero, zero, none, none], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), doc_ids, pa.array(np.full(len(words), TEXT, np.int32)), pa.array(rows), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)], names=names)
+                yield from other_words
+                yield from other_grams
 
     names = [c.split()[0] for c in SCORED.split(", ")]
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCORED)
 
 
-def lm_scores(docs: DataFrame, training: DataFrame, head: int = 200_000, penalty: float = 3.0, max_rows: int = 1_400_000) -> DataFrame:
+def lm_scores(docs: DataFrame, training: DataFrame, head: int = 200_000, penalty: float = 3.0, memo: int = 2_000_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
     counts = materialize(gather(training), "counts")
     words = counts.filter(F.col("kind") == WORD).select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = fit_tree(counts.filter(F.col("kind") == GRAM), penalty, max_rows)
+    tree = grow(suffix_counts(counts.filter(F.col("kind") == GRAM)), penalty)
+    grams = observed(tree)
     below = total + 0.5 * (distinct + 1)
-    frequent = hash_table(most_frequent(words, head).select("key", F.log10((F.col("n") + 0.5) / F.lit(below)).alias("value")))
-
-    scored = score_texts(docs, tree, frequent)
-    joined = scored.join(words.select(F.lit(True).alias("is_word"), "key", "n"), ["is_word", "key"], "left")
-    term = F.when(F.col("is_word"), F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(below))).otherwise(F.col("base_score"))
+    words = words.withColumn("value", F.log10((F.col("n") + 0.5) / F.lit(below)))
+    tables = [hash_table(most_frequent(c, most).select("key", "value")) for c, most in ((grams, memo), (words, head))]
+
+    scored = materialize(score_texts(docs, *tables), "scored")
+    unseen = scored.filter(F.col("kind") == GRAM).select("key").distinct().join(grams.select("key"), "key", "left_anti")
+    unseen = unobserved(tree, materialize(unseen, "unseen"))
+    values = words.select(F.lit(WORD).alias("kind"), "key", "value")
+    for some in (grams, unseen):
+        values = values.unionByName(some.select(F.lit(GRAM).alias("kind"), "key", "value"))
+    joined = scored.join(values, ["kind", "key"], "left")
+    is_word = F.col("kind") == WORD
+    term = F.when(is_word, F.coalesce("value", F.log10(F.lit(0.5) / F.lit(below)))).otherwise(F.col("base_score"))
     return joined.groupBy("row", "doc_id").agg(
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("n") > 0, 1).otherwise(0)).alias("n_known"),
+        F.sum(F.col("n_known") + F.when(is_word & F.col("value").isNotNull(), 1).otherwise(0)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         F.sum(term).alias("base_score"),
-        F.sum("score").alias("score"),
+        F.sum(F.when(F.col("kind") == GRAM, F.col("value")).otherwise(F.col("score"))).alias("score"),
     ).drop("row")
 
 

@@ -338,6 +338,21 @@ def test_lm_awkward(awkward, empty):
     assert suffix_tree.lm_scores(empty, awkward).count() == 0
 
 
+def test_lm_scores_by_whole_tree(spark, documents):
+    """Scores are those of the tree at the stated penalty, whatever is sent to the tasks, also for grams that training lacks."""
+    docs = table(spark, [(d, r.text, "en", "a") for d, r in list(documents.items())[:80]])
+    training = docs.filter(F.col("doc_id") % 2 == 0)
+    counts = suffix_tree.gather(training.select("text"))
+    tree = suffix_tree.fit_tree(counts.filter(F.col("kind") == suffix_tree.GRAM), max_rows=1 << 40, memo=0)
+    want = {}
+    for d, r in list(documents.items())[:80]:
+        keys, _ = suffix_tree.gram_keys([suffix_tree.tokens(r.text)])
+        want[d] = suffix_tree.symbol_scores(tree, keys).sum()
+    for memo in (0, 3000):
+        got = {r.doc_id: r.score for r in suffix_tree.lm_scores(docs, training, memo=memo).collect()}
+        assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 * abs(want[d]) for d in want)
+
+
 # 8: near duplicates
 
 
