@@ -5,7 +5,8 @@ A group is one date's cross-section or one factor panel: its size follows the mo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -127,37 +128,47 @@ def split_covariance(x: np.ndarray, vol_half_life: float, vol_lags: int, corr_ha
     return clip_psd(corr * np.outer(scale, scale))
 
 
-def eigen_adjusted(f: np.ndarray, periods: int, sims: int, scale: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """f with eigenvalues corrected for the bias that simulated samples of ``periods`` rows show.
+def eigen_adjusted(f: np.ndarray, periods: int, sims: int, scale: float, seed: int, estimator: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """f with eigenvalues corrected for the bias that ``estimator`` shows on simulated samples of ``periods`` rows.
 
-    Gives the matrix, the eigenvalues and the bias of each.
+    Without an estimator, it is the second moment at equal weights; ``periods`` is then the effective number of
+    rows. Gives the matrix, the eigenvalues and the bias of each.
     """
     values, vectors = np.linalg.eigh(f)
     root = np.sqrt(np.maximum(values, 0))
     rng = np.random.default_rng(seed)
     ratio = np.zeros(len(values))
     for _ in range(sims):
-        draws = rng.standard_normal((periods, len(values))) * root
-        sample = draws.T @ draws / periods  # in the eigenbasis, where the truth is diagonal
+        draws = (rng.standard_normal((periods, len(values))) * root) @ vectors.T
+        sample = estimator(draws) if estimator else draws.T @ draws / periods
         found, turned = np.linalg.eigh(sample)
-        ratio += (turned**2 * values[:, None]).sum(0) / np.maximum(found, 1e-300)
+        ratio += ((turned.T @ f) * turned.T).sum(1) / np.maximum(found, 1e-14)
     bias = np.sqrt(ratio / sims)
     gamma = scale * (bias - 1) + 1
     return (vectors * (gamma**2 * values)) @ vectors.T, values, bias
 
 
-def factor_covariances(panel: DataFrame, by: str, factor: str, session: str, x: str, *, vol_half_life: float, vol_lags: int, corr_half_life: float, corr_lags: int, sims: int = 100, scale: float = 1.2, seed: int = 7) -> DataFrame:
-    """by, factor_i, factor_j (i <= j), cov_final, cov_pre_eigen of each key's long panel; gaps count as zero."""
+def factor_covariances(panel: DataFrame, by: str, factor: str, session: str, x: str, *, vol_half_life: float, vol_lags: int, corr_half_life: float, corr_lags: int, least: int = 1, sims: int = 1000, scale: float = 1.0, seed: int = 7) -> DataFrame:
+    """by, factor_i, factor_j (i <= j), cov_final, cov_pre_eigen of each key's long panel; gaps count as zero.
+
+    Keys with fewer than ``least`` sessions give none. The simulated samples go through the same estimator.
+    """
     kind = dict(panel.dtypes)[by]
 
+    def estimator(values: np.ndarray) -> np.ndarray:
+        return split_covariance(values, vol_half_life, vol_lags, corr_half_life, corr_lags)
+
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         wide = rows.pivot_table(index=session, columns=factor, values=x, aggfunc="first").sort_index().fillna(0.0)
         values = wide.to_numpy(float)
-        pre = split_covariance(values, vol_half_life, vol_lags, corr_half_life, corr_lags)
-        final, _, _ = eigen_adjusted(pre, len(values), sims, scale, seed)
-        i, j = np.triu_indices(len(pre))
-        names = wide.columns.to_numpy()
-        return pd.DataFrame({by: rows[by].iloc[0], "factor_i": names[i], "factor_j": names[j], "cov_final": final[i, j], "cov_pre_eigen": pre[i, j]})
+        out = []
+        if len(values) >= least:
+            pre = estimator(values)
+            own = int.from_bytes(hashlib.sha256(f"{seed}|{rows[by].iloc[0]}".encode()).digest()[:8], "big")
+            final, _, _ = eigen_adjusted(pre, len(values), sims, scale, own, estimator)
+            names = wide.columns.tolist()
+            out = [(rows[by].iloc[0], names[i], names[j], final[i, j], pre[i, j]) for i, j in zip(*np.triu_indices(len(pre)))]
+        return pd.DataFrame(out, columns=[by, "factor_i", "factor_j", "cov_final", "cov_pre_eigen"])
 
     return panel.select(by, factor, session, x).na.drop().groupBy(by).applyInPandas(fit, f"{by} {kind}, factor_i string, factor_j string, cov_final double, cov_pre_eigen double")
 

@@ -45,10 +45,14 @@ def effective_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def eigen_adjusted_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Split half lives, serial correlation and simulated eigenvalue bias; one small matrix per date."""
-    panel = _panel(spark, sf_dir).withColumn("date", F.lit(1))
-    found = dense.factor_covariances(panel, "date", "factor", "m", "ret", vol_half_life=24, vol_lags=2, corr_half_life=48, corr_lags=2)
-    return found.select("factor_i", "factor_j", r("cov_final", 8).alias("cov_final"), r("cov_pre_eigen", 8).alias("cov_pre_eigen"))
+    """Split half lives, serial correlation and simulated eigenvalue bias; one small matrix per date, from its trailing window."""
+    panel = _panel(spark, sf_dir)
+    # A session takes part in the windows of the forecasts made at it and up to 239 months later.
+    last = panel.agg(F.max("m").alias("last"))
+    dates = panel.select(F.col("m").alias("date")).distinct()
+    windows = panel.crossJoin(F.broadcast(last)).withColumn("date", F.explode(F.sequence("m", F.least(F.col("m") + 239, "last")))).join(F.broadcast(dates), "date", "left_semi")
+    found = dense.factor_covariances(windows, "date", "factor", "m", "ret", vol_half_life=24, vol_lags=2, corr_half_life=48, corr_lags=2, least=24)
+    return found.select(F.col("date").alias("m"), "factor_i", "factor_j", r("cov_final", 8).alias("cov_final"), r("cov_pre_eigen", 8).alias("cov_pre_eigen"))
 
 
 _SIGMA = f"""{BRAND}, k AS (SELECT factor, m, ret, CASE WHEN ret IS NOT NULL THEN pow(2.0, m / 12.0) END AS k FROM bm),
