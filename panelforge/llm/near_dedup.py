@@ -3,18 +3,26 @@
 1. Each text becomes its set of 5-word shingles (64-bit hashes), a digest of the whole set, and a MinHash
    signature. Documents with equal sets form a class; one representative goes on, so exact copies never
    meet in pairs.
-2. The forest has ``TREES`` sorted signature orders. Documents that share a prefix of ``DEPTH`` hashes in an
-   order form a region. Within a region depth adapts: neighbours in the order, which have the longest common
-   prefixes, are compared first; only documents that are not connected by then are compared with the rest
-   of their region. What passes is linked if the signatures agree often enough, five deviations below the
-   threshold. Only its connected parts leave a region, as stars; regions over ``REGION`` rows are cut into blocks
-   whose pairs are spread over tasks, so that nothing is lost and no task takes a whole region.
+2. The forest has ``TREES`` sorted signature orders of ``LEVELS`` hashes each; together they hold the whole
+   signature. Every tree is range-partitioned and sorted by its own hashes. Neighbours in an order have the
+   longest common prefixes, so each row is compared with both of its own, however short the prefix (a row
+   alone in its region still meets the nearest ones). Rows that share a prefix of ``LEAST_DEPTH`` hashes form a
+   region; where it holds more than ``REGION`` rows, its depth grows until its parts do not. Rows of a region
+   that are not connected by their neighbours are compared with all of it. Rows with one and the same whole
+   order are compared in runs of ``REGION`` that overlap. What passes is linked if the signatures agree often
+   enough, five deviations below the threshold. Regions that lie across the edge of two partitions are taken
+   from the last and first ``REGION`` rows at the edge, in a second, small pass.
 3. Connected candidates are fetched once with their full sets and compared exactly, by an inverted index in
-   blocks of bounded size. Links that pass give the components.
+   blocks of bounded size. Of a large group each row first meets one block of the group and the group's centres;
+   only rows that are then still apart from the group's largest part meet all blocks. Links that pass give the
+   components.
+
+A row takes part in ``TREES`` orders whatever the size of its cluster, so nothing grows with pairs. A link at the
+threshold is missed only if its two texts are apart in every tree; README gives the measured recall.
 
 Edge cases: null, empty and blank texts have no shingles and are linked with nothing; texts under five words
-have one shingle, the whole; rows that share a doc_id are one node; rows with a null doc_id are linked with
-nothing and kept; an empty table gives no rows; extra columns are ignored.
+have one shingle, the whole; rows that share a doc_id are one node, whatever their texts; rows with a null doc_id
+are linked with nothing and kept; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,20 +32,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import BROADCAST_BYTES, materialize, table
+from panelforge.llm.common import BROADCAST_BYTES, materialize, table, unite
 from panelforge.llm.components import connected
 from panelforge.llm.hashing import word_hashes
 
 SHINGLE = 5
-TREES, DEPTH, HASHES = 20, 3, 120
+TREES, LEVELS, LEAST_DEPTH = 12, 10, 2
+HASHES = TREES * LEVELS
 REGION = 1024
 #: Agreeing signature places (of HASHES, one byte each) under which a pair cannot reach 0.75: five deviations below.
 AGREE = 66
 PERCENT = 75
-
+#: Rows of a block of full sets, and how many blocks' worth of rows a group may have to be compared as a whole at once.
+BLOCK, CENTRES = 192, 8
 
 _rng = np.random.default_rng(20)
 PLACES = (_rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -74,39 +85,32 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def region_keys(sig: np.ndarray) -> np.ndarray:
-    """A 64-bit key for the first DEPTH hashes of each tree."""
-    h = sig[: TREES * DEPTH].reshape(TREES, DEPTH).astype(np.uint64)
-    key = np.arange(1, TREES + 1, dtype=np.uint64)
-    for d in range(DEPTH):
-        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + h[:, d])
-    return key.view(np.int64)
+def order_bytes(sig: np.ndarray) -> bytes:
+    """Two bytes of each hash, big-endian, so that the bytes of a tree sort as its hashes do."""
+    return (sig ^ (sig >> np.uint32(16))).astype(">u2").tobytes()
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key, keys (by tree) and sig (a byte for each hash)."""
+    """doc_id, n_shingles, set_key, orders (the trees' keys) and sig (a byte for each hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, set_keys, keys, sigs = [], [], [], []
+            sizes, set_keys, orders, sigs = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text)
                 sizes.append(len(s))
                 if len(s):
                     h = signature(s)
                     set_keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    keys.append(region_keys(h))
+                    orders.append(order_bytes(h))
                     sigs.append((h ^ (h >> np.uint32(8))).astype(np.uint8).tobytes())
                 else:
-                    set_keys.append(None)
-                    keys.append(np.zeros(0, np.int64))
-                    sigs.append(None)
-            offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            cols = [b.column(0), pa.array(sizes, pa.int64()), pa.array(set_keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "set_key", "keys", "sig"])
-
-    schema = "doc_id long, n_shingles long, set_key binary, keys array<long>, sig binary"
+                    for c in (set_keys, orders, sigs):
+                        c.append(None)
+            cols = [b.column(0), pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (set_keys, orders, sigs))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "set_key", "orders", "sig"])
+
+    schema = "doc_id long, n_shingles long, set_key binary, orders binary, sig binary"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
@@ -177,11 +181,9 @@ def _links(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 def region_links(ids: np.ndarray, sigs: np.ndarray) -> list[tuple[int, int]]:
     """The parts that pairs with agreeing signatures form in a region, as stars; neighbours in the order first."""
-    order = np.lexsort(sigs.T[::-1])
     parts = Union(len(ids))
-    near = np.flatnonzero((sigs[order[1:]] == sigs[order[:-1]]).sum(1) >= AGREE)
-    for k in near.tolist():
-        parts.join(int(order[k]), int(order[k + 1]))
+    for k in np.flatnonzero((sigs[1:] == sigs[:-1]).sum(1) >= AGREE).tolist():
+        parts.join(k, k + 1)
     if parts.parts == 1:
         return parts.stars(ids)
     root = np.array([parts.find(i) for i in range(len(ids))])
@@ -194,36 +196,119 @@ def region_links(ids: np.ndarray, sigs: np.ndarray) -> list[tuple[int, int]]:
     return parts.stars(ids)
 
 
+def regions(common: np.ndarray, done: int = 0) -> Iterator[tuple[int, int]]:
+    """Bounds of the regions of more than two rows; common: hashes that each row shares with the next.
+
+    A region deepens until it holds at most REGION rows. Regions that end by ``done`` are left out.
+    """
+    todo = [(0, len(common) + 1, LEAST_DEPTH)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        at = np.r_[lo, lo + 1 + np.flatnonzero(common[lo : hi - 1] < depth), hi]
+        for k in np.flatnonzero(np.diff(at) > 2).tolist():
+            a, b = int(at[k]), int(at[k + 1])
+            if b <= done:
+                continue
+            if b - a <= REGION:
+                yield a, b
+            elif depth < LEVELS:
+                todo.append((a, b, depth + 1))
+            else:
+                yield from ((i, min(i + REGION, b)) for i in range(a, b - 1, REGION - 1))
+
+
 SMALL = 8
 
 
-def candidate_links(members: DataFrame) -> DataFrame:
-    """Links of all regions; members: key, i, j (blocks), id, sig."""
+def order_links(group: np.ndarray, keys: np.ndarray, ids: np.ndarray, sigs: np.ndarray, done: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of a run of a sorted order whose first ``done`` rows were seen before; group: the tree."""
+    same = group[1:] == group[:-1]
+    common = np.where(same, np.logical_and.accumulate(keys[1:] == keys[:-1], axis=1).sum(1), -1)
+    near = np.flatnonzero(same & ((sigs[1:] == sigs[:-1]).sum(1) >= AGREE))
+    near = near[near + 1 >= done]
+    pairs = [(ids[near], ids[near + 1])]
+    of = np.full(len(ids), -1)
+    for n, (lo, hi) in enumerate(regions(common, done)):
+        if hi - lo <= SMALL:
+            of[lo:hi] = n
+        else:
+            found = np.array(region_links(ids[lo:hi], sigs[lo:hi]), np.int64).reshape(-1, 2)
+            pairs.append((ids[lo:hi][found[:, 0]], ids[lo:hi][found[:, 1]]))
+    for lag in range(2, SMALL):
+        at = np.flatnonzero((of[lag:] == of[:-lag]) & (of[lag:] >= 0))
+        if not len(at):
+            break
+        at = at[(sigs[at] == sigs[at + lag]).sum(1) >= AGREE]
+        pairs.append((ids[at], ids[at + lag]))
+    return pairs
+
+
+def _fixed(column: pa.Array, kind: str, width: int) -> np.ndarray:
+    """A binary column whose values all have one length, as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
+
+
+ORDERED = "a long, b long, part int, place long, whole boolean, tree int, key binary, sig binary"
+
+
+def links_in_order(members: DataFrame, edges: bool) -> DataFrame:
+    """Links (a, b) of partitions sorted by (tree, key); members: tree, key, id, sig.
+
+    With ``edges`` also each partition's first and last REGION rows (part, place, and whether it has no others).
+    """
+    names = [c.split()[0] for c in ORDERED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(batches, 3):
-            columns = [t.column(i).to_numpy() for i in range(3)]
-            ids = t.column(3).to_numpy()
-            sigs = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(-1, HASHES)
-            bounds = _bounds(columns)
-            sizes = np.diff(bounds)
-            group = np.repeat(np.arange(len(sizes)), sizes)
-            small = np.repeat(sizes <= SMALL, sizes)
-            pairs = []
-            for lag in range(1, SMALL):
-                at = np.flatnonzero((group[lag:] == group[:-lag]) & small[lag:])
-                if not len(at):
-                    break
-                at = at[(sigs[at] == sigs[at + lag]).sum(1) >= AGREE]
-                pairs.append((ids[at], ids[at + lag]))
-            for g in np.flatnonzero(sizes > SMALL).tolist():
-                lo, hi = bounds[g], bounds[g + 1]
-                found = np.array(region_links(ids[lo:hi], sigs[lo:hi]), np.int64).reshape(-1, 2)
-                pairs.append((ids[lo:hi][found[:, 0]], ids[lo:hi][found[:, 1]]))
-            yield _links(pairs)
+        part = TaskContext.get().partitionId()
+        held: list[np.ndarray] | None = None
+        head: list[np.ndarray] | None = None
+        n = 0
+
+        def edge(rows: list[np.ndarray], first: int, whole: bool) -> pa.RecordBatch:
+            m = len(rows[2])
+            of = [pa.array(rows[2]), pa.nulls(m, pa.int64()), pa.array(np.full(m, part, np.int32)), pa.array(np.arange(first, first + m)), pa.array(np.full(m, whole)), pa.array(rows[0].astype(np.int32))]
+            return pa.RecordBatch.from_arrays([*of, *(pa.array([x.tobytes() for x in rows[k]], pa.binary()) for k in (1, 3))], names=names)
 
-    key = ("key", "i", "j")
-    return members.repartition(*key).sortWithinPartitions(*key).select(*key, "id", "sig").mapInArrow(run, LINKS)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = [b.column(0).to_numpy(), _fixed(b.column(1), ">u2", LEVELS), b.column(2).to_numpy(), _fixed(b.column(3), np.uint8, HASHES)]
+            done = 0 if held is None else len(held[2])
+            rows = new if held is None else [np.concatenate(p) for p in zip(held, new)]
+            n += b.num_rows
+            links = _links(order_links(*rows, done))
+            m = links.num_rows
+            yield pa.RecordBatch.from_arrays([*links.columns, *(pa.nulls(m, t) for t in (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()))], names=names)
+            if edges and (head is None or len(head[2]) < 2 * REGION):
+                head = [c[: 2 * REGION] for c in (new if head is None else [np.concatenate(p) for p in zip(head, new)])]
+            held = [c[-REGION:].copy() for c in rows]
+        if edges and held is not None:
+            if n <= 2 * REGION:
+                yield edge(head, 0, True)
+            else:
+                yield edge([c[:REGION] for c in head], 0, False)
+                yield edge(held, n - REGION, False)
+
+    return members.select("tree", "key", "id", "sig").mapInArrow(run, ORDERED)
+
+
+def candidate_links(one: DataFrame, rows: int) -> DataFrame:
+    """Links of all trees, as stars and neighbours; one: id, orders, sig, of which there are ``rows``."""
+    step = 2 * LEVELS
+    members = one.select("id", "sig", F.posexplode(F.array(*(F.substring("orders", step * t + 1, step) for t in range(TREES)))).alias("tree", "key"))
+    # The id ends ties, so that rows with one and the same order spread over partitions as well.
+    parts = max(1, -(-rows * TREES // (256 * REGION)))
+    order = members.repartitionByRange(max(parts, int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+    found = materialize(links_in_order(order, True), "orders")
+    edges = found.filter("part IS NOT NULL")
+    # One row for each partition of the order: edges between two large ones stand apart, small ones are joined to one run.
+    large = F.sum(F.when(F.col("whole"), 0).otherwise(1)).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = edges.groupBy("part").agg(F.first("whole").alias("whole")).select("part", F.coalesce(large, F.lit(0)).alias("run"))
+    after = F.when(~F.col("whole") & (F.col("place") >= REGION), 1).otherwise(0)
+    edges = edges.join(F.broadcast(runs), "part").withColumn("run", (F.col("run") + after).cast("int"))
+    edges = edges.repartition("run").sortWithinPartitions("run", "part", "place")
+    edges = edges.select((F.col("run") * TREES + F.col("tree")).cast("int").alias("tree"), "key", F.col("a").alias("id"), "sig")
+    return found.filter("part IS NULL").select("a", "b").unionByName(links_in_order(edges, False).select("a", "b")).distinct()
 
 
 def exact_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -270,16 +355,19 @@ def confirmed_links(members: DataFrame) -> DataFrame:
     return members.repartition(*key).sortWithinPartitions(*key).select(*key, "id", "set").mapInArrow(run, LINKS)
 
 
-def in_block_pairs(members: DataFrame, rows: Column, block: Column) -> DataFrame:
-    """Adds i and j: groups of up to ``rows`` stay whole (0, 0); of larger ones each pair of blocks meets once."""
-    blocks = F.greatest(F.ceil(rows / block), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: x != F.col("own"))
-    placed = members.withColumn("own", own).withColumn("other", F.explode(F.when(blocks == 1, F.array(F.lit(0))).otherwise(others)))
-    return placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other")
+def blocks_of(size: Column) -> Column:
+    """Blocks of a group of full sets: up to BLOCK rows stay whole; then 64 rows each, more in groups over 3,000 (at most 48 blocks), up to 2,048."""
+    rows = F.when(size <= BLOCK, F.lit(BLOCK)).otherwise(F.least(F.greatest(F.ceil(size / 48), F.lit(64)), F.lit(2048)))
+    return F.greatest(F.ceil(size / rows), F.lit(1)).cast("int")
+
+
+def _own(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("id"), blocks).cast("int")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
+    """id, cc, size and set of each text; rows that repeat an id and text count once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
@@ -287,37 +375,73 @@ def _sets(docs: DataFrame) -> DataFrame:
                 sets = pa.array([shingles(t).tobytes() for t in part.column(3).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], sets], names=["id", "cc", "size", "set"])
 
-    return docs.select("id", "cc", "size", "text").mapInArrow(run, "id long, cc long, size long, set binary")
+    sets = docs.select("id", "cc", "size", "text").mapInArrow(run, "id long, cc long, size long, set binary")
+    return sets.groupBy("id", F.xxhash64("set").alias("digest")).agg(*(F.first(c).alias(c) for c in ("cc", "size", "set"))).drop("digest")
+
+
+def exact_components(sets: DataFrame) -> DataFrame:
+    """Links that hold on full sets, enough to connect all that are connected; sets: id, cc (candidate group), size (of it), set."""
+    sets = materialize(sets, "sets")
+    blocks = blocks_of(F.col("size"))
+    small = sets.filter(blocks == 1).select("cc", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "set")
+    large = sets.filter(blocks > 1).withColumn("blocks", blocks)
+    # Centres: the rows with the smallest hashes in each of CENTRES classes of ids; they go to every block.
+    h = F.xxhash64(F.lit(7), "id")
+    centres = large.groupBy("cc", F.pmod(h, F.lit(CENTRES)).alias("class")).agg(F.min(F.struct(h.alias("h"), "id")).alias("r")).select("cc", "r.id")
+    everywhere = large.join(centres, ["cc", "id"], "left_semi").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    first = large.withColumn("i", _own(F.col("blocks")))
+    first = unite([x.select("cc", "i", F.lit(-1).alias("j"), "id", "set") for x in (everywhere, first)]).dropDuplicates(["cc", "i", "id"])
+    links = materialize(confirmed_links(small.unionByName(first)).distinct(), "near-links")
+
+    # Of large groups, rows outside the largest part found so far meet all blocks.
+    parts = connected(links, "near-parts")
+    placed = large.select("cc", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("cc", "id", F.coalesce("label", "id").alias("label"))
+    best = placed.groupBy("cc", "label").agg(F.count("*").alias("rows")).groupBy("cc").agg(F.max(F.struct("rows", "label")).alias("best"))
+    apart = placed.join(best, "cc").filter("label <> best.label").select("cc", "id")
+    apart = materialize(large.join(apart, ["cc", "id"], "left_semi"), "apart")
+    if apart.isEmpty():
+        return links
+    # A block takes its visitors in parts of about 2,048, and its own rows once for each part.
+    visitors = apart.groupBy("cc").agg(F.ceil(F.count("*") / 2048).cast("int").alias("parts"))
+    meet = apart.join(visitors, "cc").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meet = meet.withColumn("j", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("parts")).cast("int"))
+    home = large.join(visitors, "cc").withColumn("i", _own(F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    again = unite([x.select("cc", "i", "j", "id", "set") for x in (meet, home)]).dropDuplicates(["cc", "i", "j", "id"])
+    return links.unionByName(confirmed_links(again)).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept."""
     signed = materialize(sign(docs), "signatures")
-    classes = signed.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    classes = materialize(classes, "classes")
-    one = signed.join(classes.select("set_key", F.col("id").alias("doc_id")), ["set_key", "doc_id"]).select(F.col("doc_id").alias("id"), "keys", "sig")
-    one = materialize(one, "representatives")
-
-    regions = one.select("id", F.explode("keys").alias("key"))
-    shared = regions.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
-    members = regions.join(shared, "key").join(one.select("id", "sig"), "id")
-    links = materialize(candidate_links(in_block_pairs(members, F.col("rows"), F.lit(REGION))).distinct(), "candidates")
-    together = connected(links, "together")
+    with_set = signed.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
+    classes = materialize(with_set.groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
+    one = with_set.join(classes.select("set_key", F.col("id").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"])
+    one = materialize(one.select(F.col("doc_id").alias("id"), "orders", "sig"), "representatives")
 
+    links = materialize(candidate_links(one, one.count()), "candidates")
+    together = connected(links, "together")
     sizes = together.groupBy("label").agg(F.count("*").alias("size"))
     together = together.join(sizes, "label").select(F.col("node").alias("id"), F.col("label").alias("cc"), "size")
     together = materialize(together, "candidate-groups")
     if together.count() * 64 <= BROADCAST_BYTES:
         together = F.broadcast(together)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(together, "id")
-    # Blocks of 64 rows up to 3,000 in a group, then ever larger ones, so that a row repeats at most about 48 times.
-    block = F.when(F.col("size") <= 192, F.lit(192)).otherwise(F.least(F.greatest(F.ceil(F.col("size") / 48), F.lit(64)), F.lit(2048)))
-    links = materialize(confirmed_links(in_block_pairs(_sets(texts), F.col("size"), block)).distinct(), "links")
+    links = exact_components(_sets(texts))
+
+    # Classes of one doc_id with several texts are one node.
+    several = signed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(*(f(F.coalesce("set_key", F.lit(b""))).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    several = materialize(several.filter("lo <> hi").select("doc_id"), "several")
+    of_class = with_set.join(several, "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(classes, "set_key")
+    own = of_class.groupBy("doc_id").agg(F.min("id").alias("a"))
+    links = links.unionByName(own.join(of_class, "doc_id").select("a", F.col("id").alias("b")).distinct())
     components = connected(links, "components")
 
     named = classes.join(components.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("label", "id").alias("component_id"))
     found = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
+    shared = own.join(components.withColumnRenamed("node", "a"), "a", "left").select("doc_id", F.coalesce("label", "a").alias("of_doc"))
+    found = found.join(shared, "doc_id", "left")
+    component = F.coalesce("of_doc", "component_id", "doc_id")
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -388,6 +388,35 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert {d: got[d] for d in range(700, len(texts))} == {d: want[d] for d in range(700, len(texts))}
 
 
+def test_near_duplicates_of_one_id(spark):
+    """Rows that share a doc_id are one node, whatever their texts."""
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = table(spark, [(d, t, "", "") for d, t in [(1, b), (5, b), (5, a), (7, a), (5, ""), (9, "not like any other text here")]])
+    got = rows(near_dedup.near_duplicates(docs), "doc_id", "component_id", "kept")
+    assert got == [(1, 1, True), (5, 1, False), (5, 1, False), (5, 1, False), (7, 1, False), (9, 9, True)]
+
+
+def test_forest_regions():
+    common = np.array([5, 1, 2, 3, 3, 0, 9, 9])
+    assert sorted(near_dedup.regions(common)) == [(2, 6), (6, 9)]
+    assert list(near_dedup.regions(np.full(2999, 4))) == []  # deeper, and apart
+    whole = list(near_dedup.regions(np.full(2999, near_dedup.LEVELS)))
+    assert whole[0] == (0, 1024) and whole[1][0] == 1023 and whole[-1][1] == 3000
+
+
+def test_forest_recall(spark):
+    """Links by themselves, of pairs near the threshold, against all pairs; also where partitions are cut."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for _ in range(1500):
+        a = [word() for _ in range(64)]
+        texts += [" ".join(a), " ".join(a[:56] + [word() for _ in range(8)])]  # 52 of 68 shingles in common
+    docs = table(spark, [(d, t, "", "") for d, t in enumerate(texts)])
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(1500)) >= 1498
+
+
 def test_near_duplicates_awkward(awkward, empty):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(awkward).collect()]
     assert sorted(got, key=repr) == sorted([(1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (3, 0, 3, True), (None, 2, None, True), (4, 0, 4, True), (5, 1, 5, True), (6, 6, 6, True), (7, 1, 7, True)], key=repr)
