@@ -1,29 +1,33 @@
 """Best-fit packing of tokenised documents into fixed-length training sequences.
 
-Documents are tokenised where they lie; only piece descriptions (no ids) are shuffled.
+Documents are tokenised where they lie; only piece descriptions (no ids) are written and shuffled.
 Each task then runs a bounded-space online best fit: at most ``open_bins`` sequences are open,
 indexed by their free space in a bitset, so the tightest fit is one shift and one lowest-bit
-lookup. When a new sequence is needed and all are open, the fullest closes.
+lookup. When a new sequence is needed and all are open, the fullest closes. A task looks ahead by one block
+of pieces, which it takes longest first. Every task leaves its last sequences part empty; so the number of
+tasks follows the number of tokens (``task_sequences`` full sequences each), not that of input partitions.
 
-Edge cases: a null or empty text is the end id alone; a null doc_id is packed like any other;
-repeated rows are packed once per row; an empty table gives no rows; extra columns are ignored.
+Edge cases: a null or empty text is the end id alone; the name of a special token inside a text is that token,
+as in the tokenizer itself; a null doc_id is packed like any other; repeated rows are packed once per row; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import table
+from panelforge.llm.common import materialize, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 CACHE_WORDS = 100_000
@@ -55,10 +59,12 @@ class WordEncoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {t["content"] for t in model["added_tokens"]}
+        special = {t["content"]: t["id"] for t in model["added_tokens"]}
+        self.special = {name: array("I", [i]).tobytes() for name, i in special.items()}
+        longest_first = sorted(special, key=len, reverse=True)
+        self.cuts = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if special else None
         symbols = byte_symbols()
         ranks = {bytes(symbols[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -90,6 +96,11 @@ class WordEncoder(dict):
     def text_ids(self, text: str) -> bytes:
         if len(self) > CACHE_WORDS:
             self.clear()
+        if self.cuts and self.cuts.search(text):  # the pre-tokenizer sees what stands between special tokens
+            return b"".join(self.special.get(t) or self.plain_ids(t) for t in self.cuts.split(text) if t)
+        return self.plain_ids(text)
+
+    def plain_ids(self, text: str) -> bytes:
         first, *rest = self.parts(text)
         return self.encode(first) + b"".join(map(self.__getitem__, rest))
 
@@ -165,24 +176,30 @@ class BestFit:
         return number, self.capacity - free
 
 
-def pack(pieces: DataFrame, capacity: int, open_bins: int = 4096, block: int = 8192) -> DataFrame:
-    """Adds sequence_id and offset. Pieces are dealt by a hash of their key, so a repeated task packs the same way.
+def pack(pieces: DataFrame, capacity: int, open_bins: int = 4096, block: int = 8192, task_sequences: int = 4096) -> DataFrame:
+    """Adds sequence_id and offset. Pieces are written first, then dealt by a hash, so a repeated task packs the same way.
 
     A task takes its pieces in blocks, longest first within a block, and carries its open sequences along.
     """
+    pieces = materialize(pieces, "pieces")
+    tokens = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, round(tokens / (capacity * task_sequences)))
+    names = [c.split()[0] for c in PIECES.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 36
         for b in batches:
-            for lo in range(0, len(b), block):
-                part = b.iloc[lo : lo + block].sort_values("length", ascending=False, kind="stable")
-                placed = [fit.place(n) for n in part["length"].tolist()]
-                part = part.assign(sequence_id=[base + p[0] for p in placed], offset=[p[1] for p in placed])
-                yield part.drop(columns="_order")
-
-    key = ["doc_id", "piece", "ids_crc32"]
-    dealt = pieces.withColumn("_order", F.xxhash64(*key)).repartition("_order").sortWithinPartitions("_order", *key)
-    return dealt.mapInPandas(run, PIECES + ", sequence_id long, offset long")
+            for lo in range(0, b.num_rows, block):
+                part = b.slice(lo, block)
+                part = part.take(pa.array(np.argsort(-part.column(3).to_numpy(), kind="stable")))
+                placed = [fit.place(n) for n in part.column(3).to_pylist()]
+                sequence, offset = (pa.array([p[k] + first for p in placed], pa.int64()) for k, first in ((0, base), (1, 0)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], sequence, offset], names=[*names, "sequence_id", "offset"])
+
+    # The row's own number spreads pieces that are alike in all else.
+    key = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()).alias("_order")
+    dealt = pieces.select("*", key).repartition(tasks, "_order").sortWithinPartitions("_order")
+    return dealt.drop("_order").mapInArrow(run, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, open_bins: int = 4096, tokenizer: str | None = None) -> DataFrame:
