@@ -97,12 +97,20 @@ def test_packing_awkward(awkward, empty, tokens):
 
 def test_encoder_is_the_tokenizer(tokens):
     words, rng = packing.WordEncoder(packing.default_tokenizer()), random.Random(3)
-    alphabet = [" ", "  ", "\n", "\t", "'s", "'ll", "a", "B", "é", "ß", "1", "23", ".", ",", "日本", "🙂", "Ж", " ", " ", "<s>", "x" * 40]
+    alphabet = [" ", "  ", "\n", "\t", "'s", "'ll", "a", "B", "é", "ß", "1", "23", ".", ",", "日本", "🙂", "Ж", " ", " ", "<s>", "<|endoftext|>", "<|endof", "x" * 40]
     for _ in range(1500):
         text = "".join(rng.choices(alphabet, k=rng.randint(0, 14)))
         assert np.frombuffer(words.text_ids(text), "<u4").tolist() == tokens(text)[:-1], repr(text)
 
 
+def test_packing_in_many_partitions(spark, documents, tokens):
+    """The number of input and shuffle partitions makes no difference to the fill."""
+    docs = spark.createDataFrame([(d, r.text) for d, r in documents.items()], "doc_id long, text string").repartition(40)
+    pieces = packing.tokenise(docs, 2048, packing.default_tokenizer())
+    made = packing.pack(pieces, 2048).agg(F.countDistinct("sequence_id"), F.sum("length")).first()
+    assert made[0] <= 1.03 * math.ceil(made[1] / 2048) + 1
+
+
 def test_best_fit_closes_the_fullest():
     fit = packing.BestFit(10, 2)
     assert [fit.place(n) for n in (6, 7, 4, 8, 3, 2)] == [(0, 0), (1, 0), (0, 6), (2, 0), (1, 7), (2, 8)]
@@ -188,6 +196,24 @@ def test_chat_folds_events(spark):
     assert (back[1].loss_chars, back[1].loss_sha256) == (14, hashlib.sha256(b"hello [x]good\\").hexdigest()) and back[1].formatted_chars == len(got[1])
 
 
+def test_chat_log(spark):
+    """The log of a table has every kind of event, dealt at random, and ids beyond a double's digits stay as they are."""
+    big = 2**53 + 1
+    talk = [(c, t, ("user", "assistant")[t % 2], f"text {c} of {t} \\ é") for c in (big, big - 1, None) for t in range(12)]
+    log = chat.as_events(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chat(log.orderBy(F.rand(3)))).collect()}
+    assert got.keys() == {big, big - 1, None}
+    for c in got:
+        said = [x for x in talk if x[0] == c]
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in said).encode()).hexdigest()
+    odd = [(1, 0, 0, "delta", "user", "a"), (1, 0, 1, "unheard of", "user", "b")]
+    back = chat.read_back(chat.format_chat(spark.createDataFrame(odd, "conv_id long, turn long, sequence long, kind string, role string, text string"))).first()
+    assert back.n_turns == 2
+    huge = "a[b<" * 3_000_000
+    assert chat.unescape(chat.SEGMENT.fullmatch(f"<s>[x]{chat.escape(huge)}</s>")[2]) == huge
+
+
 def test_chat_awkward(spark):
     rng = random.Random(5)
     said = ["".join(rng.choices("<>/s[]\\INSTa é\n🙂", k=rng.randint(0, 30))) for _ in range(40)] + [LONG]
