@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset and Spark is local, one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="panelforge-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -54,5 +56,10 @@ def fold(doc_id: str, k: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % k, F.lit(0))
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df, a scan of a table, with a number for each row; every use of it numbers the rows alike, as splits and row order are the table's own."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def unite(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -123,26 +123,35 @@ def test_best_fit_closes_the_fullest():
 
 def test_decontamination_awkward(spark, awkward, empty):
     items = spark.createDataFrame([(1, "SAME words stand"), (1, "SAME words stand"), (2, None), (3, "--"), (4, "lorem " + "ipsum dolor sit amet consectetur lorem " * 2), (None, "kurzer")], "item_id long, text string").withColumn("w", F.lit(1))
-    for limit in (1 << 26, 0):  # with the tables sent to every task, and with none
-        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontamination.decontaminate(awkward, items, broadcast_bytes=limit).collect()}
-        assert got[1] == got[2] == (8, 3, 1, True) and got[3] == got[4] == (0, 0, 0, False) and got[7] == (3, 0, 0, False)
-        assert got[6] == (180_000, 180_000, 1, True) and got[None][3] is False and len(got) == 8
+    for limit, frequent in ((1 << 26, 10), (0, 10), (0, 1 << 30)):  # with the tables sent to every task, and with none
+        found = decontamination.decontaminate(awkward, items, broadcast_bytes=limit, frequent=frequent).collect()
+        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in found}
+        assert len(found) == 9 and len(got) == 8  # a row for each row
+        assert got[1] == got[2] == (8, 3, 1, True) and got[3] == got[4] == (0, 0, 0, False)
+        assert got[7] == (3, 1, 0, True)  # an item without an id
+        assert got[6] == (180_000, 180_000, 1, True) and got[None][3] is False
     assert decontamination.decontaminate(empty, items).count() == 0
     assert not decontamination.decontaminate(awkward, items.limit(0)).filter("contaminated OR n_hit > 0").count()
 
 
 def test_licenses_awkward(spark, empty):
-    docs = table(spark, [(1, "The MIT License, an mit license", "en", ""), (1, "gpl", "en", ""), (2, None, None, None), (3, "", None, None), (None, "apache license", None, None), (4, "mit " * 50_000 + "license", None, None), (5, "general public license general public", None, None)])
-    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan_licenses(docs).collect()}
-    assert got == {1: (6, 2, 1, 4, "mit"), 2: (0, 0, None, None, ""), 3: (0, 0, None, None, ""), None: (2, 1, 0, 0, "apache"), 4: (50_001, 1, 49_999, 49_999, "mit"), 5: (5, 1, 0, 0, "gpl")}
+    docs = table(spark, [(1, "The MIT License, an mit license", "en", ""), (1, "gpl", "en", ""), (2, None, None, None), (3, "", None, None), (None, "apache license", None, None), (None, "no", None, None), (4, "mit " * 50_000 + "license", None, None), (5, "general public license general public", None, None), (6, "general public notice", "", ""), (6, "general public notice", "", ""), (7, "notice public license", "", "")])
+    got = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan_licenses(docs).collect()]
+    want = [(1, 6, 2, 1, 4, "mit"), (1, 1, 0, None, None, ""), (2, 0, 0, None, None, ""), (3, 0, 0, None, None, ""), (None, 2, 1, 0, 0, "apache"), (None, 1, 0, None, None, ""), (4, 50_001, 1, 49_999, 49_999, "mit"), (5, 5, 1, 0, 0, "gpl"), (6, 3, 0, None, None, ""), (6, 3, 0, None, None, ""), (7, 3, 0, None, None, "")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
     assert licenses.scan_licenses(empty).count() == 0
 
 
 def test_license_notices(spark):
     notice = licenses.NOTICES[2][0].split()
-    broken = " ".join([*notice[:9], "indeed", *notice[9:]])
-    docs = table(spark, [(1, broken, "", ""), (2, " ".join(notice[:7]), "", "")])
-    assert {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()} == {1: "mit", 2: ""}
+    broken = " ".join([*notice[:9], "indeed", *notice[9:60], "so", "to", "say", *notice[60:]])
+    half = notice[: len(notice) // 2]
+    thirds = [notice[120:], notice[60:120], notice[:60]]
+    docs = table(spark, [(1, broken, "", ""), (2, " ".join(notice[:7]), "", ""), (3, " ".join(notice[22:100]), "", ""), (3, " ".join(notice[22:100]), "", ""), (4, " and then ".join(" ".join(t) for t in thirds[:2]), "", ""), (5, " ".join(notice[30:40] * 30), "", ""), (6, " ".join(half), "", "")])
+    got = sorted((r.doc_id, r.labels) for r in licenses.scan_licenses(docs).collect())
+    assert got == [(1, "mit"), (2, ""), (3, ""), (3, ""), (4, ""), (5, ""), (6, "mit")]  # 6 holds the whole opening sentence
+    for text, label in licenses.NOTICES:
+        assert label in licenses.scan_licenses(table(spark, [(1, text, "", "")])).first().labels.split(",") if len(text.split()) > 60 else True
 
 
 # 3 and 9: classifiers

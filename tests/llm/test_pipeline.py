@@ -38,6 +38,21 @@ def test_stages_keep_columns(spark, sf):
             assert stage(spark, some, sf).count() <= some.count()
 
 
+def test_stages_judge_rows(spark, sf):
+    """Null ids, repeated ids and rows, null, empty and long texts."""
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").filter("length(text) > 80").first().text
+    clean = "a clean text of some plain words that nothing else holds here"
+    rows = [(None, item), (None, clean), (None, clean), (8, item), (8, "quite another text under the same number as the one before"), (3, None), (4, ""), (4, ""), (5, "lorem ipsum dolor " * 50_000)]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    scratch = pipeline.materialize(docs.repartition(1), "rows")
+    kept = [(r.doc_id, r.text) for r in pipeline.minhash_near_dedup(spark, scratch, sf).collect()]
+    assert sorted(kept, key=repr) == sorted([(8, item), *rows[1:2], *rows[4:]], key=repr)  # the smallest id of two copies, one row of two
+    kept = [(r.doc_id, r.text) for r in pipeline.benchmark_decontamination(spark, scratch, sf).collect()]
+    assert sorted(kept, key=repr) == sorted([*rows[1:3], *rows[4:]], key=repr)
+    assert pipeline.secret_scan(spark, scratch, sf).count() == len(rows) and pipeline.best_fit_packing(spark, scratch, sf).filter("piece = 0").count() == len(rows)
+    assert pipeline.quality_classifier(spark, scratch, sf).count() <= len(rows)
+
+
 def test_clean_documents_stay(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").select("doc_id").distinct()
