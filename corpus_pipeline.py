@@ -1,11 +1,11 @@
 """Corpus preparation: STAGES over documents, each working on all that its predecessor kept.
 
-Documents the quality classifier rejects go; of each group of near duplicates the smallest doc_id stays;
-documents that hold a benchmark window go; secrets in the texts of the rest are replaced; what is left is
-packed into sequences. All stages but the last return the columns of documents. Rows are dropped by an anti
-join on the ids to drop, which are sent to every task only while they are few; texts then stay where they
-lie. Rows with a null doc_id, which no id can name, are only judged by their text. Rows that repeat a doc_id
-share its fate.
+Documents the quality classifier rejects go; of each group of near duplicates the row with the smallest doc_id
+stays; documents that hold a benchmark window go; secrets in the texts of the rest are replaced; what is left is
+packed into sequences. All stages but the last return the columns of documents. A stage judges rows, not ids: it
+numbers the rows of its input, so rows that repeat a doc_id or have none are judged by their own text, and of
+rows that are alike in all columns one stays. Rows are dropped by an anti join on the numbers to drop, which
+are sent to every task only while they are few; texts then stay where they lie.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import BROADCAST_BYTES, fold, materialize, table
+from panelforge.llm.common import BROADCAST_BYTES, fold, materialize, numbered, table
 from panelforge.llm.decontamination import decontaminate
 from panelforge.llm.near_dedup import near_duplicates
 from panelforge.llm.packing import pack_documents
@@ -21,9 +21,17 @@ from panelforge.llm.quality import fit, keep_quality
 from panelforge.llm.secrets import example_findings, redact, train
 
 
-def _without(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
-    ids = materialize(ids.select("doc_id").distinct(), tag)
-    return docs.join(F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids, "doc_id", "left_anti")
+ROW = "_row"
+
+
+def _without(docs: DataFrame, rows: DataFrame, tag: str) -> DataFrame:
+    """The numbered docs without some rows."""
+    rows = materialize(rows.select(F.col("doc_id").alias(ROW)), tag)
+    return docs.join(F.broadcast(rows) if rows.count() * 16 <= BROADCAST_BYTES else rows, ROW, "left_anti").drop(ROW)
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col(ROW).alias("doc_id"), "text")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +40,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_duplicates(docs).filter("NOT kept"), "copies").select(docs.columns)
+    docs = numbered(docs, ROW)
+    found = materialize(near_duplicates(_by_row(docs)).select(F.col("doc_id").alias(ROW), "component_id"), "copies")
+    groups = found.groupBy("component_id").agg(F.count("*").alias("rows")).filter("rows > 1")
+    members = found.join(groups, "component_id").join(docs.select(ROW, "doc_id"), ROW)
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW).alias(ROW))  # a null doc_id comes last
+    best = members.groupBy("component_id").agg(F.min(first)[ROW].alias("best"))
+    copies = members.join(best, "component_id").filter(F.col(ROW) != F.col("best"))
+    return _without(docs, copies.select(F.col(ROW).alias("doc_id")), "dropped-copies")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter("contaminated"), "contaminated").select(docs.columns)
+    docs = numbered(docs, ROW)
+    return _without(docs, decontaminate(_by_row(docs), table(spark, sf_dir, "benchmark")).filter("contaminated"), "contaminated")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
