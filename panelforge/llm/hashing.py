@@ -31,9 +31,16 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 class HashTable:
-    """An immutable map from non-negative int64 keys to doubles with vectorised look-up (open addressing)."""
+    """An immutable map from int64 keys (but -1) to doubles with vectorised look-up (open addressing).
+
+    It is sent as its rows and built where it is first used.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.rows: tuple[np.ndarray, np.ndarray] | None = (keys, values)
+
+    def _build(self) -> None:
+        keys, values = self.rows
         bits = max(4, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, -1, np.int64)
@@ -47,12 +54,15 @@ class HashTable:
             self.keys[at[placed]], self.values[at[placed]] = keys[placed], values[placed]
             left = left[self.keys[at[left]] != keys[left]]
             at[left] = (at[left] + 1) & self.mask
+        self.rows = None
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values, NaN where a key is absent."""
+        if self.rows is not None:
+            self._build()
         at = self._home(keys)
         there = self.keys[at]
         out = np.where(there == keys, self.values[at], np.nan)

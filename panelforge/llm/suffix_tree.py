@@ -2,13 +2,13 @@ r"""Language-model scores from a probabilistic suffix tree.
 
 Tokens are runs of anything but ASCII white space, A-Z lower-cased, and an end. The tree models the bytes of
 the tokens joined by single spaces, the end as a line feed, so it gives a proper probability to every token
-sequence. A state is a context of up to ``DEPTH`` bytes. Bottom up from the root, a context is retained if
-its next-symbol counts diverge enough from what its longest retained suffix predicts (gain in bits against
-``penalty`` bits for each of its symbols). Its distribution is smoothed with that suffix's (Witten-Bell).
-A text is scored from the longest retained suffix at each byte.
+sequence. A state is a context of up to ``depth`` bytes (a parameter, at most 7: a key holds depth + 1 bytes).
+Bottom up from the root, a context is retained if its next-symbol counts diverge enough from what its longest
+retained suffix predicts (gain in bits against ``penalty`` bits for each of its symbols). Its distribution is
+smoothed with that suffix's (Witten-Bell). A text is scored from the longest retained suffix at each byte.
 
-Counts of tokens and of (DEPTH + 1)-grams come from one pass over all training documents; shorter contexts
-are sums of longer ones. The penalty is the same at every size: the tree stays a table for each depth, which
+Counts of tokens and of (depth + 1)-grams come from one pass over all training documents; shorter contexts
+are sums of longer ones. Penalty and depth are the same at every size: the tree stays a table for each depth, which
 gives the score of every gram of the training documents. Neither these scores nor token counts are sent
 whole: the ``head`` most frequent tokens and the ``memo`` most frequent grams go to every task, and the other
 occurrences join the tables, tokens by their 64-bit hash. Grams that training doesn't have are first scored
@@ -33,11 +33,10 @@ from panelforge.llm.common import fold, materialize, table
 from panelforge.llm.hashing import HashTable, word_hashes
 from panelforge.llm.language_id import slices
 
-DEPTH = 5  # at most 6: a key holds DEPTH + 1 bytes under a tag
+DEPTH = 5
 END = b"\n"
 CHARS_AT_ONCE = 1_000_000
 WORD, GRAM, TEXT = 0, 1, 2
-MEMO = 7  # the depth under which whole scores are stored
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -50,18 +49,18 @@ def word_keys(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return (word_hashes(flat) >> np.uint64(1)).astype(np.int64), np.array([len(w) + 1 for w in docs])
 
 
-def gram_keys(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The DEPTH bytes before each byte and the byte itself as one integer, and the number of bytes of each text."""
+def gram_keys(docs: list[list[bytes]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """The ``depth`` bytes before each byte and the byte itself as one integer, and the number of bytes of each text."""
     texts = [b" ".join(w) + END for w in docs]
-    data = np.frombuffer(b"".join(END * DEPTH + t for t in texts), np.uint8).astype(np.int64)
+    data = np.frombuffer(b"".join(END * depth + t for t in texts), np.uint8).astype(np.int64)
     sizes = np.array([len(t) for t in texts])
     keep = np.ones(len(data), bool)
-    starts = np.r_[0, np.cumsum(sizes + DEPTH)[:-1]]
-    keep[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
-    key = np.zeros(len(data) - DEPTH, np.int64)
-    for k in range(DEPTH + 1):
-        key = (key << 8) | data[k : len(data) - DEPTH + k]
-    return key[keep[DEPTH:]], sizes
+    starts = np.r_[0, np.cumsum(sizes + depth)[:-1]]
+    keep[(starts[:, None] + np.arange(depth)).ravel()] = False
+    key = np.zeros(len(data) - depth, np.int64)
+    for k in range(depth + 1):
+        key = (key << 8) | data[k : len(data) - depth + k]
+    return key[keep[depth:]], sizes
 
 
 class _Counts:
@@ -82,7 +81,7 @@ class _Counts:
         return keys, n
 
 
-def gather(docs: DataFrame, flush: int = 3_000_000) -> DataFrame:
+def gather(docs: DataFrame, depth: int = DEPTH, flush: int = 3_000_000) -> DataFrame:
     """kind, key and n of all tokens and grams of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +99,7 @@ def gather(docs: DataFrame, flush: int = 3_000_000) -> DataFrame:
             for part in slices(texts, CHARS_AT_ONCE):
                 words = [tokens(t) for t in texts[part]]
                 found[WORD].add(word_keys(words)[0])
-                found[GRAM].add(gram_keys(words)[0])
+                found[GRAM].add(gram_keys(words, depth)[0])
                 for kind, c in found.items():
                     if c.held > flush:
                         yield from out(kind)
@@ -111,10 +110,10 @@ def gather(docs: DataFrame, flush: int = 3_000_000) -> DataFrame:
     return counts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def suffix_counts(grams: DataFrame) -> list[DataFrame]:
+def suffix_counts(grams: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
     """key and n of the contexts of each depth with a next byte; each is a table, summed from the one below."""
     levels = [grams.select("key", "n")]
-    for d in range(DEPTH - 1, -1, -1):
+    for d in range(depth - 1, -1, -1):
         shorter = levels[-1].groupBy(F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))
         levels.append(materialize(shorter, "suffixes"))
     return levels[::-1]
@@ -126,10 +125,10 @@ def grow(levels: list[DataFrame], penalty: float) -> list[DataFrame]:
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # 256 rows
     root = every.join(levels[0], "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
     tree = [root.select("key", ((F.col("n") + 0.5) / (total + 128)).alias("p"))]
-    for d in range(1, DEPTH + 1):
+    for d in range(1, len(levels)):
         up = tree[-1].select(F.col("key").alias("suffix"), F.col("p").alias("p_up"))
         pairs = levels[d].withColumn("suffix", F.col("key").bitwiseAND((1 << 8 * d) - 1)).join(up, "suffix")
-        of = Window.partitionBy(F.shiftright("key", 8))  # at most 256 symbols
+        of = Window.partitionBy(F.shiftrightunsigned("key", 8))  # at most 256 symbols
         pairs = pairs.withColumns({"total": F.sum("n").over(of), "kinds": F.count("*").over(of)})
         gain = F.sum(F.col("n") * F.log2(F.col("n") / F.col("total") / F.col("p_up"))).over(of)
         pairs = pairs.withColumn("kept", gain >= penalty * F.col("kinds"))
@@ -140,54 +139,27 @@ def grow(levels: list[DataFrame], penalty: float) -> list[DataFrame]:
 
 def _states(level: DataFrame) -> DataFrame:
     """Retained contexts of one depth and the weight of their suffix for symbols they never had."""
-    return level.filter("kept").select(F.shiftright("key", 8).alias("context"), (F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("weight")).distinct()
-
-
-def build_tree(levels: list[DataFrame], penalty: float) -> tuple[DataFrame, DataFrame]:
-    """Rows of the tree: depth, state (or else a symbol after a state), key, and log10 of its weight or probability.
-
-    Also every observed gram with its count and the probability that the tree gives its last byte.
-    """
-    tree = grow(levels, penalty)
-    rows = tree[0].select(F.lit(0).alias("depth"), F.lit(False).alias("state"), "key", F.log10("p").alias("value"))
-    for d in range(1, DEPTH + 1):
-        rows = rows.unionByName(tree[d].filter("kept").select(F.lit(d).alias("depth"), F.lit(False).alias("state"), "key", F.log10("p").alias("value")))
-        rows = rows.unionByName(_states(tree[d]).select(F.lit(d).alias("depth"), F.lit(True).alias("state"), F.col("context").alias("key"), F.log10("weight").alias("value")))
-    return rows, observed(tree)
+    return level.filter("kept").select(F.shiftrightunsigned("key", 8).alias("context"), (F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("weight")).distinct()
 
 
 def observed(tree: list[DataFrame]) -> DataFrame:
     """key, n and value (log10 probability of the last byte) of the grams of the training documents."""
-    return tree[DEPTH].select("key", "n", F.log10("p").alias("value"))
+    return tree[-1].select("key", "n", F.log10("p").alias("value"))
 
 
 def unobserved(tree: list[DataFrame], keys: DataFrame) -> DataFrame:
     """key and value of any grams, joined with the tree depth by depth from the root."""
     found = keys.join(F.broadcast(tree[0].withColumnRenamed("key", "last")), F.col("key").bitwiseAND(255) == F.col("last")).select("key", "p")
-    for d in range(1, DEPTH + 1):
+    deepest = len(tree) - 1
+    for d in range(1, deepest + 1):
         own = tree[d].select(F.col("key").alias("suffix"), F.col("p").alias("own"))
-        found = found.withColumns({"suffix": F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1), "context": F.shiftright("key", 8).bitwiseAND((1 << 8 * d) - 1)})
+        suffix = F.col("key") if d == deepest else F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1)
+        found = found.withColumns({"suffix": suffix, "context": F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * d) - 1)})
         found = found.join(own, "suffix", "left").join(_states(tree[d]), "context", "left")
         found = found.select("key", F.coalesce("own", F.col("weight") * F.col("p"), "p").alias("p"))
     return found.select("key", F.log10("p").alias("value"))
 
 
-def fit_tree(grams: DataFrame, penalty: float = 3.0, max_rows: int = 1_400_000, memo: int = 600_000) -> HashTable:
-    """A tree as one table on the driver, for small models; its penalty doubles until it fits. ``lm_scores`` doesn't use it.
-
-    Scores of the ``memo`` most frequent grams are stored beside it, to save walking down the suffixes.
-    """
-    levels = suffix_counts(grams)
-    while True:
-        rows, scored = build_tree(levels, penalty)
-        rows = materialize(rows, "tree")
-        if rows.count() <= max_rows:
-            break
-        penalty *= 2
-    often = most_frequent(scored, memo).select(F.lit(MEMO).alias("depth"), F.lit(False).alias("state"), "key", "value")
-    return hash_table(rows.unionByName(often).select(_tagged(F.col("key"), F.col("depth"), F.col("state").cast("int")).alias("key"), "value"))
-
-
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     """The rows with the largest n, by whole classes (eighths of a power of two), as many classes as ``most`` rows hold.
 
@@ -204,38 +176,15 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
 
 
 def hash_table(rows: DataFrame) -> HashTable:
-    """The rows (key, value) as one table on the driver; their number is the caller's care."""
+    """The rows (key, value) as one table; their number is the caller's care. Only the rows pass the driver, each worker builds its table."""
     found = rows.toArrow()
     return HashTable(found.column(0).to_numpy(), found.column(1).to_numpy())
 
 
-def _tagged(key, depth, state):
-    """Keys of each depth and kind apart, for columns and for arrays."""
-    return key + (depth * 2 + state) * (1 << 57)
-
-
-def symbol_scores(tree: HashTable, grams: np.ndarray) -> np.ndarray:
-    """log10 probability of each gram's last byte after the others."""
-    out = tree.get(_tagged(grams, MEMO, 0))
-    left = np.flatnonzero(np.isnan(out))
-    key = grams[left]
-    out[left] = 0
-    for d in range(DEPTH, -1, -1):
-        key = key & ((1 << 8 * (d + 1)) - 1)
-        value = tree.get(_tagged(key, d, 0))
-        hit = ~np.isnan(value)
-        out[left[hit]] += value[hit]
-        left, key = left[~hit], key[~hit]
-        if not len(left):
-            break
-        out[left] += np.nan_to_num(tree.get(_tagged(key >> 8, d, 1)))
-    return out
-
-
 SCORED = "row long, doc_id long, kind int, key long, n_tokens long, n_known long, base_score double, score double"
 
 
-def score_texts(docs: DataFrame, grams: HashTable, head: HashTable) -> DataFrame:
+def score_texts(docs: DataFrame, grams: HashTable, head: HashTable, depth: int = DEPTH) -> DataFrame:
     """A row per text with what the frequent grams and tokens give, and a row per token and per gram that is not among them."""
     shared = docs.sparkSession.sparkContext.broadcast((grams, head))
 
@@ -264,7 +213,7 @@ def score_texts(docs: DataFrame, grams: HashTable, head: HashTable) -> DataFrame
 
                 keys, sizes = word_keys(words)
                 base, known, other_words = looked_up(head, keys, sizes, WORD)
-                keys, lengths = gram_keys(words)
+                keys, lengths = gram_keys(words, depth)
                 score, _, other_grams = looked_up(frequent, keys, lengths, GRAM)
                 # Rows of texts get keys of their own, so that they spread over the join's partitions.
                 yield pa.RecordBatch.from_arrays([pa.array(rows), doc_ids, pa.array(np.full(len(words), TEXT, np.int32)), pa.array(rows), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)], names=names)
@@ -275,18 +224,20 @@ def score_texts(docs: DataFrame, grams: HashTable, head: HashTable) -> DataFrame
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCORED)
 
 
-def lm_scores(docs: DataFrame, training: DataFrame, head: int = 200_000, penalty: float = 3.0, memo: int = 2_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, training: DataFrame, head: int = 200_000, penalty: float = 3.0, memo: int = 2_000_000, depth: int = DEPTH) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
-    counts = materialize(gather(training), "counts")
+    if not 1 <= depth <= 7:
+        raise ValueError("depth must lie between 1 and 7")
+    counts = materialize(gather(training, depth), "counts")
     words = counts.filter(F.col("kind") == WORD).select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = grow(suffix_counts(counts.filter(F.col("kind") == GRAM)), penalty)
+    tree = grow(suffix_counts(counts.filter(F.col("kind") == GRAM), depth), penalty)
     grams = observed(tree)
     below = total + 0.5 * (distinct + 1)
     words = words.withColumn("value", F.log10((F.col("n") + 0.5) / F.lit(below)))
     tables = [hash_table(most_frequent(c, most).select("key", "value")) for c, most in ((grams, memo), (words, head))]
 
-    scored = materialize(score_texts(docs, *tables), "scored")
+    scored = materialize(score_texts(docs, *tables, depth), "scored")
     unseen = scored.filter(F.col("kind") == GRAM).select("key").distinct().join(grams.select("key"), "key", "left_anti")
     unseen = unobserved(tree, materialize(unseen, "unseen"))
     values = words.select(F.lit(WORD).alias("kind"), "key", "value")

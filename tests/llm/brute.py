@@ -1,5 +1,6 @@
 """Plain definitions that the operators are held against; for small tables only."""
 
+import math
 import re
 import zlib
 
@@ -54,3 +55,38 @@ def contaminated(text, found):
     w = words(text)
     sizes = {len(x) for x in found}
     return any(tuple(w[i : i + n]) in found for n in sizes for i in range(len(w) - n + 1))
+
+
+def suffix_tree(texts, depth, penalty):
+    """Next-byte probabilities by plain dictionaries: p(context, byte) from the longest retained suffix."""
+    counts = {}
+    for t in texts:
+        data = b"\n" * depth + t
+        for i in range(depth, len(data)):
+            for d in range(depth + 1):
+                counts.setdefault(data[i - d : i], {}).setdefault(data[i], 0)
+                counts[data[i - d : i]][data[i]] += 1
+    root = counts.get(b"", {})
+    whole = sum(root.values())
+    kept = {b""}
+
+    def p(context, byte):
+        while context and context not in kept:
+            context = context[1:]
+        if not context:
+            return (root.get(byte, 0) + 0.5) / (whole + 128)
+        n = counts[context]
+        return (n.get(byte, 0) + len(n) * p(context[1:], byte)) / (sum(n.values()) + len(n))
+
+    for context in sorted(counts, key=len):
+        if context:
+            n = counts[context]
+            total = sum(n.values())
+            if sum(k * math.log2(k / total / p(context[1:], b)) for b, k in n.items()) >= penalty * len(n):
+                kept.add(context)
+    return p
+
+
+def tree_score(p, text, depth):
+    data = b"\n" * depth + text
+    return sum(math.log10(p(data[i - depth : i], data[i])) for i in range(depth, len(data)))

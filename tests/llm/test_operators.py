@@ -354,14 +354,18 @@ def test_lm_beats_words(spark):
 
 def test_lm_is_a_distribution(spark, documents):
     docs = spark.createDataFrame([(r.text,) for r in list(documents.values())[:60]], "text string")
-    counts = suffix_tree.gather(docs)
-    tree = suffix_tree.fit_tree(counts.filter(F.col("kind") == suffix_tree.GRAM))
-    for context in (b"\n\n\n\n\n", b"e the", b"zzzzz", b" qxj~", docs.first().text.encode()[:5].lower()):
-        key = int.from_bytes(context, "big") << 8
-        p = 10 ** suffix_tree.symbol_scores(tree, np.arange(256) + key)
-        assert abs(p.sum() - 1) < 1e-9
-    small = suffix_tree.fit_tree(counts.filter(F.col("kind") == suffix_tree.GRAM), max_rows=2000, memo=0)
-    assert (small.keys >= 0).sum() <= 2000
+    counts = suffix_tree.gather(docs).filter(F.col("kind") == suffix_tree.GRAM)
+    tree = suffix_tree.grow(suffix_tree.suffix_counts(counts), 3.0)
+    contexts = (b"\n\n\n\n\n", b"e the", b"zzzzz", b" qxj~", docs.first().text.encode()[:5].lower())
+    keys = [(int.from_bytes(c, "big") << 8 | k,) for c in contexts for k in range(256)]
+    found = suffix_tree.unobserved(tree, spark.createDataFrame(keys, "key long")).groupBy(F.shiftright("key", 8)).agg(F.sum(F.pow(F.lit(10.0), "value"))).collect()
+    assert len(found) == len(set(contexts)) and all(abs(r[1] - 1) < 1e-9 for r in found)
+
+
+def test_frequent_keys():
+    keys = np.array([-5, 3, 1 << 62, 7], np.int64)
+    found = suffix_tree.HashTable(keys, np.arange(4.0))
+    assert np.array_equal(found.get(np.array([7, -5, 8, 1 << 62])), [3, 0, np.nan, 2], equal_nan=True)
 
 
 def test_lm_awkward(awkward, empty):
@@ -373,19 +377,16 @@ def test_lm_awkward(awkward, empty):
     assert suffix_tree.lm_scores(empty, awkward).count() == 0
 
 
-def test_lm_scores_by_whole_tree(spark, documents):
-    """Scores are those of the tree at the stated penalty, whatever is sent to the tasks, also for grams that training lacks."""
-    docs = table(spark, [(d, r.text, "en", "a") for d, r in list(documents.items())[:80]])
-    training = docs.filter(F.col("doc_id") % 2 == 0)
-    counts = suffix_tree.gather(training.select("text"))
-    tree = suffix_tree.fit_tree(counts.filter(F.col("kind") == suffix_tree.GRAM), max_rows=1 << 40, memo=0)
-    want = {}
-    for d, r in list(documents.items())[:80]:
-        keys, _ = suffix_tree.gram_keys([suffix_tree.tokens(r.text)])
-        want[d] = suffix_tree.symbol_scores(tree, keys).sum()
-    for memo in (0, 3000):
-        got = {r.doc_id: r.score for r in suffix_tree.lm_scores(docs, training, memo=memo).collect()}
-        assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 * abs(want[d]) for d in want)
+@pytest.mark.parametrize("depth,memo", [(5, 0), (5, 3000), (7, 3000)])
+def test_lm_scores_by_a_plain_tree(spark, documents, depth, memo):
+    """Scores are those of a suffix tree in plain Python, whatever is sent to the tasks, also for grams that training lacks."""
+    texts = {d: b" ".join(suffix_tree.tokens(r.text)) + b"\n" for d, r in list(documents.items())[:40] if len(r.text or "") < 3000}
+    texts[-1] = "\u00e9\u4e2d\u6587 \U0001f642".encode() + b"\n"
+    docs = table(spark, [(d, t.decode(), "en", "a") for d, t in texts.items()])
+    p = brute.suffix_tree([t for d, t in texts.items() if d % 2 == 0], depth, 3.0)
+    want = {d: brute.tree_score(p, t, depth) for d, t in texts.items()}
+    got = {r.doc_id: r.score for r in suffix_tree.lm_scores(docs, docs.filter(F.col("doc_id") % 2 == 0), memo=memo, depth=depth).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 * abs(want[d]) for d in want)
 
 
 # 8: near duplicates
