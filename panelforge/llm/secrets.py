@@ -1,7 +1,7 @@
 r"""Secret scan: candidate strings judged by a random forest.
 
 Candidates are runs of at least 12 letters, digits, ``_ + / -`` (and ``=`` at the end), what follows a known
-prefix of keys, and the values of at least 6 characters that stand after a word which names a secret and
+prefix of keys, private keys in PEM form, and the values of at least 6 characters that stand after a word which names a secret and
 ``=`` or ``:``. Such a value goes to its closing quote, the next blank or the next such word; if it holds runs,
 they are candidates too. It has no blanks: of a passphrase the first word is judged. Each is described by its length, its characters and their transitions, how much of it dictionary words
 cover, its path and its neighbouring words; the forest, trained from labelled findings, tells secrets from
@@ -10,7 +10,8 @@ findings. Findings are judged where their documents lie; nothing is shuffled.
 
 The tables hold no labelled findings, so the query trains on ``example_findings()``: a bounded, seeded set
 of secrets and look-alikes in the forms that public scanners list. Any table of labelled findings
-(before, candidate, after, path, is_secret) can take its place.
+(before, candidate, after, path, is_secret) can take its place by ``labelled_findings``, which takes a bounded
+sample of it.
 
 Edge cases: null and empty texts have no findings; every occurrence is a finding, so repeated rows repeat
 theirs; findings may lie in one another, and redacting takes them as one; null paths are empty; without both labels among the findings every score is the share of secrets;
@@ -51,7 +52,11 @@ VALUE = re.compile(r"[=:>]{0,2}[ \t]*(?:(?i:bearer|basic)[ \t]+)?(?:(?P<q>[\"'`]
 LEAST = 6
 NEAR = 48
 WORD = re.compile(r"[A-Za-z]{2,}")
-EXAMPLE_PATH = re.compile(r"test|example|sample|mock|fixture|demo", re.I)
+EXAMPLE_PATH = re.compile(r"test|example|sample|mock|fixture|demo|tutorial", re.I)
+CONFIG_PATH = re.compile(r"\.env|conf|\.ya?ml|\.ini|\.toml|\.properties|\.pem|\.key|deploy|secret|credential", re.I)
+PROSE_PATH = re.compile(r"\.md|\.txt|\.html?|\.rst|readme|docs?/|blog|news", re.I)
+#: A private key; its body ends at the closing line, at most 8,192 characters on.
+PEM = re.compile(r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,-]{0,8192}?-----END [A-Z ]{0,32}PRIVATE KEY-----)?")
 
 
 def _named(text: str) -> Iterator[tuple[int, int]]:
@@ -76,6 +81,7 @@ def find(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     """start, length, before, candidate, after of each candidate of a whole text, in their order."""
     spans = {m.span() for m in CANDIDATE.finditer(text)}
     spans.update(m.span() for m in PREFIXED.finditer(text))
+    spans.update(m.span() for m in PEM.finditer(text))
     spans.update(_named(text))
     for s, e in sorted(spans):
         yield s, e - s, text[max(0, s - NEAR) : s], text[s:e], text[e : e + NEAR]
@@ -150,7 +156,7 @@ class Vocabulary:
             float(set(candidate.lower()) <= set("0123456789abcdef")),
             self.covered(candidate), longest / n, candidate.count("-"), candidate.count("_") + candidate.count("/"),
             sum(odds), max(odds, default=0.0), min(odds, default=0.0),
-            float(before.endswith(("=", "= ", ': "', '= "', "='", '="', ": "))), float(bool(EXAMPLE_PATH.search(path))),
+            float(before.endswith(("=", "= ", ': "', '= "', "='", '="', ": "))), *(float(bool(p.search(path))) for p in (EXAMPLE_PATH, CONFIG_PATH, PROSE_PATH)), float(bool(PEM.match(candidate))),
             float(bool(KNOWN.match(candidate))), float(bool(NAME.search(before.rstrip("\"'`= :>\t")))), float(candidate[1:] != candidate[1:].lower()),
             sum(c in "{}()<>[]$%" for c in candidate) / n, float(any(c.isdigit() for c in candidate)),
         ]
@@ -233,8 +239,16 @@ def train(findings: list[tuple]) -> Scanner:
     return Scanner(vocabulary, Forest().fit(x, np.array([int(f[4]) for f in findings], float)))
 
 
-def example_texts(n: int = 4000, seed: int = 11) -> Iterator[tuple[str, int, str, str, int]]:
-    """Seeded text, start, candidate, path and label: half secrets, half look-alikes, whether or not ``find`` gives them."""
+SECRET_KINDS = tuple(range(14))
+#: Paths of files by what they tell: the first of a pair is where secrets are rather, the second where look-alikes are; most paths tell nothing.
+PATHS = [
+    (["config/settings.yml", ".env", "deploy/prod.env", "app/config.properties", "ops/credentials.ini"], ["tests/fixtures/users.json", "docs/readme.md", "examples/demo.py", "blog/post.html", "src/mock_client.py"]),
+    (["src/app.py", "web/page.html", "notes.txt", "lib/util.go", "", "data"],) * 2,
+]
+
+
+def example_texts(n: int = 4000, seed: int = 11, kinds: tuple = SECRET_KINDS) -> Iterator[tuple[str, int, str, str, int]]:
+    """Seeded text, start, candidate, path and label: half secrets of some kinds, half look-alikes, whether or not ``find`` gives them."""
     rng = random.Random(seed)
     hexa, alnum, base64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     some = lambda chars, k: "".join(rng.choices(chars, k=k))
@@ -261,7 +275,11 @@ def example_texts(n: int = 4000, seed: int = 11) -> Iterator[tuple[str, int, str
         return some(alnum, rng.randint(8, 14))
 
     def secret() -> tuple[str, str]:
-        k = rng.randrange(13)
+        k = rng.choice(kinds)
+        if k == 13:
+            lines = " ".join(some(base64, 64) for _ in range(rng.randint(2, 6)))
+            kind = rng.choice(["", "RSA ", "EC ", "OPENSSH "])
+            return rng.choice(["", name("private_key")]), f"-----BEGIN {kind}PRIVATE KEY-----" + rng.choice(["", f" {lines} -----END {kind}PRIVATE KEY-----"])
         if k in (9, 10, 11):
             return name("password", "passwd", "pwd", "db_password", "DB_PASSWORD", "secret", "pass"), password()
         if k == 12:  # without a digit
@@ -327,14 +345,25 @@ def example_texts(n: int = 4000, seed: int = 11) -> Iterator[tuple[str, int, str
         label = k % 2
         before, candidate = secret() if label else other()
         quote = before[-1:] if before[-1:] in "\"'" else ""
-        path = rng.choice(["src/app.py", "config/settings.yml", "notes.txt", "src0", "web/page.html", "src7"])
+        told = rng.random() < 0.4
+        path = rng.choice(PATHS[0 if told else 1][(1 - label) if rng.random() < 0.85 else label])
         lead = prose() + before
         yield lead + candidate + quote + " " + prose(), len(lead), candidate, path, label
 
 
-def example_findings(n: int = 4000, seed: int = 11) -> list[tuple]:
+def example_findings(n: int = 4000, seed: int = 11, kinds: tuple = SECRET_KINDS) -> list[tuple]:
     """before, candidate, after, path, is_secret of the example texts; none is left out."""
-    return [(t[max(0, s - NEAR) : s], c, t[s + len(c) : s + len(c) + NEAR], path, label) for t, s, c, path, label in example_texts(n, seed)]
+    return [(t[max(0, s - NEAR) : s], c, t[s + len(c) : s + len(c) + NEAR], path, label) for t, s, c, path, label in example_texts(n, seed, kinds)]
+
+
+def labelled_findings(findings: DataFrame, most: int = 20_000) -> list[tuple]:
+    """At most about ``most`` rows (before, candidate, after, path, is_secret) of a table, chosen by a hash of the row; null parts are empty, rows without a candidate or label are no findings."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("before", "candidate", "after", "path")]
+    rows = findings.select(*parts, F.col("is_secret").cast("int").alias("is_secret")).filter("candidate <> '' AND is_secret IS NOT NULL")
+    n = rows.count()
+    if n > most:
+        rows = rows.filter(F.pmod(F.xxhash64("before", "candidate", "after", "path", F.monotonically_increasing_id()), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+    return sorted((r["before"][-NEAR:], r["candidate"], r["after"][:NEAR], r["path"], r["is_secret"]) for r in rows.collect())
 
 
 FINDINGS = "doc_id long, start long, length long, candidate_sha256 string, score double, is_secret boolean"
