@@ -5,9 +5,9 @@ A text is its UTF-8 bytes. Each of ``FILTERS`` learned filters looks at ``WIDTH`
 max-pooled over overlapping chunks (two half chunks each) that cover the whole text, and the mean, the
 largest and the smallest of a filter over the chunks are combined by a logistic layer into one probability.
 
-The network is fitted on a bounded sample: at most ``per_class`` labelled texts of each class, of at most
-``MAX_SAMPLE_BYTES`` each, chosen by a hash of their id, outside the held-out fold. Every document is
-scored whole. Gradients flow only through the places that won the pooling, so training takes seconds.
+The network is fitted on a bounded sample: at most ``per_class`` labelled texts of each class, taken whole in
+the order of a hash of their id until they hold ``class_bytes`` bytes, outside the held-out fold. Every document
+is scored whole. Gradients flow only through the places that won the pooling, so training takes seconds.
 
 Edge cases: null and empty texts are scored as the empty text; if one class has no labelled text, every
 score is the share of label 1 in the sample (0.5 without any); a document with several label rows takes
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import fold, table
 
 WIDTH, STRIDE, FILTERS, HALF = 6, 2, 32, 256
-MAX_SAMPLE_BYTES = 16_384
+CLASS_BYTES = 6 << 20
 BYTES_AT_ONCE = 262_144
 
 
@@ -41,8 +41,8 @@ class Network:
 
 
 def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes, each text padded to whole half chunks (at least two), and the number of half chunks of each."""
-    halves = np.array([max(2, -(-len(t) // HALF)) for t in texts])
+    """All bytes, each text padded by WIDTH bytes at least to whole half chunks (at least two), and the number of half chunks of each."""
+    halves = np.array([max(2, -(-(len(t) + WIDTH) // HALF)) for t in texts])
     data = np.zeros(halves.sum() * HALF + WIDTH, np.uint8)
     at = np.r_[0, np.cumsum(halves)] * HALF
     for t, i in zip(texts, at):
@@ -50,15 +50,30 @@ def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, halves
 
 
-def _activations(net: Network, data: np.ndarray, blocks: int) -> np.ndarray:
-    """blocks x places x filters."""
+def _activations(net: Network, data: np.ndarray, halves: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Blocks lo to hi x places x filters. The places of a text's last block that reach beyond it, into the next text, don't count."""
+    data, blocks = data[lo * HALF : hi * HALF + WIDTH], hi - lo
     n = blocks * HALF
     out = np.take(net.tables[0], data[0:n:STRIDE], axis=0)
     tmp = np.empty_like(out)
     for k in range(1, WIDTH):
         np.take(net.tables[k], data[k : n + k : STRIDE], axis=0, out=tmp, mode="clip")
         out += tmp
-    return out.reshape(blocks, HALF // STRIDE, FILTERS)
+    out = out.reshape(blocks, HALF // STRIDE, FILTERS)
+    last = np.cumsum(halves) - 1 - lo
+    out[last[(last >= 0) & (last < blocks)], -((WIDTH - 1) // STRIDE) :] = -np.inf
+    return out
+
+
+def _winners(net: Network, data: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The winning place of each block and filter and its activation, some blocks at a time."""
+    won, best = [], []
+    blocks, step = int(halves.sum()), BYTES_AT_ONCE // HALF
+    for lo in range(0, blocks, step):
+        act = _activations(net, data, halves, lo, min(lo + step, blocks))
+        won.append(act.argmax(1))
+        best.append(np.take_along_axis(act, won[-1][:, None], 1)[:, 0])
+    return np.concatenate(won), np.concatenate(best)
 
 
 def _pool(half_max: np.ndarray, halves: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,7 +97,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def forward(net: Network, texts: list[bytes]) -> np.ndarray:
     data, halves = _layout(texts)
     blocks, step = int(halves.sum()), BYTES_AT_ONCE // HALF
-    half_max = np.concatenate([_activations(net, data[i * HALF : min(i + step, blocks) * HALF + WIDTH], min(step, blocks - i)).max(1) for i in range(0, blocks, step)])
+    half_max = np.concatenate([_activations(net, data, halves, i, min(i + step, blocks)).max(1) for i in range(0, blocks, step)])
     h, starts, _ = _pool(half_max, halves, net.bias)
     return _sigmoid(_features(h, starts, halves - 1) @ net.weights + net.offset)
 
@@ -106,9 +121,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int =
             pick = order[lo : lo + batch]
             data, halves = _layout([texts[i] for i in pick])
             blocks = int(halves.sum())
-            act = _activations(net, data, blocks)
-            won = act.argmax(1)
-            half_max = np.take_along_axis(act, won[:, None], 1)[:, 0]
+            won, half_max = _winners(net, data, halves)
             h, starts, second = _pool(half_max, halves, net.bias)
             chunks = halves - 1
             x = _features(h, starts, chunks)
@@ -133,19 +146,22 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int =
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """At most per_class rows (text, quality) of each class, by a hash of the id; docs outside the fold are the caller's care."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, class_bytes: int = CLASS_BYTES) -> DataFrame:
+    """Rows (text, quality): of each class at most per_class, and no more once they hold class_bytes; docs outside the fold are the caller's care."""
     marks = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marks = marks.withColumn("h", F.xxhash64("doc_id", F.lit(3)))
-    # twice as many ids as wanted, as some have no text or too long a one
+    # twice as many ids as wanted, as some have no text
     ids = [marks.filter(F.col("quality") == q).orderBy("h", "doc_id").limit(2 * per_class) for q in (0, 1)]
-    some = docs.filter(F.octet_length("text") <= MAX_SAMPLE_BYTES).select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
-    rank = F.row_number().over(Window.partitionBy("quality").orderBy("h", "doc_id", "text"))
-    return some.withColumn("r", rank).filter(F.col("r") <= per_class).select("text", "quality")
+    some = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    order = Window.partitionBy("quality").orderBy("h", "doc_id", "size", F.xxhash64("text"))
+    some = some.withColumn("size", F.octet_length("text").cast("long"))
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    some = some.withColumns({"r": F.row_number().over(order), "before": before})
+    return some.filter((F.col("r") <= per_class) & (F.col("before") < class_bytes)).select("text", "quality")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> Network:
-    rows = labelled_sample(docs, labels, per_class).toPandas()
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, class_bytes: int = CLASS_BYTES) -> Network:
+    rows = labelled_sample(docs, labels, per_class, class_bytes).toPandas()
     rows = rows.sort_values(["quality", "text"], kind="stable")
     return train([t.encode("utf-8", "surrogatepass") for t in rows["text"]], rows["quality"].to_numpy(int))
 
