@@ -2,13 +2,14 @@
 
 Texts become lower-case letters and single spaces; all their 2- and 3-grams are hashed into ``BUCKETS``
 buckets. Counts by language come from a Spark aggregation; the log-probability matrix (languages x buckets,
-a fixed size) is broadcast, and tasks score batches of whole texts as sparse rows in numpy.
+at most ``LANGUAGES`` of them) is broadcast, and tasks score batches of whole texts as sparse rows in numpy.
+Texts over ``CHARS_AT_ONCE`` characters are taken in pieces that end at a character other than a letter.
 
 The model is fitted on a bounded sample of the training documents: about ``sample`` documents, chosen by a
 hash of their id (all of them where there are fewer). Every document is scored whole.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; so is every document if nothing
-can be learned; rows with a null lang are not learned from; repeated rows are scored once each; a null
+can be learned; beyond ``LANGUAGES`` different langs, those with the fewest texts are not learned; rows with a null lang are not learned from; repeated rows are scored once each; a null
 doc_id is scored; extra columns are ignored.
 """
 
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import fold, table
+from panelforge.llm.common import fold, materialize, table
 
 BITS = 15
 BUCKETS = 1 << BITS
 CHARS_AT_ONCE = 1_000_000
+LANGUAGES = 512
 
 
 @cache
@@ -72,6 +74,19 @@ def slices(texts: list[str | None], most: int) -> Iterator[slice]:
         yield slice(lo, len(texts))
 
 
+def pieces(text: str | None, most: int) -> list[str | None]:
+    """A text in pieces of up to about ``most`` characters, each but the last cut behind a character other than a letter, if there is one near."""
+    if len(text or "") <= most:
+        return [text]
+    out, lo = [], 0
+    while len(text) - lo > most:
+        hi = lo + most
+        cut = next((k for k in range(hi, max(lo, hi - 1000), -1) if not text[k - 1].isalpha()), hi)
+        out.append(text[lo:cut])
+        lo = cut
+    return [*out, text[lo:]]
+
+
 def gram_counts(labelled: DataFrame) -> DataFrame:
     """lang, bucket, n over the given texts; bucket -1 counts the texts."""
 
@@ -79,14 +94,16 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         found: dict[str, np.ndarray] = {}
         for b in batches:
             langs, texts = np.array(b.column(0).to_pylist(), object), b.column(1).to_pylist()
+            for lang, k in zip(*np.unique(langs.astype(str), return_counts=True)):
+                found.setdefault(str(lang), np.zeros(BUCKETS + 1, np.int64))[BUCKETS] += k
+            cut = [pieces(t, CHARS_AT_ONCE) for t in texts]
+            langs, texts = np.repeat(langs, [len(c) for c in cut]), [p for c in cut for p in c]
             for part in slices(texts, CHARS_AT_ONCE):
                 ids, starts, _ = ngrams(texts[part])
                 sizes = np.diff(np.r_[starts, len(ids)])
                 of = np.repeat(langs[part], sizes)
                 for lang in set(langs[part]):
-                    n = found.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
-                    n[:BUCKETS] += np.bincount(ids[of == lang], minlength=BUCKETS)
-                    n[BUCKETS] += (langs[part] == lang).sum()
+                    found[lang][:BUCKETS] += np.bincount(ids[of == lang], minlength=BUCKETS)
         for lang, n in found.items():
             some = np.flatnonzero(n)
             bucket = np.where(some == BUCKETS, -1, some).astype(np.int32)
@@ -102,10 +119,12 @@ def fit(docs: DataFrame, sample: int = 20_000) -> tuple[list[str], np.ndarray]:
     rows = known.select("lang").count()
     if rows > sample:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample / rows * (1 << 30)))
-    counts = gram_counts(known).toPandas()
+    counts = materialize(gram_counts(known), "gram-counts")
+    texts = counts.filter("bucket = -1").orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
+    counts = counts.join(F.broadcast(texts.select("lang")), "lang").toPandas()
     langs = sorted(counts["lang"].unique())
     n = np.zeros((len(langs), BUCKETS + 1))
-    n[[langs.index(x) for x in counts["lang"]], counts["bucket"]] = counts["n"]
+    n[counts["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(int), counts["bucket"].to_numpy(int)] = counts["n"]
     if not langs:
         return [], n
     grams, texts = n[:, :BUCKETS] + 0.5, n[:, BUCKETS:]
@@ -119,21 +138,25 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            texts = b.column(1).to_pylist()
+            cut = [pieces(t, CHARS_AT_ONCE) for t in b.column(1).to_pylist()]
+            owner, texts = np.repeat(np.arange(len(cut)), [len(c) for c in cut]), [p for c in cut for p in c]
+            scores, has_letter = np.repeat(model[:, BUCKETS:], len(cut), axis=1), np.zeros(len(cut), bool)
             for part in slices(texts, CHARS_AT_ONCE):
-                ids, starts, has_letter = ngrams(texts[part])
-                scores = np.repeat(model[:, BUCKETS:], len(starts), axis=1)
+                ids, starts, letters = ngrams(texts[part])
                 some = np.diff(np.r_[starts, len(ids)]) > 0  # a text without a letter may have no n-gram
                 if langs and some.any():
-                    scores[:, some] += np.array([np.add.reduceat(row[ids], starts[some]) for row in model]).reshape(len(langs), -1)
-                if langs:
-                    best = scores.argmax(0)
-                    top = 1 / np.exp(scores - scores.max(0)).sum(0)
-                    pred = [langs[k] if ok else "und" for k, ok in zip(best, has_letter)]
-                    score = np.where(has_letter, top, 0.0)
-                else:
-                    pred, score = ["und"] * len(starts), np.zeros(len(starts))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, part.stop - part.start), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+                    sums = np.array([np.add.reduceat(row[ids], starts[some]) for row in model]).reshape(len(langs), -1)
+                    for k, found in zip(owner[part][some].tolist(), sums.T):
+                        scores[:, k] += found
+                np.logical_or.at(has_letter, owner[part], letters)
+            if langs and len(cut):
+                best = scores.argmax(0)
+                top = 1 / np.exp(scores - scores.max(0)).sum(0)
+                pred = [langs[k] if ok else "und" for k, ok in zip(best, has_letter)]
+                score = np.where(has_letter, top, 0.0)
+            else:
+                pred, score = ["und"] * len(cut), np.zeros(len(cut))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
