@@ -22,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import fold, materialize, table
 from panelforge.llm.hashing import HashTable, word_hashes
-from panelforge.llm.language_id import slices
 
 DEPTH = 5
 END = b"\n"
@@ -43,17 +43,38 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_keys(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Non-negative keys of all tokens with their ends, and the number of tokens of each text."""
-    flat = [w for words in docs for w in (*words, END)]
-    return (word_hashes(flat) >> np.uint64(1)).astype(np.int64), np.array([len(w) + 1 for w in docs])
+@dataclass
+class Part:
+    """A text, or a part of a long one: its words, the bytes before it, and whether the text ends here."""
 
+    words: list[bytes]
+    lead: bytes
+    last: bool = True
 
-def gram_keys(docs: list[list[bytes]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """The ``depth`` bytes before each byte and the byte itself as one integer, and the number of bytes of each text."""
-    texts = [b" ".join(w) + END for w in docs]
-    data = np.frombuffer(b"".join(END * depth + t for t in texts), np.uint8).astype(np.int64)
-    sizes = np.array([len(t) for t in texts])
+    def body(self) -> bytes:
+        return b" ".join(self.words) + (END if self.last else b" ")
+
+
+def parts(text: str | None, depth: int = DEPTH, most: int = CHARS_AT_ONCE // 8) -> list[Part]:
+    """A text in parts of up to ``most`` words; each knows the bytes before it, so parts give what the whole gives."""
+    words, lead, out = tokens(text), END * depth, []
+    for lo in range(0, max(1, len(words)), most):
+        out.append(Part(words[lo : lo + most], lead, lo + most >= len(words)))
+        lead = (lead + out[-1].body()[-depth:])[-depth:]
+    return out
+
+
+def word_keys(docs: list[Part]) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative keys of all tokens with their ends, and the number of tokens of each part."""
+    flat = [w for p in docs for w in (*p.words, *([END] if p.last else []))]
+    return (word_hashes(flat) >> np.uint64(1)).astype(np.int64), np.array([len(p.words) + p.last for p in docs])
+
+
+def gram_keys(docs: list[Part], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """The ``depth`` bytes before each byte and the byte itself as one integer, and the number of bytes of each part."""
+    bodies = [p.body() for p in docs]
+    data = np.frombuffer(b"".join(p.lead + t for p, t in zip(docs, bodies)), np.uint8).astype(np.int64)
+    sizes = np.array([len(t) for t in bodies])
     keep = np.ones(len(data), bool)
     starts = np.r_[0, np.cumsum(sizes + depth)[:-1]]
     keep[(starts[:, None] + np.arange(depth)).ravel()] = False
@@ -63,6 +84,24 @@ def gram_keys(docs: list[list[bytes]], depth: int = DEPTH) -> tuple[np.ndarray,
     return key[keep[depth:]], sizes
 
 
+def some_at_once(texts: list[str | None], depth: int) -> Iterator[tuple[list[int], list[Part]]]:
+    """Parts of texts, and the text each is of, of about CHARS_AT_ONCE bytes together."""
+    of: list[int] = []
+    held: list[Part] = []
+    size = 0
+    for k, t in enumerate(texts):
+        for p in parts(t, depth):
+            n = sum(map(len, p.words)) + len(p.words)
+            if held and size + n > CHARS_AT_ONCE:
+                yield of, held
+                of, held, size = [], [], 0
+            of.append(k)
+            held.append(p)
+            size += n
+    if held:
+        yield of, held
+
+
 class _Counts:
     """Counts by key, summed up now and then."""
 
@@ -96,8 +135,7 @@ def gather(docs: DataFrame, depth: int = DEPTH, flush: int = 3_000_000) -> DataF
 
         for b in batches:
             texts = b.column(0).to_pylist()
-            for part in slices(texts, CHARS_AT_ONCE):
-                words = [tokens(t) for t in texts[part]]
+            for _, words in some_at_once(texts, depth):
                 found[WORD].add(word_keys(words)[0])
                 found[GRAM].add(gram_keys(words, depth)[0])
                 for kind, c in found.items():
@@ -193,11 +231,10 @@ def score_texts(docs: DataFrame, grams: HashTable, head: HashTable, depth: int =
         row = TaskContext.get().partitionId() << 36
         for b in batches:
             texts, ids = b.column(1).to_pylist(), b.column(0)
-            for part in slices(texts, CHARS_AT_ONCE):
-                words = [tokens(t) for t in texts[part]]
-                rows = np.arange(row, row + len(words))
-                row += len(words)
-                doc_ids = ids.slice(part.start, part.stop - part.start)
+            for of_text, words in some_at_once(texts, depth):
+                # Parts of one text have one row number, and their rows add up.
+                rows = row + np.array(of_text)
+                doc_ids = ids.take(pa.array(of_text))
 
                 def looked_up(table: HashTable, keys: np.ndarray, sizes: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, list[pa.RecordBatch]]:
                     """Sum and number of the values that the table has, by text, and the rows of the other keys."""
@@ -219,6 +256,7 @@ def score_texts(docs: DataFrame, grams: HashTable, head: HashTable, depth: int =
                 yield pa.RecordBatch.from_arrays([pa.array(rows), doc_ids, pa.array(np.full(len(words), TEXT, np.int32)), pa.array(rows), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)], names=names)
                 yield from other_words
                 yield from other_grams
+            row += len(texts)
 
     names = [c.split()[0] for c in SCORED.split(", ")]
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCORED)
