@@ -11,7 +11,7 @@
    that are not connected by their neighbours are compared with all of it. Rows with one and the same whole
    order are compared in runs of ``REGION`` that overlap. What passes is linked if the signatures agree often
    enough, five deviations below the threshold. Regions that lie across the edge of two partitions are taken
-   from the last and first ``REGION`` rows at the edge, in a second, small pass.
+   from the rows at the edge (at most ``REGION`` on each side), in a second, small pass.
 3. Connected candidates are fetched once with their full sets and compared exactly, by an inverted index in
    blocks of bounded size. Of a large group each row first meets one block of the group and the group's centres;
    only rows that are then still apart from the group's largest part meet all blocks. Links that pass give the
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import BROADCAST_BYTES, materialize, table, unite
@@ -248,13 +248,15 @@ def _fixed(column: pa.Array, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
 
 
-ORDERED = "a long, b long, part int, place long, whole boolean, tree int, key binary, sig binary"
+HEAD, TAIL, WHOLE = 0, 1, 2
+ORDERED = "a long, b long, part int, place long, edge int, tree int, key binary, sig binary"
 
 
 def links_in_order(members: DataFrame, edges: bool) -> DataFrame:
     """Links (a, b) of partitions sorted by (tree, key); members: tree, key, id, sig.
 
-    With ``edges`` also each partition's first and last REGION rows (part, place, and whether it has no others).
+    With ``edges`` also the rows of each partition's first and last region, at most REGION of each (part, place,
+    HEAD or TAIL), or all rows (WHOLE) of a partition that is one region of at most twice as many.
     """
     names = [c.split()[0] for c in ORDERED.split(", ")]
 
@@ -264,9 +266,9 @@ def links_in_order(members: DataFrame, edges: bool) -> DataFrame:
         head: list[np.ndarray] | None = None
         n = 0
 
-        def edge(rows: list[np.ndarray], first: int, whole: bool) -> pa.RecordBatch:
+        def edge(rows: list[np.ndarray], first: int, kind: int) -> pa.RecordBatch:
             m = len(rows[2])
-            of = [pa.array(rows[2]), pa.nulls(m, pa.int64()), pa.array(np.full(m, part, np.int32)), pa.array(np.arange(first, first + m)), pa.array(np.full(m, whole)), pa.array(rows[0].astype(np.int32))]
+            of = [pa.array(rows[2]), pa.nulls(m, pa.int64()), pa.array(np.full(m, part, np.int32)), pa.array(np.arange(first, first + m)), pa.array(np.full(m, kind, np.int32)), pa.array(rows[0].astype(np.int32))]
             return pa.RecordBatch.from_arrays([*of, *(pa.array([x.tobytes() for x in rows[k]], pa.binary()) for k in (1, 3))], names=names)
 
         for b in batches:
@@ -278,16 +280,18 @@ def links_in_order(members: DataFrame, edges: bool) -> DataFrame:
             n += b.num_rows
             links = _links(order_links(*rows, done))
             m = links.num_rows
-            yield pa.RecordBatch.from_arrays([*links.columns, *(pa.nulls(m, t) for t in (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()))], names=names)
+            yield pa.RecordBatch.from_arrays([*links.columns, *(pa.nulls(m, t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=names)
             if edges and (head is None or len(head[2]) < 2 * REGION):
                 head = [c[: 2 * REGION] for c in (new if head is None else [np.concatenate(p) for p in zip(head, new)])]
             held = [c[-REGION:].copy() for c in rows]
         if edges and held is not None:
-            if n <= 2 * REGION:
-                yield edge(head, 0, True)
+            alike = [(r[0] == r[0][k]) & (r[1][:, :LEAST_DEPTH] == r[1][k, :LEAST_DEPTH]).all(1) for r, k in ((head, 0), (held, -1))]
+            if n <= 2 * REGION and alike[0].all():
+                yield edge(head, 0, WHOLE)
             else:
-                yield edge([c[:REGION] for c in head], 0, False)
-                yield edge(held, n - REGION, False)
+                first, last = min(int(alike[0].sum()), REGION), int(alike[1].sum())
+                yield edge([c[:first] for c in head], 0, HEAD)
+                yield edge([c[len(c) - last :] for c in held], n - last, TAIL)
 
     return members.select("tree", "key", "id", "sig").mapInArrow(run, ORDERED)
 
@@ -301,11 +305,19 @@ def candidate_links(one: DataFrame, rows: int) -> DataFrame:
     order = members.repartitionByRange(max(parts, int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
     found = materialize(links_in_order(order, True), "orders")
     edges = found.filter("part IS NOT NULL")
-    # One row for each partition of the order: edges between two large ones stand apart, small ones are joined to one run.
-    large = F.sum(F.when(F.col("whole"), 0).otherwise(1)).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    runs = edges.groupBy("part").agg(F.first("whole").alias("whole")).select("part", F.coalesce(large, F.lit(0)).alias("run"))
-    after = F.when(~F.col("whole") & (F.col("place") >= REGION), 1).otherwise(0)
-    edges = edges.join(F.broadcast(runs), "part").withColumn("run", (F.col("run") + after).cast("int"))
+    # One small row for each partition of the order: those that are one region join the runs of rows at their two edges.
+    kinds = {r["part"]: r["edge"] for r in edges.filter(F.col("edge") != TAIL).groupBy("part").agg(F.first("edge").alias("edge")).collect()}
+    runs, n = {}, 0
+    for part in sorted(kinds):
+        runs[part] = n
+        n += kinds[part] != WHOLE
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            run = [runs[p] + (e == TAIL) for p, e in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(run, pa.int32()), *b.columns], names=["run", *b.schema.names])
+
+    edges = edges.select("part", "place", "edge", "tree", "key", "sig", "a").mapInArrow(tag, "run int, part int, place long, edge int, tree int, key binary, sig binary, a long")
     edges = edges.repartition("run").sortWithinPartitions("run", "part", "place")
     edges = edges.select((F.col("run") * TREES + F.col("tree")).cast("int").alias("tree"), "key", F.col("a").alias("id"), "sig")
     return found.filter("part IS NULL").select("a", "b").unionByName(links_in_order(edges, False).select("a", "b")).distinct()
@@ -385,10 +397,12 @@ def exact_components(sets: DataFrame) -> DataFrame:
     blocks = blocks_of(F.col("size"))
     small = sets.filter(blocks == 1).select("cc", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "set")
     large = sets.filter(blocks > 1).withColumn("blocks", blocks)
+    groups = materialize(large.groupBy("cc").agg(F.first("blocks").alias("blocks")), "large-groups")
+    few = F.broadcast if groups.count() * CENTRES * 64 <= BROADCAST_BYTES else lambda df: df  # what has CENTRES rows a large group at most
     # Centres: the rows with the smallest hashes in each of CENTRES classes of ids; they go to every block.
     h = F.xxhash64(F.lit(7), "id")
     centres = large.groupBy("cc", F.pmod(h, F.lit(CENTRES)).alias("class")).agg(F.min(F.struct(h.alias("h"), "id")).alias("r")).select("cc", "r.id")
-    everywhere = large.join(centres, ["cc", "id"], "left_semi").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    everywhere = large.join(few(centres), ["cc", "id"], "left_semi").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first = large.withColumn("i", _own(F.col("blocks")))
     first = unite([x.select("cc", "i", F.lit(-1).alias("j"), "id", "set") for x in (everywhere, first)]).dropDuplicates(["cc", "i", "id"])
     links = materialize(confirmed_links(small.unionByName(first)).distinct(), "near-links")
@@ -397,15 +411,15 @@ def exact_components(sets: DataFrame) -> DataFrame:
     parts = connected(links, "near-parts")
     placed = large.select("cc", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("cc", "id", F.coalesce("label", "id").alias("label"))
     best = placed.groupBy("cc", "label").agg(F.count("*").alias("rows")).groupBy("cc").agg(F.max(F.struct("rows", "label")).alias("best"))
-    apart = placed.join(best, "cc").filter("label <> best.label").select("cc", "id")
+    apart = placed.join(few(best), "cc").filter("label <> best.label").select("cc", "id")
     apart = materialize(large.join(apart, ["cc", "id"], "left_semi"), "apart")
     if apart.isEmpty():
         return links
     # A block takes its visitors in parts of about 2,048, and its own rows once for each part.
     visitors = apart.groupBy("cc").agg(F.ceil(F.count("*") / 2048).cast("int").alias("parts"))
-    meet = apart.join(visitors, "cc").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meet = apart.join(few(visitors), "cc").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meet = meet.withColumn("j", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("parts")).cast("int"))
-    home = large.join(visitors, "cc").withColumn("i", _own(F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    home = large.join(few(visitors), "cc").withColumn("i", _own(F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     again = unite([x.select("cc", "i", "j", "id", "set") for x in (meet, home)]).dropDuplicates(["cc", "i", "j", "id"])
     return links.unionByName(confirmed_links(again)).distinct()
 
