@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators.timeseries import ranked
+
 #: Scales a median absolute deviation to a normal standard deviation.
 MAD_SCALE = 1.4826
 
@@ -38,10 +40,25 @@ def weighted_corr(x: str, y: str, w: str, least: int = 3) -> Column:
     return F.when(good, F.try_divide(s(F.col(x) * F.col(y)) - mx * my, F.sqrt(F.greatest(vx * vy, F.lit(0.0)))))
 
 
+def quantiles(df: DataFrame, by: Sequence[str], x: str, shares: dict[str, float], size: str | None = None) -> DataFrame:
+    """by and, for each name, the exact quantile of the not-null x of the key, linear between ranks; size: their number.
+
+    Selected by rank in a sort over all keys, so that a key with many different values is not one task's.
+    """
+    found = ranked(df.filter(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x")), by, ["_x"], "_rank", "_size")
+    picks = []
+    for name, q in shares.items():
+        at = (F.col("_size") - 1) * F.lit(q)
+        lo, hi = (F.max(F.when(F.col("_rank") - 1 == f(at), F.col("_x"))) for f in (F.floor, F.ceil))
+        picks.append((lo + (F.max(at) - F.floor(F.max(at))) * (hi - lo)).alias(name))
+    return found.groupBy(*by).agg(*picks, *([F.max("_size").alias(size)] if size else []))
+
+
 def robust_centre(df: DataFrame, by: Sequence[str], x: str, where: Column) -> DataFrame:
     """df with _med and _mad of x over the rows of ``where``."""
-    df = attach(df, by, where, _med=F.median(x))
-    return attach(df, by, where, _mad=F.median(F.abs(F.col(x) - F.col("_med"))))
+    df = df.join(quantiles(df.filter(where), by, x, {"_med": 0.5}), list(by), "left")
+    off = df.filter(where).select(*by, F.abs(F.col(x) - F.col("_med")).alias("_off"))
+    return df.join(quantiles(off, by, "_off", {"_mad": 0.5}), list(by), "left")
 
 
 def robust_z(df: DataFrame, by: Sequence[str], x: str, where: Column, name: str = "z") -> DataFrame:
@@ -100,10 +117,10 @@ def impute(df: DataFrame, by: Sequence[str], x: str, group: str, covariate: str,
 
 def edge_groups(df: DataFrame, by: Sequence[str], x: str, k: int, name: str = "decile") -> DataFrame:
     """Number of quantile edges (1/k ... (k-1)/k, linear) at or below x; -1 for keys with fewer than k rows."""
-    edges = F.percentile(x, F.array(*(F.lit(i / k) for i in range(1, k))))
-    df = attach(df, by, F.col(x).isNotNull(), _edges=edges, _n=F.count(x))
-    place = F.size(F.filter("_edges", lambda e: e <= F.col(x)))
-    return df.withColumn(name, F.when(F.col(x).isNull(), None).when(F.col("_n") < k, -1).otherwise(place).cast("int")).drop("_edges", "_n")
+    names = [f"_q{i}" for i in range(1, k)]
+    df = df.join(quantiles(df, by, x, {n: i / k for i, n in enumerate(names, 1)}, "_n"), list(by), "left")
+    place = sum(((F.col(x) >= F.col(n)).cast("int") for n in names), F.lit(0))
+    return df.withColumn(name, F.when(F.col(x).isNull(), None).when(F.col("_n") < k, -1).otherwise(place).cast("int")).drop(*names, "_n")
 
 
 def shrink(df: DataFrame, by: Sequence[str], sigma: str, cap: str, q: float, name: str = "shrunk") -> DataFrame:
@@ -124,6 +141,6 @@ def coverage_gamma(x: str, h_min: int, h_ramp: int) -> Column:
     return F.when(n < 2, 0.0).otherwise(unit((n - h_min) / F.lit(float(h_ramp))) * F.coalesce(unit(F.exp(1 - z)), F.lit(0.0)))
 
 
-def share(by: Sequence[str], x: str) -> Column:
-    """x over the sum of its key."""
-    return F.try_divide(F.col(x), F.nullif(F.sum(x).over(Window.partitionBy(*by)), F.lit(0.0)))
+def share(df: DataFrame, by: Sequence[str], x: str, name: str = "share") -> DataFrame:
+    """df with x over the sum of its key, by an aggregate that is joined back."""
+    return attach(df, by, _total=F.sum(x)).withColumn(name, F.try_divide(F.col(x), F.nullif("_total", F.lit(0.0)))).drop("_total")

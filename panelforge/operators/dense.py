@@ -1,102 +1,136 @@
 """Small dense problems, one per key, solved with numpy in grouped maps; Spark deals the keys over tasks.
 
-A group is one date's cross-section or one factor panel: its size follows the model, not the data.
+A regression's cross products add up, so Spark aggregates them with map-side combine to a row per key and industry;
+a grouped map sees only those. Covariances take one factor panel per key. Groups follow the model, not the data.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def constrained_fit(y: np.ndarray, x: np.ndarray, industry: np.ndarray, cap: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
-    """Weighted fit y ~ country + industries + styles with cap-weighted industry returns summing to zero.
+def cross_products(df: DataFrame, by: str, y: str, styles: Sequence[str], industry: str, cap: str, v: str) -> DataFrame:
+    """by, industry and the sums over rows without nulls: n, v, cap, vy, vyy, and vx_k, vxy_k, vxx_k_l of the styles k <= l."""
+    needed = list(dict.fromkeys([by, y, *styles, industry, cap, v]))
+    w, target = F.col(v), F.col(y)
+    sums = {"n": F.count("*"), "v": F.sum(w), "cap": F.sum(cap), "vy": F.sum(w * target), "vyy": F.sum(w * target * target)}
+    for k, a in enumerate(styles):
+        sums |= {f"vx_{k}": F.sum(w * F.col(a)), f"vxy_{k}": F.sum(w * F.col(a) * target)}
+        sums |= {f"vxx_{k}_{j}": F.sum(w * F.col(a) * F.col(b)) for j, b in enumerate(styles) if j >= k}
+    return df.select(*needed).na.drop().groupBy(by, F.col(industry).cast("string").alias("industry")).agg(*(c.alias(n) for n, c in sums.items()))
 
-    The constraint joins the normal equations as one more row and column (a Lagrange multiplier). Gives
-    names, f, t, and the fitted values.
+
+def constrained_fit(rows: pd.DataFrame, styles: int) -> dict:
+    """Weighted fit y ~ country + industries + styles, from cross products by industry (a row each).
+
+    Cap-weighted industry returns sum to zero: the constraint joins the normal equations as one more row and
+    column (a Lagrange multiplier). Gives f, t, r2, what is left of the constraint, the rows, and the
+    condition number of the normal equations where the constraint holds.
     """
-    names, at = np.unique(industry, return_inverse=True)
-    dummies = (at[:, None] == np.arange(len(names))).astype(float)
-    design = np.hstack([np.ones((len(y), 1)), dummies, x])
-    weight = np.bincount(at, cap) / cap.sum()
-    k = design.shape[1]
+    m, total = len(rows), rows.sum(numeric_only=True)
+    k = 1 + m + styles
+    gram, moment = np.zeros((k, k)), np.zeros(k)
+    gram[0, 0], moment[0] = total["v"], total["vy"]
+    inner = np.arange(1, 1 + m)
+    gram[0, inner] = gram[inner, 0] = gram[inner, inner] = rows["v"]
+    moment[inner] = rows["vy"]
+    for a in range(styles):
+        at = 1 + m + a
+        gram[0, at] = gram[at, 0] = total[f"vx_{a}"]
+        gram[inner, at] = gram[at, inner] = rows[f"vx_{a}"]
+        moment[at] = total[f"vxy_{a}"]
+        for b in range(a, styles):
+            gram[at, 1 + m + b] = gram[1 + m + b, at] = total[f"vxx_{a}_{b}"]
     constraint = np.zeros(k)
-    constraint[1 : 1 + len(names)] = weight
-    gram = design.T @ (v[:, None] * design)
+    constraint[inner] = rows["cap"] / total["cap"]
     scale = np.trace(gram) / k or 1.0
     kkt = np.block([[gram, scale * constraint[:, None]], [scale * constraint[None], np.zeros((1, 1))]])
-    inverse = np.linalg.pinv(kkt, hermitian=True)
-    f = inverse[:k, :k] @ (design.T @ (v * y))
-    fitted = design @ f
-    free = max(1, len(y) - (k - 1))
-    s2 = float((v * (y - fitted) ** 2).sum()) / free
-    error = np.sqrt(np.maximum(np.diag(inverse[:k, :k]) * s2, 0))
-    t = np.divide(f, error, out=np.full(k, np.nan), where=error > 0)
-    mean = np.average(y, weights=v)
-    spread = float((v * (y - mean) ** 2).sum())
-    r2 = 1 - float((v * (y - fitted) ** 2).sum()) / spread if spread > 0 else np.nan
-    return {"industries": names, "f": f, "t": t, "fitted": fitted, "r2": r2, "residual": float(constraint @ f)}
+    inverse = np.linalg.pinv(kkt, hermitian=True)[:k, :k]
+    f = inverse @ moment
+    left = max(0.0, float(total["vyy"] - 2 * f @ moment + f @ gram @ f))
+    n = int(total["n"])
+    error = np.sqrt(np.maximum(np.diag(inverse) * left / max(1, n - (k - 1)), 0))
+    spread = float(total["vyy"] - total["vy"] ** 2 / total["v"])
+    free = np.linalg.svd(constraint[None])[2][1:].T
+    return {
+        "f": f, "t": np.divide(f, error, out=np.full(k, np.nan), where=error > 0), "r2": 1 - left / spread if spread > 0 else np.nan,
+        "residual": float(constraint @ f), "n": n, "condition": float(np.linalg.cond(free.T @ gram @ free)),
+    }
 
 
 def _null(x: float) -> float | None:
     return float(x) if np.isfinite(x) else None
 
 
+FIT = "kind string, factor string, f double, t_stat double, r2 double, constraint_resid double, n long, condition double"
+
+
 def factor_returns(df: DataFrame, by: str, y: str, styles: Sequence[str], industry: str, cap: str, v: str) -> DataFrame:
-    """by, factor, f, t_stat, r2, constraint_resid of each key; keys with fewer rows than factors give none.
+    """by, kind, factor, f, t_stat, r2, constraint_resid, n and condition of each key; keys with no more rows than factors give none.
 
-    Rows with a null in any input take no part. Factors: country, the industries present, the styles.
+    Rows with a null in any input take no part. Kinds of factors: country, the industries present, the styles.
     """
     kind = dict(df.dtypes)[by]
-    needed = [y, *styles, industry, cap, v]
+    columns = [by, *(c.split()[0] for c in FIT.split(", "))]
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("industry")
         out = []
-        if len(rows) > rows[industry].nunique() + len(styles):
-            found = constrained_fit(rows[y].to_numpy(float), rows[list(styles)].to_numpy(float), rows[industry].to_numpy(str), rows[cap].to_numpy(float), rows[v].to_numpy(float))
-            factors = ["country", *found["industries"], *styles]
-            out = [(rows[by].iloc[0], n, _null(f), _null(t), _null(found["r2"]), found["residual"]) for n, f, t in zip(factors, found["f"], found["t"])]
-        return pd.DataFrame(out, columns=[by, "factor", "f", "t_stat", "r2", "constraint_resid"])
+        if rows["n"].sum() > len(rows) + len(styles) and rows["v"].sum() > 0 and rows["cap"].sum() > 0:
+            found = constrained_fit(rows, len(styles))
+            factors = [("country", "country"), *(("industry", i) for i in rows["industry"]), *(("style", s) for s in styles)]
+            same = (_null(found["r2"]), found["residual"], found["n"], _null(found["condition"]))
+            out = [(rows[by].iloc[0], *name, _null(f), _null(t), *same) for name, f, t in zip(factors, found["f"], found["t"])]
+        return pd.DataFrame(out, columns=columns)
 
-    complete = df.select(by, *needed).na.drop(subset=[by, *needed])
-    return complete.groupBy(by).applyInPandas(fit, f"{by} {kind}, factor string, f double, t_stat double, r2 double, constraint_resid double")
+    return cross_products(df, by, y, styles, industry, cap, v).groupBy(by).applyInPandas(fit, f"{by} {kind}, {FIT}")
 
 
 def specific_returns(df: DataFrame, by: str, sid: str, y: str, styles: Sequence[str], industry: str, cap: str, v: str) -> DataFrame:
-    """by, sid, u: what the fit of each key leaves unexplained."""
-    kinds = dict(df.dtypes)
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) <= rows[industry].nunique() + len(styles):
-            return pd.DataFrame({by: [], sid: [], "u": []})
-        found = constrained_fit(rows[y].to_numpy(float), rows[list(styles)].to_numpy(float), rows[industry].to_numpy(str), rows[cap].to_numpy(float), rows[v].to_numpy(float))
-        return pd.DataFrame({by: rows[by], sid: rows[sid], "u": rows[y].to_numpy(float) - found["fitted"]})
-
-    needed = [by, sid, y, *styles, industry, cap, v]
-    return df.select(*needed).na.drop().groupBy(by).applyInPandas(fit, f"{by} {kinds[by]}, {sid} {kinds[sid]}, u double")
+    """by, sid, u: what the fit of each key leaves unexplained. The coefficients, a map per key, are joined back to the rows."""
+    fitted = factor_returns(df, by, y, styles, industry, cap, v)
+    name = F.concat_ws("|", "kind", "factor")
+    betas = fitted.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct(name, "f"))).alias("_f"))
+    rows = df.select(*dict.fromkeys([by, sid, y, *styles, industry, cap, v])).na.drop().join(betas, by)
+    of = lambda kind, factor: F.try_element_at("_f", F.concat(F.lit(f"{kind}|"), factor))
+    explained = of("country", F.lit("country")) + of("industry", F.col(industry).cast("string"))
+    for s in styles:
+        explained = explained + of("style", F.lit(s)) * F.col(s)
+    return rows.select(by, sid, (F.col(y) - explained).alias("u"))
 
 
 def inflation(df: DataFrame, by: str, columns: Sequence[str], w: str) -> DataFrame:
-    """by, style, vif: 1 / (1 - R2) of each column on the others and a constant, weighted; null if they span it."""
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        x, root = rows[list(columns)].to_numpy(float), np.sqrt(rows[w].to_numpy(float))
-        out = []
-        for k, name in enumerate(columns):
-            design = np.hstack([np.ones((len(x), 1)), np.delete(x, k, 1)]) * root[:, None]
-            target = x[:, k]
-            beta = np.linalg.lstsq(design, target * root, rcond=None)[0]
-            left = float(((target * root - design @ beta) ** 2).sum())
-            total = float((root**2 * (target - np.average(target, weights=root**2)) ** 2).sum())
-            out.append((rows[by].iloc[0], name, total / left if left > 1e-12 * total and total > 0 else None))
-        return pd.DataFrame(out, columns=[by, "style", "vif"])
+    """by, style, vif: 1 / (1 - R2) of each column on the others and a constant, weighted; null if they span it.
 
+    It is the diagonal of the weighted covariance times that of its inverse; only the covariance's sums leave the JVM, a row per key.
+    """
     kind = dict(df.dtypes)[by]
-    return df.select(by, *columns, w).na.drop().groupBy(by).applyInPandas(fit, f"{by} {kind}, style string, vif double")
+    weight, k = F.col(w), len(columns)
+    sums = [F.sum(weight).alias("w"), *(F.sum(weight * F.col(c)).alias(f"x_{i}") for i, c in enumerate(columns))]
+    sums += [F.sum(weight * F.col(a) * F.col(b)).alias(f"xx_{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if j >= i]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.to_dict("records"):
+                x = np.array([r[f"x_{i}"] for i in range(k)])
+                c = np.array([[r[f"xx_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) - np.outer(x, x) / r["w"]
+                size = np.sqrt(np.maximum(np.diag(c), 0))
+                good = size > 0
+                values = np.full(k, np.nan)
+                corr = c[np.ix_(good, good)] / np.outer(size[good], size[good])
+                if good.any() and np.linalg.cond(corr) < 1e12:
+                    values[good] = np.diag(np.linalg.inv(corr))
+                out += [(r[by], name, _null(v)) for name, v in zip(columns, values)]
+            yield pd.DataFrame(out, columns=[by, "style", "vif"])
+
+    return df.select(by, *columns, w).na.drop().groupBy(by).agg(*sums).mapInPandas(solve, f"{by} {kind}, style string, vif double")
 
 
 def clip_psd(a: np.ndarray, floor: float = 1e-14) -> np.ndarray:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.sources.store import stored
+
 
 def ewma_weights(sessions: DataFrame, session: str, half_life: float) -> DataFrame:
     """session, age and its weight, which halves every half life and sums to one."""
@@ -25,18 +27,24 @@ def lag_moments(panel: DataFrame, factor: str, session: str, x: str, half_life:
 
     Weights are normalised over all sessions, so a lag loses the weight of its first ones.
     """
-    later = panel.join(F.broadcast(ewma_weights(panel, session, half_life)), session).select(F.col(factor).alias("j"), F.col(session).alias("s"), F.col(x).alias("xj"), "w")
+    later = panel.join(ewma_weights(panel, session, half_life), session).select(F.col(factor).alias("j"), F.col(session).alias("s"), F.col(x).alias("xj"), "w")
     earlier = panel.select(F.col(factor).alias("i"), (F.col(session) + lag).alias("s"), F.col(x).alias("xi"))
     return later.join(earlier, "s").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("xi") * F.col("xj")).alias("c"))
 
 
 def serial_covariance(panel: DataFrame, factor: str, session: str, x: str, half_life: float, lags: int) -> DataFrame:
-    """i, j (i <= j), cov with Bartlett-weighted lags in both directions."""
-    terms = lag_moments(panel, factor, session, x, half_life)
-    for lag in range(1, lags + 1):
-        c = lag_moments(panel, factor, session, x, half_life, lag).withColumn("c", F.col("c") * (1 - lag / (lags + 1)))
-        terms = terms.unionByName(c).unionByName(c.select(F.col("j").alias("i"), F.col("i").alias("j"), "c"))
-    return terms.filter("i <= j").groupBy("i", "j").agg(F.sum("c").alias("cov"))
+    """i, j (i <= j), cov with Bartlett-weighted lags in both directions: all lags in one join of the panel with itself.
+
+    The panel is written first, as it is read several times; it has a row per factor and session.
+    """
+    panel = stored(panel.select(factor, session, x), "factor-panel")
+    later = panel.join(ewma_weights(panel, session, half_life), session).select(F.col(factor).alias("j"), F.col(x).alias("xj"), "w", F.col(session).alias("at"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"))
+    later = later.withColumn("s", F.col("at") - F.col("lag"))
+    earlier = panel.select(F.col(factor).alias("i"), F.col(session).alias("s"), F.col(x).alias("xi"))
+    # A lag counts with its transpose: once in either order of two factors, twice for one with itself.
+    times = F.when(F.col("lag") == 0, (F.col("i") <= F.col("j")).cast("double")).otherwise((1 - F.col("lag") / (lags + 1)) * F.when(F.col("i") == F.col("j"), 2.0).otherwise(1.0))
+    c = F.sum(times * F.col("w") * F.col("xi") * F.col("xj"))
+    return later.join(earlier, "s").groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(c.alias("cov"))
 
 
 def mirrored(cov: DataFrame) -> DataFrame:

@@ -36,13 +36,24 @@ def as_known(left: DataFrame, facts: DataFrame, by: Sequence[str], on: str, peri
 
 
 def validity_join(rows: DataFrame, windows: DataFrame, by: Sequence[str], on: str, start: str, end: str) -> DataFrame:
-    """rows with the columns of the window that holds their date; null ends are open. An equi join on the key."""
+    """rows with the columns of the window that holds their date; null ends are open. The windows of a key don't overlap.
+
+    The last window to start by the date is carried along (one shuffle), then its end is tested: no row meets
+    more than one window.
+    """
     w = windows.withColumn(end, F.coalesce(F.col(end), F.lit("9999-12-31").cast("date")))
-    return rows.join(w, list(by)).filter(F.col(on).between(F.col(start), F.col(end)))
+    others = [c for c in windows.columns if c not in (*by, start)]
+    found = asof(rows, w, by, on, start, others).withColumnRenamed(f"{start}_asof", start)
+    return found.filter(F.col(on) <= F.col(end))
+
+
+MOST_RANGES = 10_000
 
 
 def first_match(rows: DataFrame, ranges: DataFrame, x: str, lo: str, hi: str, order: str, value: str, ids: Sequence[str]) -> DataFrame:
-    """The value of the first range, by order, that holds x. The range table is small and sent to every task."""
+    """The value of the first range, by order, that holds x. The range table goes to every task: at most MOST_RANGES rows."""
+    if ranges.limit(MOST_RANGES + 1).count() > MOST_RANGES:
+        raise ValueError(f"more than {MOST_RANGES} ranges")
     hit = rows.join(F.broadcast(ranges), F.col(x).between(F.col(lo), F.col(hi)), "left")
     return hit.groupBy(*ids, x).agg(F.min_by(value, order).alias(value))
 
@@ -58,9 +69,10 @@ def forward_factor(step: str, by: str, session: str) -> Column:
 
 
 def nearest_split(g: Column, small_term: int, reach: float) -> tuple[Column, Column]:
-    """The admissible split ratio nearest to g, and its relative distance.
+    """Of the ratios a split may have, the one next to the growth factor g, and how far off it is in relative terms.
 
-    Admissible: n:1 and 1:n, and a:b with the small term up to ``small_term`` while within (1/reach, reach).
+    A split is of n shares for one or the reverse, or of a for b if the smaller of the two is at most ``small_term``
+    and neither is ``reach`` times the other.
     """
     up = g >= 1
 
@@ -124,20 +136,20 @@ def chain_value(facts: DataFrame, by: Sequence[str], order: Sequence[str], conce
     return found.withColumn("_b", before).filter(F.col("chosen").isNotNull() & ~F.col("chosen").eqNullSafe(F.col("_b"))).drop("_b")
 
 
-#: Legal forms that a company name's key leaves out.
-LEGAL = ["INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "COMPANIES", "LTD", "LIMITED", "PLC", "LLC", "LP", "NV", "SA", "AG", "HOLDINGS", "GROUP", "THE"]
+#: Legal forms of companies, in English and the languages of some large markets, by alphabet; a name's key leaves them out.
+LEGAL = ["AB", "AG", "ASA", "BV", "CO", "COMPANY", "CORP", "CORPORATION", "GMBH", "INC", "INCORPORATED", "KGAA", "LIMITED", "LLC", "LLP", "LP", "LTD", "NV", "OYJ", "PLC", "PTY", "SA", "SE", "SPA", "THE"]
 
 
 def name_key(name: Column) -> Column:
-    """Upper-case letters and digits, legal forms and bracketed parts gone, single letters joined."""
-    s = F.upper(F.regexp_replace(name, "['’]", ""))
-    s = F.regexp_replace(s, "&", " AND ")
-    s = F.regexp_replace(s, r"/[A-Z]{2,3}(/|$)", " ")
-    s = F.regexp_replace(s, r"\([^)]*\)", " ")
-    s = F.regexp_replace(s, r"[^A-Z0-9 ]+", " ")
-    s = F.regexp_replace(s, rf"\b({'|'.join(LEGAL)})\b", " ")
-    s = F.trim(F.regexp_replace(s, r"\s+", " "))
-    return F.regexp_replace(s, r"(?<=\b[A-Z0-9]) (?=[A-Z0-9]\b)", "")
+    """A company name as upper-case words of letters and digits, so that two sources' spellings meet.
+
+    Apostrophes vanish, an ampersand is a word, the long form of PLC is its short one. State tags between slashes,
+    brackets, share classes and legal forms go. Single letters in a row become one word.
+    """
+    s = F.translate(F.upper(name), "'\u2019", "")
+    for pattern, by in (("PUBLIC LIMITED COMPANY", "PLC"), ("&", " AND "), (r"/[A-Z]{2,3}(/|$)", " "), (r"\([^)]*\)", " "), (r"\bCL(ASS)?\.?\s+[A-Z]\b", " "), (r"[^A-Z0-9]+", " "), (rf"\b({'|'.join(LEGAL)})\b", " ")):
+        s = F.regexp_replace(s, pattern, by)
+    return F.regexp_replace(F.trim(F.regexp_replace(s, r"\s+", " ")), r"(?<=\b[A-Z0-9]) (?=[A-Z0-9]\b)", "")
 
 
 def symbol(code: Column) -> Column:

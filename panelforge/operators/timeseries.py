@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.sources.store import stored
+
 
 def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, values: Sequence[str], forward: bool = False, strict: bool = False) -> DataFrame:
     """Each left row with the values of the last right row at or before it (first at or after: forward).
@@ -48,33 +50,40 @@ def session_frame(by: str, session: str, first: int, last: int):
     return Window.partitionBy(by).orderBy(session).rangeBetween(first, last)
 
 
-def decay(session: str, half_life: float) -> Column:
-    """Weight that doubles every half life. Ratios of sums weighted by it are exponentially weighted moments."""
-    return F.pow(F.lit(2.0), F.col(session) / F.lit(float(half_life)))
+def decay(session: str, half_life: float, by: str) -> Column:
+    """Weight that doubles every half life, 1 in the middle of the entity's sessions, so that it stays in range for 2,000 half lives.
+
+    Ratios of sums weighted by it are exponentially weighted moments.
+    """
+    whole = Window.partitionBy(by)
+    middle = (F.min(session).over(whole) + F.max(session).over(whole)) / 2
+    return F.pow(F.lit(2.0), (F.col(session) - middle) / F.lit(float(half_life)))
 
 
 def ewma_moments(df: DataFrame, by: str, session: str, x: str, window: int, half_life: float, least: int) -> DataFrame:
     """ewma_mean and ewma_std of x over the last ``window`` sessions, null under ``least`` observations."""
     w = session_frame(by, session, 1 - window, 0)
-    k = F.when(F.col(x).isNotNull(), decay(session, half_life))
+    df = df.withColumn("_k", F.when(F.col(x).isNotNull(), decay(session, half_life, by)))
+    k = F.col("_k")
     n, k0 = F.count(x).over(w), F.sum(k).over(w)
     mean = F.sum(k * F.col(x)).over(w) / k0
     second = F.sum(k * F.col(x) * F.col(x)).over(w) / k0
-    return df.withColumns({"ewma_mean": F.when(n >= least, mean), "ewma_std": F.when(n >= least, F.sqrt(F.greatest(second - mean * mean, F.lit(0.0))))})
+    return df.withColumns({"ewma_mean": F.when(n >= least, mean), "ewma_std": F.when(n >= least, F.sqrt(F.greatest(second - mean * mean, F.lit(0.0))))}).drop("_k")
 
 
 def ewma_beta(df: DataFrame, by: str, session: str, x: str, market: str, window: int, half_life: float, least: int) -> DataFrame:
     """beta and sigma of x on market over decayed windows; rows without either are left out of the sums."""
     w = session_frame(by, session, 1 - window, 0)
     both = F.col(x).isNotNull() & F.col(market).isNotNull()
-    k = F.when(both, decay(session, half_life))
+    df = df.withColumn("_k", F.when(both, decay(session, half_life, by)))
+    k = F.col("_k")
     s = lambda c: F.sum(k * c).over(w) / F.sum(k).over(w)
     xm, ym = s(F.col(market)), s(F.col(x))
     var, cov, vary = s(F.col(market) * F.col(market)) - xm * xm, s(F.col(x) * F.col(market)) - xm * ym, s(F.col(x) * F.col(x)) - ym * ym
     enough = F.count(F.when(both, 1)).over(w) >= least
     out = df.withColumns({"_var": var, "_cov": cov, "_vary": vary, "_ok": enough & (var > 0)})
     beta = F.when(F.col("_ok"), F.try_divide("_cov", "_var"))
-    return out.withColumns({"beta": beta, "sigma": F.when(F.col("_ok"), F.sqrt(F.greatest(F.col("_vary") - beta * F.col("_cov"), F.lit(0.0))))}).drop("_var", "_cov", "_vary", "_ok")
+    return out.withColumns({"beta": beta, "sigma": F.when(F.col("_ok"), F.sqrt(F.greatest(F.col("_vary") - beta * F.col("_cov"), F.lit(0.0))))}).drop("_k", "_var", "_cov", "_vary", "_ok")
 
 
 def ewma_state(df: DataFrame, by: str, session: str, x: str, half_life: float, name: str = "state") -> DataFrame:
@@ -97,8 +106,22 @@ def horizon_sum(by: str, session: str, x: str, h: int) -> Column:
     return F.when(F.count(x).over(w) == h, F.sum(x).over(w))
 
 
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], rank: str = "rank", size: str = "size") -> DataFrame:
+    """df with the rank of each row in its key (from 1) and the key's number of rows; keys are not null.
+
+    Rows are sorted in ranges over all keys, so a key may span many partitions. A partition numbers its own rows of a
+    key and adds the rows of the partitions before, of which there is one count for each partition and key.
+    """
+    dealt = stored(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    counts = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    key = Window.partitionBy(*by)
+    earlier = F.sum("_n").over(key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*by, "_part", F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_n").over(key).alias(size))
+    own = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    return dealt.join(counts, [*by, "_part"]).withColumn(rank, own + F.col("_before")).drop("_part", "_before")
+
+
 def equal_groups(df: DataFrame, by: Sequence[str], x: str, tie: str, k: int, name: str = "group") -> DataFrame:
     """floor(rank * k / n): groups by rank whose sizes differ by one at most, remainders spread out."""
-    order = Window.partitionBy(*by).orderBy(x, tie)
-    n = F.count("*").over(Window.partitionBy(*by))
-    return df.withColumn(name, F.floor((F.row_number().over(order) - 1) * k / n).cast("int"))
+    found = ranked(df, by, [x, tie], "_rank", "_size")
+    return found.withColumn(name, F.floor((F.col("_rank") - 1) * k / F.col("_size")).cast("int")).drop("_rank", "_size")

@@ -116,10 +116,17 @@ def specific_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT year, any_value(n) AS n, round(1 - sum(v * (y - fit) * (y - fit)) / sum(v * (y - my) * (y - my)), 6) AS r2, 0.0 AS constraint_resid FROM d JOIN m USING (year) GROUP BY year""")
 def regression_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, weighted R2 and what is left of the constraint."""
-    x = _regression_input(spark, sf_dir)
-    stats = dense.factor_returns(x, "year", "y", ["style"], "industry", "cap", "v").groupBy("year").agg(F.max("r2").alias("r2"), F.max(F.abs("constraint_resid")).alias("c"))
-    n = x.filter("y IS NOT NULL").groupBy("year").agg(F.count("*").alias("n"))
-    return stats.join(n, "year").select("year", "n", r("r2").alias("r2"), F.round("c", 6).alias("constraint_resid"))
+    stats = dense.factor_returns(_regression_input(spark, sf_dir), "year", "y", ["style"], "industry", "cap", "v").groupBy("year")
+    return stats.agg(F.max("n").alias("n"), r(F.max("r2")).alias("r2"), F.round(F.max(F.abs("constraint_resid")), 6).alias("constraint_resid"))
+
+
+@query(f"""WITH {YEARS}, {_FIT}, d AS (SELECT f1.year, v, style - mx AS dx, y - a - lev.b * style AS u, lev.b FROM f1 JOIN lev USING (year, industry) JOIN ind USING (year, industry)),
+k AS (SELECT year, count(DISTINCT industry) AS k FROM f1 GROUP BY year)
+SELECT year, round(any_value(b) / sqrt(sum(v * u * u) / (count(*) - any_value(k) - 1) / sum(v * dx * dx)), 5) AS t_stat FROM d JOIN k USING (year) GROUP BY year""")
+def style_t_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The style's t statistic in each year's fit."""
+    found = dense.factor_returns(_regression_input(spark, sf_dir), "year", "y", ["style"], "industry", "cap", "v")
+    return found.filter("kind = 'style'").select("year", r("t_stat", 5).alias("t_stat"))
 
 
 @query(f"""WITH {YEARS}, w AS (SELECT year, acct AS x, mean_order AS y, v AS w FROM p),
@@ -163,7 +170,7 @@ def universe_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {YEARS} SELECT year, sid, round(v, 4) AS v, round(cap / sum(cap) OVER (PARTITION BY year), 8) AS capw FROM p WHERE in_estu""")
 def estu_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_years(spark, sf_dir).filter(estu()).select("year", "sid", r("v", 4).alias("v"), r(cs.share(["year"], "cap"), 8).alias("capw"))
+    return cs.share(cross_years(spark, sf_dir).filter(estu()), ["year"], "cap", "capw").select("year", "sid", r("v", 4).alias("v"), r("capw", 8).alias("capw"))
 
 
 @query(f"""WITH {YEARS} SELECT year, industry, round(sum(v) * sum(v) / sum(v * v), 6) AS neff, count(*) AS n, round(stddev_samp(acct), 4) AS sd, round(corr(acct, mean_order), 6) AS rho FROM p WHERE in_estu GROUP BY ALL""")

@@ -10,6 +10,7 @@ from panelforge.operators import timeseries as ts
 from panelforge.plans.crosssections import factor_returns_wls
 from panelforge.plans.panels import BRAND, DAY, brand_month, day_panel, r, table
 from panelforge.plans.registry import ORACLE, query
+from panelforge.sources.store import stored
 from panelforge.plans.windows import MARKET, with_market
 
 _W = "wt AS (SELECT m, pow(0.5, (max(m) OVER () - m) / 24.0) / sum(pow(0.5, (max_m - m) / 24.0)) OVER () AS w FROM (SELECT DISTINCT m, (SELECT max(m) FROM bm WHERE ret IS NOT NULL) AS max_m FROM bm WHERE ret IS NOT NULL)), q AS (SELECT factor, m, ret FROM bm WHERE ret IS NOT NULL)"
@@ -92,7 +93,7 @@ _HOLD = "h AS (SELECT p_brand AS factor, sum(l_extendedprice) / (SELECT sum(l_ex
 
 def _holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    held = lines.groupBy(F.col("p_brand").alias("factor")).agg(F.sum("l_extendedprice").alias("a"))
+    held = stored(lines.groupBy(F.col("p_brand").alias("factor")).agg(F.sum("l_extendedprice").alias("a")), "holdings")  # a row per factor
     return held.crossJoin(F.broadcast(held.agg(F.sum("a").alias("t")))).select("factor", (F.col("a") / F.col("t")).alias("x"))
 
 
@@ -101,7 +102,7 @@ fx AS (SELECT i AS factor, sum(cov * x) AS fx FROM full_cov JOIN h ON j = factor
 SELECT factor, round(x, 8) AS x, round(c, 10) AS contribution, round(fx / sqrt(sum(c) OVER ()), 6) AS mctr, round(sqrt(sum(c) OVER ()), 6) AS sigma FROM p""")
 def risk_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Euler contributions, marginal contributions and total risk of a portfolio of factors."""
-    parts = risk.decompose(_holdings(spark, sf_dir), _cov(spark, sf_dir))
+    parts = risk.decompose(_holdings(spark, sf_dir), stored(_cov(spark, sf_dir), "cov"))
     return parts.select("factor", r("x", 8).alias("x"), r("contribution", 10).alias("contribution"), r("mctr").alias("mctr"), r("sigma").alias("sigma"))
 
 
@@ -112,7 +113,7 @@ bb AS (SELECT sum(cov / n.n / n.n) AS bb FROM full_cov, (SELECT count(*) AS n FR
 SELECT round(sqrt(greatest(te, 0)), 6) AS tracking_error, round(sqrt(hh), 6) AS sigma, round(hb / bb, 6) AS beta FROM v, e, bb""")
 def active_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracking error, risk and beta against the equal-weighted portfolio."""
-    h, cov = _holdings(spark, sf_dir), risk.mirrored(_cov(spark, sf_dir))
+    h, cov = _holdings(spark, sf_dir), risk.mirrored(stored(_cov(spark, sf_dir), "cov"))
     both = h.crossJoin(F.broadcast(h.agg(F.count("*").alias("n")))).select("factor", F.col("x").alias("h"), (F.lit(1.0) / F.col("n")).alias("b"))
     left = both.select(F.col("factor").alias("i"), F.col("h").alias("hi"), F.col("b").alias("bi"))
     right = both.select(F.col("factor").alias("j"), F.col("h").alias("hj"), F.col("b").alias("bj"))
@@ -174,11 +175,11 @@ def gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH f AS ({ORACLE['factor_returns_wls']}), c AS (SELECT year, max(f) FILTER (factor = 'country') AS country, max(f) FILTER (factor = 'style') AS style, count(*) AS n FROM f GROUP BY year)
-SELECT year, country, style, n, round(exp(sum(ln(1 + country)) OVER (ORDER BY year)) - 1, 5) AS cumulative FROM c""")
+SELECT year, country, style, n, round(product(1 + country) OVER (ORDER BY year) - 1, 5) AS cumulative FROM c""")
 def factor_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide factor returns with the cumulative country return."""
     from pyspark.sql import Window
 
     c = factor_returns_wls(spark, sf_dir).groupBy("year").agg(F.max(F.when(F.col("factor") == "country", F.col("f"))).alias("country"), F.max(F.when(F.col("factor") == "style", F.col("f"))).alias("style"), F.count("*").alias("n"))
     w = Window.partitionBy(F.lit(0)).orderBy("year")  # one row per year
-    return c.select("year", "country", "style", "n", r(F.exp(F.sum(F.log1p("country")).over(w)) - 1, 5).alias("cumulative"))
+    return c.select("year", "country", "style", "n", r(F.product(1 + F.col("country")).over(w) - 1, 5).alias("cumulative"))

@@ -61,13 +61,18 @@ def trailing_twelve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.trailing_twelve(ytd, ["sid"], "year", "q", "ytd").select("sid", "year", "q", r("ttm", 2).alias("ttm"))
 
 
-@query("""SELECT CASE WHEN d BETWEEN 1 AND 30 THEN 'M' WHEN d BETWEEN 31 AND 60 THEN 'B' WHEN d > 60 THEN 'L' ELSE 'none' END AS kind, count(*) AS n
-FROM (SELECT date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS d FROM orders JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY 1""")
+# The lengths in days of a quarter, half a year, nine months and a year.
+DURATIONS = [("Q", 80, 100), ("H", 170, 195), ("9M", 260, 285), ("FY", 350, 380)]
+
+
+@query("""SELECT CASE WHEN d BETWEEN 80 AND 100 THEN 'Q' WHEN d BETWEEN 170 AND 195 THEN 'H' WHEN d BETWEEN 260 AND 285 THEN '9M' WHEN d BETWEEN 350 AND 380 THEN 'FY' ELSE 'none' END AS kind, count(*) AS n
+FROM (SELECT abs(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) AS d FROM orders JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY 1""")
 def duration_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods between two dates by their length."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
-    d = F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date"))
-    kind = F.when(d.between(1, 30), "M").when(d.between(31, 60), "B").when(d > 60, "L").otherwise("none")
+    d = F.abs(F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date")))
+    kind = F.coalesce(*(F.when(d.between(lo, hi), name) for name, lo, hi in DURATIONS), F.lit("none"))
     return o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -220,12 +225,21 @@ def available_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filed.join(F.broadcast(nxt.select("filed", F.col("session_asof").alias("available"))), "filed", "left").select("event_id", "filed", "available")
 
 
-_KEY = f"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(regexp_replace({{}}, '[''’]', '', 'g')), '&', ' AND ', 'g'), '/[A-Z]{{{{2,3}}}}(/|$)', ' ', 'g'), '\\([^)]*\\)', ' ', 'g'), '[^A-Z0-9 ]+', ' ', 'g'), '\\b({'|'.join(st.LEGAL)})\\b', ' ', 'g'), '\\s+', ' ', 'g'))"""
+def _nested(x: str, *steps: tuple[str, str]) -> str:
+    for pattern, by in steps:
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return x
+
 
+_KEY = "trim(" + _nested(
+    "upper(replace(replace(p_name || ' & Co (The) Inc. CL A', '''', ''), '’', ''))", ("PUBLIC LIMITED COMPANY", "PLC"), ("&", " AND "), ("/[A-Z]{2,3}(/|$)", " "), (r"\([^)]*\)", " "), (r"\bCL(ASS)?\.?\s+[A-Z]\b", " "), ("[^A-Z0-9]+", " "),
+    (r"\b(AB|AG|ASA|BV|CO|COMPANY|CORP|CORPORATION|GMBH|INC|INCORPORATED|KGAA|LIMITED|LLC|LLP|LP|LTD|NV|OYJ|PLC|PTY|SA|SE|SPA|THE)\b", " "), (r"\s+", " "),
+) + ")"
 
-@query(f"""SELECT p_partkey, {_KEY.format("p_name || ' & Co (The) Inc.'")} AS key FROM part""")
+
+@query(f"SELECT p_partkey, {_KEY} AS key FROM part")
 def name_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" & Co (The) Inc.")).alias("name"))
+    named = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" & Co (The) Inc. CL A")).alias("name"))
     return named.select("p_partkey", st.name_key(F.col("name")).alias("key"))
 
 
@@ -242,15 +256,22 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", st.symbol(code).alias("symbol"))
 
 
-@query(f"""WITH {DAY}, m AS (SELECT sid % 50 AS issuer, sid, median(amount) AS med FROM day WHERE s >= 10 GROUP BY ALL)
+@query(f"""WITH {DAY}, i AS (SELECT sid % 50 AS issuer, sid, s, amount, dense_rank() OVER (PARTITION BY sid % 50 ORDER BY s DESC) AS k FROM day),
+m AS (SELECT issuer, sid, median(amount) AS med FROM i WHERE k <= 20 GROUP BY ALL)
 SELECT issuer, arg_max(sid, struct_pack(a := med, b := -sid)) AS primary_sid, count(*) AS classes FROM m GROUP BY issuer""")
 def primary_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each issuer's classes the one with the largest median amount over the last sessions."""
-    med = day_panel(spark, sf_dir).filter("s >= 10").groupBy((F.col("sid") % 50).alias("issuer"), "sid").agg(F.median("amount").alias("med"))
+    """Of each issuer's classes the one with the largest median amount over the issuer's last twenty sessions."""
+    last = F.dense_rank().over(Window.partitionBy("issuer").orderBy(F.col("s").desc()))
+    day = day_panel(spark, sf_dir).withColumn("issuer", F.col("sid") % 50).withColumn("k", last).filter("k <= 20")
+    med = day.groupBy("issuer", "sid").agg(F.median("amount").alias("med"))
     return med.groupBy("issuer").agg(F.max_by("sid", F.struct("med", -F.col("sid"))).alias("primary_sid"), F.count("*").alias("classes"))
 
 
-@query(f"""WITH {BRAND} SELECT m, round(max(ret) FILTER (factor = 'Brand#11'), 6) AS b11, round(max(ret) FILTER (factor = 'Brand#12'), 6) AS b12 FROM bm GROUP BY m""")
+# The factors of the model, as columns.
+BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
+
+
+@query(f"""WITH {BRAND} SELECT m, {', '.join(f"round(max(ret) FILTER (factor = '{b}'), 6) AS b{b[-2:]}" for b in BRANDS)} FROM bm GROUP BY m""")
 def pivot_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = brand_month(spark, sf_dir).groupBy("m").pivot("factor", ["Brand#11", "Brand#12"]).agg(r(F.first("ret")))
-    return wide.select("m", F.col("`Brand#11`").alias("b11"), F.col("`Brand#12`").alias("b12"))
+    wide = brand_month(spark, sf_dir).groupBy("m").pivot("factor", BRANDS).agg(r(F.first("ret")))
+    return wide.select("m", *(F.col(f"`{b}`").alias(f"b{b[-2:]}") for b in BRANDS))

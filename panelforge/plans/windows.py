@@ -180,10 +180,10 @@ def horizon_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brand_month(spark, sf_dir).select("factor", "m", r(ts.horizon_sum("factor", "m", "ret", 3)).alias("next3"))
 
 
-@query(f"""WITH {BRAND} SELECT factor, m, round(exp(sum(ln(1 + coalesce(ret, 0))) OVER (PARTITION BY factor ORDER BY m)) - 1, 6) AS cum_ret FROM bm""")
+@query(f"""WITH {BRAND} SELECT factor, m, round(product(1 + coalesce(ret, 0)) OVER (PARTITION BY factor ORDER BY m) - 1, 6) AS cum_ret FROM bm""")
 def cumulative_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("factor").orderBy("m")
-    return brand_month(spark, sf_dir).select("factor", "m", r(F.exp(F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(w)) - 1).alias("cum_ret"))
+    return brand_month(spark, sf_dir).select("factor", "m", r(F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w) - 1).alias("cum_ret"))
 
 
 @query(f"""WITH {DAY}, q AS (SELECT sid, s, last_value(close) OVER w AS last_close FROM day WINDOW w AS (PARTITION BY sid ORDER BY s)),
@@ -221,9 +221,9 @@ def rank_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.equal_groups(x, ["date"], "cap", "sid", 10).select("sid", "group")
 
 
-@query(f"""WITH {BRAND}, p AS (SELECT factor, m, row_number() OVER (PARTITION BY factor ORDER BY m) AS n, ret * ret AS x FROM bm WHERE ret IS NOT NULL),
-c AS (SELECT *, 0.5 ** (1 / 6.0) AS k FROM p)
-SELECT factor, m, round(sum(CASE WHEN n = 1 THEN x ELSE (1 - k) * x END * pow(k, -n)) OVER (PARTITION BY factor ORDER BY m) * pow(k, n), 6) AS state FROM c""")
+@query(f"""WITH RECURSIVE {BRAND}, p AS (SELECT factor, m, row_number() OVER (PARTITION BY factor ORDER BY m) AS n, ret * ret AS x FROM bm WHERE ret IS NOT NULL),
+e(factor, m, n, state) AS (SELECT factor, m, n, x FROM p WHERE n = 1 UNION ALL SELECT p.factor, p.m, p.n, (1 - pow(0.5, 1 / 6.0)) * p.x + pow(0.5, 1 / 6.0) * e.state FROM e JOIN p ON p.factor = e.factor AND p.n = e.n + 1)
+SELECT factor, m, round(state, 6) AS state FROM e""")
 def ewma_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recursion s = a x + (1 - a) s over squared returns, seeded by the first, as a prefix sum."""
     x = brand_month(spark, sf_dir).filter("ret IS NOT NULL").withColumn("x", F.col("ret") * F.col("ret"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelforge.sources.store import exists
+
 Paths = str | list[str]
 
 DAY_FIELDS = "date string, open double, high double, low double, close double, adjusted_close double, volume double"
@@ -23,15 +25,17 @@ def _date(c: str) -> Column:
     return F.try_to_date(F.col(c))
 
 
-def daily_prices(spark: SparkSession, path: Paths, code: Column | None = None) -> DataFrame:
+def daily_prices(spark: SparkSession, path: Paths, code: Column | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """One row per code and date, with the same response's previous row. The code is the file's name unless given.
 
-    Of rows that repeat a date the one with the largest volume stays.
+    Of rows that repeat a date the last of the response stays: it restates the others. start and end bound the dates.
     """
-    parsed = _whole(spark, path).select("file", F.inline(F.from_json("value", f"array<struct<{', '.join(f.replace(' ', ': ') for f in DAY_FIELDS.split(', '))}>>")))
-    rows = parsed.select((code if code is not None else F.regexp_replace("file", r"\.json$", "")).alias("code"), _date("date").alias("date"), "open", "high", "low", "close", "adjusted_close", "volume")
-    best = Window.partitionBy("code", "date").orderBy(F.col("volume").desc_nulls_last(), F.col("close").desc_nulls_last())
-    rows = rows.filter("date IS NOT NULL").withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
+    parsed = _whole(spark, path).select("file", F.posexplode(F.from_json("value", f"array<struct<{', '.join(f.replace(' ', ': ') for f in DAY_FIELDS.split(', '))}>>")).alias("place", "r")).select("file", "place", "r.*")
+    rows = parsed.select("place", (code if code is not None else F.regexp_replace("file", r"\.json$", "")).alias("code"), _date("date").alias("date"), "open", "high", "low", "close", "adjusted_close", "volume")
+    latest = Window.partitionBy("code", "date").orderBy(F.col("place").desc())
+    rows = rows.filter("date IS NOT NULL").withColumn("_r", F.row_number().over(latest)).filter("_r = 1").drop("_r", "place")
+    for bound, inside in ((start, lambda d: F.col("date") >= d), (end, lambda d: F.col("date") <= d)):
+        rows = rows.filter(inside(F.lit(bound).cast("date"))) if bound else rows
     w = Window.partitionBy("code").orderBy("date")
     return rows.withColumns({"prev_date": F.lag("date").over(w), "prev_close": F.lag("close").over(w), "prev_adjusted_close": F.lag("adjusted_close").over(w)})
 
@@ -80,7 +84,7 @@ def name_lookup(spark: SparkSession, path: Paths) -> DataFrame:
 def observations(spark: SparkSession, path: Paths) -> DataFrame:
     """date and value; a point stands for a missing value."""
     rows = _whole(spark, path).select(F.inline(F.from_json("value", "struct<observations: array<struct<date: string, value: string>>>")["observations"]))
-    return rows.select(_date("date").alias("date"), F.try_to_number(F.nullif("value", F.lit(".")), F.lit("S999999990.999999999")).cast("double").alias("value"))
+    return rows.select(_date("date").alias("date"), F.col("value").try_cast("double").alias("value"))
 
 
 def percent_factors(spark: SparkSession, path: Paths, missing: float = -99.0) -> DataFrame:
@@ -96,7 +100,7 @@ def percent_factors(spark: SparkSession, path: Paths, missing: float = -99.0) ->
     stop = F.array_position(F.transform(run, lambda s: ~s.rlike(r"^\d{8}\s*,")), True)
     some = head.filter("from > 0").withColumn("run", F.when(stop > 0, F.slice(run, 1, F.greatest(stop - 1, F.lit(1)))).otherwise(run))
     values = some.select(F.split("head", ",").alias("names"), F.explode("run").alias("line")).withColumn("v", F.split("line", ","))
-    long = values.select(F.try_to_date(F.trim(F.col("v")[0]), "yyyyMMdd").alias("date"), F.posexplode(F.slice("names", 2, 100)).alias("k", "name"), "v")
+    long = values.select(F.try_to_date(F.trim(F.col("v")[0]), "yyyyMMdd").alias("date"), F.posexplode(F.slice("names", F.lit(2), F.size("names"))).alias("k", "name"), "v")
     x = F.trim(F.try_element_at("v", F.col("k") + 2)).try_cast("double")
     return long.select("date", F.lower(F.regexp_replace(F.trim("name"), "[^A-Za-z0-9]+", "_")).alias("factor"), F.when(x > missing, x / 100).alias("value"))
 
@@ -115,5 +119,7 @@ def spells(spark: SparkSession, path: Paths) -> DataFrame:
 
 
 def overrides(spark: SparkSession, path: Paths, schema: str) -> DataFrame:
-    """A typed CSV with a header and # comments."""
+    """A typed CSV with a header and # comments; without a file, no rows of that type."""
+    if isinstance(path, str) and not exists(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.option("comment", "#").schema(schema).csv(path, header=True)

@@ -6,26 +6,64 @@ Paths are any that Spark can write; nothing here touches a local file system.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset and Spark is local, one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="panelforge-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df, written to the shared folder and read back: what follows scans the result, however often it is used."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def replace_table(df: DataFrame, path: str, by: str | None = None) -> None:
     """The table is df and nothing else; ``by`` names a partition column."""
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
+def merge_dates(df: DataFrame, path: str, keys: list[str] | None = None, date: str = "date") -> None:
+    """Adds rows to the dates they belong to. Stored rows of a date stay, but those whose keys df has again; without
+    keys, rows alike in all columns count once. Running it again changes nothing."""
+    rows = df
+    if exists(df.sparkSession, path):
+        held = read_table(df.sparkSession, path).select(df.columns).join(df.select(date).distinct(), date, "left_semi").select(df.columns)
+        rows = (held.join(df.select(keys).distinct(), keys, "left_anti").select(df.columns) if keys else held).unionByName(df)
+    upsert_dates(stored(rows if keys else rows.distinct(), "merged"), path, date)  # a table cannot be read while its dates are replaced
+
+
+def replace_codes(df: DataFrame, path: str, code: str = "code") -> None:
+    """The table without its rows of the codes that df holds, and df."""
+    held = read_table(df.sparkSession, path).select(df.columns).join(df.select(code).distinct(), code, "left_anti").select(df.columns) if exists(df.sparkSession, path) else df.limit(0)
+    replace_table(stored(held.unionByName(df), "codes"), path)
+
+
+def write_snapshot(df: DataFrame, root: str, date: str) -> bool:
+    """Writes df as the snapshot of a date, unless the latest one before has the same rows. Whether it was written."""
+    spark = df.sparkSession
+    if exists(spark, root):
+        dates = [r[0] for r in spark.read.parquet(root).select(F.col("snapshot").cast("string")).distinct().collect()]  # one a snapshot
+        before = max((d for d in dates if d <= date), default=None)
+        if before and content_hash(spark.read.parquet(root).filter(F.col("snapshot") == before).select(df.columns)) == content_hash(df):
+            return False
+    df.withColumn("snapshot", F.lit(date)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot").parquet(root)
+    return True
+
+
 def upsert_dates(df: DataFrame, path: str, date: str = "date") -> None:
     """Replaces the dates that df holds and leaves all others; running it again changes nothing."""
     dealt = df.repartition(date)  # a file per date
@@ -76,9 +114,7 @@ def snapshot_asof(dated: DataFrame, date: str, asof: str) -> DataFrame:
 def compact_month(spark: SparkSession, path: str, month: str, date: str = "date") -> None:
     """Rewrites a month's dates (``yyyy-MM``) into a file each; running it again changes nothing."""
     rows = spark.read.parquet(path).filter(F.date_format(date, "yyyy-MM") == month)
-    held = f"{shared_dir(spark)}/compact-{month}"
-    rows.write.mode("overwrite").parquet(held)  # a table cannot be read while its dates are replaced
-    upsert_dates(spark.read.parquet(held), path, date)
+    upsert_dates(stored(rows, "compact"), path, date)  # a table cannot be read while its dates are replaced
 
 
 def register(spark: SparkSession, tables: dict[str, str]) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from panelforge.sources.store import exists, replace_table, upsert_dates
+from panelforge.sources.store import exists, merge_dates, replace_table
 
 
 def pending(sessions: DataFrame, done: DataFrame, target: str, most: int | None = None, date: str = "date") -> DataFrame:
@@ -20,12 +20,12 @@ def pending(sessions: DataFrame, done: DataFrame, target: str, most: int | None
     return found.limit(most) if most else found
 
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], date: str = "date") -> StreamingQuery:
-    """Processes all that is there, then ends. Each batch replaces whole dates, so a repeated batch changes nothing.
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], date: str = "date", keys: list[str] | None = None) -> StreamingQuery:
+    """Processes all that is there, then ends. Late rows join the stored rows of their date; a repeated batch changes nothing.
 
-    transform gets the batch and must give whole dates; late rows of a date are merged by reading its stored rows there.
+    Rows replace stored ones with the same keys; without keys, rows alike in all columns count once.
     """
-    return stream.writeStream.foreachBatch(lambda batch, _: upsert_dates(transform(batch), path, date)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, _: merge_dates(transform(batch), path, keys, date)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def publish(spark: SparkSession, pointer: str, session: str, status: str) -> bool:
