@@ -117,3 +117,29 @@ def test_streams_agree_with_tables(spark, sf, tmp_path):
     whole = lambda b: spark.read.parquet(f"file://{tmp_path}/in").withColumn("date", F.col("ts").cast("date")).join(b.select(F.col("ts").cast("date").alias("date")).distinct(), "date").groupBy("date").agg(F.count("*").alias("n"))
     daily.upsert_stream(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/cu", whole).awaitTermination(120)
     assert spark.read.parquet(f"file://{tmp_path}/out").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_last_of_a_response_counts(spark, tmp_path):
+    bar = lambda d, close, volume: {"date": d, "open": 1.0, "high": 1.0, "low": 1.0, "close": close, "adjusted_close": close, "volume": volume}
+    (tmp_path / "AAA.json").write_text(json.dumps([bar("2024-01-02", 5.0, 900), bar("2024-01-03", 6.0, 900), bar("2024-01-03", 7.0, 10), bar("2024-01-05", 8.0, 1)]))
+    got = readers.daily_prices(spark, str(tmp_path / "AAA.json"), end="2024-01-04").orderBy("date").collect()
+    assert [(str(r.date), r.close, r.prev_close) for r in got] == [("2024-01-02", 5.0, None), ("2024-01-03", 7.0, 5.0)]
+    (tmp_path / "rate.json").write_text(json.dumps({"observations": [{"date": "2024-01-02", "value": v} for v in ("1e-3", "-0.1234567891", ".")]}))
+    assert [r.value for r in readers.observations(spark, str(tmp_path / "rate.json")).collect()] == [1e-3, -0.1234567891, None]
+    assert readers.overrides(spark, str(tmp_path / "none.csv"), "a int, b string").count() == 0
+
+
+def test_late_rows_join_their_date(spark, tmp_path):
+    path = str(tmp_path / "days")
+    rows = lambda *x: spark.createDataFrame(list(x), "sid int, x int, date date").withColumn("date", F.col("date"))
+    day, other = datetime.date(2024, 1, 2), datetime.date(2024, 1, 3)
+    for batch in ([(1, 10, day), (2, 20, day), (3, 30, other)], [(2, 21, day), (4, 40, day)], [(2, 21, day), (4, 40, day)]):
+        store.merge_dates(rows(*batch), path, ["sid"])
+    assert sorted((r.sid, r.x) for r in spark.read.parquet(path).collect()) == [(1, 10), (2, 21), (3, 30), (4, 40)]
+    codes = str(tmp_path / "codes")
+    for batch in ([("a", 1), ("a", 2), ("b", 3)], [("a", 5)], [("a", 5)]):
+        store.replace_codes(spark.createDataFrame(batch, "code string, x int"), codes)
+    assert sorted(map(tuple, spark.read.parquet(codes).collect())) == [("a", 5), ("b", 3)]
+    snaps = str(tmp_path / "snaps")
+    df = spark.createDataFrame([(1,), (2,)], "x int")
+    assert [store.write_snapshot(d, snaps, on) for d, on in ((df, "2024-01-01"), (df, "2024-01-02"), (df.limit(1), "2024-01-03"))] == [True, False, True]
