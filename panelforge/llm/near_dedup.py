@@ -226,14 +226,17 @@ def order_links(group: np.ndarray, keys: np.ndarray, ids: np.ndarray, sigs: np.n
     common = np.where(same, np.logical_and.accumulate(keys[1:] == keys[:-1], axis=1).sum(1), -1)
     near = np.flatnonzero(same & ((sigs[1:] == sigs[:-1]).sum(1) >= AGREE))
     near = near[near + 1 >= done]
-    pairs = [(ids[near], ids[near + 1])]
-    of = np.full(len(ids), -1)
+    of, region = np.full(len(ids), -1), np.full(len(ids), -1)
+    pairs = []
     for n, (lo, hi) in enumerate(regions(common, done)):
+        region[lo:hi] = n
         if hi - lo <= SMALL:
             of[lo:hi] = n
         else:
             found = np.array(region_links(ids[lo:hi], sigs[lo:hi]), np.int64).reshape(-1, 2)
             pairs.append((ids[lo:hi][found[:, 0]], ids[lo:hi][found[:, 1]]))
+    near = near[(region[near] < 0) | (region[near] != region[near + 1]) | (of[near] >= 0)]  # larger regions have linked theirs
+    pairs.append((ids[near], ids[near + 1]))
     for lag in range(2, SMALL):
         at = np.flatnonzero((of[lag:] == of[:-lag]) & (of[lag:] >= 0))
         if not len(at):
@@ -320,7 +323,11 @@ def candidate_links(one: DataFrame, rows: int) -> DataFrame:
     edges = edges.select("part", "place", "edge", "tree", "key", "sig", "a").mapInArrow(tag, "run int, part int, place long, edge int, tree int, key binary, sig binary, a long")
     edges = edges.repartition("run").sortWithinPartitions("run", "part", "place")
     edges = edges.select((F.col("run") * TREES + F.col("tree")).cast("int").alias("tree"), "key", F.col("a").alias("id"), "sig")
-    return found.filter("part IS NULL").select("a", "b").unionByName(links_in_order(edges, False).select("a", "b")).distinct()
+    links = found.filter("part IS NULL").select("a", "b").unionByName(links_in_order(edges, False).select("a", "b")).filter("a < b")
+    # A row has a few links to smaller ids in each tree: it keeps the one to the smallest, which takes over the others.
+    links = links.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("smaller"))
+    smallest = F.get("smaller", F.lit(0))
+    return links.select(smallest.alias("a"), F.explode(F.concat(F.array("b"), F.slice("smaller", F.lit(2), F.size("smaller")))).alias("b")).distinct()
 
 
 def exact_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
