@@ -42,11 +42,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = numbered(docs, ROW)
     found = materialize(near_duplicates(_by_row(docs)).select(F.col("doc_id").alias(ROW), "component_id"), "copies")
-    groups = found.groupBy("component_id").agg(F.count("*").alias("rows")).filter("rows > 1")
-    members = found.join(groups, "component_id").join(docs.select(ROW, "doc_id"), ROW)
+    groups = materialize(found.groupBy("component_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("component_id"), "groups")
+    few = F.broadcast if groups.count() * 32 <= BROADCAST_BYTES else lambda df: df  # a row for each group of copies
+    members = found.join(few(groups), "component_id").join(docs.select(ROW, "doc_id"), ROW)
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW).alias(ROW))  # a null doc_id comes last
     best = members.groupBy("component_id").agg(F.min(first)[ROW].alias("best"))
-    copies = members.join(best, "component_id").filter(F.col(ROW) != F.col("best"))
+    copies = members.join(few(best), "component_id").filter(F.col(ROW) != F.col("best"))
     return _without(docs, copies.select(F.col(ROW).alias("doc_id")), "dropped-copies")
 
 
