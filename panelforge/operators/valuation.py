@@ -79,6 +79,20 @@ def market_caps(days: DataFrame, counts: DataFrame, floats: DataFrame, sid: str,
     return x.select(sid, session, "shares", "mcap", "source", F.when(F.abs(moved) > jump, "continuity").alias("flag"))
 
 
+def fresh_by_priority(dates: DataFrame, facts: DataFrame, by: Sequence[str], on: str, concept: str, value: str, chain: Sequence[str], days: int) -> DataFrame:
+    """by, on, value, concept: of each concept the latest value at or before the date counts while at most ``days`` old;
+    the first of the chain that has one is taken. Facts and dates are stacked and sorted once, whatever the chain's length."""
+    packed = F.struct(F.col(on).alias("at"), F.col(value).alias("v"))
+    known = facts.filter(F.col(concept).isin(list(chain)) & F.col(value).isNotNull())
+    day = known.groupBy(*by, on).agg(*(F.max(F.when(F.col(concept) == c, packed)).alias(f"_c{k}") for k, c in enumerate(chain)))
+    rows = dates.select(*by, on).withColumn("_asked", F.lit(True)).unionByName(day, allowMissingColumns=True)
+    so_far = Window.partitionBy(*by).orderBy(on).rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_l{k}": F.last(f"_c{k}", ignorenulls=True).over(so_far) for k in range(len(chain))}).filter("_asked")
+    fresh = [F.when(F.datediff(F.col(on), F.col(f"_l{k}.at")) <= days, F.struct(F.col(f"_l{k}.v").alias("v"), F.lit(c).alias("c"))) for k, c in enumerate(chain)]
+    best = F.coalesce(*fresh)
+    return rows.select(*by, on, best["v"].alias(value), best["c"].alias(concept))
+
+
 def linked_by_keys(rows: DataFrame, node: str, keys: Sequence[Column]) -> DataFrame:
     """node, component: the smallest node reachable over shared values of any key; null values link nothing.
 

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.operators import crosssection as cs
-from panelforge.operators import dense
+from panelforge.operators import dense, risk
+from panelforge.operators import timeseries as ts
 from panelforge.operators import valuation as va
-from panelforge.plans.crosssections import _FIT, _regression_input, estu, regression_stats
+from panelforge.plans.crosssections import _FIT, _regression_input, estu, factor_returns_wls, regression_stats
 from panelforge.plans.panels import DAY, YEARS, brand_month, cross_years, day_panel, r, table
 from panelforge.plans.registry import ORACLE, query
 from panelforge.plans.relational import specific_bias, worst_coverage
-from panelforge.plans.risks import _cov, eigen_adjusted_cov, forecast_tests
+from panelforge.plans.risks import _COV, _HOLD, _SIGMA, _cov, _holdings, _sigma, eigen_adjusted_cov, factor_regime, forecast_tests
+from panelforge.sources.store import stored
 
 _ITEMS = {"ni": "1-URGENT", "cfo": "2-HIGH", "pe": "3-MEDIUM", "ld": "4-NOT SPECIFIED", "cd": "5-LOW"}
 _RATIOS = ["earnings_yield", "cash_yield", "book_to_price", "market_leverage", "debt_to_assets", "book_leverage"]
@@ -244,3 +246,82 @@ def to_issuers(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = day_panel(spark, sf_dir)
     issuers = table(spark, sf_dir, "events").select(F.col("user_id").alias("sid")).distinct().withColumn("issuer", F.col("sid") % 50)
     return day.join(issuers, "sid").groupBy("issuer", "s").agg(F.count("*").alias("lines"), r(F.sum("amount"), 4).alias("amount"))
+
+
+@query(f"""WITH {YEARS}, st AS ({ORACLE['structural_sigma']}), l AS (SELECT p.year, p.sid, industry, cap, mean_order / 997 AS own, least(1, greatest(0, (n_orders - 1) / 3.0)) AS gamma, structural FROM p JOIN st USING (year, sid)),
+b AS (SELECT *, gamma * own + (1 - gamma) * structural AS blended FROM l), m AS (SELECT year, industry, sum(cap * blended) / sum(cap) AS mu FROM b GROUP BY ALL),
+d AS (SELECT year, industry, any_value(mu) AS mu, sqrt(avg((blended - mu) * (blended - mu))) AS delta FROM b JOIN m USING (year, industry) GROUP BY ALL)
+SELECT year, sid, round(gamma, 6) AS gamma, round(blended, 4) AS blended, round(CASE WHEN delta + 0.1 * abs(blended - mu) = 0 THEN blended ELSE (0.1 * abs(blended - mu) * mu + delta * blended) / (delta + 0.1 * abs(blended - mu)) END, 4) AS shrunk FROM b JOIN d USING (year, industry)""")
+def specific_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specific deviations through their layers: an entity's own, blended with the structural by its coverage, shrunk to its group."""
+    x = cross_years(spark, sf_dir).join(structural_sigma(spark, sf_dir), ["year", "sid"])
+    x = x.withColumn("gamma", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("n_orders") - 1) / 3)))
+    x = x.withColumn("blended", F.col("gamma") * F.col("mean_order") / 997 + (1 - F.col("gamma")) * F.col("structural"))
+    return cs.shrink(x, ["year", "industry"], "blended", "cap", 0.1).select("year", "sid", r("gamma").alias("gamma"), r("blended", 4).alias("blended"), r("shrunk", 4).alias("shrunk"))
+
+
+@query(f"""WITH {YEARS}, {_FIT}, st AS ({ORACLE['structural_sigma']}), im AS (SELECT year, count(*) FILTER (n_orders <= 1) / count(*) AS share FROM p GROUP BY year),
+mk AS (SELECT year, sum(cap * y) / sum(cap) AS mkt FROM f1 GROUP BY year), sp AS (SELECT year, bool_and(structural > 0) AS good, median(structural) * sqrt(12) AS med FROM st GROUP BY year)
+SELECT year, 'imputation' AS gate, 'WARN' AS level, share <= 0.2 AS ok FROM im UNION ALL SELECT year, 'country_tracking', 'WARN', abs(c - mkt) < 0.05 FROM ctry JOIN mk USING (year)
+UNION ALL SELECT year, 'specific_coverage', 'FAIL', good FROM sp UNION ALL SELECT year, 'specific_level', 'WARN', med BETWEEN 100 AND 1000 FROM sp""")
+def specific_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of imputation, of the country return against the market's, and of the specific forecasts."""
+    rows = lambda df, gate, level, ok: df.select("year", F.lit(gate).alias("gate"), F.lit(level).alias("level"), ok.alias("ok"))
+    imputed = cross_years(spark, sf_dir).groupBy("year").agg((F.count(F.when(F.col("n_orders") <= 1, 1)) / F.count("*")).alias("share"))
+    market = _regression_input(spark, sf_dir).select("year", "y", "style", "industry", "cap", "v").na.drop().groupBy("year").agg((F.sum(F.col("cap") * F.col("y")) / F.sum("cap")).alias("mkt"))
+    country = factor_returns_wls(spark, sf_dir).filter("factor = 'country'").join(market, "year")
+    sigma = structural_sigma(spark, sf_dir)
+    middle = cs.quantiles(sigma, ["year"], "structural", {"med": 0.5})
+    return (
+        rows(imputed, "imputation", "WARN", F.col("share") <= 0.2).unionByName(rows(country, "country_tracking", "WARN", F.abs(F.col("f") - F.col("mkt")) < 0.05))
+        .unionByName(rows(sigma.groupBy("year").agg(F.min(F.col("structural") > 0).alias("good")), "specific_coverage", "FAIL", F.col("good")))
+        .unionByName(rows(middle, "specific_level", "WARN", (F.col("med") * F.sqrt(F.lit(12.0))).between(100, 1000)))
+    )
+
+
+@query(f"""WITH RECURSIVE {_SIGMA}, vr AS ({ORACLE['factor_regime']})
+SELECT m, 'factor_shock' AS gate, 'WARN' AS level, coalesce(max(abs(ret / sigma)) FILTER (sigma > 0) <= 3, true) AS ok FROM sg GROUP BY m UNION ALL SELECT m, 'vra', 'WARN', lam BETWEEN 0.5 AND 2 FROM vr""")
+def forecast_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of each session's factor returns against their forecasts, and of the regime multiplier."""
+    shock = _sigma(spark, sf_dir).groupBy("m").agg(F.max(F.when(F.col("sigma") > 0, F.abs(F.col("ret") / F.col("sigma")))).alias("z"))
+    shock = shock.select("m", F.lit("factor_shock").alias("gate"), F.lit("WARN").alias("level"), F.coalesce(F.col("z") <= 3, F.lit(True)).alias("ok"))
+    return shock.unionByName(factor_regime(spark, sf_dir).select("m", F.lit("vra").alias("gate"), F.lit("WARN").alias("level"), F.col("lam").between(0.5, 2).alias("ok")))
+
+
+@query(f"""WITH {_SIGMA}, h AS (SELECT *, CASE WHEN count(ret) OVER w = 3 THEN sum(ret) OVER w END AS got FROM sg WINDOW w AS (PARTITION BY factor ORDER BY m RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+b AS (SELECT factor, got / (sigma * sqrt(3)) AS b FROM h WHERE sigma > 0 AND got IS NOT NULL), s AS (SELECT factor, count(*) AS n, stddev_samp(b) AS bias FROM b GROUP BY factor HAVING count(*) >= 3)
+SELECT factor, n, round(bias, 6) AS bias, round(1 - sqrt(2.0 / n), 6) AS low, round(1 + sqrt(2.0 / n), 6) AS high, bias BETWEEN 1 - sqrt(2.0 / n) AND 1 + sqrt(2.0 / n) AS inside FROM s""")
+def horizon_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bias of each factor's forecasts over three whole months, with the band that chance allows."""
+    w = ts.session_frame("factor", "m", 0, 2)
+    x = _sigma(spark, sf_dir).withColumn("got", F.when(F.count("ret").over(w) == 3, F.sum("ret").over(w)))
+    b = x.select("factor", F.when(F.col("sigma") > 0, F.col("got") / (F.col("sigma") * F.sqrt(F.lit(3.0)))).alias("b")).filter("b IS NOT NULL")
+    s = b.groupBy("factor").agg(F.count("*").alias("n"), F.stddev_samp("b").alias("bias")).filter("n >= 3")
+    low, high = 1 - F.sqrt(2.0 / F.col("n")), 1 + F.sqrt(2.0 / F.col("n"))
+    return s.select("factor", "n", r("bias").alias("bias"), r(low).alias("low"), r(high).alias("high"), F.col("bias").between(low, high).alias("inside"))
+
+
+@query(f"""WITH {_COV}, {_HOLD}, full_cov AS (SELECT i, j, cov FROM cov UNION ALL SELECT j, i, cov FROM cov WHERE i < j),
+fx AS (SELECT i AS factor, sum(cov * x) AS fx FROM full_cov JOIN h ON j = factor GROUP BY 1), p AS (SELECT factor, x, fx, sqrt(cov) AS own, sqrt(sum(x * fx) OVER ()) AS sigma FROM h JOIN fx USING (factor) JOIN cov ON i = factor AND j = factor)
+SELECT factor, round(x, 8) AS x, round(own, 6) AS volatility, round(fx / (own * sigma), 6) AS rho, round(x * fx / sigma, 8) AS risk FROM p""")
+def exposure_volatility_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A portfolio's risk as exposure times volatility times correlation, factor by factor."""
+    c = stored(_cov(spark, sf_dir), "cov")  # a row per pair of factors
+    parts = risk.decompose(_holdings(spark, sf_dir), c)
+    own = c.filter("i = j").select(F.col("i").alias("factor"), F.sqrt("cov").alias("own"))
+    x = parts.join(own, "factor")
+    return x.select("factor", r("x", 8).alias("x"), r("own").alias("volatility"), r(F.try_divide("mctr", F.nullif("own", F.lit(0.0)))).alias("rho"), r(F.col("x") * F.col("mctr"), 8).alias("risk"))
+
+
+_CHAIN = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+
+
+@query(f"""WITH o AS (SELECT o_custkey AS sid, CAST(o_orderdate AS DATE) AS date, o_orderpriority AS concept, max(o_totalprice) AS value FROM orders GROUP BY ALL), d AS (SELECT DISTINCT sid, date FROM o),
+c0 AS (SELECT d.*, CASE WHEN date_diff('day', o.date, d.date) <= 180 THEN value END AS v0 FROM d ASOF LEFT JOIN (SELECT * FROM o WHERE concept = '{_CHAIN[0]}') o ON d.sid = o.sid AND d.date >= o.date),
+c1 AS (SELECT d.*, CASE WHEN date_diff('day', o.date, d.date) <= 180 THEN value END AS v1 FROM c0 d ASOF LEFT JOIN (SELECT * FROM o WHERE concept = '{_CHAIN[1]}') o ON d.sid = o.sid AND d.date >= o.date),
+c2 AS (SELECT d.*, CASE WHEN date_diff('day', o.date, d.date) <= 180 THEN value END AS v2 FROM c1 d ASOF LEFT JOIN (SELECT * FROM o WHERE concept = '{_CHAIN[2]}') o ON d.sid = o.sid AND d.date >= o.date)
+SELECT sid, date, coalesce(v0, v1, v2) AS value, CASE WHEN v0 IS NOT NULL THEN '{_CHAIN[0]}' WHEN v1 IS NOT NULL THEN '{_CHAIN[1]}' WHEN v2 IS NOT NULL THEN '{_CHAIN[2]}' END AS concept FROM c2""")
+def fresh_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At each date the first concept of a list whose latest value is at most 180 days old."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("sid"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderpriority").alias("concept")).agg(F.max("o_totalprice").alias("value"))
+    return va.fresh_by_priority(o.select("sid", "date").distinct(), o, ["sid"], "date", "concept", "value", _CHAIN, 180)

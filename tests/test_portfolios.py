@@ -99,3 +99,23 @@ def test_least_risk_of_the_model(spark, sf):
     assert own and all(abs(w - 1) < 1e-6 for w in own.values())
     factors = {r.i for r in risks._cov(spark, sf).select("i").distinct().collect()}
     assert set(own) <= factors
+
+
+def test_fresh_by_priority(spark):
+    from pyspark.sql import functions as F
+
+    day = lambda df: df.withColumn("d", F.to_date("d"))
+    facts = day(spark.createDataFrame([(1, "2024-01-01", "a", 1.0), (1, "2024-01-05", "b", 2.0), (1, "2024-01-06", "z", 9.0), (1, "2024-01-07", "a", None)], "k int, d string, c string, v double"))
+    dates = day(spark.createDataFrame([(1, "2023-12-31"), (1, "2024-01-01"), (1, "2024-01-11"), (1, "2024-01-14"), (1, "2024-02-14"), (2, "2024-01-11")], "k int, d string"))
+    found = {(r.k, str(r.d)): (r.v, r.c) for r in va.fresh_by_priority(dates, facts, ["k"], "d", "c", "v", ["a", "b"], 10).collect()}
+    assert found[1, "2024-01-01"] == found[1, "2024-01-11"] == (1.0, "a") and found[1, "2024-01-14"] == (2.0, "b")
+    assert found[1, "2023-12-31"] == found[1, "2024-02-14"] == found[2, "2024-01-11"] == (None, None)
+
+
+def test_valuation_zero_fill(spark):
+    df = spark.createDataFrame([(100.0, 5.0, None, None, None, None), (100.0, 5.0, -20.0, None, 30.0, None), (0.0, 5.0, 10.0, 50.0, 5.0, 5.0)], "mc double, ni double, be double, ta double, ld double, cd double")
+    c = va.ratios(df.mc, df.ni, df.ni, df.be, df.ta, df.cd, df.ld, df.cd)
+    got = [tuple(r) for r in df.select(*(x.alias(n) for n, x in c.items())).collect()]
+    assert got[0] == (0.05, 0.05, None, None, None, None)  # no balance sheet: nothing is filled
+    assert got[1] == (0.05, 0.05, -0.2, 1.3, None, None)
+    assert got[2] == (None, None, None, None, 0.2, 2.0)
