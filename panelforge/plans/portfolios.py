@@ -251,13 +251,14 @@ def to_issuers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {YEARS}, st AS ({ORACLE['structural_sigma']}), l AS (SELECT p.year, p.sid, industry, cap, mean_order / 997 AS own, least(1, greatest(0, (n_orders - 1) / 3.0)) AS gamma, structural FROM p JOIN st USING (year, sid)),
 b AS (SELECT *, gamma * own + (1 - gamma) * structural AS blended FROM l), m AS (SELECT year, industry, sum(cap * blended) / sum(cap) AS mu FROM b GROUP BY ALL),
 d AS (SELECT year, industry, any_value(mu) AS mu, sqrt(avg((blended - mu) * (blended - mu))) AS delta FROM b JOIN m USING (year, industry) GROUP BY ALL)
-SELECT year, sid, round(gamma, 6) AS gamma, round(blended, 4) AS blended, round(CASE WHEN delta + 0.1 * abs(blended - mu) = 0 THEN blended ELSE (0.1 * abs(blended - mu) * mu + delta * blended) / (delta + 0.1 * abs(blended - mu)) END, 4) AS shrunk FROM b JOIN d USING (year, industry)""")
+SELECT year, sid, round(gamma, 6) AS gamma, round(blended, 6) AS blended, round(CASE WHEN delta + 0.1 * abs(blended - mu) = 0 THEN blended ELSE (0.1 * abs(blended - mu) * mu + delta * blended) / (delta + 0.1 * abs(blended - mu)) END, 6) AS shrunk FROM b JOIN d USING (year, industry)""")
 def specific_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Specific deviations through their layers: an entity's own, blended with the structural by its coverage, shrunk to its group."""
-    x = cross_years(spark, sf_dir).join(structural_sigma(spark, sf_dir), ["year", "sid"])
+    structural = stored(structural_sigma(spark, sf_dir), "structural")  # the shrinkage reads it three times
+    x = cross_years(spark, sf_dir).join(structural, ["year", "sid"])
     x = x.withColumn("gamma", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("n_orders") - 1) / 3)))
     x = x.withColumn("blended", F.col("gamma") * F.col("mean_order") / 997 + (1 - F.col("gamma")) * F.col("structural"))
-    return cs.shrink(x, ["year", "industry"], "blended", "cap", 0.1).select("year", "sid", r("gamma").alias("gamma"), r("blended", 4).alias("blended"), r("shrunk", 4).alias("shrunk"))
+    return cs.shrink(x, ["year", "industry"], "blended", "cap", 0.1).select("year", "sid", r("gamma").alias("gamma"), r("blended").alias("blended"), r("shrunk").alias("shrunk"))
 
 
 @query(f"""WITH {YEARS}, {_FIT}, st AS ({ORACLE['structural_sigma']}), im AS (SELECT year, count(*) FILTER (n_orders <= 1) / count(*) AS share FROM p GROUP BY year),
@@ -270,7 +271,7 @@ def specific_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     imputed = cross_years(spark, sf_dir).groupBy("year").agg((F.count(F.when(F.col("n_orders") <= 1, 1)) / F.count("*")).alias("share"))
     market = _regression_input(spark, sf_dir).select("year", "y", "style", "industry", "cap", "v").na.drop().groupBy("year").agg((F.sum(F.col("cap") * F.col("y")) / F.sum("cap")).alias("mkt"))
     country = factor_returns_wls(spark, sf_dir).filter("factor = 'country'").join(market, "year")
-    sigma = structural_sigma(spark, sf_dir)
+    sigma = stored(structural_sigma(spark, sf_dir), "structural")
     middle = cs.quantiles(sigma, ["year"], "structural", {"med": 0.5})
     return (
         rows(imputed, "imputation", "WARN", F.col("share") <= 0.2).unionByName(rows(country, "country_tracking", "WARN", F.abs(F.col("f") - F.col("mkt")) < 0.05))
