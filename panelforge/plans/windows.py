@@ -116,9 +116,9 @@ SELECT factor, m, round(CASE WHEN n >= 6 THEN v END, 6) AS rstr FROM s""")
 def relative_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decayed mean of log returns over twelve months, lagged by two."""
     w = ts.session_frame("factor", "m", -13, -2)
-    k = F.when(F.col("ret").isNotNull(), ts.decay("m", 6))
+    x = brand_month(spark, sf_dir).withColumn("k", F.when(F.col("ret").isNotNull(), ts.decay("m", 6, "factor")))
     lr = F.log1p("ret")
-    return brand_month(spark, sf_dir).select("factor", "m", r(F.when(F.count("ret").over(w) >= 6, F.sum(k * lr).over(w) / F.sum(k).over(w))).alias("rstr"))
+    return x.select("factor", "m", r(F.when(F.count("ret").over(w) >= 6, F.sum(F.col("k") * lr).over(w) / F.sum("k").over(w))).alias("rstr"))
 
 
 _Z = ", ".join(f"coalesce(sum(lr) OVER (PARTITION BY factor ORDER BY m RANGE BETWEEN {h - 1} PRECEDING AND CURRENT ROW), 0) AS z{h}" for h in range(1, 13))
