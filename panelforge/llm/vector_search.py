@@ -2,30 +2,31 @@
 
 A vector is cut into 1, 4 and 16 segments; each keeps its mean and deviation. By Cauchy-Schwarz the inner
 product of two segments of m components is at most m * (mean * mean + deviation * deviation), so the sum
-over segments bounds the score from above (its negative, the distance, from below). A query first bounds
-all candidates of a slice coarsely, takes the exact scores of the most promising ones as a threshold, drops
-what cannot reach it, bounds the rest more finely, and computes exact integer scores of the survivors.
+over segments bounds the score from above (its negative, the distance, from below).
 
-Queries are dealt into blocks and candidates into slices of bounded size; each task joins one block with
-one slice and returns its k best, which a window over the query's few rows per slice merges. Nothing passes
-through the driver, and no slice depends on the values of the vectors, so a common vector makes no hot task.
+Queries are dealt into blocks and candidates into slices, both by hash and of bounded size, so no slice depends
+on the values of the vectors and a common vector makes no hot task. In a first pass each block meets one slice:
+the k-th best score a query finds there is a threshold that goes with it to all the other slices. In a slice,
+rows that are alike in their statistics form groups; a query skips the groups whose box of statistics stays
+under its threshold, bounds the rows of the others from coarse to fine, drops what can't reach the threshold,
+and computes exact integer scores of the survivors, which raise the threshold further. A window over the
+query's few rows per slice merges what the slices found. Nothing passes through the driver.
 
 Edge cases: vectors that are null, or hold null or non-finite components, and null ids take no part; rows
 that repeat a vec_id count once (the smallest vector); vectors of another length than the query's are no
-candidates; ties go to the smaller vec_id; an empty table gives no rows. Components are integers, exact
-while score bounds stay under 2**53 in double arithmetic, and computed as 64-bit integers beyond that.
+candidates; ties go to the smaller vec_id; an empty table gives no rows. Scores are exact: in floating point
+while no sum can leave its whole numbers, in Python integers beyond that; a score, or a component, that 64 bits
+don't hold is an error.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import table
+from panelforge.llm.common import materialize, table
 
 SEGMENTS = (1, 4, 16)
 RESULT = "query_id long, vec_id long, score long"
@@ -45,54 +46,107 @@ def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, 1) if out else np.zeros((len(x), 1))
 
 
-def best_in_slice(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best candidates of this slice: query id, ids, scores."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    exact_c = c.astype(np.float64) if most < 2**53 else c
-    levels = [(segment_features(q, s), segment_features(c, s)) for s in SEGMENTS]
-    for i in range(len(qid)):
-        alive = np.flatnonzero(cid != qid[i])
-        if not len(alive):
+def alike(features: np.ndarray, size: int) -> list[np.ndarray]:
+    """Row numbers in groups of at most ``size``, halved again and again at the median of the feature that varies most."""
+    done, todo = [], [np.arange(len(features))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            done.append(rows)
             continue
-        row = q[i].astype(exact_c.dtype)
-        threshold = -np.inf
+        rows = rows[np.argsort(features[rows, features[rows].std(0).argmax()], kind="stable")]
+        todo += [rows[: len(rows) // 2], rows[len(rows) // 2 :]]
+    return done
+
+
+def exact_type(q: np.ndarray, c: np.ndarray) -> type:
+    """The fastest number type in which every sum of products of the two sides is exact."""
+    most = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (q, c)]
+    if max(most) >= 2**62:
+        raise OverflowError("a vector has a component beyond 64 bits")
+    top = most[0] * most[1] * max(1, q.shape[1])
+    return np.float32 if top < 2**24 else np.float64 if top < 2**53 else object
+
+
+def k_best(at: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query (``at``) its k best rows, ties to the smaller id, in order."""
+    order = np.lexsort((ids, -scores, at))
+    at, ids, scores = at[order], ids[order], scores[order]
+    start = np.searchsorted(at, at)
+    keep = np.arange(len(at)) - start < k
+    return at[keep], ids[keep], scores[keep]
+
+
+def best_in_slice(qid: np.ndarray, q: np.ndarray, least: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, size: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query its k best candidates of this slice that reach ``least``: query numbers, ids, scores."""
+    kind = exact_type(q, c)
+    exact_q, exact_c, least = q.astype(kind), c.astype(kind), least.astype(np.float64)
+    slack = 1e-9 * (1 + np.sqrt((q.astype(np.float64) ** 2).sum(1)) * np.sqrt((c.astype(np.float64) ** 2).sum(1)).max(initial=0))
+    levels = [(segment_features(q, s), segment_features(c, s)) for s in SEGMENTS]
+    box_q, box_c = levels[-1]
+    groups = alike(box_c, size)
+    low, high = (np.stack([at(box_c[g], axis=0) for g in groups]) for at in (np.min, np.max))
+    reach = np.maximum(box_q, 0) @ high.T + np.minimum(box_q, 0) @ low.T
+    found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for g in np.argsort(-reach.mean(0), kind="stable"):
+        rows, queries = groups[g], np.flatnonzero(reach[:, g] >= least - slack)
         for fq, fc in levels:
-            bound = fc[alive] @ fq[i]
-            bound += 1e-9 * (1 + np.abs(bound)) + 1e-6
-            alive, bound = alive[bound >= threshold], bound[bound >= threshold]
-            if len(alive) > k:
-                seeds = alive[np.argpartition(-bound, k - 1)[:k]]
-                threshold = max(threshold, float((exact_c[seeds] @ row).min()))
-                alive = alive[bound >= threshold]
-        scores = (exact_c[alive] @ row).astype(np.int64)
-        order = np.lexsort((cid[alive], -scores))[:k]
-        yield qid[i], cid[alive][order], scores[order]
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = 1024, piece: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k best rows other than its own."""
-    rows = integer_vectors(vectors)
-    n, n_query = rows.agg(F.count("*"), F.coalesce(F.sum(is_query.cast("int")), F.lit(0))).first()
-    blocks, pieces = max(1, -(-n_query // block)), max(1, -(-n // piece))
+            may = fq[queries] @ fc[rows].T >= (least - slack)[queries, None]
+            queries, rows = queries[may.any(1)], rows[may.any(0)]
+        if not len(queries):
+            continue
+        scores = exact_q[queries] @ exact_c[rows].T
+        other = cid[rows] != qid[queries, None]
+        if len(rows) > k and kind is not object:  # the k-th best of this group, before any pair is listed
+            own = np.where(other, scores, -np.inf)
+            least[queries] = np.maximum(least[queries], np.partition(own, len(rows) - k, axis=1)[:, len(rows) - k])
+        i, j = np.nonzero(other & (scores >= least[queries, None]).astype(bool))
+        if not len(i):
+            continue
+        if kind is object and max(map(abs, scores[i, j])) >= 2**63:
+            raise OverflowError("a score is beyond 64 bits")
+        pair = queries[i], cid[rows[j]], scores[i, j].astype(np.int64)
+        found = k_best(*(np.concatenate(x) for x in zip(found, pair)), k)
+        full = np.flatnonzero(np.bincount(found[0], minlength=len(q)) >= k)
+        last = np.searchsorted(found[0], full, side="right") - 1
+        least[full] = np.maximum(least[full], np.nextafter(found[2][last].astype(np.float64), -np.inf) if kind is object else found[2][last])
+    return found
 
-    def every(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    # Either side repeats once per block of the other, never once per row of it.
-    queries = rows.filter(is_query).select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b"), every(pieces).alias("p"), "vec_id", "v")
-    candidates = rows.select("dim", every(blocks).alias("b"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(pieces)).cast("int").alias("p"), "vec_id", "v")
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = 4096, piece: int = 4096) -> DataFrame:
+    """query_id, rank, vec_id, score of each query's k best rows other than its own."""
+    rows = materialize(integer_vectors(vectors), "vectors")
+    n, n_query, dim = rows.agg(F.count("*"), F.coalesce(F.sum(is_query.cast("int")), F.lit(0)), F.coalesce(F.max("dim"), F.lit(0))).first()
+    fit = max(64, (4096 * 256) // max(1, dim))  # longer vectors come in smaller blocks and slices
+    blocks, pieces = max(1, -(-n_query // min(block, fit))), max(1, -(-n // min(piece, fit)))
+    b, p = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(pieces)).cast("int")
+    queries = rows.filter(is_query).select("dim", b.alias("b"), "vec_id", "v")
+    candidates = rows.select(F.col("dim").alias("width"), p.alias("p"), F.col("vec_id").alias("cand"), F.col("v").alias("c"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        q, c = (np.stack(x["v"].to_numpy()).astype(np.int64).reshape(len(x), -1) for x in (left, right))
-        found = list(best_in_slice(left["vec_id"].to_numpy(), q, right["vec_id"].to_numpy(), c, k))
-        ids = np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)
-        join = lambda at: np.concatenate([f[at] for f in found] or [np.zeros(0, np.int64)]).astype(np.int64)
-        return pd.DataFrame({"query_id": ids, "vec_id": join(1), "score": join(2)})
-
-    key = ("dim", "b", "p")
-    found = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInPandas(run, RESULT)
+        q, c = (np.stack(x.to_numpy()).astype(np.int64).reshape(len(x), -1) for x in (left["v"], right["c"]))
+        qid = left["vec_id"].to_numpy()
+        at, ids, scores = best_in_slice(qid, q, left["least"].to_numpy(), right["cand"].to_numpy(), c, k)
+        return pd.DataFrame({"query_id": qid[at], "vec_id": ids, "score": scores})
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.groupBy("dim", "b", "p").cogroup(right.groupBy("width", "b", "p")).applyInPandas(run, RESULT)
+
+    # A slice p is the first one of the blocks p, p + pieces, ...
+    first = queries.select("dim", "b", F.pmod("b", F.lit(pieces)).alias("p"), "vec_id", "v", F.lit(float("-inf")).alias("least"))
+    hosts = candidates.filter(F.col("p") < blocks).withColumn("b", F.explode(F.sequence("p", F.lit(blocks - 1), F.lit(pieces))))
+    found = materialize(meet(first, hosts), "first-slice")
+    if pieces > 1:
+        # Either side repeats once per block of the other, never once per row of it.
+        least = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("found"), F.min("score").alias("kth")).filter(F.col("found") >= k)
+        rest = F.filter(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda x: x != F.pmod("b", F.lit(pieces)))
+        floor = F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf")))  # as a double it may round up, past 2**53
+        floor = F.when(F.abs(floor) < 2.0**53, floor).otherwise(floor - F.abs(floor) * 1e-15)
+        later = queries.join(least, "vec_id", "left").select("dim", "b", F.explode(rest).alias("p"), "vec_id", "v", floor.alias("least"))
+        others = candidates.withColumn("b", F.explode(F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.pmod(x, F.lit(pieces)) != F.col("p"))))
+        found = found.unionByName(meet(later, others))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

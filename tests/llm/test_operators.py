@@ -417,6 +417,47 @@ def test_vectors_awkward(spark):
     assert vector_search.top_k(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def best_rows(table, is_query, k):
+    """(query, rank, id, score) of every query against every other row, in Python integers."""
+    out = []
+    for q, v in table.items():
+        if is_query(q):
+            best = sorted((-sum(a * b for a, b in zip(v, c)), i) for i, c in table.items() if i != q)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("scale", [1, 10**3, 10**5])
+@pytest.mark.parametrize("block, piece", [(7, 150), (64, 20), (4096, 4096)])
+def test_vectors_blocks(spark, scale, block, piece):
+    """Clusters, many copies of one vector, and fewer rows in a slice than are asked for; sums in each number type."""
+    rng = np.random.default_rng(scale)
+    centres = rng.normal(size=(4, 20)) * 3
+    data = [(i, [float(round(x * 256) * scale) / 256 for x in centres[i % 4] + rng.normal(size=20) * 0.2]) for i in range(300)]
+    data += [(i, data[1][1]) for i in range(300, 420)]
+    table = {i: [math.floor(256 * x) for x in v] for i, v in data}
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = vector_search.top_k(df, F.col("vec_id") % 10 == 0, block=block, piece=piece)
+    assert rows(got, "query_id", "rank", "vec_id", "score") == best_rows(table, lambda q: q % 10 == 0, 5)
+
+
+def test_vectors_slice():
+    """Groups of a few rows, tight thresholds: what is skipped can't be among the best. Beyond 64 bits is an error."""
+    rng = np.random.default_rng(3)
+    for top in (50, 10**6, 10**8):
+        c = rng.integers(-top, top, (6, 24))[rng.integers(0, 6, 500)] + rng.integers(-top // 10, top // 10, (500, 24))
+        q, ids = c[:40], np.arange(500)
+        at, found, scores = vector_search.best_in_slice(ids[:40], q, np.full(40, -np.inf), ids, c, 5, size=16)
+        want = best_rows({i: v.tolist() for i, v in enumerate(c)}, lambda i: i < 40, 5)
+        assert sorted(zip(at.tolist(), found.tolist(), scores.tolist()), key=repr) == sorted(((q, i, s) for q, _, i, s in want), key=repr)
+        least = scores[4::5].astype(float)
+        again = vector_search.best_in_slice(ids[:40], q, least - (top > 10**7) * 4096, ids, c, 5, size=16)
+        assert all((a == b).all() for a, b in zip(again, (at, found, scores)))
+    huge = np.full((2, 3), 2**40)
+    with pytest.raises(OverflowError):
+        vector_search.best_in_slice(np.arange(2), huge, np.full(2, -np.inf), np.arange(2), huge, 5)
+
+
 # 7: language model
 
 
