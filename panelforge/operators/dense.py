@@ -288,6 +288,132 @@ def optimize(cov: DataFrame, alpha: DataFrame, by: str, cap: float, aversion: fl
     return cov.groupBy(by).cogroup(alpha.groupBy(by)).applyInPandas(fit, f"{by} {kind}, factor string, weight double")
 
 
+def _onto_l1(v: np.ndarray, radius: float) -> np.ndarray:
+    """The nearest point whose absolute values sum to at most ``radius``."""
+    size = np.abs(v)
+    if size.sum() <= radius:
+        return v
+    ordered = np.sort(size)[::-1]
+    excess = (np.cumsum(ordered) - radius) / np.arange(1, len(v) + 1)
+    return np.sign(v) * np.maximum(size - excess[np.flatnonzero(ordered > excess)[-1]], 0)
+
+
+def active_weights(
+    x: np.ndarray, f: np.ndarray, spec: np.ndarray, bench: np.ndarray, *, alpha: np.ndarray | None = None, aversion: float = 10.0, cap: float = 0.05,
+    bands: np.ndarray | None = None, tracking: float | None = None, prev: np.ndarray | None = None, turnover: float | None = None, rounds: int = 50000,
+) -> tuple[np.ndarray, str]:
+    """Long-only weights that sum to one, and OPTIMAL, INFEASIBLE or INACCURATE.
+
+    They maximise alpha'w - aversion * active variance (without alpha: minimise the variance), each at most ``cap``,
+    active exposures within ``bands`` (one a factor, infinite where free), the active deviation at most ``tracking``
+    over the covariance's horizon, and weights traded from ``prev`` at most ``turnover``.
+
+    Every constraint is a set that has a plain projection, so the weights alternate between a quadratic problem
+    and these projections. The risk stays in factor form: a diagonal and a few columns, solved in the columns' size.
+    """
+    n = len(bench)
+    values, vectors = np.linalg.eigh((f + f.T) / 2)
+    through = x @ (vectors * np.sqrt(np.maximum(values, 0)))  # assets x factors, the factor part of the risk
+    pull = 2.0 * (aversion if alpha is not None else 1.0)
+    unit = max(pull * float(spec.mean() + (through**2).sum(1).mean()), 1e-12)  # brings the objective to order one
+    q = -(pull * (through @ (through.T @ bench) + spec * bench) + (alpha if alpha is not None else 0.0)) / unit
+    bound = np.full(x.shape[1], np.inf) if bands is None else np.asarray(bands, float)
+    held = np.flatnonzero(np.isfinite(bound))
+    rows, root = [np.ones((n, 1))], np.sqrt(np.maximum(spec, 0))
+    rows += [x[:, held]] if len(held) else []
+    wide = np.hstack(rows)
+    heavy = np.full(wide.shape[1], 1.0)
+    heavy[0] = 1000.0
+    middle = np.concatenate([[1.0], x[:, held].T @ bench])
+    slack = np.concatenate([[0.0], bound[held]])
+    limited, traded = tracking is not None, turnover is not None and prev is not None
+    scale = 1.0 / max(tracking, 1e-9) if limited else 0.0
+
+    w = bench.astype(float).copy()
+    apply = lambda w: (wide.T @ w, w, scale * np.concatenate([through.T @ w, root * w]) if limited else None, w if traded else None)
+    home = scale * np.concatenate([through.T @ bench, root * bench]) if limited else None
+
+    def project(at: tuple) -> tuple:
+        ball = None
+        if limited:
+            off = at[2] - home
+            ball = home + off / max(1.0, float(np.linalg.norm(off)))
+        return np.clip(at[0], middle - slack, middle + slack), np.clip(at[1], 0, cap), ball, prev + _onto_l1(at[3] - prev, turnover) if traded else None
+
+    def back(parts: tuple) -> np.ndarray:
+        out = wide @ (heavy * parts[0]) + parts[1]
+        if limited:
+            out = out + scale * (through @ parts[2][: through.shape[1]] + root * parts[2][through.shape[1] :])
+        return out + parts[3] if traded else out
+
+    each = lambda op, *tuples: tuple(None if any(p is None for p in parts) else op(*parts) for parts in zip(*tuples))
+
+    def solver(rho: float):
+        diagonal = pull * spec / unit + 1e-9 + rho * (1 + traded + scale**2 * spec)
+        columns = np.hstack([np.sqrt(pull / unit + rho * scale**2) * through, np.sqrt(rho * heavy) * wide])
+        small = np.linalg.inv(np.eye(columns.shape[1]) + columns.T @ (columns / diagonal[:, None]))
+        return lambda b: b / diagonal - (columns @ (small @ (columns.T @ (b / diagonal)))) / diagonal
+
+    rho, z = 1.0, project(apply(w))
+    u, solve = each(np.zeros_like, z), solver(1.0)
+    status = "INACCURATE"
+    for k in range(1, rounds + 1):
+        w = solve(-q + 1e-9 * w + rho * back(each(np.subtract, z, u)))
+        last, at = z, apply(w)
+        z = project(each(np.add, at, u))
+        u = each(lambda a, b, c: a + b - c, u, at, z)
+        if k % 25 == 0:
+            apart = max(float(np.abs(a - b).max()) for a, b in zip(at, z) if a is not None)
+            moved = float(np.abs(rho * back(each(np.subtract, z, last))).max())
+            if apart < 1e-8 and moved < 1e-8:
+                status = "OPTIMAL"
+                break
+            ratio = np.sqrt(max(apart, 1e-12) / max(moved, 1e-12))
+            if (ratio > 5 or ratio < 0.2) and k % 100 == 0:
+                step = float(np.clip(ratio, 0.1, 10.0))
+                rho, u = rho * step, each(lambda a: a / step, u)
+                solve = solver(rho)
+    else:
+        status = "INFEASIBLE" if apart > 1e-4 else "INACCURATE"
+    w = np.clip(w, 0, cap)
+    return w / (w.sum() or 1.0), status
+
+
+def optimize_active(assets: DataFrame, cov: DataFrame, by: str, sid: str, *, aversion: float = 10.0, cap: float = 0.05, bands: dict[str, float] | None = None, band: float | None = None, tracking: float | None = None, turnover: float | None = None, rounds: int = 50000) -> DataFrame:
+    """by, sid, weight, active, tracking_error, status: one problem per key, of the investable assets' number.
+
+    assets: by, sid, exposures (a map from factor), spec_var, bench and, where they matter, alpha and prev; cov: by,
+    factor_i, factor_j, cov (i <= j). ``bands`` bounds active exposures by factor, ``band`` those of the others.
+    Null exposures, weights and views count as zero; assets without an id or a specific variance take no part; keys
+    without assets or without a covariance give none. The benchmark is scaled to sum to one. A problem without a solution says so.
+    """
+    kind = dict(assets.dtypes)
+    has = [c for c in ("alpha", "prev") if c in assets.columns]
+
+    def fit(rows: pd.DataFrame, triangle: pd.DataFrame) -> pd.DataFrame:
+        columns = [by, sid, "weight", "active", "tracking_error", "status"]
+        if not len(rows) or not len(triangle):
+            return pd.DataFrame(columns=columns)
+        rows = rows.sort_values(sid)
+        names, f = _square(triangle, "cov")
+        x = np.array([[dict(e if e is not None else {}).get(m) or 0.0 for m in names] for e in rows["exposures"]])
+        number = lambda c: rows[c].astype(float).fillna(0.0).to_numpy()
+        spec, bench = number("spec_var"), number("bench")
+        bench = bench / bench.sum() if bench.sum() > 0 else np.full(len(bench), 1.0 / len(bench))
+        limits = np.array([(bands or {}).get(m, np.inf if band is None else band) for m in names])
+        w, status = active_weights(
+            x, f, spec, bench, alpha=number("alpha") if "alpha" in has else None, aversion=aversion, cap=max(cap, 1.0 / len(bench)), bands=limits,
+            tracking=tracking, prev=number("prev") if "prev" in has else None, turnover=turnover, rounds=rounds,
+        )
+        a = w - bench
+        y = x.T @ a
+        off = float(np.sqrt(max(0.0, y @ f @ y + spec @ (a * a))))
+        return pd.DataFrame({by: rows[by].iloc[0], sid: rows[sid].to_numpy(), "weight": w, "active": a, "tracking_error": off, "status": status})[columns]
+
+    left = assets.select(by, sid, "exposures", "spec_var", "bench", *has).na.drop(subset=[sid, "spec_var"])
+    return left.groupBy(by).cogroup(cov.groupBy(by)).applyInPandas(fit, f"{by} {kind[by]}, {sid} {kind[sid]}, weight double, active double, tracking_error double, status string")
+
+
 def _square(triangle: pd.DataFrame, value: str) -> tuple[list[str], np.ndarray]:
     """Names and the full matrix of a triangle in long form."""
     names = sorted({*triangle["factor_i"], *triangle["factor_j"]})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.operators import dense, risk
@@ -154,6 +154,20 @@ def optimal_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.optimize(cov, alpha, "date", 0.10, 4.0).select("factor", r("weight").alias("weight"))
 
 
+@query()
+def active_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of part types by size against their share of value: bands on exposures to brands, bounds on tracking error and trades."""
+    cov = _cov(spark, sf_dir).select(F.lit(1).alias("date"), F.col("i").alias("factor_i"), F.col("j").alias("factor_j"), "cov")
+    part = table(spark, sf_dir, "part").withColumn("asset", F.concat_ws("|", "p_type", F.ceil(F.col("p_size") / 5)))
+    brand = part.groupBy("asset", "p_brand").agg(F.sum("p_retailprice").alias("value"))
+    total = brand.groupBy("asset").agg(F.sum("value").alias("bench"), F.map_from_entries(F.collect_list(F.struct("p_brand", "value"))).alias("of"))  # 25 brands
+    own = part.groupBy("asset").agg((F.var_pop("p_retailprice") / F.avg("p_retailprice") ** 2 + 0.001).alias("spec_var"), (F.avg("p_size") / 1000).alias("alpha"))
+    n = F.lit(1.0) / F.count("*").over(Window.partitionBy("date"))  # 6 types in 10 sizes
+    assets = total.join(own, "asset").withColumns({"date": F.lit(1), "exposures": F.transform_values("of", lambda _, v: v / F.col("bench"))}).withColumn("prev", n)
+    found = dense.optimize_active(assets, cov, "date", "asset", aversion=1.0, cap=0.05, band=0.02, tracking=0.05, turnover=0.8)
+    return found.select("asset", r("weight", 5).alias("weight"), r("active", 5).alias("active"), r("tracking_error", 5).alias("tracking_error"), "status")
+
+
 @query(f"""WITH {DAY}, n AS (SELECT s, count(*) AS n, count(*) FILTER (close > 0) AS priced, median(volume) AS med, max(abs(ret)) AS shock FROM day GROUP BY s)
 SELECT s, 'data_freshness' AS gate, 'FAIL' AS level, priced >= 0.98 * n AS ok FROM n UNION ALL SELECT s, 'universe', 'WARN', n BETWEEN 20 AND 1000000 FROM n
 UNION ALL SELECT s, 'volume_level', 'WARN', med BETWEEN 1 AND 6 FROM n UNION ALL SELECT s, 'shock', 'WARN', coalesce(shock <= 50, true) FROM n""")
@@ -178,8 +192,6 @@ def gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT year, country, style, n, round(product(1 + country) OVER (ORDER BY year) - 1, 5) AS cumulative FROM c""")
 def factor_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide factor returns with the cumulative country return."""
-    from pyspark.sql import Window
-
     c = factor_returns_wls(spark, sf_dir).groupBy("year").agg(F.max(F.when(F.col("factor") == "country", F.col("f"))).alias("country"), F.max(F.when(F.col("factor") == "style", F.col("f"))).alias("style"), F.count("*").alias("n"))
     w = Window.partitionBy(F.lit(0)).orderBy("year")  # one row per year
     return c.select("year", "country", "style", "n", r(F.product(1 + F.col("country")).over(w) - 1, 5).alias("cumulative"))

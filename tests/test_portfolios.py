@@ -119,3 +119,73 @@ def test_valuation_zero_fill(spark):
     assert got[0] == (0.05, 0.05, None, None, None, None)  # no balance sheet: nothing is filled
     assert got[1] == (0.05, 0.05, -0.2, 1.3, None, None)
     assert got[2] == (None, None, None, None, 0.2, 2.0)
+
+
+def _problem(seed, n=30, k=5):
+    rng = np.random.default_rng(seed)
+    x, half = rng.normal(size=(n, k)), rng.normal(size=(k, k)) * 0.02
+    bench = rng.random(n) + 0.2
+    spec = rng.random(n) * 0.004 + 0.0005
+    f = half @ half.T
+    return x, f, spec, bench / bench.sum(), rng.normal(size=n) * 0.01, x @ f @ x.T + np.diag(spec)
+
+
+def test_active_weights_closed_forms():
+    """Against formulas where few constraints bind, and against the projected gradient of the plain problem."""
+    for seed in range(5):
+        x, f, spec, bench, alpha, full = _problem(seed)
+        w, status = dense.active_weights(x, f, spec, bench, cap=1.0)
+        assert status == "OPTIMAL" and np.abs(w - bench).max() < 1e-6
+        ones, inverse = np.ones(len(bench)), np.linalg.inv(full)
+        tilt = inverse @ (alpha - ones * (ones @ inverse @ alpha) / (ones @ inverse @ ones))
+        want = bench + tilt / 2000
+        assert want.min() > 0
+        w, status = dense.active_weights(x, f, spec, bench, alpha=alpha, aversion=1000.0, cap=1.0)
+        assert status == "OPTIMAL" and np.abs(w - want).max() < 1e-6
+        limit = 0.4 * float(bench.min()) / np.abs(tilt).max() * float(np.sqrt(tilt @ full @ tilt))
+        w, status = dense.active_weights(x, f, spec, bench, alpha=alpha, aversion=1e-3, cap=1.0, tracking=limit)
+        assert status == "OPTIMAL" and np.abs(w - bench - tilt * limit / np.sqrt(tilt @ full @ tilt)).max() < 1e-5
+        w, status = dense.active_weights(x, f, spec, np.zeros(len(bench)), alpha=alpha, aversion=2.0, cap=0.2)
+        assert status == "OPTIMAL" and np.abs(w - dense.solve_weights(full, alpha, 0.2, 4.0)).max() < 1e-4
+
+
+def test_active_weights_under_all_bounds():
+    """Every bound holds, and no feasible portfolio found at random does better."""
+    for seed in range(4):
+        x, f, spec, bench, alpha, full = _problem(seed)
+        prev = np.full(len(bench), 1 / len(bench))
+        bands = np.array([0.1, 0.1, 0.05, np.inf, np.inf])
+        w, status = dense.active_weights(x, f, spec, bench, alpha=alpha, aversion=1.0, cap=0.1, bands=bands, tracking=0.01, prev=prev, turnover=0.6)
+        fits = lambda w, room=0.0: np.abs(w - prev).sum() <= 0.6 + room and (np.abs(x.T @ (w - bench)) <= bands + room).all() and (w - bench) @ full @ (w - bench) <= (0.01 + room) ** 2 and w.min() >= -room and w.max() <= 0.1 + room
+        gain = lambda w: alpha @ w - (w - bench) @ full @ (w - bench)
+        assert status == "OPTIMAL" and abs(w.sum() - 1) < 1e-9 and fits(w, 1e-6)
+        rng, tried = np.random.default_rng(seed), 0
+        for _ in range(4000):
+            i, j = rng.choice(len(bench), 2, replace=False)
+            step = np.zeros(len(bench))
+            step[i], step[j] = 1, -1
+            other = w + step * rng.random() * 0.01 if rng.random() < 0.5 else w + rng.random() * (bench - w) + step * rng.random() * 0.02
+            if fits(other):
+                tried += 1
+                assert gain(other) <= gain(w) + 1e-7
+        assert tried > 100
+    assert dense.active_weights(x, f, spec, bench, alpha=alpha, cap=0.01, rounds=3000)[1] == "INFEASIBLE"
+
+
+def test_active_weights_of_keys(spark):
+    x, f, spec, bench, alpha, full = _problem(9, n=12, k=3)
+    names, cov = _triangle(spark, f)
+    data = [(1, i, dict(zip(names, map(float, x[i]))), float(spec[i]), float(bench[i]), float(alpha[i])) for i in range(12)]
+    data += [(1, None, None, 0.1, 0.1, 0.1), (1, 50, None, None, 0.1, 0.1), (2, 1, None, 0.1, 0.1, 0.1)]
+    df = spark.createDataFrame(data, "date int, sid int, exposures map<string,double>, spec_var double, bench double, alpha double")
+    found = {r.sid: r for r in dense.optimize_active(df, cov, "date", "sid", aversion=5.0, cap=0.3).collect()}
+    want, _ = dense.active_weights(x, f, spec, bench, alpha=alpha, aversion=5.0, cap=0.3)
+    assert sorted(found) == list(range(12)) and {r.status for r in found.values()} == {"OPTIMAL"}
+    assert max(abs(found[i].weight - want[i]) for i in range(12)) < 1e-6
+    assert dense.optimize_active(df.limit(0), cov, "date", "sid").count() == 0
+
+
+def test_active_weights_query(spark, sf):
+    found = registry.QUERIES["active_weights"](spark, sf).collect()
+    assert len(found) > 10 and abs(sum(r.weight for r in found) - 1) < 1e-3
+    assert {r.status for r in found} == {"OPTIMAL"} and found[0].tracking_error <= 0.05 + 1e-5
