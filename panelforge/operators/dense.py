@@ -441,6 +441,23 @@ def minimum_risk(cov: DataFrame, by: str) -> DataFrame:
     return cov.groupBy(by).applyInPandas(solve, f"{by} {kind}, target string, factor string, weight double, sigma double")
 
 
+def covariance_gate(dates: DataFrame, cov: DataFrame, by: str, value: str) -> DataFrame:
+    """by, gate, level, ok, least_eigenvalue of each of the dates; a date without a covariance fails.
+
+    cov: by, factor_i, factor_j (i <= j) and the value; one small matrix per date. A triangle is symmetric by its form.
+    """
+    kind = dict(cov.dtypes)[by]
+
+    def least(triangle: pd.DataFrame) -> pd.DataFrame:
+        full = _square(triangle, value)[1]
+        found = float(np.linalg.eigvalsh(full)[0]) if np.isfinite(full).all() else np.nan
+        return pd.DataFrame({by: [triangle[by].iloc[0]], "least_eigenvalue": [_null(found)]})
+
+    found = cov.select(by, "factor_i", "factor_j", value).groupBy(by).applyInPandas(least, f"{by} {kind}, least_eigenvalue double")
+    ok = F.coalesce(F.col("least_eigenvalue") > 0, F.lit(False))
+    return dates.join(found, by, "left").select(by, F.lit("factor_covariance").alias("gate"), F.lit("FAIL").alias("level"), ok.alias("ok"), "least_eigenvalue")
+
+
 def eigen_battery(cov: DataFrame, realized: DataFrame, by: str) -> DataFrame:
     """k, n, bias_before, bias_after: deviations of standardised returns of eigenportfolios, k = 0 of the least risk.
 

@@ -171,3 +171,49 @@ def trailing_twelve(quarters: DataFrame, by: Sequence[str], year: str, quarter:
     prior = quarters.select(*by, (F.col(year) + 1).alias(year), quarter, F.col(value).alias("_prior"))
     found = quarters.join(full, [*by, year], "left").join(prior, [*by, year, quarter], "left")
     return found.withColumn("ttm", F.when(F.col(quarter) == 4, F.col(value)).otherwise(F.col("_full") + F.col(value) - F.col("_prior"))).drop("_full", "_prior")
+
+
+def predecessors(issuers: DataFrame, names: DataFrame, spans: DataFrame, gap_days: int, slack_days: int) -> DataFrame:
+    """issuer, id, role: every issuer's own id, and one that filed under the same name before it where it filed late.
+
+    issuers: issuer, first (the day its security appears); names: id, key (normalised); spans: id, first_filed,
+    last_filed, n. An issuer is late that never filed or first filed over ``gap_days`` after it appeared. A
+    predecessor filed before it did, and at most ``slack_days`` before the security appeared at the last; of several
+    the one that filed last is it, then the one with more filings, then the smaller id. Late issuers without any
+    have a row with a null id and the role none. Null and empty keys, and ids without filings, match nothing.
+
+    The best earlier registrant of a name is a running maximum over first filings, so a common name makes no pairs.
+    """
+    own = issuers.join(spans.select(F.col("id").alias("issuer"), F.col("first_filed").alias("own_filed")), "issuer", "left")
+    late = own.filter(F.col("own_filed").isNull() | (F.col("own_filed") > F.date_add("first", gap_days)))
+    keys = names.filter(F.col("key") != "").select("id", "key").distinct()
+    never = F.lit("9999-12-31").cast("date")
+    asks = late.join(keys.withColumnRenamed("id", "issuer"), "issuer").select("key", F.coalesce("own_filed", never).alias("at"), "issuer", "first")
+    filed = spans.join(keys, "id").select("key", F.col("first_filed").alias("at"), F.struct("last_filed", "n", (-F.col("id")).alias("minus")).alias("best"))
+    w = Window.partitionBy("key").orderBy(F.datediff("at", F.lit("1970-01-01").cast("date"))).rangeBetween(Window.unboundedPreceding, -1)
+    found = asks.unionByName(filed, allowMissingColumns=True).withColumn("best", F.max("best").over(w)).filter(F.col("issuer").isNotNull())
+    found = found.filter(F.col("best.last_filed") >= F.date_sub("first", slack_days)).groupBy("issuer").agg((-F.max("best")["minus"]).alias("id"))
+    before = late.join(found, "issuer", "left").select("issuer", "id", F.when(F.col("id").isNull(), "none").otherwise("predecessor").alias("role"))
+    return issuers.select("issuer", F.col("issuer").alias("id"), F.lit("primary").alias("role")).unionByName(before)
+
+
+def overridden(rows: DataFrame, history: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sid, industry, source (code or override) of each security, and exceptions: ticker, issue, detail.
+
+    rows: sid, issuer, industry; history: sid, ticker, start, end (null: open); overrides: ord, ticker, as_of,
+    industry. An override holds for all securities of the issuer whose ticker it was that day (of several eras, or
+    of none that covers the day, the latest to start); of an issuer's overrides the last by ``ord`` holds.
+    Tickers never used are ``override_unresolved``, overrides that change nothing ``override_noop`` and securities
+    left without an industry ``unmapped``. Rows with a null issuer keep their code's industry.
+    """
+    covers = F.coalesce((F.col("start") <= F.col("as_of")) & (F.coalesce("end", F.col("as_of")) >= F.col("as_of")), F.lit(False))
+    of = overrides.join(history.select(F.col("sid"), "ticker", "start", "end"), "ticker", "left")
+    of = of.groupBy("ord", "ticker", "industry").agg(F.max_by("sid", F.struct(covers, "start", "sid")).alias("sid"))
+    issuer = of.join(rows.select("sid", F.col("issuer").alias("_issuer")), "sid", "left")
+    last = issuer.filter(F.col("_issuer").isNotNull()).groupBy("_issuer").agg(F.max_by(F.struct(F.col("industry").alias("to"), "ticker"), "ord").alias("_by"))
+    joined = rows.join(last, F.col("issuer") == F.col("_issuer"), "left")
+    out = joined.select("sid", F.coalesce("_by.to", "industry").alias("industry"), F.when(F.col("_by").isNull(), "code").otherwise("override").alias("source"))
+    unresolved = issuer.filter(F.col("_issuer").isNull()).select("ticker", F.lit("override_unresolved").alias("issue"), F.col("industry").alias("detail"))
+    noop = joined.filter(F.col("industry") == F.col("_by.to")).select("_by.ticker", F.lit("override_noop").alias("issue"), F.col("sid").cast("string").alias("detail"))
+    unmapped = joined.filter(F.coalesce("_by.to", "industry").isNull()).select(F.lit(None).cast("string").alias("ticker"), F.lit("unmapped").alias("issue"), F.col("sid").cast("string").alias("detail"))
+    return out, unresolved.unionByName(noop).unionByName(unmapped)

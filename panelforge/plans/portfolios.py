@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import crosssection as cs
 from panelforge.operators import dense, risk
+from panelforge.operators import staging as st
 from panelforge.operators import timeseries as ts
 from panelforge.operators import valuation as va
 from panelforge.plans.crosssections import _FIT, _regression_input, estu, factor_returns_wls, regression_stats
@@ -326,3 +327,63 @@ def fresh_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At each date the first concept of a list whose latest value is at most 180 days old."""
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("sid"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderpriority").alias("concept")).agg(F.max("o_totalprice").alias("value"))
     return va.fresh_by_priority(o.select("sid", "date").distinct(), o, ["sid"], "date", "concept", "value", _CHAIN, 180)
+
+
+def _predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, day = table(spark, sf_dir, "customer"), F.lit("1995-01-01").cast("date")
+    issuers = customer.select(F.col("c_custkey").alias("issuer"), F.date_add(day, (F.col("c_custkey") * 37 % 1500).cast("int")).alias("first"))
+    names = customer.select(F.col("c_custkey").alias("id"), F.concat_ws("|", "c_nationkey", "c_mktsegment").alias("key"))
+    date = F.col("o_orderdate").cast("date")
+    spans = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min(date).alias("first_filed"), F.max(date).alias("last_filed"), F.count("*").alias("n"))
+    return st.predecessors(issuers, names, spans, 30, 90)
+
+
+@query("""WITH i AS (SELECT c_custkey AS issuer, DATE '1995-01-01' + CAST(c_custkey * 37 % 1500 AS INTEGER) AS first, concat_ws('|', c_nationkey, c_mktsegment) AS key FROM customer),
+s AS (SELECT o_custkey AS id, min(o_orderdate)::DATE AS first_filed, max(o_orderdate)::DATE AS last_filed, count(*) AS n FROM orders GROUP BY 1),
+late AS (SELECT i.*, s.first_filed AS own FROM i LEFT JOIN s ON id = issuer WHERE first_filed IS NULL OR first_filed > first + 30),
+p AS (SELECT late.issuer, s.id, row_number() OVER (PARTITION BY late.issuer ORDER BY last_filed DESC, n DESC, s.id) AS k FROM late JOIN i AS other USING (key) JOIN s ON s.id = other.issuer
+      WHERE other.issuer <> late.issuer AND last_filed >= late.first - 90 AND (own IS NULL OR s.first_filed < own))
+SELECT issuer, issuer AS id, 'primary' AS role FROM i UNION ALL SELECT late.issuer, p.id, CASE WHEN p.id IS NULL THEN 'none' ELSE 'predecessor' END FROM late LEFT JOIN p ON p.issuer = late.issuer AND k = 1""")
+def predecessor_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issuers with the registrant of the same name that filed before them."""
+    return _predecessors(spark, sf_dir)
+
+
+#: Overrides by ticker and day; the second of ticker T3's holds, T99 is nobody's.
+_OVERRIDES = [(1, "T3", "2020-02-01", "ENERGY"), (2, "T3", "2020-02-01", "TECH"), (3, "T7", "2021-01-01", "ENERGY"), (4, "T99", "2020-02-01", "TECH"), (5, "T11", "2019-01-01", "N11"), (6, "T5", "2020-01-20", "N0")]
+_OVERRIDE_SQL = f"""r AS (SELECT s_suppkey AS sid, s_suppkey // 3 AS issuer, CASE WHEN s_nationkey % 5 > 0 THEN 'N' || s_nationkey END AS industry FROM supplier),
+hist AS (SELECT s_suppkey AS sid, 'T' || s_nationkey AS ticker, DATE '2020-01-01' + CAST(s_suppkey AS INTEGER) AS start FROM supplier),
+eras AS (SELECT *, lead(start) OVER (PARTITION BY ticker ORDER BY start) - 1 AS stop FROM hist),
+o(ord, ticker, as_of, industry) AS (VALUES {', '.join(f"({k}, '{t}', DATE '{d}', '{i}')" for k, t, d, i in _OVERRIDES)}),
+e AS (SELECT o.ord, o.ticker, o.industry, eras.sid, row_number() OVER (PARTITION BY ord ORDER BY coalesce(start <= as_of AND coalesce(stop, as_of) >= as_of, false) DESC, start DESC NULLS LAST, sid DESC) AS k FROM o LEFT JOIN eras ON eras.ticker = o.ticker),
+oi AS (SELECT e.*, r.issuer FROM e LEFT JOIN r USING (sid) WHERE k = 1),
+w AS (SELECT issuer, arg_max(industry, ord) AS to_industry, arg_max(ticker, ord) AS ticker FROM oi WHERE issuer IS NOT NULL GROUP BY issuer)"""
+
+
+def _overridden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = table(spark, sf_dir, "supplier").withColumn("start", F.date_add(F.lit("2020-01-01").cast("date"), F.col("s_suppkey").cast("int")))
+    rows = s.select(F.col("s_suppkey").alias("sid"), F.floor(F.col("s_suppkey") / 3).alias("issuer"), F.when(F.col("s_nationkey") % 5 > 0, F.concat(F.lit("N"), "s_nationkey")).alias("industry"))
+    history = s.select(F.col("s_suppkey").alias("sid"), F.concat(F.lit("T"), "s_nationkey").alias("ticker"), "start")
+    history = history.withColumn("end", F.date_sub(F.lead("start").over(Window.partitionBy("ticker").orderBy("start")), 1))
+    overrides = spark.createDataFrame(_OVERRIDES, "ord int, ticker string, as_of string, industry string").withColumn("as_of", F.col("as_of").cast("date"))
+    return st.overridden(rows, history, overrides)
+
+
+@query(f"WITH {_OVERRIDE_SQL} SELECT sid, coalesce(to_industry, industry) AS industry, CASE WHEN to_industry IS NULL THEN 'code' ELSE 'override' END AS source FROM r LEFT JOIN w USING (issuer)")
+def industry_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Industries by code, but for issuers an override names by one of their tickers on a day."""
+    return _overridden(spark, sf_dir)[0]
+
+
+@query(f"""WITH {_OVERRIDE_SQL} SELECT ticker, 'override_unresolved' AS issue, industry AS detail FROM oi WHERE issuer IS NULL UNION ALL
+SELECT ticker, 'override_noop', CAST(sid AS VARCHAR) FROM r JOIN w USING (issuer) WHERE industry = to_industry UNION ALL SELECT NULL, 'unmapped', CAST(sid AS VARCHAR) FROM r LEFT JOIN w USING (issuer) WHERE coalesce(to_industry, industry) IS NULL""")
+def override_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overridden(spark, sf_dir)[1]
+
+
+@query()
+def covariance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each forecast date has a covariance whose eigenvalues are all positive."""
+    dates = brand_month(spark, sf_dir).filter("ret IS NOT NULL").select("m").distinct()
+    found = dense.covariance_gate(dates, eigen_adjusted_cov(spark, sf_dir), "m", "cov_final")
+    return found.select("m", "gate", "level", "ok")

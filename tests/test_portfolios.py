@@ -189,3 +189,24 @@ def test_active_weights_query(spark, sf):
     found = registry.QUERIES["active_weights"](spark, sf).collect()
     assert len(found) > 10 and abs(sum(r.weight for r in found) - 1) < 1e-3
     assert {r.status for r in found} == {"OPTIMAL"} and found[0].tracking_error <= 0.05 + 1e-5
+
+
+def test_covariance_gate(spark):
+    good, bad = np.diag([1.0, 2.0]), np.array([[1.0, 2.0], [2.0, 1.0]])
+    data = [(d, f"f{i}", f"f{j}", None if d == 3 else float(m[i, j])) for d, m in ((1, good), (2, bad), (3, good)) for i in range(2) for j in range(i, 2)]
+    cov = spark.createDataFrame(data, "date int, factor_i string, factor_j string, cov double")
+    dates = spark.createDataFrame([(k,) for k in range(1, 5)], "date int")
+    assert {r.date: r.ok for r in dense.covariance_gate(dates, cov, "date", "cov").collect()} == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_predecessors(spark):
+    from datetime import date as d
+
+    issuers = spark.createDataFrame([(1, d(2010, 1, 1)), (2, d(2010, 1, 1)), (3, d(2010, 1, 1)), (4, d(2010, 1, 1))], "issuer long, first date")
+    names = spark.createDataFrame([(1, "a"), (2, "b"), (3, ""), (4, None), (10, "a"), (11, "a"), (12, "a"), (13, "b"), (14, "")], "id long, key string")
+    spans = [(1, d(2012, 1, 1), d(2020, 1, 1), 9), (10, d(2000, 1, 1), d(2011, 1, 1), 5), (11, d(2001, 1, 1), d(2011, 1, 1), 5), (12, d(2013, 1, 1), d(2020, 1, 1), 5), (13, d(2000, 1, 1), d(2005, 1, 1), 5), (14, d(2000, 1, 1), d(2015, 1, 1), 1), (4, d(2010, 1, 5), d(2015, 1, 1), 1)]
+    from panelforge.operators import staging as st
+
+    got = st.predecessors(issuers, names, spark.createDataFrame(spans, "id long, first_filed date, last_filed date, n long"), 30, 90).collect()
+    assert {(r.issuer, r.id, r.role) for r in got} == {(k, k, "primary") for k in (1, 2, 3, 4)} | {(1, 10, "predecessor"), (2, None, "none"), (3, None, "none")}
+    assert st.predecessors(issuers.limit(0), names, spark.createDataFrame(spans, "id long, first_filed date, last_filed date, n long"), 30, 90).count() == 0
