@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelforge.llm import chat, decontamination, language_id, licenses, near_dedup, packing, quality, secrets, suffix_tree, vector_search
+from panelforge.llm import chat, decontamination, language_id, licenses, near_dedup, packing, quality, secrets, suffix_tree, vector_codes, vector_search
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_vector_code_compression": vector_codes.op11_vector_code_compression,
 }
 
 ORACLE = {
@@ -22,4 +23,5 @@ ORACLE = {
     "op6_exact_top_k": vector_search.ORACLE,
     "op2_benchmark_decontamination": decontamination.ORACLE,
     "op10_license_scan": licenses.ORACLE,
+    "op11_vector_code_compression": vector_codes.ORACLE,
 }
