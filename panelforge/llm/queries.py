@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelforge.llm import chat, decontamination, language_id, licenses, near_dedup, packing, quality, repair, secrets, suffix_tree, vector_codes, vector_search
+from panelforge.llm import chat, decontamination, html_extraction, language_id, licenses, near_dedup, packing, quality, repair, secrets, suffix_tree, vector_codes, vector_search
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_license_scan": licenses.op10_license_scan,
     "op11_vector_code_compression": vector_codes.op11_vector_code_compression,
+    "op12_html_extraction": html_extraction.op12_html_extraction,
     "op13_conversation_structure_repair": repair.op13_conversation_structure_repair,
 }
 
