@@ -88,11 +88,12 @@ def nearest_split(g: Column, small_term: int, reach: float) -> tuple[Column, Col
     return best["ratio"], best["err"]
 
 
-def implied_actions(days: DataFrame, tolerance: float = 0.005, least: float = 0.0005, small_term: int = 4, reach: float = 3.0) -> DataFrame:
+def implied_actions(days: DataFrame, tolerance: float = 0.005, least: float = 0.0005, small_term: int = 4, reach: float = 3.0, big: float = 0.15, forced: Column | None = None) -> DataFrame:
     """Splits and cash that a price and its adjusted price imply between neighbouring rows.
 
     Needs close, adjusted, prev_close, prev_adjusted. g is the adjusted growth over the raw growth: near an
-    admissible ratio it is a split, a little above one a dividend, more a distribution, below one unexplained.
+    admissible ratio it is a split, a little above one a dividend, over ``big`` more a distribution, below one unexplained.
+    ``forced`` rows, of which share counts say that they aren't splits, are distributions or unexplained.
     Adds split_ratio, dividend (per new share), action and ret (total return).
     """
     ok = (F.col("close") > 0) & (F.col("prev_close") > 0)
@@ -102,12 +103,14 @@ def implied_actions(days: DataFrame, tolerance: float = 0.005, least: float = 0.
     ratio, err = nearest_split(F.col("_g"), small_term, reach)
     df = df.withColumns({"_ratio": ratio, "_err": err})
     far = F.abs(F.col("_g") - 1)
-    split = (F.col("_err") <= tolerance) & (far > 0.15)
+    split = (F.col("_err") <= tolerance) & (far > big)
+    if forced is not None:
+        split &= ~F.coalesce(forced, F.lit(False))
     df = df.withColumn("split_ratio", F.when(split, F.col("_ratio")).otherwise(1.0))
     rest = F.coalesce(F.col("_g") / F.col("split_ratio"), F.lit(1.0))
     action = (
         F.when(F.col("prev_close").isNotNull() & ~ok, "bad_price")
-        .when(split, "split").when(rest - 1 < -least, "unexplained").when(rest - 1 > 0.15, "distribution").when(rest - 1 > least, "dividend").otherwise("")
+        .when(split, "split").when(rest - 1 < -least, "unexplained").when(rest - 1 > big, "distribution").when(rest - 1 > least, "dividend").otherwise("")
     )
     cash = F.when(rest - 1 > least, F.col("prev_close") * (1 - 1 / rest)).otherwise(0.0)
     df = df.withColumns({"action": action, "_cash": cash})
