@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.operators.timeseries import ranked
+from panelforge.operators.timeseries import running
 
 #: Scales a median absolute deviation to a normal standard deviation.
 MAD_SCALE = 1.4826
@@ -43,13 +43,15 @@ def weighted_corr(x: str, y: str, w: str, least: int = 3) -> Column:
 def quantiles(df: DataFrame, by: Sequence[str], x: str, shares: dict[str, float], size: str | None = None) -> DataFrame:
     """by and, for each name, the exact quantile of the not-null x of the key, linear between ranks; size: their number.
 
-    Selected by rank in a sort over all keys, so that a key with many different values is not one task's.
+    Rows are counted by value first, in each task, so that a value of many rows costs one; ranks are found in the running sum of
+    the counts over a sort of the values of all keys.
     """
-    found = ranked(df.filter(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x")), by, ["_x"], "_rank", "_size")
+    counted = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("_x")).agg(F.count("*").alias("_n"))
+    found = running(counted, by, ["_x"], F.col("_n"), "_upto", "_size")
     picks = []
     for name, q in shares.items():
         at = (F.col("_size") - 1) * F.lit(q)
-        lo, hi = (F.max(F.when(F.col("_rank") - 1 == f(at), F.col("_x"))) for f in (F.floor, F.ceil))
+        lo, hi = (F.min(F.when(F.col("_upto") > f(at), F.col("_x"))) for f in (F.floor, F.ceil))
         picks.append((lo + (F.max(at) - F.floor(F.max(at))) * (hi - lo)).alias(name))
     return found.groupBy(*by).agg(*picks, *([F.max("_size").alias(size)] if size else []))
 

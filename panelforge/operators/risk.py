@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators.timeseries import decayed_sums
 from panelforge.sources.store import stored
 
 
@@ -55,9 +56,12 @@ def mirrored(cov: DataFrame) -> DataFrame:
 def one_day_sigma(panel: DataFrame, factor: str, session: str, x: str, half_life: float, least: int, name: str = "sigma") -> DataFrame:
     """The forecast made before each session: decayed mean square of the earlier ones, null under ``least``."""
     before = Window.partitionBy(factor).orderBy(session).rangeBetween(Window.unboundedPreceding, -1)
-    k = F.when(F.col(x).isNotNull(), F.pow(F.lit(2.0), F.col(session) / F.lit(float(half_life))))
-    value = F.sqrt(F.sum(k * F.col(x) * F.col(x)).over(before) / F.sum(k).over(before))
-    return panel.withColumn(name, F.when(F.count(x).over(before) >= least, value))
+    found = F.col(x).isNotNull()
+    rows = panel.withColumn("_seen", F.count(x).over(before))
+    rows = decayed_sums(rows, [factor], session, {"_square": F.col(x) * F.col(x), "_weight": found.cast("double")}, half_life, strict=True)
+    # Long after the last observation both sums are below the smallest double: then nothing is known.
+    value = F.sqrt(F.try_divide("_square", F.nullif("_weight", F.lit(0.0))))
+    return rows.withColumn(name, F.when(F.col("_seen") >= least, value)).drop("_seen", "_square", "_weight")
 
 
 def regime(panel: DataFrame, session: str, x: str, sigma: str, half_life: float, cap: float = 10.0) -> DataFrame:
@@ -70,9 +74,9 @@ def regime(panel: DataFrame, session: str, x: str, sigma: str, half_life: float,
     order = Window.partitionBy("_one").orderBy(session).rowsBetween(Window.unboundedPreceding, 0)
     b = b2.withColumn("_f", F.last("b2", ignorenulls=True).over(order)).withColumn("_n", F.count("_f").over(order))
     keep = 0.5 ** (1 / half_life)
-    w = F.when(F.col("_n") == 1, F.col("_f")).otherwise((1 - keep) * F.col("_f")) * F.pow(F.lit(keep), -F.col("_n").cast("double"))
-    state = F.sum(w).over(order) * F.pow(F.lit(keep), F.col("_n").cast("double"))
-    return b.select(session, "b2", F.when(F.col("_n") > 0, F.sqrt(state)).otherwise(1.0).alias("lam"))
+    w = F.when(F.col("_n") == 1, F.col("_f")).when(F.col("_n") > 1, (1 - keep) * F.col("_f"))
+    s = decayed_sums(b, ["_one"], "_n", {"_state": w}, half_life)
+    return s.select(session, "b2", F.when(F.col("_n") > 0, F.sqrt("_state")).otherwise(1.0).alias("lam"))
 
 
 def specific_variance(panel: DataFrame, sid: str, session: str, u: str, window: int, half_life: float, lags: int, lag_half_life: float) -> DataFrame:

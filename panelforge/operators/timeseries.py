@@ -86,18 +86,54 @@ def ewma_beta(df: DataFrame, by: str, session: str, x: str, market: str, window:
     return out.withColumns({"beta": beta, "sigma": F.when(F.col("_ok"), F.sqrt(F.greatest(F.col("_vary") - beta * F.col("_cov"), F.lit(0.0))))}).drop("_k", "_var", "_cov", "_vary", "_ok")
 
 
+#: Half lives in a block of a scan: weights in it stay far within a double's range.
+BLOCK_LIVES = 500
+
+
+def decayed_sums(df: DataFrame, by: Sequence[str], position: str, terms: dict[str, Column], half_life: float, strict: bool = False) -> DataFrame:
+    """df with, for each term, its sum over the key's rows up to this one, each halved for every half life of positions between.
+
+    A scan in blocks of positions, so that calendars of any length stay in range: sums inside a block by powers
+    relative to its start, what blocks leave at their ends folded along the key's blocks (one for every 500 half lives), and that
+    carried into the rows. strict leaves out rows of this position. Positions are numbers and not null; null terms count as 0.
+    """
+    span = max(1, int(BLOCK_LIVES * half_life))
+    keep = lambda n: F.pow(F.lit(0.5), n.cast("double") / F.lit(float(half_life)))
+    names = list(terms)
+    x = df.withColumns({"_block": F.floor(F.col(position) / span), **{f"_t{k}": F.coalesce(c.cast("double"), F.lit(0.0)) for k, c in enumerate(terms.values())}})
+    x = x.withColumn("_in", F.col(position) - F.col("_block") * span)
+    order = Window.partitionBy(*by, "_block").orderBy(position).rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
+    grow = keep(-F.col("_in"))
+    x = x.withColumns({f"_s{k}": F.coalesce(F.sum(F.col(f"_t{k}") * grow).over(order), F.lit(0.0)) * keep(F.col("_in")) for k in range(len(names))})
+    left = x.groupBy(*by, "_block").agg(*(F.sum(F.col(f"_t{k}") * keep(span - F.col("_in"))).alias(f"_e{k}") for k in range(len(names))))
+    ends = [F.col(f"b._e{k}") for k in range(len(names))]
+    blocks = left.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_block", *(f"_e{k}" for k in range(len(names)))))).alias("all"))
+    zero = [F.lit(0.0).alias(f"_e{k}") for k in range(len(names))]
+    carried = F.array().cast(f"array<struct<_block: bigint, {', '.join(f'_c{k}: double' for k in range(len(names)))}>>")
+    start = F.struct(carried.alias("out"), F.lit(None).cast("bigint").alias("last"), F.struct(*zero).alias("state"))
+
+    def step(a: Column, b: Column) -> Column:
+        # The state is what is left at the end of the last block; between its end and this block's start whole blocks may lie.
+        gap = F.coalesce((b["_block"] - a["last"] - 1) * span, F.lit(0))
+        now = [a["state"][f"_e{k}"] * keep(gap) for k in range(len(names))]
+        out = F.concat(a["out"], F.array(F.struct(b["_block"].alias("_block"), *(c.alias(f"_c{k}") for k, c in enumerate(now)))))
+        after = F.struct(*((c * keep(F.lit(span)) + b[f"_e{k}"]).alias(f"_e{k}") for k, c in enumerate(now)))
+        return F.struct(out.alias("out"), b["_block"].alias("last"), after.alias("state"))
+
+    carry = blocks.select(*by, F.explode(F.aggregate("all", start, step)["out"]).alias("b")).select(*by, "b.*")
+    x = x.join(carry, [*by, "_block"])
+    return x.select(*df.columns, *((F.col(f"_s{k}") + F.col(f"_c{k}") * keep(F.col("_in"))).alias(n) for k, n in enumerate(names)))
+
+
 def ewma_state(df: DataFrame, by: str, session: str, x: str, half_life: float, name: str = "state") -> DataFrame:
-    """The recursion s = a x + (1 - a) s over the rows of each entity, seeded by its first row, as prefix sums.
+    """The recursion s = a x + (1 - a) s over the rows of each entity, seeded by its first row, at any length.
 
-    Unrolled, s_n = sum over i <= n of w_i (1 - a)^(n - i) with w_1 = x_1 and w_i = a x_i after; weights are
-    powers of the row number, in range up to about 900 half lives of rows.
+    Unrolled, s_n = sum over i <= n of w_i (1 - a)^(n - i) with w_1 = x_1 and w_i = a x_i after.
     """
     keep = 0.5 ** (1 / half_life)
-    order = Window.partitionBy(by).orderBy(session)
-    n = F.row_number().over(order)
-    weighted = F.when(F.col("_n") == 1, F.col(x)).otherwise(F.lit(1 - keep) * F.col(x)) * F.pow(F.lit(keep), -F.col("_n").cast("double"))
-    total = F.sum(weighted).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_n", n).withColumn(name, total * F.pow(F.lit(keep), F.col("_n").cast("double"))).drop("_n")
+    rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(session)))
+    weighted = F.when(F.col("_n") == 1, F.col(x)).otherwise(F.lit(1 - keep) * F.col(x))
+    return decayed_sums(rows, [by], "_n", {name: weighted}, half_life).drop("_n")
 
 
 def horizon_sum(by: str, session: str, x: str, h: int) -> Column:
@@ -106,19 +142,26 @@ def horizon_sum(by: str, session: str, x: str, h: int) -> Column:
     return F.when(F.count(x).over(w) == h, F.sum(x).over(w))
 
 
-def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], rank: str = "rank", size: str = "size") -> DataFrame:
-    """df with the rank of each row in its key (from 1) and the key's number of rows; keys are not null.
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], n: Column, upto: str, total: str) -> DataFrame:
+    """df with the sum of n over the key's rows up to this one in order, and over all of them; keys are not null.
 
-    Rows are sorted in ranges over all keys, so a key may span many partitions. A partition numbers its own rows of a
-    key and adds the rows of the partitions before, of which there is one count for each partition and key.
+    Rows are sorted in ranges over all keys, so a key may span many partitions; rows alike in keys and order are told apart by
+    their place, so they may too. A partition sums its own rows of a key and adds the sums of the partitions before, of which
+    there is one for each partition and key.
     """
-    dealt = stored(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranked")
-    counts = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    salted = df.withColumns({"_salt": F.monotonically_increasing_id(), "_add": n})
+    dealt = stored(salted.repartitionByRange(*by, *order, "_salt").withColumn("_part", F.spark_partition_id()), "ranked")
+    sums = dealt.groupBy(*by, "_part").agg(F.sum("_add").alias("_of"))
     key = Window.partitionBy(*by)
-    earlier = F.sum("_n").over(key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(*by, "_part", F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_n").over(key).alias(size))
-    own = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
-    return dealt.join(counts, [*by, "_part"]).withColumn(rank, own + F.col("_before")).drop("_part", "_before")
+    earlier = F.sum("_of").over(key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*by, "_part", F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_of").over(key).alias(total))
+    own = F.sum("_add").over(Window.partitionBy(*by, "_part").orderBy(*order, "_salt").rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.join(sums, [*by, "_part"]).withColumn(upto, own + F.col("_before")).drop("_part", "_before", "_salt", "_add")
+
+
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], rank: str = "rank", size: str = "size") -> DataFrame:
+    """df with the rank of each row in its key (from 1) and the key's number of rows; rows that tie get different ranks."""
+    return running(df, by, order, F.lit(1), rank, size)
 
 
 def equal_groups(df: DataFrame, by: Sequence[str], x: str, tie: str, k: int, name: str = "group") -> DataFrame:
