@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from panelforge import functions as fn
 from panelforge.operators import crosssection as cs
+from panelforge.operators import exposures as ex
 from panelforge.operators import staging as st
 from panelforge.operators import timeseries as ts
 from panelforge.plans.crosssections import estu, exposure_stability, regression_stats, specific_returns, variance_inflation
 from panelforge.plans.panels import BRAND, DAY, YEARS, brand_month, cross_years, day_panel, r, table
 from panelforge.plans.registry import ORACLE, query
+from panelforge.sources.store import stored
 
 PRIORITY = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "4-NOT SPECIFIED": 4, "5-LOW": 5}
 
@@ -173,11 +175,13 @@ fin AS (SELECT o2.*, (e2 - fm) / fs AS style FROM o2 JOIN f USING (year))"""
 
 
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = cs.standardize(cross_years(spark, sf_dir), ["year"], "acct", "cap", estu(), "x").withColumn("y3", F.pow("x", F.lit(3)))
-    x = cs.orthogonalize(x, ["year"], "y3", "x", "v", estu(), "e")
-    x = cs.trim_sigma(x, ["year"], "e", estu(), 3.0, "c")
-    x = cs.orthogonalize(x, ["year"], "c", "x", "v", estu(), "e2")
-    return cs.standardize(x, ["year"], "e2", "cap", estu(), "style")
+    x = stored(cross_years(spark, sf_dir).select("year", "sid", "acct", "cap", "v", "in_estu"), "panel")
+    x = stored(cs.standardize(x, ["year"], "acct", "cap", estu(), "x").withColumn("y3", F.pow("x", F.lit(3))), "cubes")
+    y = ex.orthogonalize_many(x, ["year"], {"y3": ["x"]}, "v", estu())
+    e, m, s = ex.residual("y3", ["x"], "y3_f_"), F.col("y3_f_m"), F.col("y3_f_s")
+    x = stored(y.select(*x.columns, F.least(F.greatest(e, m - 3 * s), m + 3 * s).alias("c")), "trimmed")
+    y = ex.orthogonalize_many(x, ["year"], {"c": ["x"]}, "v", estu(), {"cap": F.col("cap")})
+    return y.select(*x.columns, ((ex.residual("c", ["x"], "c_f_") - F.col("c_f_cap")) / F.col("c_f_s")).alias("style"))
 
 
 @query(f"WITH {_CHAIN} SELECT year, sid, round(style, 5) AS style FROM fin")
