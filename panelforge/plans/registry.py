@@ -27,4 +27,4 @@ def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query
 
 
 # The modules register their queries as they load.
-from panelforge.plans import accounts, crosssections, identities, portfolios, pricing, relational, risks, snapshots, staged, styles, windows  # noqa: E402, F401
+from panelforge.plans import accounts, crosssections, identities, operations, portfolios, pricing, relational, risks, snapshots, staged, styles, windows  # noqa: E402, F401
