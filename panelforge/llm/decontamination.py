@@ -7,8 +7,8 @@ place in the window fixes where the window would start (positional bound) and en
 window's words are then compared with the document's. DataFrame functions only.
 
 The window and word tables go to every task only while their text is under ``broadcast_bytes``; larger
-benchmarks take a shuffled join on the prefix word, of only those document words that are a prefix, whose rows
-carry the few words around them; there the prefixes that many documents hold are salted.
+benchmarks take shuffled joins: document words alone meet the prefixes, those that are one come back to their document,
+whose words are cut around them, and only these few words meet the windows. Prefixes that many documents hold are salted.
 
 Edge cases: a null or empty text has no words; items without words are ignored, and repeated items count
 once; windows of an item without an id count as hits, but the item isn't listed; every row is a document of its
@@ -75,12 +75,17 @@ def find_windows(docs: DataFrame, items: DataFrame, width: int = 10, broadcast_b
         same = fits & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("window_words"))
         return joined.filter(is_document | same).select("row", "doc_id", F.when(is_document, F.col("size")).alias("n_words"), F.when(~is_document, hit).alias("span"), F.when(~is_document, F.col("items")).alias("items"))
 
-    # The prefixes that documents hold often are few; their windows are copied to every salt of their occurrences.
+    # Words meet the prefixes by themselves; where they are one, a document's words are cut around them once, in its own row.
     salts = F.when(F.col("c") > frequent, F.lit(SALTS)).otherwise(F.lit(1))
-    prefixes = windows.groupBy("prefix").agg(F.max(salts).alias("salts"))
-    tokens = words.select("row", "doc_id", "w", F.posexplode("w").alias("p", "prefix")).join(prefixes, "prefix")
-    base_at = F.greatest(F.col("p") - width + 1, F.lit(0))
-    near = tokens.select("row", "doc_id", "p", "prefix", F.pmod(F.xxhash64("row", "p"), F.col("salts")).alias("salt"), F.size("w").alias("size"), base_at.alias("base"), F.slice("w", base_at + 1, 2 * width - 1).alias("w"))
+    prefixes = materialize(windows.groupBy("prefix").agg(F.max(salts).alias("salts")), "salted-prefixes")
+    often, _ = _sized(prefixes.filter("salts > 1"), F.octet_length("prefix") + 16, broadcast_bytes)  # the prefixes that documents hold often are few
+    tokens = words.select("row", F.posexplode("w").alias("p", "prefix")).join(often, "prefix", "left")
+    tokens = tokens.select("row", "p", "prefix", F.pmod(F.xxhash64("row", "p"), F.coalesce("salts", F.lit(1))).alias("salt"))
+    dealt = prefixes.select("prefix", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("salts") - 1).cast("long"))).alias("salt"))
+    places = tokens.join(dealt, ["prefix", "salt"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("p", "prefix", "salt")).alias("places"))  # of one document
+    base = lambda x: F.greatest(x["p"] - width + 1, F.lit(0))
+    cut = F.transform("places", lambda x: F.struct(x["p"].alias("p"), x["prefix"].alias("prefix"), x["salt"].alias("salt"), base(x).alias("base"), F.slice("w", base(x) + 1, 2 * width - 1).alias("w")))
+    near = words.join(places, "row").select("row", "doc_id", F.size("w").alias("size"), F.explode(cut).alias("x")).select("row", "doc_id", "size", "x.*")
     copies = windows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long"))))
     same = fits & (F.slice("w", F.greatest(start - F.col("base"), F.lit(0)) + 1, F.col("n")) == F.col("window_words"))
     hits = near.join(copies, ["prefix", "salt"]).filter(same).select("row", "doc_id", F.lit(None).cast("int").alias("n_words"), hit.alias("span"), "items")
