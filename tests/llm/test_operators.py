@@ -130,6 +130,10 @@ def test_decontamination_awkward(spark, awkward, empty):
         assert got[1] == got[2] == (8, 3, 1, True) and got[3] == got[4] == (0, 0, 0, False)
         assert got[7] == (3, 1, 0, True)  # an item without an id
         assert got[6] == (180_000, 180_000, 1, True) and got[None][3] is False
+    # Without sent tables no row carries a document's words with one of them.
+    plan = decontamination.find_windows(awkward, items, broadcast_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    cuts = [line for line in plan.splitlines() if "Generate posexplode(w#" in line]
+    assert cuts and not any(re.search(r"\[[^\]]*\bw#\d+", line.split("posexplode(", 1)[1].split(")", 1)[1].split("],")[0]) for line in cuts)
     assert decontamination.decontaminate(empty, items).count() == 0
     assert not decontamination.decontaminate(awkward, items.limit(0)).filter("contaminated OR n_hit > 0").count()
 
@@ -222,11 +226,32 @@ def test_language_by_hand(spark, documents, monkeypatch):
         best = max(post, key=lambda k: (post[k], -ord(k[0])))
         if any(ch.isalpha() for ch in t or ""):
             assert got[d].lang_pred == best and abs(got[d].score - 1 / sum(math.exp(v - post[best]) for v in post.values())) < 1e-6
-    assert language_id.pieces("ab cd ef", 4) == ["ab ", "cd ", "ef"] and language_id.pieces("abcdefg", 3) == ["abc", "def", "g"] and language_id.pieces(None, 3) == [None]
-    langs, logp = language_id.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
-    whole = language_id.ngrams([LONG])[0]
-    cut = [g for p in language_id.pieces(LONG, 10_000) for g in language_id.ngrams([p])[0].tolist()]
-    assert abs(len(cut) - len(whole)) <= 2 * len(LONG) / 10_000
+    for text in (LONG[:50_000], "a" * 5_000, "ΑΣ ab -- 12 é" * 900, "x", "", " - ", "ab" * 3 + "...." * 50 + "c"):
+        for most in (1, 2, 3, 7, 1000):
+            cut = [g for ids, _ in language_id.long_ngrams(text[: 300 if most < 10 else None], most) for g in ids.tolist()]
+            assert Counter(cut) == Counter(language_id.ngrams([text[: 300 if most < 10 else None]])[0].tolist())
+
+
+def test_languages_in_blocks_are_those_of_one_matrix(spark, documents, monkeypatch):
+    """40 languages in blocks of 3, texts longer than a run: the same predictions and posteriors, and no language is lost."""
+    docs = [(d, r.text, f"l{d % 40:02}") for d, r in documents.items() if r.text][:160]
+    docs += [(10_000 + k, chr(0x4E00 + 50 * k) * 40, f"rare{k}") for k in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    one = {r.doc_id: r for r in language_id.identify(df).collect()}
+    monkeypatch.setattr(language_id, "CHARS_AT_ONCE", 700)
+    many = {r.doc_id: r for r in language_id.identify(df, size=3).collect()}
+    for d, r in one.items():
+        assert (many[d].lang_pred, many[d].score) == (r.lang_pred, pytest.approx(r.score, abs=1e-9))
+    learned = [k for k in range(5) if brute.fold(10_000 + k, 4) != 2]
+    assert learned and all(one[10_000 + k].lang_pred == f"rare{k}" for k in learned)
+
+
+def test_language_sample_is_by_row(spark):
+    """600 rows of one doc_id, or of none: about a sample's rows are learned from, neither none nor all."""
+    for doc_id in (1, 2, 3, 5, None):
+        df = spark.createDataFrame([(doc_id, f"wort nummer {k}", "de") for k in range(600)], "doc_id long, text string, lang string").repartition(4)
+        drawn = language_id.gram_table(df, 100).filter("bucket = -1").first()["n"]
+        assert 60 < drawn < 150
 
 
 def test_language_awkward(awkward, empty):
