@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.operators import timeseries as ts
-from panelforge.operators.staging import name_key, symbol, token_similarity, validity_join
+from panelforge.operators.staging import name_key, symbol, token_similarity
 from panelforge.operators.valuation import linked_by_keys
 from panelforge.sources.store import stored
 
@@ -303,7 +303,8 @@ def share_classes(history: DataFrame, windows: DataFrame, traded: DataFrame, cal
     shared = spans.filter("cik IS NOT NULL").groupBy("cik").agg(F.count("*").alias("n"), F.max("lo").alias("lo"), F.min("hi").alias("hi")).filter("n > 1 AND lo <= hi")
     several = spans.select("sid", "cik").join(shared.select("cik", F.greatest("lo", F.col("hi") - sessions + 1).alias("lo"), "hi"), "cik")
     rows = traded.join(calendar, "s").select("code", "s", "date", "amount")
-    priced = validity_join_codes(rows, windows).join(several, "sid").filter("s BETWEEN lo AND hi")
+    # Two securities may share a code, even at once; a code has a few windows.
+    priced = rows.join(windows, "code").filter("date BETWEEN valid_from AND valid_to").join(several, "sid").filter("s BETWEEN lo AND hi")
     score = priced.groupBy("sid").agg(F.median("amount").alias("score"))
     ranked = several.join(score, "sid", "left")
     best = ranked.groupBy("cik").agg(F.max_by("sid", F.struct(F.coalesce("score", F.lit(0.0)).alias("a"), (-F.col("sid")).alias("b"))).alias("best"))
@@ -311,11 +312,6 @@ def share_classes(history: DataFrame, windows: DataFrame, traded: DataFrame, cal
     return spans.select("sid").join(found, "sid", "left").select("sid", F.col("linked_sid").isNull().alias("primary_class"), "linked_sid")
 
 
-def validity_join_codes(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """rows (code, date, ...) with the sid whose code it is that day. Securities may share a code at other times, not at once."""
-    return validity_join(rows, windows, ["code"], "date", "valid_from", "valid_to").drop("valid_from", "valid_to")
-
-
 def resolve(eras: DataFrame, candidates: DataFrame, priced: DataFrame, calendar: DataFrame, overrides: DataFrame, current: DataFrame, mapped: DataFrame, registered: DataFrame, companies: DataFrame, spans: DataFrame, last: int, rules: Rules = Rules()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """history (a row for each spell: sid, ticker, start, end, code, coverage, method, cik, cik_method, vendor_name), the codes'
     validity windows, and exceptions (ticker, start, end, issue, detail): spells without a covering code or without a registrant, and ambiguous ones.

@@ -36,12 +36,15 @@ def as_known(left: DataFrame, facts: DataFrame, by: Sequence[str], on: str, peri
 
 
 def validity_join(rows: DataFrame, windows: DataFrame, by: Sequence[str], on: str, start: str, end: str) -> DataFrame:
-    """rows with the columns of the window that holds their date; null ends are open. The windows of a key don't overlap.
+    """rows with the columns of the window that holds their date; null ends are open. Windows of a key that overlap are an error.
 
     The last window to start by the date is carried along (one shuffle), then its end is tested: no row meets
     more than one window.
     """
     w = windows.withColumn(end, F.coalesce(F.col(end), F.lit("9999-12-31").cast("date")))
+    before = F.lag(end).over(Window.partitionBy(*by).orderBy(start, end))
+    clash = F.raise_error(F.concat_ws(" ", F.lit("overlapping windows of"), *(F.col(c).cast("string") for c in by))).cast("date")
+    w = w.withColumn(end, F.when(before >= F.col(start), clash).otherwise(F.col(end)))
     others = [c for c in windows.columns if c not in (*by, start)]
     found = asof(rows, w, by, on, start, others).withColumnRenamed(f"{start}_asof", start)
     return found.filter(F.col(on) <= F.col(end))
@@ -139,20 +142,41 @@ def chain_value(facts: DataFrame, by: Sequence[str], order: Sequence[str], conce
     return found.withColumn("_b", before).filter(F.col("chosen").isNotNull() & ~F.col("chosen").eqNullSafe(F.col("_b"))).drop("_b")
 
 
-#: Legal forms of companies, in English and the languages of some large markets, by alphabet; a name's key leaves them out.
-LEGAL = ["AB", "AG", "ASA", "BV", "CO", "COMPANY", "CORP", "CORPORATION", "GMBH", "INC", "INCORPORATED", "KGAA", "LIMITED", "LLC", "LLP", "LP", "LTD", "NV", "OYJ", "PLC", "PTY", "SA", "SE", "SPA", "THE"]
+# Words of legal forms and share classes that don't tell one company from another.
+LEGAL = [
+    "INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "COS", "LTD", "LIMITED", "PLC", "LLC", "LP", "HOLDINGS", "HOLDING", "GROUP",
+    "THE", "NEW", "DEL", "NV", "SA", "AG", "CLASS", "CL", "COMMON", "STOCK", "SHS", "ORD",
+]
 
 
 def name_key(name: Column) -> Column:
-    """A company name as upper-case words of letters and digits, so that two sources' spellings meet.
+    """A company name as its telling words, so that two sources' spellings meet; null stays null.
 
-    Apostrophes vanish, an ampersand is a word, the long form of PLC is its short one. State tags between slashes,
-    brackets, share classes and legal forms go. Single letters in a row become one word.
+    The name is cut at slashes, brackets and then at all but letters and digits, and what is left is judged word by word: state
+    tags (two or three letters after a slash that end the name or a pair of slashes), bracketed parts, the letter of a share class, PUBLIC
+    before LIMITED COMPANY, and legal words go; an ampersand is the word AND; single letters in a row are one word.
     """
-    s = F.translate(F.upper(name), "'\u2019", "")
-    for pattern, by in (("PUBLIC LIMITED COMPANY", "PLC"), ("&", " AND "), (r"/[A-Z]{2,3}(/|$)", " "), (r"\([^)]*\)", " "), (r"\bCL(ASS)?\.?\s+[A-Z]\b", " "), (r"[^A-Z0-9]+", " "), (rf"\b({'|'.join(LEGAL)})\b", " ")):
-        s = F.regexp_replace(s, pattern, by)
-    return F.regexp_replace(F.trim(F.regexp_replace(s, r"\s+", " ")), r"(?<=\b[A-Z0-9]) (?=[A-Z0-9]\b)", "")
+    kept = F.translate(F.upper(name), "'\u2019", "")
+    parts = F.filter(F.split(kept, "/"), lambda p, i: (i == 0) | (F.length(p) < 2) | (F.length(p) > 3) | (F.translate(p, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "") != ""))
+    opened = F.transform(F.split(F.array_join(parts, " / "), r"\("), lambda p, i: F.when((i > 0) & F.contains(p, F.lit(")")), F.substr(p, F.instr(p, F.lit(")")) + 1)).otherwise(p))
+    words = F.filter(F.split(F.replace(F.array_join(opened, " "), F.lit("&"), F.lit(" AND ")), "[^A-Z0-9]+"), lambda w: w != "")
+    letter = lambda w: (F.length(w) == 1) & (w >= "A")
+
+    def telling(own: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(own, i), F.lit(""))
+        classed = lambda w, i: letter(w) & at(i - 1).isin("CL", "CLASS")
+        public = lambda w, i: (w == "PUBLIC") & (at(i + 1) == "LIMITED") & (at(i + 2) == "COMPANY")
+        return F.filter(own, lambda w, i: ~w.isin(LEGAL) & ~classed(w, i) & ~public(w, i))
+
+    start = F.struct(F.lit("").alias("key"), F.lit(False).alias("single"))
+
+    def join(a: Column, w: Column) -> Column:
+        single = F.length(w) == 1
+        glue = F.when((a["key"] == "") | (a["single"] & single), "").otherwise(" ")
+        return F.struct(F.concat(a["key"], glue, w).alias("key"), single.alias("single"))
+
+    kept_words = F.get(F.transform(F.array(words), telling), 0)  # the words are made once
+    return F.aggregate(kept_words, start, join, lambda a: a["key"])
 
 
 def symbol(code: Column) -> Column:
@@ -220,3 +244,40 @@ def overridden(rows: DataFrame, history: DataFrame, overrides: DataFrame) -> tup
     noop = joined.filter(F.col("industry") == F.col("_by.to")).select("_by.ticker", F.lit("override_noop").alias("issue"), F.col("sid").cast("string").alias("detail"))
     unmapped = joined.filter(F.coalesce("_by.to", "industry").isNull()).select(F.lit(None).cast("string").alias("ticker"), F.lit("unmapped").alias("issue"), F.col("sid").cast("string").alias("detail"))
     return out, unresolved.unionByName(noop).unionByName(unmapped)
+
+
+def on_or_before(days: DataFrame, sessions: DataFrame, on: str = "date") -> DataFrame:
+    """days with session and number: the last session at or before each day, and its place in the calendar (from 1); null before the first.
+
+    sessions: date, a row per session. Calendars are small, days may be many: they meet by an as-of join of the different days only.
+    """
+    one = F.lit(0).alias("_calendar")
+    numbered = sessions.select("date").distinct().select(F.col("date").alias("session"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")).alias("number"), one)
+    different = days.select(on).distinct().withColumn("_calendar", one)
+    found = asof(different, numbered, ["_calendar"], on, "session", ["number"]).withColumnRenamed("session_asof", "session").drop("_calendar")
+    return days.join(found, on, "left")
+
+
+def available_session(days: DataFrame, sessions: DataFrame, on: str = "filed", lag: int = 1) -> DataFrame:
+    """days with available: the ``lag``-th session strictly after each day, null past the calendar."""
+    found = on_or_before(days, sessions, on)
+    numbered = sessions.select("date").distinct().select(F.col("date").alias("available"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")).alias("_at"))
+    return found.withColumn("_at", F.coalesce("number", F.lit(0)) + lag).join(F.broadcast(numbered), "_at", "left").drop("_at", "session", "number")
+
+
+def merge_thin(cells: DataFrame, parents: DataFrame, sessions: DataFrame, least: float, count: int, window: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """group, s, merged (the parent where the group was thin on over ``most`` of the last ``window`` sessions), and exceptions.
+
+    cells: group, s, n, neff; a group is thin where neff or n is too small, or it has none. parents: group, parent. One level only: a thin group whose
+    parent is thin too still takes the parent's name, and is reported as thin_parent. Exceptions: group, issue, first, last, sessions.
+    """
+    grid = parents.crossJoin(F.broadcast(sessions.select("s").distinct()))  # groups x sessions, both of the model's size
+    thin = (F.coalesce("neff", F.lit(0.0)) < least) | (F.coalesce("n", F.lit(0)) < count)
+    breaches = F.sum("_thin").over(Window.partitionBy("group").orderBy("s").rowsBetween(1 - window, 0))
+    x = grid.join(cells, ["group", "s"], "left").withColumn("_thin", thin.cast("int")).withColumn("_out", breaches > most)
+    up = x.filter("_out").select(F.col("group").alias("parent"), "s", F.lit(True).alias("_both"))
+    x = x.join(up, ["parent", "s"], "left")
+    span = [F.min("s").alias("first"), F.max("s").alias("last"), F.count("*").alias("sessions")]
+    gone = x.filter("_out")
+    issues = gone.groupBy("group", F.lit("thin_merged").alias("issue")).agg(*span).unionByName(gone.filter("_both").groupBy("group", F.lit("thin_parent").alias("issue")).agg(*span))
+    return x.select("group", "s", F.when(F.col("_out"), F.col("parent")).otherwise(F.col("group")).alias("merged")), issues

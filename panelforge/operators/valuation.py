@@ -56,6 +56,39 @@ def plausible_counts(counts: DataFrame, days: DataFrame, sid: str, session: str,
     return found.filter(turnover.isNull() | turnover.between(*band)).select(sid, session, "count", F.coalesce("cum", F.lit(1.0)).alias("basis"))
 
 
+# Share counts that are dated snapshots; others are on the basis of the day they were filed.
+SNAPSHOTS = ["dei:EntityCommonStockSharesOutstanding", "override"]
+
+
+def basis_date(concept: Column, period_end: Column, filed: Column, snapshots: Sequence[str] = SNAPSHOTS) -> Column:
+    """The day whose share basis a reported count is on: its own for dated snapshots, else the day it was filed."""
+    return F.when(concept.isin(list(snapshots)), period_end).otherwise(filed)
+
+
+def clean_counts(counts: DataFrame, days: DataFrame, by: str, band: tuple[float, float], window: int, factor: float, near_days: int) -> tuple[DataFrame, DataFrame]:
+    """Counts that pass both tests, with norm (the count over the splits up to its basis day), and the others with a reason.
+
+    counts: by, concept, period_end, filed, value. days: by, date, volume, cum. First the usual volume of the last ``window`` days must be a plausible
+    part of the count (``turnover``; without volume it passes). Then the norm must be within ``factor`` times the median of the entity's other counts
+    that are left and dated within ``near_days``, if there are two at least (``neighbours``).
+    """
+    volume = days.select(by, F.col("date").alias("_v"), trailing_median(by, "date", "volume", window).alias("_med"), "cum")
+    x = counts.withColumn("basis", basis_date(F.col("concept"), F.col("period_end"), F.col("filed")))
+    x = ts.asof(x, volume, [by], "basis", "_v", ["_med", "cum"]).drop("_v_asof")
+    turnover = F.try_divide("_med", "value")
+    x = x.withColumns({"norm": F.col("value") / F.coalesce("cum", F.lit(1.0)), "_odd": F.coalesce(~turnover.between(*band), F.lit(False))}).drop("_med", "cum")
+    left = x.filter("NOT _odd").drop("_odd").withColumn("_day", F.datediff("period_end", F.lit("1970-01-01").cast("date")))
+    around = Window.partitionBy(by).orderBy("_day").rangeBetween(-near_days, near_days)
+    values = F.array_sort(F.collect_list("norm").over(around))  # bounded by the days
+    others = F.concat(F.slice(values, F.lit(1), F.array_position(values, F.col("norm")).cast("int") - 1), F.slice(values, F.array_position(values, F.col("norm")).cast("int") + 1, F.size(values)))
+    n = F.size("_others")
+    median = (F.get("_others", F.floor((n - 1) / 2).cast("int")) + F.get("_others", F.floor(n / 2).cast("int"))) / 2
+    off = (n >= 2) & (median > 0) & ~F.try_divide(F.col("norm"), median).between(1 / factor, factor)
+    left = left.withColumn("_others", others).withColumn("_off", F.coalesce(off, F.lit(False))).drop("_others", "_day")
+    dropped = x.filter("_odd").drop("_odd").withColumn("reason", F.lit("turnover")).unionByName(left.filter("_off").drop("_off").withColumn("reason", F.lit("neighbours")))
+    return left.filter("NOT _off").drop("_off"), dropped
+
+
 def market_caps(days: DataFrame, counts: DataFrame, floats: DataFrame, sid: str, session: str, band: tuple[float, float], window: int, fresh: int, float_fresh: int, jump: float) -> DataFrame:
     """sid, session, shares, mcap, source ('count', 'float' or null) and flag where mcap moves otherwise than the return tells.
 

@@ -113,7 +113,7 @@ def specific_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {YEARS}, {_FIT}, d AS (SELECT year, v, y, a + lev.b * style AS fit FROM f1 JOIN lev USING (year, industry)), m AS (SELECT year, sum(v * y) / sum(v) AS my, count(*) AS n FROM d GROUP BY year)
-SELECT year, any_value(n) AS n, round(1 - sum(v * (y - fit) * (y - fit)) / sum(v * (y - my) * (y - my)), 6) AS r2, 0.0 AS constraint_resid FROM d JOIN m USING (year) GROUP BY year""")
+SELECT year, any_value(n) AS n, round(1 - sum(v * (y - fit) * (y - fit)) / sum(v * (y - my) * (y - my)), 6) AS r2, (SELECT round(abs(sum(w * (lev.a - ctry.c))), 6) FROM lev JOIN ctry USING (year) WHERE lev.year = d.year) AS constraint_resid FROM d JOIN m USING (year) GROUP BY year""")
 def regression_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, weighted R2 and what is left of the constraint."""
     stats = dense.factor_returns(_regression_input(spark, sf_dir), "year", "y", ["style"], "industry", "cap", "v").groupBy("year")

@@ -44,8 +44,10 @@ def listings(spark: SparkSession, current: Paths, delisted: Paths) -> DataFrame:
     """Current and delisted codes, once each."""
     fields = {"Code": "code", "Name": "name", "Country": "country", "Exchange": "exchange", "Currency": "currency", "Type": "type", "Isin": "isin"}
     kind = f"array<struct<{', '.join(f'{f}: string' for f in fields)}>>"
-    both = [_whole(spark, p).select(F.inline(F.from_json("value", kind)), F.lit(gone).alias("delisted")) for p, gone in ((current, False), (delisted, True))]
-    return both[0].unionByName(both[1]).select(*(F.col(a).alias(b) for a, b in fields.items()), "delisted").dropDuplicates(["code", "delisted"])
+    both = [_whole(spark, p).select("file", F.posexplode(F.from_json("value", kind)).alias("place", "r"), F.lit(gone).alias("delisted")).select("file", "place", "r.*", "delisted") for p, gone in ((current, False), (delisted, True))]
+    rows = both[0].unionByName(both[1]).select("file", "place", *(F.col(a).alias(b) for a, b in fields.items()), "delisted")
+    names = [*fields.values()]  # of a code that repeats the first row stays
+    return rows.groupBy("code", "delisted").agg(F.min_by(F.struct(*names[1:]), F.struct("file", "place")).alias("r")).select("code", *(f"r.{n}" for n in names[1:]), "delisted")
 
 
 def company_facts(spark: SparkSession, path: Paths, taxonomies: tuple[str, ...] = ("dei", "us-gaap")) -> DataFrame:
@@ -105,6 +107,37 @@ def percent_factors(spark: SparkSession, path: Paths, missing: float = -99.0) ->
     return long.select("date", F.lower(F.regexp_replace(F.trim("name"), "[^A-Za-z0-9]+", "_")).alias("factor"), F.when(x > missing, x / 100).alias("value"))
 
 
+def factors_with_momentum(spark: SparkSession, factors: Paths, momentum: Paths, start: str | None = None, end: str | None = None) -> DataFrame:
+    """date, factor, value of the factor file's days, with the momentum file's factors on those days; bounds are days."""
+    base, more = percent_factors(spark, factors), percent_factors(spark, momentum)
+    found = base.unionByName(more.join(base.select("date").distinct(), "date", "left_semi"))
+    for bound, inside in ((start, lambda d: F.col("date") >= d), (end, lambda d: F.col("date") <= d)):
+        found = found.filter(inside(F.lit(bound).cast("date"))) if bound else found
+    return found
+
+
+def preferred_file(names: list[str], prefix: str, updated: str) -> str:
+    """Of a folder's names the one that is ``prefix`` and ``updated``, else the last CSV by name that begins with the prefix."""
+    found = sorted(n for n in names if n.startswith(prefix) and n.endswith(".csv"))
+    if not found:
+        raise FileNotFoundError(f"no CSV whose name begins with {prefix!r}")
+    return prefix + updated if prefix + updated in found else found[-1]
+
+
+def current_members(spark: SparkSession, path: Paths) -> DataFrame:
+    """ticker, security, cik (null unless all digits) and date_added from a member list with a header, whatever its other columns."""
+    rows = spark.read.csv(path, header=True)
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    cik = F.when(F.trim("CIK").rlike(r"^\d+$"), F.trim("CIK").cast("long"))
+    return rows.select(F.col("Symbol").alias("ticker"), F.col("Security").alias("security"), cik.alias("cik"), blank(F.col("Date added")).alias("date_added"))
+
+
+def wanted_facts(facts: DataFrame, concepts: DataFrame) -> DataFrame:
+    """company_facts of some (taxonomy, concept) only; concepts is a configuration, a few hundred rows at most."""
+    wanted = concepts.select("taxonomy", "concept").distinct()
+    return facts.join(F.broadcast(wanted) if wanted.limit(10_001).count() <= 10_000 else wanted, ["taxonomy", "concept"], "left_semi").select(*facts.columns)
+
+
 def components(spark: SparkSession, path: Paths) -> DataFrame:
     """date and ticker from snapshots that list their tickers in one field."""
     rows = spark.read.schema("date string, tickers string").csv(path, header=True)

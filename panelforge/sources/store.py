@@ -64,8 +64,14 @@ def write_snapshot(df: DataFrame, root: str, date: str) -> bool:
     return True
 
 
-def upsert_dates(df: DataFrame, path: str, date: str = "date") -> None:
-    """Replaces the dates that df holds and leaves all others; running it again changes nothing."""
+def upsert_dates(df: DataFrame, path: str, date: str = "date", dates: list[str] | None = None) -> None:
+    """Replaces the dates that df holds, and of ``dates`` also those it doesn't hold; leaves all others. Running it again changes nothing."""
+    if dates and exists(df.sparkSession, path):
+        kept = {str(r[0]) for r in df.select(date).distinct().collect()}  # a value a day
+        for day in dates:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/{date}={day}")
+            if day not in kept:
+                place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
     dealt = df.repartition(date)  # a file per date
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(date).parquet(path)
 
