@@ -1,9 +1,10 @@
 r"""Secret scan: candidate strings judged by a random forest.
 
 Candidates are runs of at least 12 letters, digits, ``_ + / -`` (and ``=`` at the end), what follows a known
-prefix of keys, private keys in PEM form, and the values of at least 6 characters that stand after a word which names a secret and
-``=`` or ``:``. Such a value goes to its closing quote, the next blank or the next such word; if it holds runs,
-they are candidates too. It has no blanks: of a passphrase the first word is judged. Each is described by its length, its characters and their transitions, how much of it dictionary words
+prefix of keys, private keys in PEM form, the password of an address (``scheme://user:password@host``), and the values that stand
+after a word which names a secret and ``=`` or ``:``, however short. Such a value goes to its closing quote on the same line, blanks
+included, if that is within 1,024 characters; else to the next blank or the next such word; if it holds runs,
+they are candidates too. Each is described by its length, its characters and their transitions, how much of it dictionary words
 cover, its path and its neighbouring words; the forest, trained from labelled findings, tells secrets from
 false positives. The transition and neighbour statistics and the dictionary are learned from the same
 findings. Findings are judged where their documents lie; nothing is shuffled.
@@ -48,8 +49,13 @@ NAME = re.compile(
     re.I,
 )
 NAME_ROOM = 64
-VALUE = re.compile(r"[=:>]{0,2}[ \t]*(?:(?i:bearer|basic)[ \t]+)?(?:(?P<q>[\"'`])(?P<quoted>(?:(?!(?P=q))\S)+)|(?P<bare>\S+))")
-LEAST = 6
+#: A value goes to its closing quote on the line, if that is near; else to the next quote or blank.
+QUOTED_ROOM = 1024
+_CLOSED = "|".join(rf"{q}(?P<{n}>[^{q}\r\n]{{1,{QUOTED_ROOM}}}){q}" for n, q in (("double", '"'), ("single", "'"), ("back", "`")))
+VALUE = re.compile(rf"[=:>]{{0,2}}[ \t]*(?:(?i:bearer|basic)[ \t]+)?(?:{_CLOSED}|(?P<q>[\"'`])(?P<quoted>(?:(?!(?P=q))\S)+)|(?P<bare>\S+))")
+#: The password of an address: ``scheme://user:password@host``.
+ADDRESS = re.compile(r"://[^\s/:@\"'<>]*+:(?P<password>[^\s/@\"'<>]++)@")
+IN_ADDRESS = re.compile(r"://[^\s/:@\"'<>]*:$")
 NEAR = 48
 WORD = re.compile(r"[A-Za-z]{2,}")
 EXAMPLE_PATH = re.compile(r"test|example|sample|mock|fixture|demo|tutorial", re.I)
@@ -69,11 +75,11 @@ def _named(text: str) -> Iterator[tuple[int, int]]:
     for k, (_, at) in enumerate(names):
         stop = max(at, names[k + 1][0]) if k + 1 < len(names) else len(text)
         if m := VALUE.match(text, at, stop):
-            group = "bare" if m["quoted"] is None else "quoted"
+            group = next(g for g in ("double", "single", "back", "quoted", "bare") if m[g] is not None)
             s, e = m.span(group)
             if group == "bare":
                 e = s + len(m[group].rstrip(",;)]}>\"'`"))
-            if e - s >= LEAST:
+            if text[s:e].strip():
                 yield s, e
 
 
@@ -82,6 +88,7 @@ def find(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     spans = {m.span() for m in CANDIDATE.finditer(text)}
     spans.update(m.span() for m in PREFIXED.finditer(text))
     spans.update(m.span() for m in PEM.finditer(text))
+    spans.update(m.span("password") for m in ADDRESS.finditer(text))
     spans.update(_named(text))
     for s, e in sorted(spans):
         yield s, e - s, text[max(0, s - NEAR) : s], text[s:e], text[e : e + NEAR]
@@ -159,6 +166,7 @@ class Vocabulary:
             float(before.endswith(("=", "= ", ': "', '= "', "='", '="', ": "))), *(float(bool(p.search(path))) for p in (EXAMPLE_PATH, CONFIG_PATH, PROSE_PATH)), float(bool(PEM.match(candidate))),
             float(bool(KNOWN.match(candidate))), float(bool(NAME.search(before.rstrip("\"'`= :>\t")))), float(candidate[1:] != candidate[1:].lower()),
             sum(c in "{}()<>[]$%" for c in candidate) / n, float(any(c.isdigit() for c in candidate)),
+            candidate.count(" "), float(after.startswith("@") and bool(IN_ADDRESS.search(before))),
         ]
 
 
@@ -239,7 +247,7 @@ def train(findings: list[tuple]) -> Scanner:
     return Scanner(vocabulary, Forest().fit(x, np.array([int(f[4]) for f in findings], float)))
 
 
-SECRET_KINDS = tuple(range(14))
+SECRET_KINDS = tuple(range(17))
 #: Paths of files by what they tell: the first of a pair is where secrets are rather, the second where look-alikes are; most paths tell nothing.
 PATHS = [
     (["config/settings.yml", ".env", "deploy/prod.env", "app/config.properties", "ops/credentials.ini"], ["tests/fixtures/users.json", "docs/readme.md", "examples/demo.py", "blog/post.html", "src/mock_client.py"]),
@@ -274,8 +282,21 @@ def example_texts(n: int = 4000, seed: int = 11, kinds: tuple = SECRET_KINDS) ->
             return word() + some(string.digits, rng.randint(1, 2)) + word() + some("!@$%&*.-_", 1) + some(alnum, rng.randint(1, 4))
         return some(alnum, rng.randint(8, 14))
 
-    def secret() -> tuple[str, str]:
+    quoted = lambda *w: rng.choice(w) + rng.choice([' = "', ': "', "='", '="', "= '", ": '"])
+    strong = ("password", "passphrase", "passwd", "pwd", "Password", "master_password", "wifi_password", "DB_PASSWORD")
+
+    def secret() -> tuple[str, ...]:
         k = rng.choice(kinds)
+        if k == 14:  # words between quotes
+            words = [rng.choice([word(), long_word()[:9]]) for _ in range(rng.randint(3, 6))]
+            if rng.random() < 0.4:
+                words.insert(rng.randrange(len(words)), some(string.digits, rng.randint(1, 4)))
+            return quoted(*strong), " ".join(rng.choice([str, str, str.title])(w) for w in words)
+        if k == 15:  # in an address
+            own = "".join(c for c in password() if c not in "/@<>:'\" ")
+            return rng.choice(["", "url=", "DATABASE_URL="]) + rng.choice(["postgres", "mysql", "redis", "https", "amqp", "mongodb+srv", "ftp"]) + f"://{rng.choice([word(), 'admin', 'root', ''])}:", own, f"@{word()}.{word()}/{word()}"
+        if k == 16:  # short
+            return name("password", "passwd", "pwd", "pass", "db_password", "passcode"), some(alnum + "!@#$%&*", rng.randint(3, 7))
         if k == 13:
             lines = " ".join(some(base64, 64) for _ in range(rng.randint(2, 6)))
             kind = rng.choice(["", "RSA ", "EC ", "OPENSSH "])
@@ -305,8 +326,19 @@ def example_texts(n: int = 4000, seed: int = 11, kinds: tuple = SECRET_KINDS) ->
             return rng.choice(["", name("key")]), rng.choice(["sk-", "sk_live_", "pk_live_"]) + some(alnum, rng.choice([24, 48]))
         return rng.choice(["", "Bearer ", name("slack_token")]), "xoxb-" + some(string.digits, 12) + "-" + some(alnum, 24)
 
-    def other() -> tuple[str, str]:
-        k = rng.randrange(22)
+    def other() -> tuple[str, ...]:
+        k = rng.randrange(26)
+        if k == 22:  # prose between quotes
+            return quoted("key", "token", "auth", "secret", "tokens", "next_token", "api_key"), " ".join(word() for _ in range(rng.randint(2, 8))) + rng.choice(["", ".", ","])
+        if k == 23:
+            ask = ["Enter your password", "Please choose a password", "Your new password", "must be at least 8 characters", "is required", "Forgot your password?", "Invalid password", "Type it again", "Passwords must match", "Repeat the password please"]
+            return quoted(*strong), rng.choice(ask) + rng.choice(["", ".", " again", " or " + word()])
+        if k == 24:  # short, and none
+            if rng.random() < 0.5:
+                return name("key", "token", "auth", "tokens", "secret"), rng.choice([some(string.digits, rng.randint(1, 3)), word()[:4], some(string.ascii_letters, 1), "yes", "no"])
+            return name(*strong, "pass"), rng.choice(["none", "null", "true", "false", "yes", "no", "***", "xxx", "N/A", "-", "''", "nil", "the", "and", "is", "a", "None", "{}", "..."])
+        if k == 25:
+            return rng.choice(["postgres", "https", "mysql", "ftp"]) + f"://{rng.choice(['user', 'username', '<user>'.strip('<>'), word()])}:", rng.choice(["password", "pass", "PASSWORD", "$PASSWORD", "${DB_PASS}", "{password}", "xxxx", "****", "changeme", "pwd"]), f"@{rng.choice(['host', 'localhost', 'example.com', word()])}/{word()}"
         if k in (12, 13, 18, 19, 20, 21):  # words of prose, as they are or in capitals; their accents end a run
             shape = rng.choice([str, str, str.title, str.upper])
             found = max(re.split(r"[^A-Za-z]", shape(long_word())), key=len)
@@ -343,12 +375,12 @@ def example_texts(n: int = 4000, seed: int = 11, kinds: tuple = SECRET_KINDS) ->
 
     for k in range(n):
         label = k % 2
-        before, candidate = secret() if label else other()
+        before, candidate, tail = (*(secret() if label else other()), "")[:3]
         quote = before[-1:] if before[-1:] in "\"'" else ""
         told = rng.random() < 0.4
         path = rng.choice(PATHS[0 if told else 1][(1 - label) if rng.random() < 0.85 else label])
         lead = prose() + before
-        yield lead + candidate + quote + " " + prose(), len(lead), candidate, path, label
+        yield lead + candidate + quote + tail + " " + prose(), len(lead), candidate, path, label
 
 
 def example_findings(n: int = 4000, seed: int = 11, kinds: tuple = SECRET_KINDS) -> list[tuple]:

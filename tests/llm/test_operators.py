@@ -369,6 +369,34 @@ def test_secret_recall():
     assert len(list(secrets.find("key=" * 50_000))) <= 50_000
 
 
+def test_secrets_between_quotes_in_addresses_and_short():
+    """Passphrases to their closing quote, passwords of addresses, short values; and what looks like them and is none."""
+    scanner = secrets.train(secrets.example_findings())
+
+    def found(text):
+        some = list(secrets.find(text))
+        return {f[3] for f, p in zip(some, scanner.judge([(*f[2:], "") for f in some])) if p >= 0.5}
+
+    assert "correct horse battery staple" in found('password = "correct horse battery staple"')
+    assert "s3cr3tP4ss" in found("see postgres://admin:s3cr3tP4ss@db.host/x for more")
+    assert found('pwd: "a1b"') == {"a1b"} and found("password=abc1 ") == {"abc1"}
+    for text in ('password: "Enter your password"', "https://user:password@example.com/", "pass: none", "key: 5", 'token: "the next one in line"', "http://host:8080/a@b", 'password: ""', "password: ' '"):
+        assert not found(text), text
+    long = "word " * 400
+    assert [f[3] for f in secrets.find(f'password: "{long}"')] == ["word"]  # no closing quote near: the first word
+    assert len(list(secrets.find('key: "' * 20_000))) <= 20_000 and not list(secrets.find("://a:" * 20_000))
+
+
+def test_secret_recall_by_kind():
+    """Other examples than those of the training: each kind of secret is found, look-alikes mostly aren't."""
+    scanner = secrets.train(secrets.example_findings())
+    for kind in secrets.SECRET_KINDS:
+        mine = [f for f in secrets.example_findings(400, 1000 + kind, (kind,))]
+        score = scanner.judge([f[:4] for f in mine]) >= 0.5
+        label = np.array([f[4] for f in mine], bool)
+        assert score[label].mean() > 0.85 and score[~label].mean() < 0.05, kind
+
+
 def test_secrets_of_left_out_kinds():
     """A forest that never saw two kinds of keys, nor PEM, still finds most of them; the path tells something."""
     unseen = (6, 8, 13)
