@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.operators import dense, risk
+from panelforge.operators import covariance, dense, risk
 from panelforge.operators import timeseries as ts
 from panelforge.plans.crosssections import factor_returns_wls
 from panelforge.plans.panels import BRAND, DAY, brand_month, day_panel, r, table
@@ -195,3 +195,65 @@ def factor_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = factor_returns_wls(spark, sf_dir).groupBy("year").agg(F.max(F.when(F.col("factor") == "country", F.col("f"))).alias("country"), F.max(F.when(F.col("factor") == "style", F.col("f"))).alias("style"), F.count("*").alias("n"))
     w = Window.partitionBy(F.lit(0)).orderBy("year")  # one row per year
     return c.select("year", "country", "style", "n", r(F.product(1 + F.col("country")).over(w) - 1, 5).alias("cumulative"))
+
+
+_RUN = f"""{BRAND}, q AS (SELECT factor, m, ret FROM bm WHERE ret IS NOT NULL), d AS (SELECT DISTINCT m FROM q), w AS (SELECT d.m AS date, s.m, pow(0.5, (d.m - s.m) / 24.0) AS w FROM d JOIN d s ON s.m <= d.m),
+nw AS (SELECT date, m, w / sum(w) OVER (PARTITION BY date) AS w FROM w),
+pr AS (SELECT a.factor AS i, b.factor AS j, b.m, sum((CASE b.m - a.m WHEN 0 THEN CASE WHEN a.factor <= b.factor THEN 1.0 ELSE 0 END WHEN 1 THEN 2 / 3.0 ELSE 1 / 3.0 END) * a.ret * b.ret) AS p FROM q a JOIN q b ON a.m BETWEEN b.m - 2 AND b.m GROUP BY ALL),
+sy AS (SELECT least(i, j) AS i, greatest(i, j) AS j, m, sum(CASE WHEN i = j THEN 2 * p - z ELSE p END) AS p FROM pr JOIN (SELECT factor AS f, m AS fm, ret * ret AS z FROM q) ON f = j AND fm = m GROUP BY ALL),
+rc AS (SELECT date, i, j, sum(w * p) AS cov FROM sy JOIN nw USING (m) GROUP BY ALL)"""
+
+
+@query(f"WITH {_RUN} SELECT date, i, j, round(cov, 8) AS cov FROM rc WHERE date >= 24")
+def running_covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The covariance adjusted for two lags as of every month, from one scan of running sums."""
+    found = covariance.running_covariances(_panel(spark, sf_dir), "factor", "m", "ret", 24, 2)
+    return found.filter("s >= 24").select(F.col("s").alias("date"), "i", "j", r("cov", 8).alias("cov"))
+
+
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariances of every sixth month, in the form of the matrix problems."""
+    found = covariance.running_covariances(_panel(spark, sf_dir), "factor", "m", "ret", 24, 2).filter("s >= 24 AND s % 6 = 0")
+    return stored(found.select(F.col("s").alias("date"), F.col("i").alias("factor_i"), F.col("j").alias("factor_j"), "cov"), "dated-cov")
+
+
+@query()
+def layered_covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly covariances whose eigenvalue corrections are made anew in each quarter's first month, scaled by the regime; young ones are provisional."""
+    panel = stored(_panel(spark, sf_dir), "panel")
+    pre = covariance.running_covariances(panel, "factor", "m", "ret", 24, 2).filter("s >= 24").withColumnRenamed("s", "date")
+    dates = panel.select(F.col("m").alias("date")).distinct()
+    lam = factor_regime(spark, sf_dir).select(F.col("m").alias("date"), F.col("lam").alias("lambda"))
+    windows = dates.filter("date >= 24").select("date", (F.col("date") + 1).cast("int").alias("n"))
+    found = covariance.layered(pre, windows.select("date", (F.col("date") % 3 == 0).alias("refresh")), lam, "date", windows=windows, estimator=(24, 2, 24, 2), sims=200, scale=1.0, horizon=1.0, provisional=36)
+    return found.select("date", "factor_i", "factor_j", r("cov_final", 8).alias("cov_final"), r("cov_pre_eigen", 8).alias("cov_pre_eigen"), r("lambda").alias("lambda"), "provisional")
+
+
+@query()
+def optimal_weights_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long-only weights under a cap of every sixth month, from that month's covariance and the mean returns up to it."""
+    cov = _dated(spark, sf_dir)
+    so_far = Window.partitionBy("factor").orderBy("m")
+    mean = _panel(spark, sf_dir).withColumn("alpha", F.avg("ret").over(so_far) / 10)
+    alpha = mean.join(cov.select(F.col("date").alias("m")).distinct(), "m", "left_semi").select(F.col("m").alias("date"), "factor", "alpha")
+    return dense.optimize(cov, alpha, "date", 0.10, 4.0).select("date", "factor", r("weight").alias("weight"))
+
+
+@query()
+def minimum_risk_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each factor and every sixth month the portfolio of least risk with a unit of it."""
+    return dense.minimum_risk(_dated(spark, sf_dir), "date").select("date", "target", "factor", r("weight").alias("weight"), r("sigma", 8).alias("sigma"))
+
+
+@query()
+def active_weights_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active weights of part types by size for every sixth month: a problem for each date, under that date's covariance."""
+    cov = _dated(spark, sf_dir)
+    part = table(spark, sf_dir, "part").withColumn("asset", F.concat_ws("|", "p_type", F.ceil(F.col("p_size") / 10)))
+    brand = part.groupBy("asset", "p_brand").agg(F.sum("p_retailprice").alias("value"))
+    total = brand.groupBy("asset").agg(F.sum("value").alias("bench"), F.map_from_entries(F.collect_list(F.struct("p_brand", "value"))).alias("of"))  # 25 brands
+    own = part.groupBy("asset").agg((F.var_pop("p_retailprice") / F.avg("p_retailprice") ** 2 + 0.001).alias("spec_var"), (F.avg("p_size") / 1000).alias("alpha"))
+    assets = total.join(own, "asset").select("asset", "bench", "spec_var", "alpha", F.transform_values("of", lambda _, v: v / F.col("bench")).alias("exposures"))
+    dated = assets.crossJoin(F.broadcast(cov.select((F.col("date") + 0).alias("date")).distinct()))  # a few dates
+    found = dense.optimize_active(dated, cov, "date", "asset", aversion=1.0, cap=0.1, band=0.02, tracking=0.05)
+    return found.select("date", "asset", r("weight", 5).alias("weight"), r("active", 5).alias("active"), r("tracking_error", 5).alias("tracking_error"), "status")
