@@ -9,6 +9,7 @@ from panelforge.operators import staging as st
 from panelforge.operators import timeseries as ts
 from panelforge.plans.panels import BRAND, DAY, brand_month, day_panel, r, table
 from panelforge.plans.registry import query
+from panelforge.sources.store import stored
 
 # Facts: an order's total is a value for the period that ends with its date, known when its line ships.
 FACTS = """facts AS (SELECT o_custkey AS sid, CAST(o_orderdate AS DATE) AS period_end, CAST(l_shipdate AS DATE) AS available, max(o_totalprice) AS value
@@ -254,14 +255,15 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", st.symbol(code).alias("symbol"))
 
 
-@query(f"""WITH {DAY}, i AS (SELECT sid % 50 AS issuer, sid, s, amount, dense_rank() OVER (PARTITION BY sid % 50 ORDER BY s DESC) AS k FROM day),
+@query(f"""WITH {DAY}, i AS (SELECT sid // 4 AS issuer, sid, s, amount, dense_rank() OVER (PARTITION BY sid // 4 ORDER BY s DESC) AS k FROM day),
 m AS (SELECT issuer, sid, median(amount) AS med FROM i WHERE k <= 20 GROUP BY ALL)
 SELECT issuer, arg_max(sid, struct_pack(a := med, b := -sid)) AS primary_sid, count(*) AS classes FROM m GROUP BY issuer""")
 def primary_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each issuer's classes the one with the largest median amount over the issuer's last twenty sessions."""
-    last = F.dense_rank().over(Window.partitionBy("issuer").orderBy(F.col("s").desc()))
-    day = day_panel(spark, sf_dir).withColumn("issuer", F.col("sid") % 50).withColumn("k", last).filter("k <= 20")
-    med = day.groupBy("issuer", "sid").agg(F.median("amount").alias("med"))
+    day = stored(day_panel(spark, sf_dir).select(F.floor(F.col("sid") / 4).alias("issuer"), "sid", "s", "amount"), "classes")
+    latest = F.row_number().over(Window.partitionBy("issuer").orderBy(F.col("s").desc()))
+    last = day.select("issuer", "s").distinct().withColumn("k", latest).filter("k <= 20").groupBy("issuer").agg(F.min("s").alias("_from"))
+    med = day.join(last, "issuer").filter("s >= _from").groupBy("issuer", "sid").agg(F.median("amount").alias("med"))
     return med.groupBy("issuer").agg(F.max_by("sid", F.struct("med", -F.col("sid"))).alias("primary_sid"), F.count("*").alias("classes"))
 
 
