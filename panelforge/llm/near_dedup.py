@@ -14,8 +14,11 @@
    from the rows at the edge (at most ``REGION`` on each side), in a second, small pass.
 3. Connected candidates are fetched once with their full sets and compared exactly, by an inverted index in
    blocks of bounded size. Of a large group each row first meets one block of the group and the group's centres;
-   only rows that are then still apart from the group's largest part meet all blocks. Links that pass give the
-   components.
+   only rows that are then still apart from the group's largest part go on. Where they are more than ``FEW``, they
+   meet the group by sharp signatures, one bit of each of ``BITS`` further hashes, and only pairs whose signatures
+   agree (five deviations below the threshold again) are compared with full sets. Rows with over ``PARTNERS`` such
+   partners in a block, and the rows of groups with few rows apart, meet all blocks with full sets. Links that pass
+   give the components.
 
 A row takes part in ``TREES`` orders whatever the size of its cluster, so nothing grows with pairs. A link at the
 threshold is missed only if its two texts are apart in every tree; README gives the measured recall.
@@ -49,11 +52,19 @@ AGREE = 66
 PERCENT = 75
 #: Rows of a block of full sets, and how many blocks' worth of rows a group may have to be compared as a whole at once.
 BLOCK, CENTRES = 192, 8
+#: Bits of a sharp signature, and equal bits under which a pair cannot reach 0.75: five deviations below
+#: BITS * 1.75 / 2; of the first half, HALF.
+BITS, SHARP, HALF = 8192, 7018, 3478
+#: Rows apart that a group may have to be compared with full sets at once; partners a row may have in a block of sharp
+#: signatures to be compared pair by pair; rows of such a block.
+FEW, PARTNERS, SHARP_BLOCK = 64, 8, 8192
 
 _rng = np.random.default_rng(20)
 PLACES = (_rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 MULTIPLY = _rng.integers(0, 1 << 31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ADD = _rng.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint64).astype(np.uint32)
+SHARP_MULTIPLY = _rng.integers(0, 1 << 31, (BITS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+SHARP_ADD = _rng.integers(0, 1 << 32, (BITS, 1), dtype=np.uint64).astype(np.uint32)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -85,6 +96,15 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def sharp_signature(s: np.ndarray) -> bytes:
+    """One bit of each of BITS smallest hashes; two sets agree in (1 + similarity) / 2 of them."""
+    x = (s >> np.uint64(32)).astype(np.uint32)
+    low = np.full(BITS, 0xFFFFFFFF, np.uint32)
+    for lo in range(0, len(x), 256):
+        np.minimum(low, (SHARP_MULTIPLY * x[None, lo : lo + 256] + SHARP_ADD).min(1), out=low)
+    return np.packbits(((low * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)).tobytes()
+
+
 def order_bytes(sig: np.ndarray) -> bytes:
     """Two bytes of each hash, big-endian, so that the bytes of a tree sort as its hashes do."""
     return (sig ^ (sig >> np.uint32(16))).astype(">u2").tobytes()
@@ -398,6 +418,75 @@ def _sets(docs: DataFrame) -> DataFrame:
     return sets.groupBy("id", F.xxhash64("set").alias("digest")).agg(*(F.first(c).alias(c) for c in ("cc", "size", "set"))).drop("digest")
 
 
+def partners(ids: np.ndarray, labels: np.ndarray, apart: np.ndarray, visits: np.ndarray, bits: np.ndarray) -> tuple[list[int], list[int | None]]:
+    """For each visitor of a block the residents of other parts whose sharp signatures agree; None if over PARTNERS.
+
+    Two rows that are both apart meet once, as visitor and resident of the smaller id.
+    """
+    rest = np.flatnonzero(~visits)
+    rest = rest[np.lexsort((ids[rest], apart[rest]))]
+    own, own_labels, own_bits = ids[rest], labels[rest], bits[rest]
+    linked, half = int((~apart[rest]).sum()), bits.shape[1] // 2
+    a: list[int] = []
+    b: list[int | None] = []
+    for v in np.flatnonzero(visits).tolist():
+        to = linked + int(np.searchsorted(own[linked:], ids[v]))
+        near = np.flatnonzero(np.bitwise_count(own_bits[:to, :half] ^ bits[v, :half]).sum(1, dtype=np.uint16) <= BITS // 2 - HALF)
+        near = near[own_labels[near] != labels[v]]
+        near = near[np.bitwise_count(own_bits[near] ^ bits[v]).sum(1, dtype=np.uint16) <= BITS - SHARP]
+        found = [None] if len(near) > PARTNERS else own[near].tolist()
+        a += [int(ids[v])] * len(found)
+        b += found
+    return a, b
+
+
+def sharp_partners(rows: DataFrame) -> DataFrame:
+    """cc, a, b: pairs to be compared, or a row a that has too many in a block (b null); rows: cc, id, set, size, label, apart, rows (apart)."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = [sharp_signature(np.frombuffer(s, np.uint64)) for s in b.column(6).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(bits, pa.binary())], names=[*names, "bits"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, 3):
+            bounds = _bounds([t.column(i).to_numpy() for i in range(3)])
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                g = t.slice(lo, hi - lo)
+                cc, ids, labels, apart, visits = (g.column(k).to_numpy() for k in (0, 3, 4, 5, 6))
+                a, b = partners(ids, labels, apart, visits, _fixed(g.column(7), np.uint64, BITS // 64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), cc[0])), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["cc", "a", "b"])
+
+    names = ["cc", "id", "size", "label", "apart", "rows"]
+    signed = rows.select(*names, "set").mapInArrow(sign, "cc long, id long, size long, label long, apart boolean, rows long, bits binary")
+    signed = materialize(signed, "sharp")
+    blocks = F.ceil(F.col("size") / SHARP_BLOCK).cast("int")
+    parts = F.ceil(F.col("rows") / 2048).cast("int")
+    visit = signed.filter("apart").withColumn("i", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("j", F.pmod(F.xxhash64(F.lit(3), "id"), parts).cast("int"))
+    home = signed.withColumn("i", _own(blocks)).withColumn("j", F.explode(F.sequence(F.lit(0), parts - 1)))
+    key = ("cc", "i", "j")
+    both = unite([x.select(*key, "id", "label", "apart", F.lit(v).alias("visits"), "bits") for x, v in ((visit, True), (home, False))])
+    return both.repartition(*key).sortWithinPartitions(*key).mapInArrow(meet, "cc long, a long, b long")
+
+
+def pair_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that hold on full sets; sets: id, set. A row of many pairs goes out once for each 1,024 of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            left, right = ([np.frombuffer(s, np.uint64) for s in t.column(k).to_pylist()] for k in (2, 3))
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)]
+            holds = np.array([100 * n >= PERCENT * (len(x) + len(y) - n) for n, x, y in zip(both, left, right)], bool)
+            ids = [t.column(k).to_numpy()[holds] for k in (0, 1)]
+            yield _links([(ids[0], ids[1])])
+
+    copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / 1024).cast("int").alias("copies"))
+    pairs = pairs.join(copies, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
+    right = sets.withColumnRenamed("id", "b").join(copies, "b").select("b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("set").alias("right"))
+    pairs = pairs.join(right, ["b", "copy"]).join(sets.select(F.col("id").alias("a"), F.col("set").alias("left")), "a")
+    return pairs.select("a", "b", "left", "right").mapInArrow(run, LINKS)
+
+
 def exact_components(sets: DataFrame) -> DataFrame:
     """Links that hold on full sets, enough to connect all that are connected; sets: id, cc (candidate group), size (of it), set."""
     sets = materialize(sets, "sets")
@@ -414,14 +503,22 @@ def exact_components(sets: DataFrame) -> DataFrame:
     first = unite([x.select("cc", "i", F.lit(-1).alias("j"), "id", "set") for x in (everywhere, first)]).dropDuplicates(["cc", "i", "id"])
     links = materialize(confirmed_links(small.unionByName(first)).distinct(), "near-links")
 
-    # Of large groups, rows outside the largest part found so far meet all blocks.
+    # Of large groups, rows outside the largest part found so far go on.
     parts = connected(links, "near-parts")
-    placed = large.select("cc", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("cc", "id", F.coalesce("label", "id").alias("label"))
+    placed = large.select("cc", "id").distinct().join(parts.withColumnRenamed("node", "id"), "id", "left").select("cc", "id", F.coalesce("label", "id").alias("label"))
     best = placed.groupBy("cc", "label").agg(F.count("*").alias("rows")).groupBy("cc").agg(F.max(F.struct("rows", "label")).alias("best"))
-    apart = placed.join(few(best), "cc").filter("label <> best.label").select("cc", "id")
-    apart = materialize(large.join(apart, ["cc", "id"], "left_semi"), "apart")
-    if apart.isEmpty():
+    placed = materialize(placed.join(few(best), "cc").select("cc", "id", "label", (F.col("label") != F.col("best.label")).alias("apart")), "placed")
+    apart = placed.filter("apart").select("cc", "id")
+    counts = materialize(apart.groupBy("cc").agg(F.count("*").alias("rows")), "rows-apart")
+    if counts.isEmpty():
         return links
+    loose = counts.filter(F.col("rows") > FEW)
+    if not loose.isEmpty():
+        met = materialize(sharp_partners(large.join(placed, ["cc", "id"]).join(few(loose), "cc")), "partners")
+        links = links.unionByName(pair_links(met.filter("b IS NOT NULL").select("a", "b").distinct(), large.select("id", "set")))
+        dense = met.filter("b IS NULL").select("cc", F.col("a").alias("id"))
+        apart = materialize(apart.join(few(loose), "cc", "left_anti").unionByName(dense).distinct(), "dense")
+    apart = materialize(large.join(apart, ["cc", "id"], "left_semi"), "apart")
     # A block takes its visitors in parts of about 2,048, and its own rows once for each part.
     visitors = apart.groupBy("cc").agg(F.ceil(F.count("*") / 2048).cast("int").alias("parts"))
     meet = apart.join(few(visitors), "cc").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

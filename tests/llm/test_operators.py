@@ -616,6 +616,78 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert {d: got[d] for d in range(700, len(texts))} == {d: want[d] for d in range(700, len(texts))}
 
 
+def loose_family(n, seed=12):
+    """n texts whose pairs are alike at about 0.65, every tenth followed by a near copy of it; texts and the pairs meant."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    shared = [word() for _ in range(112)]
+    texts, pairs = [], []
+    while len(texts) < n:
+        own = [word() for _ in range(28)]
+        texts.append(" ".join(shared + own))
+        if len(texts) % 10 == 1 and len(texts) < n:
+            texts.append(" ".join(shared + own[:18] + [word() for _ in range(10)]))  # 126 of 146 shingles in common
+            pairs.append((len(texts) - 2, len(texts) - 1))
+    return texts, pairs
+
+
+def test_near_duplicates_in_loose_families(spark, monkeypatch):
+    """Full sets that are compared grow in proportion to a family none of whose texts but a few pairs are alike enough."""
+    compared = {}
+
+    def count(name, rows):
+        def counted(members, *more):
+            compared[name] = compared.get(name, 0) + rows * members.count()
+            return kept[name](members, *more)
+
+        return counted
+
+    kept = {n: getattr(near_dedup, n) for n in ("confirmed_links", "pair_links")}
+    for n, rows in (("confirmed_links", 1), ("pair_links", 2)):
+        monkeypatch.setattr(near_dedup, n, count(n, rows))
+    sets = []
+    for n in (800, 1600):
+        compared.clear()
+        texts, pairs = loose_family(n)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, [(d, t, "", "") for d, t in enumerate(texts)])).collect()}
+        other = dict(map(reversed, pairs))
+        assert got == {d: other.get(d, d) for d in range(n)}
+        assert compared.get("pair_links", 0) >= 2  # some pairs are found by their sharp signatures only
+        sets.append(sum(compared.values()))
+    assert sets[1] <= 2.2 * sets[0] and sets[1] < 6 * 1600
+
+
+@pytest.mark.parametrize("partners", [0, 8])
+def test_near_duplicates_with_many_partners(spark, monkeypatch, partners):
+    """A group of several clusters and a template that all meet: pair by pair, or (no partner allowed) by full sets."""
+    monkeypatch.setattr(near_dedup, "PARTNERS", partners)
+    monkeypatch.setattr(near_dedup, "FEW", 4)
+    monkeypatch.setattr(near_dedup, "SHARP_BLOCK", 100)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    shared, texts = [word() for _ in range(100)], []
+    for _ in range(6):
+        own = [word() for _ in range(24)]
+        for _ in range(60):
+            w = list(own)
+            w[rng.randrange(24)] = word()
+            texts.append(" ".join(shared + w))
+    data = dict(enumerate(texts))
+    want, _ = brute.components(data)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, [(d, t, "", "") for d, t in data.items()])).collect()}
+    assert got == want
+
+
+def test_sharp_signatures():
+    """Bits agree in (1 + similarity) / 2 of the places, within five deviations."""
+    rng = np.random.default_rng(4)
+    for both, each in ((300, 50), (300, 80), (30, 5), (600, 0)):
+        x = rng.integers(0, 1 << 63, both + 2 * each, dtype=np.uint64)
+        a, b = (np.frombuffer(near_dedup.sharp_signature(np.sort(y)), np.uint8) for y in (x[: both + each], np.r_[x[:both], x[both + each :]]))
+        want = (1 + both / (both + 2 * each)) / 2
+        assert abs(1 - np.bitwise_count(a ^ b).sum() / near_dedup.BITS - want) <= 5 * (want * (1 - want) / near_dedup.BITS) ** 0.5
+
+
 def test_near_duplicates_of_one_id(spark):
     """Rows that share a doc_id are one node, whatever their texts."""
     a, b = "one two three four five six", "seven eight nine ten eleven twelve"
