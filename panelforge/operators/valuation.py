@@ -108,7 +108,9 @@ def market_caps(days: DataFrame, counts: DataFrame, floats: DataFrame, sid: str,
     other = F.when(F.col(session) - F.col("_f_asof") <= float_fresh, F.col("_held") / F.coalesce("_fbasis", F.lit(1.0)))
     x = x.withColumns({"shares": F.coalesce(count, other) * F.col("cum"), "source": F.when(count.isNotNull(), "count").when(other.isNotNull(), "float")})
     x = x.withColumn("mcap", F.col("shares") * F.col("close"))
-    moved = F.ln(F.col("mcap") / F.lag("mcap").over(Window.partitionBy(sid).orderBy(session))) - F.ln(1 + F.col("ret"))
+    before = F.lag("mcap").over(Window.partitionBy(sid).orderBy(session))
+    moves = (F.col("mcap") > 0) & (before > 0) & (1 + F.col("ret") > 0)  # a value of 0, before or now, tells nothing
+    moved = F.when(moves, F.ln(F.col("mcap") / before) - F.ln(1 + F.col("ret")))
     return x.select(sid, session, "shares", "mcap", "source", F.when(F.abs(moved) > jump, "continuity").alias("flag"))
 
 
