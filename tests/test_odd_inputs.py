@@ -42,7 +42,7 @@ def days_with_zeros():
     return rows
 
 
-@pytest.mark.parametrize("name", ["market_caps", "exceptions"])
+@pytest.mark.parametrize("name", ["market_caps", "exceptions", "staging_counters"])
 def test_market_values_of_zero(compared, name):
     assert compared(name, events=(EVENTS, days_with_zeros())) is None
 
