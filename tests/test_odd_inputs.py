@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from oracle import difference
 
+from panelforge.operators import filings as fl
 from panelforge.operators import valuation as va
 from panelforge.plans import registry
 
@@ -53,3 +54,22 @@ def test_a_market_value_of_zero_moves_nothing(spark):
     floats = spark.createDataFrame([], "sid int, s int, value double")
     found = {r.s: (r.mcap, r.flag) for r in va.market_caps(days, counts, floats, "sid", "s", (0.001, 0.1), 5, 9, 9, 0.2).collect()}
     assert found == {1: (5000.0, None), 2: (0.0, None), 3: (5000.0, None), 4: (50000.0, "continuity")}
+
+
+def test_growth_takes_the_last_filing_of_a_day(spark):
+    """The larger value came first that day, so it doesn't count."""
+    day = datetime.date
+    facts = [(1, "eps", day(2019 + k, 12, 31), v, day(2020 + k, 2, 1), day(2020 + k, 2, 2), a) for k, v, a in [(0, 1.0, "1"), (1, 2.0, "2"), (2, 9.0, "3"), (2, 3.0, "4")]]
+    pit = spark.createDataFrame(facts, "cik long, item string, period_end date, value double, filed date, available date, accn string").repartition(3)
+    splits = spark.createDataFrame([], "cik long, date date, cum double")
+    got = {r.available: r.growth for r in fl.growth_events(pit, "eps", splits).collect()}
+    assert got[day(2022, 2, 2)] == pytest.approx(1.0 / 2.0)
+
+
+def test_growth_query_on_several_filings_of_a_day(compared):
+    """Five years of a company, the last with two orders of a day, of which the larger has the smaller number."""
+    at = lambda y: datetime.date(y, 12, 1)
+    orders = [(k * 28 + 2, 10, 100.0 * k, at(1991 + k), "1-URGENT") for k in range(1, 6)]
+    orders += [(170, 11, 999.0, at(1996), "1-URGENT"), (198, 12, 555.0, at(1996), "1-URGENT"), (5, 99, 1.0, datetime.date(1999, 1, 1), "1-URGENT")]
+    orders += [(9 + 4 * k, 99, 1.0, datetime.date(1992 + k, 2, 1), "1-URGENT") for k in range(8)]
+    assert compared("growth_events", orders=("o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderdate DATE, o_orderpriority VARCHAR", orders)) is None
