@@ -181,7 +181,12 @@ def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_ADJ} SELECT sid, s, action, round(k, 6) AS split_ratio, round(cash / k, 6) AS dividend, round((k * close + cash) / pc - 1, 6) AS ret FROM act""")
 def implied_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _actions(spark, sf_dir).select("sid", "s", "action", r("split_ratio").alias("split_ratio"), r("dividend").alias("dividend"), r("ret").alias("ret"))
+    """Actions and total returns, those on prices of 0 too: such a day has no action, and the return on a price of 0 isn't finite."""
+    x = _actions(spark, sf_dir)
+    now = F.col("split_ratio") * F.col("close") + F.col("dividend") * F.col("split_ratio")
+    endless = F.when(now > 0, float("inf")).when(now < 0, float("-inf")).when(now == 0, float("nan"))
+    ret = F.when(F.col("prev_close") == 0, endless).otherwise(now / F.col("prev_close") - 1)
+    return x.select("sid", "s", F.replace("action", F.lit("bad_price")).alias("action"), r("split_ratio").alias("split_ratio"), r("dividend").alias("dividend"), r(ret).alias("ret"))
 
 
 @query(f"""WITH {_ADJ} SELECT sid, s, round(product(k) OVER (PARTITION BY sid ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cum_split, round(coalesce(product(k) OVER (PARTITION BY sid ORDER BY s ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1), 6) AS adj_factor FROM act""")

@@ -1,6 +1,7 @@
 """Queries on small tables made by hand, against their SQL: prices of 0, several filings of a day, names that many share."""
 
 import datetime
+import math
 
 import duckdb
 import pytest
@@ -56,6 +57,12 @@ def test_a_market_value_of_zero_moves_nothing(spark):
     assert found == {1: (5000.0, None), 2: (0.0, None), 3: (5000.0, None), 4: (50000.0, "continuity")}
 
 
+def test_actions_and_returns_on_prices_of_zero(compared, spark, tmp_path):
+    assert compared("implied_actions", events=(EVENTS, days_with_zeros())) is None
+    found = {(r.sid, r.s): (r.action, r.ret) for r in registry.QUERIES["implied_actions"](spark, str(tmp_path)).collect()}
+    assert found[0, 0] == ("", None) and found[0, 1] == ("", math.inf) and found[0, 2] == ("", -1.0) and math.isnan(found[0, 3][1])
+
+
 def test_growth_takes_the_last_filing_of_a_day(spark):
     """The larger value came first that day, so it doesn't count."""
     day = datetime.date
