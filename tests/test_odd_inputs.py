@@ -80,3 +80,13 @@ def test_growth_query_on_several_filings_of_a_day(compared):
     orders += [(170, 11, 999.0, at(1996), "1-URGENT"), (198, 12, 555.0, at(1996), "1-URGENT"), (5, 99, 1.0, datetime.date(1999, 1, 1), "1-URGENT")]
     orders += [(9 + 4 * k, 99, 1.0, datetime.date(1992 + k, 2, 1), "1-URGENT") for k in range(8)]
     assert compared("growth_events", orders=("o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderdate DATE, o_orderpriority VARCHAR", orders)) is None
+
+
+def test_predecessors_of_names_that_many_share(compared, spark, tmp_path):
+    """Issuer 600 never filed; number 1, of the same name, did."""
+    customers = [(1, 3, "AUTOMOBILE"), (600, 3, "AUTOMOBILE"), (601, 4, "AUTOMOBILE")]
+    orders = [(1, 1, datetime.date(1994, 1, 1)), (2, 1, datetime.date(1998, 5, 1))]
+    tables = {"customer": ("c_custkey BIGINT, c_nationkey INTEGER, c_mktsegment VARCHAR", customers), "orders": ("o_orderkey BIGINT, o_custkey BIGINT, o_orderdate DATE", orders)}
+    assert compared("predecessor_links", **tables) is None
+    found = {r.issuer: r.id for r in registry.QUERIES["predecessor_links"](spark, str(tmp_path)).filter("role <> 'primary'").collect()}
+    assert found == {600: 1, 601: None}
