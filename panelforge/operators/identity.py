@@ -2,9 +2,10 @@
 
 A spell (ticker, start, end) is in session numbers, so neighbours differ by one. A vendor's code is judged by
 its coverage: the share of a spell's sessions it has prices for. Coverage never joins spells with the sessions inside
-them: a code's sessions are numbered, and two as-of joins read the number at both ends. Spells meet candidates
-by ticker, entrants by the session after their end, and registrants by name key; all choices are aggregates
-over those few rows. Chains of renames are settled in rounds, as many as the longest chain of open spells, each cut by
+them: a code's sessions are one row, an array as long as the calendar at most. Spells meet candidates
+by ticker and registrants by name key. They never meet the entrants of a session: how well an entrant's code covers a span of sessions is
+the same for all spells that ask for that span, so spans, of which the calendar has few, meet entrants, and spells read the
+two best of their span, as the best may be their own ticker's. Chains of renames are settled in rounds, as many as the longest chain of open spells, each cut by
 a table in the shared folder. Nothing comes to the driver but whether a round changed something.
 """
 
@@ -25,7 +26,6 @@ from panelforge.sources.store import stored
 #: A vendor marks codes that lost their ticker with this ending.
 SUPERSEDED = r"(?i)_old\d*$"
 FIRST_DAY, LAST_DAY = "1900-01-01", "2999-12-31"
-BUCKET = 64
 
 
 @dataclass(frozen=True)
@@ -63,15 +63,36 @@ def candidate_registrants(tickers: DataFrame, current: DataFrame, mapped: DataFr
     return reduce(DataFrame.unionByName, rows).filter("cik IS NOT NULL").groupBy("cik").agg(F.min("by")["via"].alias("via"))
 
 
+def sessions_of(priced: DataFrame) -> DataFrame:
+    """code, sessions: the different sessions of a code as an array. priced: code, s; what has sessions stays as it is."""
+    return priced if "sessions" in priced.columns else priced.groupBy("code").agg(F.collect_set("s").alias("sessions"))
+
+
 def coverage(spans: DataFrame, priced: DataFrame, start: str = "start", end: str = "end", code: str = "code", name: str = "coverage") -> DataFrame:
-    """spans with the share of the sessions from start to end that the code has; 0 without a code. priced: code, s."""
-    order = Window.partitionBy("_of").orderBy("_s")
-    counted = priced.select(F.col("code").alias("_of"), F.col("s").alias("_s")).distinct().withColumn("_k", F.row_number().over(order))
-    x = spans.withColumns({"_of": F.col(code), "_before": F.col(start) - 1})
-    x = ts.asof(x, counted, ["_of"], end, "_s", ["_k"]).drop("_s_asof").withColumnRenamed("_k", "_upto")
-    x = ts.asof(x, counted, ["_of"], "_before", "_s", ["_k"]).drop("_s_asof")
-    share = F.try_divide(F.coalesce("_upto", F.lit(0)) - F.coalesce("_k", F.lit(0)), F.greatest(F.col(end) - F.col(start) + 1, F.lit(0)))
-    return x.withColumn(name, F.coalesce(share, F.lit(0.0))).drop("_of", "_before", "_upto", "_k")
+    """spans with the share of the sessions from start to end that the code has; 0 without a code. priced: code, s (or sessions_of it)."""
+    x = spans.withColumn("_of", F.col(code)).join(sessions_of(priced).withColumnsRenamed({"code": "_of", "sessions": "_days"}), "_of", "left")
+    inside = F.size(F.filter("_days", lambda s: (s >= F.col(start)) & (s <= F.col(end))))
+    share = F.try_divide(F.when(F.col("_days").isNotNull(), inside).otherwise(0), F.greatest(F.col(end) - F.col(start) + 1, F.lit(0)))
+    return x.withColumn(name, F.coalesce(share, F.lit(0.0))).drop("_of", "_days")
+
+
+def best_of_spans(spans: DataFrame, entrants: DataFrame, priced: DataFrame, rules: Rules) -> DataFrame:
+    """from, to, best: of the entrants of the session after ``to`` whose code covers the span, the two best, the better first.
+
+    spans: from, to. entrants: ticker, at, code, and what else is to be known of them; a ticker enters a session once. More coverage is better,
+    then the later ticker. Two are enough for a spell to read the best that isn't its own ticker.
+    """
+    offers = entrants.filter("code IS NOT NULL").withColumn("to", F.col("at") - 1)
+    seen = coverage(spans.select("from", "to").distinct().join(offers, "to"), priced, "from", "to", name="covers").filter(F.col("covers") >= rules.coverage)
+    place = F.row_number().over(Window.partitionBy("from", "to").orderBy(F.col("covers").desc(), F.col("ticker").desc()))
+    top = seen.withColumn("_place", place).filter("_place <= 2")
+    fields = [c for c in seen.columns if c not in ("from", "to")]
+    return top.groupBy("from", "to").agg(F.array_sort(F.collect_list(F.struct("_place", *fields))).alias("best"))  # two
+
+
+def _of_others(best: str, ticker: str) -> Column:
+    """The first of the best that isn't the ticker's."""
+    return F.get(F.filter(best, lambda b: b["ticker"] != F.col(ticker)), 0)
 
 
 def cut(eras: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -127,18 +148,18 @@ def hidden_renames(open_eras: DataFrame, eras: DataFrame, candidates: DataFrame,
     """ticker, start, at, score, and the two pieces' codes: spells whose early part another entrant's code prices.
 
     Another ticker enters at session ``at`` inside the spell; its code covers the spell before, and a code of the spell's own ticker
-    what follows. Entrants are met by blocks of sessions, so a spell meets those that came during its life.
+    what follows. A spell asks for each of its sessions for the best entrant of the span before; the spells of a span share it.
     """
-    spells = open_eras.select("ticker", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET))).alias("block"))
-    entrants = eras.filter(F.col("code").isNotNull() & (F.col("coverage") >= rules.coverage)).select(
-        F.col("ticker").alias("other"), F.col("start").alias("at"), F.col("code").alias("early_code"), F.col("vendor_name").alias("early_name"), F.floor(F.col("start") / BUCKET).alias("block")
-    )
-    met = spells.join(entrants, "block").filter((F.col("at") > F.col("start")) & (F.col("at") <= F.col("end")) & (F.col("other") != F.col("ticker"))).drop("block")
-    own = met.select("ticker", "start", "end", "at").distinct().join(candidates.select("ticker", F.col("code").alias("late_code"), F.col("name").alias("late_name")), "ticker")
+    asked = open_eras.select("ticker", "start", "end", F.explode(F.sequence(F.col("start") + 1, F.col("end"))).alias("at"))
+    entrants = eras.filter(F.col("coverage") >= rules.coverage).select("ticker", F.col("start").alias("at"), "code", "vendor_name")
+    best = best_of_spans(asked.select(F.col("start").alias("from"), (F.col("at") - 1).alias("to")), entrants, priced, rules)
+    best = best.select(F.col("from").alias("start"), (F.col("to") + 1).alias("at"), "best")
+    met = asked.join(best, ["start", "at"]).withColumn("b", _of_others("best", "ticker")).filter("b IS NOT NULL")
+    met = met.select("ticker", "start", "end", "at", F.col("b.ticker").alias("other"), F.col("b.code").alias("early_code"), F.col("b.vendor_name").alias("early_name"), F.col("b.covers").alias("early"))
+    own = met.select("ticker", "start", "end", "at").join(candidates.select("ticker", F.col("code").alias("late_code"), F.col("name").alias("late_name")), "ticker")
     own = coverage(own, priced, "at", "end", "late_code", "late")
     best = own.groupBy("ticker", "start", "at").agg(F.max_by(F.struct("late_code", "late_name", "late"), F.struct("late", (-F.length("late_code")).alias("n"), "late_code")).alias("own")).filter(F.col("own.late") >= rules.coverage)
-    x = met.join(best, ["ticker", "start", "at"]).select("*", "own.*").drop("own").withColumn("_to", F.col("at") - 1)
-    x = coverage(x, priced, "start", "_to", "early_code", "early").filter(F.col("early") >= rules.coverage)
+    x = met.join(best, ["ticker", "start", "at"]).select("*", "own.*").drop("own")
     rank = F.struct((F.col("early") + F.col("late")).alias("a"), (-F.col("at")).alias("b"), F.col("other").alias("c"))
     return x.groupBy("ticker", "start").agg(F.max_by(F.struct("at", "other", "early_code", "early_name", "early", "late_code", "late_name", "late"), rank).alias("s")).select("ticker", "start", "s.*")
 
@@ -147,7 +168,7 @@ def code_switches(open_eras: DataFrame, candidates: DataFrame, priced: DataFrame
     """As hidden_renames, where one of the ticker's own codes hands over to another at its first session."""
     codes = candidates.select("ticker", "code", "name").distinct()
     x = open_eras.select("ticker", "start", "end").join(codes.withColumnsRenamed({"code": "late_code", "name": "late_name"}), "ticker")
-    x = ts.asof(x, priced.select(F.col("code").alias("late_code"), F.col("s").alias("at")), ["late_code"], "start", "at", [], forward=True, strict=True).withColumnRenamed("at_asof", "at")
+    x = x.join(sessions_of(priced).withColumnRenamed("code", "late_code"), "late_code").withColumn("at", F.array_min(F.filter("sessions", lambda s: s > F.col("start")))).drop("sessions")
     x = coverage(x.filter(F.col("at") <= F.col("end")), priced, "at", "end", "late_code", "late").filter(F.col("late") >= rules.coverage)
     x = x.join(codes.withColumnsRenamed({"code": "early_code", "name": "early_name"}), "ticker").filter("early_code <> late_code").withColumn("_to", F.col("at") - 1)
     x = coverage(x, priced, "start", "_to", "early_code", "early").filter(F.col("early") >= rules.coverage)
@@ -175,21 +196,22 @@ def split_uncovered(eras: DataFrame, candidates: DataFrame, priced: DataFrame, r
 def settle(eras: DataFrame, priced: DataFrame, waits: Column, offers: Column, takes: Sequence[str], last: int, rules: Rules) -> DataFrame:
     """Links spells that wait to the best covering entrant of the session after their end; takes its ``takes`` columns.
 
-    Newest first: a spell is settled once none of its entrants waits itself, so a chain of renames passes on the last code.
+    Newest first: a spell is settled once none of its entrants waits itself, so a chain of renames passes on the last code. Rounds are as
+    many as the longest chain of sessions, and none pairs a session's spells with its entrants.
     """
     columns = eras.columns
     x = stored(eras.withColumn("open", waits & (F.col("end") < last) & F.col("link").isNull()), "settling")
     while not x.filter("open").isEmpty():
-        names = {c: f"_{c}" for c in ("key", "ticker", "code", "vendor_name", "open", *takes)}
-        entrants = x.select((F.col("start") - 1).alias("end"), *(F.col(c).alias(n) for c, n in names.items()), offers.alias("_offers"))
-        met = x.filter("open").join(entrants, "end").filter("_ticker <> ticker")
-        waiting = met.groupBy("key").agg(F.bool_or("_open").alias("later")).filter("later").select("key")
-        ready = x.filter("open").select("key").join(waiting, "key", "left_anti")
-        seen = coverage(met.filter(F.col("_code").isNotNull() & F.coalesce("_offers", F.lit(False))).join(ready, "key"), priced, code="_code", name="_covers").filter(F.col("_covers") >= rules.coverage)
-        best = seen.groupBy("key").agg(F.max_by(F.struct("_key", "_ticker", "_code", "_vendor_name", "_covers", *(names[c] for c in takes)), F.struct("_covers", "_ticker")).alias("to"))
-        y = x.join(best, "key", "left").join(ready.withColumn("_done", F.lit(True)), "key", "left")
+        open_spells = x.filter("open")
+        waiting = open_spells.groupBy((F.col("start") - 1).alias("end")).agg(F.min("ticker").alias("_lo"), F.max("ticker").alias("_hi"))  # a row a session
+        later = F.coalesce((F.col("_lo") != F.col("ticker")) | (F.col("_hi") != F.col("ticker")), F.lit(False))
+        ready = open_spells.select("key", "ticker", "start", "end").join(F.broadcast(waiting), "end", "left").filter(~later).drop("_lo", "_hi")
+        entrants = x.filter(F.coalesce(offers, F.lit(False))).select("key", "ticker", F.col("start").alias("at"), "code", "vendor_name", *(F.col(c).alias(f"_{c}") for c in takes))
+        best = best_of_spans(ready.select(F.col("start").alias("from"), F.col("end").alias("to")), entrants, priced, rules).select(F.col("from").alias("start"), F.col("to").alias("end"), "best")
+        ready = ready.join(best, ["start", "end"], "left").select("key", _of_others("best", "ticker").alias("to"), F.lit(True).alias("_done"))
+        y = x.join(ready, "key", "left")
         hit = F.col("to").isNotNull()
-        new = {"link": F.col("to._key"), "code": F.col("to._code"), "coverage": F.col("to._covers"), "vendor_name": F.col("to._vendor_name"), "method": F.concat(F.lit("renamed_to:"), F.col("to._ticker"))}
+        new = {"link": F.col("to.key"), "code": F.col("to.code"), "coverage": F.col("to.covers"), "vendor_name": F.col("to.vendor_name"), "method": F.concat(F.lit("renamed_to:"), F.col("to.ticker"))}
         new |= {c: F.col(f"to._{c}") for c in takes} | ({"cik_method": F.lit("rename")} if "cik" in takes else {})
         y = y.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()} | {"open": F.col("open") & F.col("_done").isNull()})
         x = stored(y.select(*columns, "open"), "settling")
@@ -318,6 +340,7 @@ def resolve(eras: DataFrame, candidates: DataFrame, priced: DataFrame, calendar:
 
     eras: ticker, start, end; priced: code, s; calendar: s, date; all sessions are numbers. Spells that nothing explains stay, and are reported.
     """
+    priced = stored(sessions_of(priced), "sessions")
     x = stored(own_code(cut(eras, overrides), candidates, priced, last, rules), "own-codes")
     x = split_uncovered(x, candidates, priced, rules)
     x = settle(x, priced, F.col("coverage") < rules.coverage, F.lit(True), [], last, rules)

@@ -9,6 +9,7 @@ from panelforge.operators import identity as idn
 from panelforge.plans.panels import r, table
 from panelforge.plans.registry import query
 from panelforge.plans.staged import _nested
+from panelforge.sources.store import stored
 
 # A user's days with events are a code's priced sessions; three users share a ticker, as its codes. A ticker is a member in a block of seven
 # sessions from its first purchase to its last.
@@ -87,8 +88,8 @@ def codes_by_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def security_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spells of all tickers with their codes, registrants and securities: renames, switches and links settled, by all rules."""
-    days, own = priced(spark, sf_dir), spells(spark, sf_dir)
-    calendar = days.select("s").distinct().withColumn("date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("s")))
+    days, own = stored(priced(spark, sf_dir), "priced"), spells(spark, sf_dir)
+    calendar = stored(days.select("s").distinct().withColumn("date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("s"))), "calendar")
     none = spark.createDataFrame([], "ord int, ticker string, start int, end int, code string, cik long")
     named = listings(spark, sf_dir).filter("name IS NOT NULL")
     cik = F.pmod(F.xxhash64("code"), F.lit(1_000_000_007))
@@ -99,6 +100,6 @@ def security_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = days.agg(F.max("s")).first()[0]
     current = own.filter(F.col("end") == last).select("ticker", F.pmod(F.xxhash64("ticker"), F.lit(1_000_000_007)).alias("cik"))
     mapped = named.select(F.col("code").alias("ticker"), cik.alias("cik"), F.col("name").alias("title"), F.lit(1).alias("ord"))
-    history, _, _ = idn.resolve(own, idn.candidate_codes(own, listings(spark, sf_dir)), days, calendar, none, current, mapped, registered, companies, spans, last, idn.Rules(coverage=0.5, slack_days=3))
+    history, _, _ = idn.resolve(own, stored(idn.candidate_codes(own, listings(spark, sf_dir)), "candidates"), days, calendar, none, current, mapped, registered, companies, spans, last, idn.Rules(coverage=0.5, slack_days=3))
     order = Window.partitionBy("sid").orderBy("start", "ticker")
     return history.select("sid", "ticker", "start", "end", "code", r("coverage").alias("coverage"), "method", "cik", "cik_method", F.row_number().over(order).alias("spell"))

@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.operators import identity as idn
 
@@ -160,3 +161,17 @@ def test_candidates(spark):
     assert sorted(((r.ticker, r.code, r.name) for r in got.filter("ticker IS NOT NULL").collect()), key=repr) == [("AB", "AB", "A Inc"), ("AB", "AB_old", "B Inc"), ("AB", "AB_old1", None), ("N.A", "N-A", None), ("XY", "XY.US", "X")]
     ciks = idn.candidate_registrants(make([("AB",), ("XY",)], "ticker string"), make([("AB", 1), ("ZZ", 9)], "ticker string, cik long"), make([("AB", 1), ("XY", 2)], "ticker string, cik long"), make([("B, INC.", 3), ("x inc", 2), (None, 8)], "name string, cik long"), make([("B Inc",), ("X",), (None,), ("",)], "name string"))
     assert sorted(map(tuple, ciks.collect())) == [(1, "current"), (2, "ticker"), (3, "name")]
+
+
+def test_spans_read_the_two_best_entrants(spark):
+    """400 tickers wait for the same session and 400 enter it: a span has two rows, not one for each entrant, and a spell takes none of its own ticker."""
+    make = spark.createDataFrame
+    priced = make([(f"C{k:03d}", s) for k in range(400) for s in range(10) if s < 6 + k // 100], "code string, s int").unionByName(make([("NONE", 9)], "code string, s int"))
+    entrants = make([(f"T{k:03d}", 10, f"C{k:03d}") for k in range(400)], "ticker string, at int, code string")
+    best = idn.best_of_spans(make([(0, 9), (0, 9), (5, 9), (3, 8)], "from int, to int"), entrants, priced, idn.Rules(coverage=0.9)).collect()
+    assert {(r["from"], r["to"]): [(b.ticker, b.covers) for b in r.best] for r in best} == {(0, 9): [("T399", 0.9), ("T398", 0.9)]}
+    eras = entrants.select("ticker", F.col("at").alias("start"), F.lit(20).alias("end"), "code", F.lit(0.95).alias("coverage"))
+    waiting = make([(f"T{k:03d}", 0, 9) for k in range(400)], "ticker string, start int, end int").select("*", F.lit("NONE").alias("code"), F.lit(0.1).alias("coverage"))
+    x = eras.unionByName(waiting).withColumns({"key": F.concat_ws("|", "ticker", "start"), "link": F.lit(None).cast("string"), "vendor_name": F.lit("x"), "method": F.lit("coverage")})
+    found = {r.ticker: r.method for r in idn.settle(x, priced, F.col("coverage") < 0.9, F.lit(True), [], 20, idn.Rules(coverage=0.9)).filter("end = 9").collect()}
+    assert found == {f"T{k:03d}": "renamed_to:T398" if k == 399 else "renamed_to:T399" for k in range(400)}
