@@ -7,12 +7,14 @@ is null have a null result and take no part in moments; nothing is ever NaN.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.operators.timeseries import running
+from panelforge.sources.store import stored
 
 #: Scales a median absolute deviation to a normal standard deviation.
 MAD_SCALE = 1.4826
@@ -56,6 +58,40 @@ def quantiles(df: DataFrame, by: Sequence[str], x: str, shares: dict[str, float]
     return found.groupBy(*by).agg(*picks, *([F.max("_size").alias(size)] if size else []))
 
 
+#: Shares of the values around a median that are looked at one by one, and the accuracy of the sketch that finds them.
+NEAR, ACCURACY = 0.001, 10_000
+
+
+def medians(df: DataFrame, by: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
+    """by and, for each name, the exact median of its not-null values; df is read several times and should be stored.
+
+    A sketch brackets each median; the values below the bracket are counted, and only those inside, about 2 * NEAR of all, are
+    shuffled and ranked. Medians that their bracket turns out not to hold are found by ``quantiles`` over all their values.
+    """
+    x = df.select(*by, *(c.cast("double").alias(n) for n, c in columns.items()))
+    ends = F.array(F.lit(0.5 - NEAR), F.lit(0.5 + NEAR))
+    sketch = x.groupBy(*by).agg(*(F.struct(F.percentile_approx(n, ends, ACCURACY).alias("at"), F.count(n).alias("n")).alias(f"_b_{n}") for n in columns))
+    sketch = stored(sketch, "brackets")
+    lo, hi = (lambda n, k=k: F.get(F.col(f"_b_{n}.at"), k) for k in (0, 1))
+    inside = lambda n: F.col(n).between(lo(n), hi(n))
+    near = x.join(sketch, list(by)).filter(reduce(lambda a, b: a | b, (F.coalesce(inside(n), F.lit(False)) for n in columns)))
+    values = near.select(*by, F.inline(F.array(*(F.struct(F.lit(n).alias("_name"), F.when(inside(n), F.col(n)).alias("_x")) for n in columns)))).filter("_x IS NOT NULL")
+    counted = values.groupBy(*by, "_name", "_x").agg(F.count("*").alias("_n"))
+    below = x.join(sketch, list(by)).groupBy(*by).agg(*(F.count_if(F.col(n) < lo(n)).alias(n) for n in columns))
+    below = below.join(sketch, list(by)).select(*by, F.inline(F.array(*(F.struct(F.lit(n).alias("_name"), F.col(n).alias("_below"), F.col(f"_b_{n}.n").alias("_all")) for n in columns)))).filter("_all > 0")
+    ranked = running(counted, [*by, "_name"], ["_x"], F.col("_n"), "_upto", "_size").join(below, [*by, "_name"])
+    at = (F.col("_all") - 1) / 2
+    upto = F.col("_below") + F.col("_upto")
+    first, second = (F.min(F.when(upto > f(at), F.col("_x"))) for f in (F.floor, F.ceil))
+    holds = F.bool_and((F.col("_below") <= F.floor(at)) & (F.col("_below") + F.col("_size") > F.ceil(at)))
+    found = stored(ranked.groupBy(*by, "_name").agg(holds.alias("_holds"), ((first + second) / 2).alias("_m")), "medians")
+    missed = below.join(found.filter("_holds"), [*by, "_name"], "left_anti").select(*by, "_name")
+    if not missed.isEmpty():
+        rest = x.select(*by, F.inline(F.array(*(F.struct(F.lit(n).alias("_name"), F.col(n).alias("_x")) for n in columns)))).join(missed, [*by, "_name"], "left_semi")
+        found = found.filter("_holds").unionByName(quantiles(rest, [*by, "_name"], "_x", {"_m": 0.5}).withColumn("_holds", F.lit(True)))
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("_name") == n, F.col("_m"))).alias(n) for n in columns))
+
+
 def robust_centre(df: DataFrame, by: Sequence[str], x: str, where: Column) -> DataFrame:
     """df with _med and _mad of x over the rows of ``where``."""
     df = df.join(quantiles(df.filter(where), by, x, {"_med": 0.5}), list(by), "left")

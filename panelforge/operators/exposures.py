@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.operators.crosssection import MAD_SCALE, combine, quantiles
+from panelforge.operators.crosssection import MAD_SCALE, combine, medians
 from panelforge.sources.store import stored
 
 
@@ -146,16 +146,13 @@ def _mean(x: str, w: str, where: Column) -> Column:
 
 
 def clean(df: DataFrame, by: Sequence[str], model: StyleModel) -> tuple[DataFrame, DataFrame]:
-    """df without descriptor values that are data errors (over ``error`` robust deviations off), and by, descriptor, n_error, n_valid."""
+    """df without descriptor values that are data errors (over ``error`` robust deviations off), and by, descriptor, n_error, n_valid. df is read several times."""
     names = model.descriptors
-    columns = F.array(*(F.struct(F.lit(d).alias("descriptor"), F.col(d).cast("double").alias("x")) for d in names))
-    long = df.filter("in_estu").select(*by, F.inline(columns)).filter("x IS NOT NULL")
-    med = quantiles(long, [*by, "descriptor"], "x", {"med": 0.5})
-    off = long.join(med, [*by, "descriptor"]).select(*by, "descriptor", F.abs(F.col("x") - F.col("med")).alias("off"))
-    mad = quantiles(off, [*by, "descriptor"], "off", {"mad": 0.5})
-    robust = med.join(mad, [*by, "descriptor"]).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("descriptor", F.struct("med", "mad").alias("r")))).alias("_r"))  # one a descriptor
-    bad = lambda d: F.coalesce(F.abs(F.col(d) - F.try_element_at("_r", F.lit(d))["med"]) > model.error * MAD_SCALE * F.nullif(F.try_element_at("_r", F.lit(d))["mad"], F.lit(0.0)), F.lit(False))
-    x = stored(df.join(robust, list(by), "left").withColumns({f"_bad_{d}": bad(d) for d in names}).drop("_r"), "descriptors")
+    own = df.filter("in_estu")
+    med = medians(own, by, {f"_med_{d}": F.col(d) for d in names})
+    robust = med.join(medians(own.join(med, list(by)), by, {f"_mad_{d}": F.abs(F.col(d) - F.col(f"_med_{d}")) for d in names}), list(by))
+    bad = lambda d: F.coalesce(F.abs(F.col(d) - F.col(f"_med_{d}")) > model.error * MAD_SCALE * F.nullif(F.col(f"_mad_{d}"), F.lit(0.0)), F.lit(False))
+    x = stored(df.join(robust, list(by), "left").withColumns({f"_bad_{d}": bad(d) for d in names}).drop(*robust.drop(*by).columns), "descriptors")
     counts = x.groupBy(*by).agg(F.array(*(F.struct(F.lit(d).alias("descriptor"), F.count_if(f"_bad_{d}").alias("n_error"), F.count(d).alias("n_valid")) for d in names)).alias("q"))
     cleaned = x.withColumns({d: F.when(~F.col(f"_bad_{d}"), F.col(d).cast("double")) for d in names}).drop(*(f"_bad_{d}" for d in names))
     return cleaned, counts.select(*by, F.inline("q"))
@@ -198,6 +195,18 @@ def imputed(df: DataFrame, by: Sequence[str], styles: Sequence[str], industry: s
     return y.withColumns(filled).drop("_groups", *(f"{s}_at" for s in others), *(f"{s}_fit" for s in others))
 
 
+def covered(rows: DataFrame, date: str, model: StyleModel) -> DataFrame:
+    """Covered rows of the dates with ``least`` estimation rows, as a table: what comes before it is made once."""
+    x = stored(rows, "rows")
+    enough = x.filter("in_estu").groupBy(date).count().filter(F.col("count") >= model.least).select(date)
+    return x.filter("in_cov").join(enough, date, "left_semi")
+
+
+def descriptor_counts(rows: DataFrame, date: str, model: StyleModel) -> DataFrame:
+    """The descriptors' counts of build_exposures, without the exposures."""
+    return clean(covered(rows, date, model), [date], model)[1]
+
+
 def build_exposures(rows: DataFrame, date: str, cap: str, weight: str, industry: str, model: StyleModel) -> tuple[DataFrame, DataFrame]:
     """date, the rows' other columns, each style and imp_{style} for covered rows; and the descriptors' counts.
 
@@ -208,8 +217,7 @@ def build_exposures(rows: DataFrame, date: str, cap: str, weight: str, industry:
     """
     by, estu = [date], F.col("in_estu")
     keep = [c for c in rows.columns if c not in model.descriptors]
-    enough = rows.filter("in_estu").groupBy(date).count().filter(F.col("count") >= model.least).select(date)
-    x, counts = clean(rows.filter("in_cov").join(enough, date, "left_semi"), by, model)
+    x, counts = clean(covered(rows, date, model), by, model)
     names = model.descriptors
     own = lambda c: F.when(estu, F.col(c))
     x = with_moments(x, by, {k: v for d in names for k, v in {f"_m_{d}": F.avg(own(d)), f"_s_{d}": F.stddev_pop(own(d)), f"_n_{d}": F.count(own(d))}.items()})

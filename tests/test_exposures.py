@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import exposures as ex
+from panelforge.plans import registry
 
 MODEL = ex.StyleModel(
     weights={"size": {"ln": 1.0}, "beta": {"hb": 1.0}, "value": {"btop": 1.0}, "growth": {"eg": 0.3, "sg": 0.7}, "vol": {"dastd": 1.0}},
@@ -112,3 +113,25 @@ def test_fits_on_many_regressors(spark, k):
             want = None if q[2] is None or q[5] is None else q[2] - b @ np.array([1, *q[5:]])
             assert got[d, q[1]] is None if want is None else got[d, q[1]] == pytest.approx(want, abs=1e-8)
     assert [got[3, i] for i in range(2)] == [0.0, 1.0]
+
+
+@pytest.mark.parametrize("near", [0.001, -0.2])
+def test_medians_are_exact(spark, monkeypatch, near):
+    """Ties, nulls, one value and none; with brackets that hold no median all are found over all values."""
+    import statistics
+
+    from panelforge.operators import crosssection as cs
+
+    monkeypatch.setattr(cs, "NEAR", near)
+    rows = [(k % 3, (k * 7919 % 5003) / 7, float(k % 4) if k % 5 else None, 1.5 if k == 0 else None) for k in range(5000)]
+    df = spark.createDataFrame(rows, "g int, x double, y double, z double").repartition(7)
+    found = {r.g: (r.a, r.b, r.c) for r in cs.medians(df, ["g"], {"a": df.x, "b": df.y, "c": df.z}).collect()}
+    own = lambda g, i: [r[i] for r in rows if r[0] == g and r[i] is not None]
+    assert found == {g: tuple(statistics.median(own(g, i)) if own(g, i) else None for i in (1, 2, 3)) for g in range(3)}
+
+
+def test_rows_are_made_once_and_counts_without_exposures(spark, sf, monkeypatch):
+    tags = []
+    monkeypatch.setattr(ex, "stored", lambda df, tag, stored=ex.stored: tags.append(tag) or stored(df, tag))
+    assert registry.QUERIES["descriptor_counts"](spark, sf).count() > 0
+    assert tags == ["rows", "descriptors"]
