@@ -118,7 +118,7 @@ def style_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_SQL}, q AS ({' UNION ALL '.join(f"SELECT year, '{d}' AS descriptor, count(*) FILTER (WHERE {b}) AS n_error, count({d}) AS n_valid FROM r2 GROUP BY year" for d, b in _BAD.items())}) SELECT * FROM q")
 def descriptor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid values of each descriptor, and those dropped as data errors."""
-    return _built(spark, sf_dir)[1]
+    return ex.descriptor_counts(rows(spark, sf_dir), "year", MODEL)
 
 
 @query(f"""{_SQL}, l AS ({' UNION ALL '.join(f"SELECT year, sid, '{s}' AS style, {s} AS x, imp_{s} AS imputed, cap, in_estu FROM fin" for s in STYLES)})
