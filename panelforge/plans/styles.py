@@ -125,7 +125,7 @@ def descriptor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT year, style, round(sum(cap * x) FILTER (WHERE in_estu) / sum(cap) FILTER (WHERE in_estu), 6) + 0.0 AS mean_cw, round(stddev_pop(x) FILTER (WHERE in_estu), 6) AS std_ew, round(count(*) FILTER (WHERE NOT imputed) / count(*), 6) AS coverage, count(*) FILTER (WHERE imputed) AS imputed FROM l GROUP BY ALL""")
 def style_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments, coverage and number of imputed values of each style."""
-    x = stored(_built(spark, sf_dir)[0], "exposures")
+    x = _built(spark, sf_dir)[0]
     long = x.select("year", "cap", "in_estu", F.inline(F.array(*(F.struct(F.lit(s).alias("style"), F.col(s).alias("x"), F.col(f"imp_{s}").alias("imp")) for s in STYLES))))
     own = lambda c: F.when(F.col("in_estu"), c)
     mean = F.sum(own(F.col("cap") * F.col("x"))) / F.sum(own(F.col("cap")))
