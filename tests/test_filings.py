@@ -97,3 +97,14 @@ def test_growth_per_share_keeps_years_without_a_count(spark):
     dates = spark.createDataFrame([(1, d(2023, 2, 1)), (1, d(2023, 2, 2)), (1, d(2025, 1, 1))], "cik long, date date")
     panel = {r.date: r.growth for r in fl.growth_panel(dates, events, 500).collect()}
     assert panel[d(2023, 2, 1)] is None and panel[d(2023, 2, 2)] == got[d(2023, 2, 2)] and panel[d(2025, 1, 1)] is None
+
+
+def test_changes_are_made_once(spark, sf, monkeypatch):
+    """What twelve months and filing days read is a table, so the chain of windows over facts runs once."""
+    from panelforge.plans import registry
+
+    tags = []
+    monkeypatch.setattr(fl, "stored", lambda df, tag, stored=fl.stored: tags.append(tag) or stored(df, tag))
+    plan = registry.QUERIES["company_facts"](spark, sf)
+    assert tags == ["events", "series"]
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("orders.parquet") <= 1 and plan.count() > 0
