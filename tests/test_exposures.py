@@ -135,3 +135,11 @@ def test_rows_are_made_once_and_counts_without_exposures(spark, sf, monkeypatch)
     monkeypatch.setattr(ex, "stored", lambda df, tag, stored=ex.stored: tags.append(tag) or stored(df, tag))
     assert registry.QUERIES["descriptor_counts"](spark, sf).count() > 0
     assert tags == ["rows", "descriptors"]
+
+
+def test_moments_without_a_table_between(spark, sf, monkeypatch):
+    from panelforge.plans import styles
+
+    tags = []
+    monkeypatch.setattr(styles, "stored", lambda df, tag, stored=styles.stored: tags.append(tag) or stored(df, tag))
+    assert registry.QUERIES["style_qa"](spark, sf).columns and tags == []
