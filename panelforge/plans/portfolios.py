@@ -219,21 +219,24 @@ _AREAS = f"""{_CAPS}, ex AS (SELECT 'market caps' AS area, sid, s, 'no share cou
 UNION ALL SELECT 'prices', sid, s, 'return of ' || CAST(round(ret * 100) AS BIGINT) || ' percent' FROM day WHERE ret > 5 UNION ALL SELECT 'prices', sid, s, 'no price' FROM day WHERE close IS NULL OR close <= 0)"""
 
 
+_RETURN = "return"
+
+
 def _exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """area, sid, s, ret, text: a row for each odd thing. Of returns the text is _RETURN only: numbers of rows need none, and a return may be too large for a whole number."""
     day = day_panel(spark, sf_dir)
-    caps = market_caps(spark, sf_dir)
-    tagged = lambda df, area, text: df.select(F.lit(area).alias("area"), "sid", "s", text.alias("text"))
-    problem = F.when(F.col("ret") > 5, F.format_string("return of %d percent", F.round(F.col("ret") * 100).cast("long")))
-    texts = F.array_compact(F.array(problem, F.when(F.col("close").isNull() | (F.col("close") <= 0), "no price")))
-    prices = day.select("sid", "s", F.explode(texts).alias("t"))
-    own = F.array_compact(F.array(F.when(F.col("source").isNull(), "no share count"), F.when(F.col("flag").isNotNull(), "value moved otherwise than the return")))
-    return tagged(prices, "prices", F.col("t")).unionByName(tagged(caps.select("sid", "s", F.explode(own).alias("t")), "market caps", F.col("t")))
+    caps = market_caps(spark, sf_dir).withColumn("ret", F.lit(None).cast("double"))
+    tagged = lambda df, area, texts: df.select(F.lit(area).alias("area"), "sid", "s", "ret", F.explode(F.array_compact(F.array(*texts))).alias("text"))
+    prices = [F.when(F.col("ret") > 5, _RETURN), F.when(F.col("close").isNull() | (F.col("close") <= 0), "no price")]
+    own = [F.when(F.col("source").isNull(), "no share count"), F.when(F.col("flag").isNotNull(), "value moved otherwise than the return")]
+    return tagged(day, "prices", prices).unionByName(tagged(caps, "market caps", own))
 
 
 @query(f"WITH {_AREAS} SELECT area, sid, s, text FROM ex")
 def exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What staging found odd, each a row with its area and a text; each input is read once."""
-    return _exceptions(spark, sf_dir)
+    told = F.format_string("return of %d percent", F.round(F.col("ret") * 100).cast("long"))
+    return _exceptions(spark, sf_dir).select("area", "sid", "s", F.when(F.col("text") == _RETURN, told).otherwise(F.col("text")).alias("text"))
 
 
 @query(f"WITH {_AREAS} SELECT area, count(*) AS rows, count(DISTINCT sid) AS entities, min(s) AS first, max(s) AS last FROM ex GROUP BY area")

@@ -49,6 +49,13 @@ def test_market_values_of_zero(compared, name):
     assert compared(name, events=(EVENTS, days_with_zeros())) is None
 
 
+def test_returns_too_large_for_a_whole_number_count(compared):
+    """The counts need no text of a return, as in their SQL."""
+    values = [[1e-18, 5.0, 6.0], [5e-324, 1e300, 0.0], [1.0, math.inf, 2.0], [1.0, math.nan, 40.0]]
+    rows = [(3 * user + day, datetime.datetime(2024, 1, 1 + day, 8), user, "click", v) for user, series in enumerate(values) for day, v in enumerate(series)]
+    assert compared("staging_counters", events=(EVENTS, rows)) is None
+
+
 def test_a_market_value_of_zero_moves_nothing(spark):
     days = spark.createDataFrame([(1, s, c, 0.0, 10, 1.0) for s, c in enumerate([5.0, 0.0, 5.0, 50.0], 1)], "sid int, s int, close double, ret double, volume int, cum double")
     counts = spark.createDataFrame([(1, 1, 1000.0)], "sid int, s int, count double")
