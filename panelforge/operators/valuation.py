@@ -48,12 +48,12 @@ def trailing_median(by: str, session: str, x: str, rows: int) -> Column:
 def plausible_counts(counts: DataFrame, days: DataFrame, sid: str, session: str, band: tuple[float, float], window: int) -> DataFrame:
     """sid, session, count, basis: share counts whose usual volume is a plausible part of them, with the splits up to their day.
 
-    counts: sid, session, count. days: sid, session, volume, cum (running product of splits). Counts before the first volume stay.
+    counts: sid, session, count. days: sid, session, volume, cum (running product of splits). Counts before the first volume stay, and those of 0; missing ones don't hide earlier ones.
     """
     volume = days.select(sid, F.col(session).alias("_s"), "cum", trailing_median(sid, session, "volume", window).alias("_med"))
     found = ts.asof(counts, volume, [sid], session, "_s", ["_med", "cum"])
-    turnover = F.try_divide("_med", "count")
-    return found.filter(turnover.isNull() | turnover.between(*band)).select(sid, session, "count", F.coalesce("cum", F.lit(1.0)).alias("basis"))
+    plausible = F.col("_med").isNull() | (F.col("count") == 0) | F.try_divide("_med", "count").between(*band)
+    return found.filter(plausible).select(sid, session, "count", F.coalesce("cum", F.lit(1.0)).alias("basis"))
 
 
 # Share counts that are dated snapshots; others are on the basis of the day they were filed.

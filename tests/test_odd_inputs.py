@@ -49,6 +49,18 @@ def test_market_values_of_zero(compared, name):
     assert compared(name, events=(EVENTS, days_with_zeros())) is None
 
 
+@pytest.mark.parametrize("name", ["market_caps", "exceptions", "staging_counters"])
+def test_missing_values(compared, name):
+    """A day's last value, or its share count, is missing; the value and the count before stay."""
+    values = [(2.0, None, 4.0), (3.0, 5.0, None), (None, None, 6.0), (2.0, 1.0, None), (9.0, None, None)]
+    rows = []
+    for user in range(3):
+        for day in range(8):
+            for hour, (kind, x) in enumerate(zip(("view", "purchase", "click"), values[(user + day) % 5])):
+                rows.append((len(rows), datetime.datetime(2024, 1, 1 + day, 8 + hour), user, kind, x))
+    assert compared(name, events=(EVENTS, rows)) is None
+
+
 def test_returns_too_large_for_a_whole_number_count(compared):
     """The counts need no text of a return, as in their SQL."""
     values = [[1e-18, 5.0, 6.0], [5e-324, 1e300, 0.0], [1.0, math.inf, 2.0], [1.0, math.nan, 40.0]]
